@@ -143,15 +143,15 @@ def before(df: DataFrame, group: list[str], order: list[Column], value: str, out
     """
     from pyspark.sql import Window
 
-    held = df.withColumn("_h", F.xxhash64(*order))
+    held = df.withColumn("_order", F.xxhash64(*order))
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.ceil(F.col("_n") / per_bucket).alias("_buckets"))
     on = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group]
-    held = held.join(sizes, on, "left").withColumn("_bucket", F.pmod("_h", F.greatest("_buckets", F.lit(1)))).drop("_buckets", *[f"_g_{g}" for g in group])
+    held = held.join(sizes, on, "left").withColumn("_bucket", F.pmod("_order", F.greatest("_buckets", F.lit(1)))).drop("_buckets", *[f"_g_{g}" for g in group])
     starts = held.groupBy(*group, "_bucket").agg(F.sum(value).alias("_sum"))
     over = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_bucket").alias("_b"), F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_start"))
-    inner = Window.partitionBy(*group, "_bucket").orderBy(F.col("_h"), *order).rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy(*group, "_bucket").orderBy(F.col("_order"), *order).rowsBetween(Window.unboundedPreceding, -1)
     held = held.withColumn("_in", F.coalesce(F.sum(value).over(inner), F.lit(0)))
     on = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group] + [F.col("_bucket") == F.col("_b")]
-    return held.join(starts, on, "left").withColumn(out, F.col("_start") + F.col("_in")).drop("_h", "_b", "_bucket", "_start", "_in", *[f"_g_{g}" for g in group])
+    return held.join(starts, on, "left").withColumn(out, F.col("_start") + F.col("_in")).drop("_order", "_b", "_bucket", "_start", "_in", *[f"_g_{g}" for g in group])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wireloom.llm import decontam, neardup, quality
+from wireloom.llm import decontam, mixing, neardup, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,14 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.op2_near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op4_mix(_table(spark, sf_dir, "documents"))
+
+
+def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.op6_shards(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op9_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 

@@ -54,3 +54,19 @@ def discard(*frames: DataFrame | None) -> None:
             spark = df.sparkSession
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors as a Python file, once an application, so that no machine needs it installed."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    import shutil
+
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    base = os.path.join(tempfile.mkdtemp(prefix="wireloom-"), "wireloom")
+    spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", top, os.path.basename(os.path.dirname(os.path.abspath(__file__)))))
+    _SHIPPED.add(app)

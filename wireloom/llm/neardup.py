@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wireloom.llm import common
@@ -61,8 +61,28 @@ def band_keys(sketches: np.ndarray, rows: int) -> np.ndarray:
     return key
 
 
+MARKS = [f"m{i}" for i in range(8)]
+
+
+def parity_marks(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """n x 8 longs, 512 bits a set: a bit is the parity of the elements that hash to it.
+
+    The bits in which two sets differ are at most their symmetric difference, so a pair
+    with too many is surely below the threshold: an exact filter, without the sets.
+    """
+    size = 64 * len(MARKS)
+    odd = np.bincount(owner * size + (common.mix(values) & U64(size - 1)).astype(np.int64), minlength=n * size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).reshape(n, len(MARKS))
+
+
+def may_reach(percent: int) -> Column:
+    """Whether marks and sizes of a pair (columns na, nb, a0.., b0..) allow 100 * intersection >= percent * union."""
+    apart = sum((F.bit_count(F.col(f"a{m}").bitwiseXOR(F.col(f"b{m}"))) for m in MARKS), F.lit(0))
+    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
+
+
 def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, keys): the size of a text's shingle set, a 128-bit digest of it, and its band keys."""
+    """(doc_id, n_shingles, set_a, set_b, keys, marks): the size of a text's shingle set, a 128-bit digest of it, its band keys and parity marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,9 +99,9 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 keys = band_keys(sketch(values, of, n, bands * rows), rows)
                 offsets = np.concatenate(([0], np.cumsum(np.where(counts > 0, bands, 0)))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), common.signed(keys[counts > 0].ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), common.signed(digests[0]), common.signed(digests[1]), lists], names=["doc_id", "n_shingles", "set_a", "set_b", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), common.signed(digests[0]), common.signed(digests[1]), lists, *map(pa.array, parity_marks(values, of, n).T)], names=["doc_id", "n_shingles", "set_a", "set_b", "keys", *MARKS])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes()).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes()).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>, " + ", ".join(f"{m} long" for m in MARKS))
 
 
 def shingles(text: bytes, k: int) -> set[tuple[bytes, ...]]:
@@ -120,12 +140,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     1. Every text gets its sketch and band keys. Equal shingle sets (exact copies) fall
        together by their digest and go on as one representative, the smallest doc_id.
     2. Representatives with an equal band key are candidates. In a bucket only leaders
-       meet the other members; a pair counts once verified on the whole sets. Verified
-       links merge components. A round's leaders have met all members, so they leave, and
-       a bucket ends as soon as all it still holds is in one component. Leaders double with
-       each round, so a bucket of unlike texts ends after logarithmically many rounds, and
-       a bucket of true copies after one or two, with one pair a member: no link between
-       components is lost, and links inside a component are not looked for.
+       meet the other members; pairs that parity marks can't rule out are verified on the
+       whole sets. Verified links merge components. A round's leaders have met all members,
+       so they leave, and a bucket ends as soon as all it still holds is in one component.
+       Leaders grow eightfold with each round (1, 8, 64, ...), so any bucket ends after
+       logarithmically many rounds, and one of true copies after one or two, with one pair
+       a member: no link between components is lost, and links inside a component are not
+       looked for.
     3. component_id is the smallest doc_id reachable over links.
 
     A pair at the threshold shares no band key with probability (1 - 0.8^5)^40 = 1e-7.
@@ -137,10 +158,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     signed = cut(signatures(docs, k, bands, rows), "sketches")
     full = signed.where("n_shingles > 0")
     classes = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
-    reps = full.join(classes.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "keys")
-    spread = reps.select("rep", "n", F.explode("keys").alias("key"))
-    shared = spread.groupBy("key").agg(F.min("rep").alias("_lo"), F.max("rep").alias("_hi")).where("_lo <> _hi").select("key")
-    members = cut(spread.join(shared, "key").select("key", "rep", "n", F.col("rep").alias("comp")), "members")
+    reps = full.join(classes.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "keys", *MARKS)
+    spread = reps.select("rep", "n", *MARKS, F.explode("keys").alias("key"))
+    shared = reps.select("rep", F.explode("keys").alias("key")).groupBy("key").agg(F.min("rep").alias("_lo"), F.max("rep").alias("_hi")).where("_lo <> _hi").select("key")
+    members = cut(spread.join(shared, "key").select("key", "rep", "n", *MARKS, F.col("rep").alias("comp")), "members")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes()).where("text is not null").join(wanted, "doc_id", "left_semi"), "texts")
 
@@ -148,23 +169,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     found: DataFrame | None = None
     n_linked = 0
     start = members
-    for turn in range(64):
+    for turn in range(14):  # by the last of which every member has been a leader
         buckets = members.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count(F.lit(1)).alias("_m"), F.min("rep").alias("_first")).where("_lo <> _hi")
-        coin = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(1 << 20)) * F.col("_m") < F.lit(((1 << turn) - 1) << 20)
-        active = cut(members.join(buckets, "key").select("key", "rep", "n", "comp", ((F.col("rep") == F.col("_first")) | coin).alias("lead")), "active")
+        coin = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(1 << 20)) * F.col("_m") < F.lit((8**turn - 1) << 20)
+        active = cut(members.join(buckets, "key").select("key", "rep", "n", *MARKS, "comp", ((F.col("rep") == F.col("_first")) | coin).alias("lead")), "active")
         if active.isEmpty():
             break
-        a = active.where("lead").select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        b = active.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), "lead")
-        likely = (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (~F.col("lead") | (F.col("a") < F.col("b")))
+        a = active.where("lead").select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), *[F.col(m).alias(f"a{m}") for m in MARKS])
+        b = active.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), "lead", *[F.col(m).alias(f"b{m}") for m in MARKS])
+        likely = (F.col("ca") != F.col("cb")) & may_reach(percent) & (~F.col("lead") | (F.col("a") < F.col("b")))
         pairs = a.join(b, "key").where(likely).select("a", "b", "ca", "cb").distinct()
         edges = cut(verified(pairs, texts, k, percent), "links")
-        rest = active.where("not lead").select("key", "rep", "n", "comp")
+        rest = active.where("not lead").drop("lead")
         if not edges.isEmpty():
             found = cut(connected_components(edges), "components")
             n_linked += 1
             links = edges if links is None else links.union(edges)
-            rest = rest.join(found.select(F.col("node").alias("comp"), "component"), "comp", "left").select("key", "rep", "n", F.coalesce("component", "comp").alias("comp"))
+            rest = rest.join(found.select(F.col("node").alias("comp"), "component"), "comp", "left").select("key", "rep", "n", *MARKS, F.coalesce("component", "comp").alias("comp"))
         members = rest
     discard(start, texts)
     if links is None:

@@ -342,3 +342,375 @@ def role_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 def role_brier(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = metrics.brier(role_confidence(spark, sf_dir).withColumn("y", F.col("correct").cast("double")), "p", "y")
     return b.select(r6("brier").alias("brier"), "n")
+
+
+# history: trade edges by quarter
+
+
+QUARTER_US = 7_889_400_000_000
+START_1995 = 788_918_400_000_000
+
+
+def quarter_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(version, source, target, observations, volume): customer segments and suppliers by quarter of the order."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", micros(F.col("o_orderdate")).alias("us"))
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity").join(o, "l_orderkey").where(F.col("us") >= START_1995)
+    c, s = F.concat(F.lit("c"), (F.col("o_custkey") % 40).cast("string")), F.concat(F.lit("s"), (F.col("l_suppkey") % 50).cast("string"))
+    version = F.floor((F.col("us") - START_1995) / QUARTER_US).cast("long")
+    return line.groupBy(version.alias("version"), c.alias("source"), s.alias("target")).agg(F.count(F.lit(1)).alias("observations"), F.sum(F.floor("l_quantity").cast("long")).alias("volume"))
+
+
+_QUARTERS = f"""q AS (SELECT CAST(floor((epoch_us(o_orderdate) - {START_1995}) / {QUARTER_US}.0) AS BIGINT) AS version, 'c' || (o_custkey % 40) AS source, 's' || (l_suppkey % 50) AS target, count(*) AS observations, CAST(sum(CAST(floor(l_quantity) AS BIGINT)) AS BIGINT) AS volume
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE epoch_us(o_orderdate) >= {START_1995} GROUP BY ALL)"""
+_DIFF = """d AS (SELECT coalesce(a.version, b.version + 1) AS to_version, coalesce(a.source, b.source) AS source, coalesce(a.target, b.target) AS target, CASE WHEN b.source IS NULL THEN 'edge_added' WHEN a.source IS NULL THEN 'edge_removed' ELSE 'attribute_changed' END AS change, a.observations AS ao, b.observations AS bo, a.volume AS av, b.volume AS bv
+  FROM (SELECT * FROM q WHERE version > (SELECT min(version) FROM q)) a FULL OUTER JOIN (SELECT * FROM q WHERE version < (SELECT max(version) FROM q)) b ON a.source = b.source AND a.target = b.target AND a.version = b.version + 1),
+ev AS (SELECT to_version, source, target, change, CAST(NULL AS VARCHAR) AS attribute, CAST(NULL AS VARCHAR) AS previous, CAST(NULL AS VARCHAR) AS "new" FROM d WHERE change <> 'attribute_changed'
+  UNION ALL SELECT to_version, source, target, change, 'observations', CAST(bo AS VARCHAR), CAST(ao AS VARCHAR) FROM d WHERE change = 'attribute_changed' AND ao <> bo
+  UNION ALL SELECT to_version, source, target, change, 'volume', CAST(bv AS VARCHAR), CAST(av AS VARCHAR) FROM d WHERE change = 'attribute_changed' AND av <> bv)"""
+
+
+@query(f"WITH {_QUARTERS}, {_DIFF} SELECT * FROM ev")
+def event_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.timeline(quarter_edges(spark, sf_dir), ["source", "target"], ["observations", "volume"])
+
+
+@query(f"WITH {_QUARTERS}, {_DIFF} SELECT source, target, change, attribute, previous, \"new\" FROM ev WHERE to_version = 3")
+def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = quarter_edges(spark, sf_dir)
+    return history.diff_edges(q.where("version = 2"), q.where("version = 3"), ["source", "target"], ["observations", "volume"])
+
+
+@query(f"WITH {_QUARTERS}, n AS (SELECT DISTINCT version, unnest([source, target]) AS node FROM q) SELECT coalesce(a.node, b.node) AS node, CASE WHEN b.node IS NULL THEN 'node_added' ELSE 'node_removed' END AS change FROM (SELECT node FROM n WHERE version = 3) a FULL OUTER JOIN (SELECT node FROM n WHERE version = 2) b ON a.node = b.node WHERE a.node IS NULL OR b.node IS NULL")
+def node_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = quarter_edges(spark, sf_dir).select("version", F.explode(F.array("source", "target")).alias("node")).distinct()
+    return history.diff_nodes(n.where("version = 2").select("node"), n.where("version = 3").select("node"), ["node"])
+
+
+@query(f"WITH {_QUARTERS}, {_DIFF} SELECT to_version, source, target, change, attribute, previous, \"new\" FROM ev WHERE to_version BETWEEN 2 AND 5 ORDER BY to_version, source, target, change, attribute NULLS FIRST LIMIT 100 OFFSET 50")
+def history_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = history.timeline(quarter_edges(spark, sf_dir), ["source", "target"], ["observations", "volume"])
+    return history.history_range(events, "to_version", 2, 5, ["to_version", "source", "target", "change", "attribute"], 100, 50)
+
+
+@query(f"WITH {sql.FINGERPRINTS}, o AS (SELECT ip, epoch, total_byte_count FROM fp WHERE epoch < 15), n AS (SELECT ip, epoch, total_byte_count FROM fp WHERE epoch >= 10 AND epoch % 7 = 3), r AS (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY epoch DESC) AS k FROM (SELECT * FROM o UNION SELECT * FROM n)) SELECT ip, epoch, total_byte_count FROM r WHERE k = 1")
+def fingerprint_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = user_fingerprints(spark, sf_dir).select("ip", "epoch", "total_byte_count")
+    return history.upsert(f.where("epoch < 15"), f.where("epoch >= 10 and epoch % 7 = 3"), ["ip"], "epoch")
+
+
+# dependency
+
+
+def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topology.discover_edges(event_units(spark, sf_dir), topology.discover_nodes(adapters.event_packets(spark, sf_dir)))
+
+
+def event_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(node, us): first times of the flows that touch a node."""
+    return behavior.touches(event_units(spark, sf_dir)).select(F.col("ip").alias("node"), F.col("first_us").alias("us"))
+
+
+_PRECEDENCE = """tm AS (SELECT src AS node, first_us AS us FROM un UNION ALL SELECT dst, first_us FROM un WHERE src <> dst),
+pr AS (SELECT DISTINCT least(src, dst) AS source, greatest(src, dst) AS target FROM un WHERE src <> dst),
+sp AS (SELECT node, min(us) AS lo, max(us) AS hi FROM tm GROUP BY node),
+mt AS (SELECT pr.source, pr.target, least(a.lo, b.lo) AS start, CAST(floor((greatest(a.hi, b.hi) - least(a.lo, b.lo)) / 86400000000.0) AS BIGINT) + 1 AS nb FROM pr JOIN sp a ON a.node = pr.source JOIN sp b ON b.node = pr.target),
+xs AS (SELECT mt.source, mt.target, nb, CAST(floor((us - start) / 86400000000.0) AS BIGINT) AS b, count(*) AS n FROM mt JOIN tm ON tm.node = mt.source GROUP BY ALL),
+ys AS (SELECT mt.source, mt.target, nb, CAST(floor((us - start) / 86400000000.0) AS BIGINT) AS b, count(*) AS n FROM mt JOIN tm ON tm.node = mt.target GROUP BY ALL),
+lg AS (SELECT source, target, nb, lag_, unnest(range(nb - lag_)) AS b FROM (SELECT *, unnest(range(0, least(5, nb - 1) + 1)) AS lag_ FROM mt)),
+al AS (SELECT lg.source, lg.target, lg.lag_, coalesce(xs.n, 0) AS x, coalesce(ys.n, 0) AS y FROM lg LEFT JOIN xs ON xs.source = lg.source AND xs.target = lg.target AND xs.b = lg.b LEFT JOIN ys ON ys.source = lg.source AND ys.target = lg.target AND ys.b = lg.b + lg.lag_),
+co AS (SELECT source, target, lag_, CASE WHEN count(*) >= 2 AND stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN corr(x, y) END AS r FROM al GROUP BY ALL),
+tp AS (SELECT source, target, CASE WHEN coalesce(max(r) FILTER (WHERE lag_ > 0), 0) > coalesce(max(r) FILTER (WHERE lag_ = 0), 0) AND coalesce(max(r) FILTER (WHERE lag_ > 0), 0) > 0 THEN least(1.0, max(r) FILTER (WHERE lag_ > 0)) ELSE 0.0 END AS precedence FROM co GROUP BY ALL)"""
+
+
+@query(f"WITH {sql.EVENT_PACKETS}, {sql.flows(EVENT_IDLE)}, {_PRECEDENCE} SELECT source, target, round(precedence, 6) AS precedence FROM tp")
+def temporal_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = dependency.temporal_precedence(event_edges(spark, sf_dir), event_times(spark, sf_dir), 86_400)
+    return t.select("source", "target", r6("precedence").alias("precedence"))
+
+
+@query(f"WITH {sql.EVENT_PACKETS}, t AS (SELECT dst AS node, us FROM pk), s AS (SELECT node, min(us) AS lo, max(us) AS hi FROM t GROUP BY node), c AS (SELECT t.node, CAST(floor((us - lo) / 3600000000.0) AS BIGINT) AS bucket, count(*) AS n FROM t JOIN s ON t.node = s.node GROUP BY ALL), g AS (SELECT node, unnest(range(CAST(floor((hi - lo) / 3600000000.0) AS BIGINT) + 1)) AS bucket FROM s) SELECT g.node, g.bucket, coalesce(c.n, 0) AS n FROM g LEFT JOIN c ON g.node = c.node AND g.bucket = c.bucket")
+def bucket_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dependency.bucket_series(adapters.event_packets(spark, sf_dir).select(F.col("dst_ip").alias("node"), micros(F.col("ts")).alias("us")), 3600)
+
+
+@query(f"WITH {sql.TRADE_PACKETS}, {sql.flows(TRADE_IDLE)}, {sql.EDGES} SELECT source, target, round((last_us - first_us) / 1000000.0, 3) AS persistence_seconds, round(CASE WHEN last_us > first_us THEN observation_count / ((last_us - first_us) / 1000000.0) ELSE observation_count END, 9) AS frequency FROM edges")
+def communication(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = dependency.communication(topology.discover_edges(trade_units(spark, sf_dir), trade_nodes(spark, sf_dir)))
+    return c.select("source", "target", F.round("persistence_seconds", 3).alias("persistence_seconds"), F.round("frequency", 9).alias("frequency"))
+
+
+_DEPENDENCY = """dp AS (SELECT e.source, e.target, (last_us - first_us) / 1000000.0 AS persistence, CASE WHEN last_us > first_us THEN observation_count / ((last_us - first_us) / 1000000.0) ELSE observation_count END AS frequency, 1 - 2 * least(mean_ratio, 1 - mean_ratio) AS directionality, confidence, coalesce(precedence, 0) AS precedence FROM edges e LEFT JOIN tp ON e.source = tp.source AND e.target = tp.target),
+tt AS (SELECT *, 1 - exp(-frequency) AS t0, 0.3 * (1 - exp(-persistence / 60)) AS t1, 0.3 * directionality AS t2, 0.3 * confidence AS t3, 0.3 * precedence AS t4 FROM dp),
+st AS (SELECT *, 1 - (1 - t0) * (1 - t1) * (1 - t2) * (1 - t3) * (1 - t4) AS strength FROM tt)"""
+_DEP_ALL = f"{sql.EVENT_PACKETS}, {sql.flows(EVENT_IDLE)}, {sql.EDGES}, {_PRECEDENCE}, {_DEPENDENCY}"
+
+
+def event_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = event_edges(spark, sf_dir)
+    return dependency.dependency_strength(edges, dependency.temporal_precedence(edges, event_times(spark, sf_dir), 86_400))
+
+
+@query(f"WITH {_DEP_ALL} SELECT source, target, round(directionality, 6) AS directionality, round(precedence, 6) AS precedence, round(strength, 6) AS strength FROM st")
+def dependency_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_dependencies(spark, sf_dir).select("source", "target", *[r6(c).alias(c) for c in ("directionality", "precedence", "strength")])
+
+
+@query(f"WITH {_DEP_ALL} SELECT source, target, round(strength, 6) AS strength FROM st WHERE strength >= 0.6 AND precedence > 0")
+def causal_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dependency.causal_candidates(event_dependencies(spark, sf_dir), 0.6).select("source", "target", r6("strength").alias("strength"))
+
+
+def _shapley_sql() -> str:
+    from itertools import combinations
+    from math import factorial
+
+    out = []
+    for i, name in enumerate(dependency.SIGNALS):
+        others = [j for j in range(5) if j != i]
+        terms = [f"{factorial(k) * factorial(4 - k) / 120!r} * " + (" * ".join(f"(1 - t{j})" for j in chosen) or "1") for k in range(5) for chosen in combinations(others, k)]
+        out.append(f"round(t{i} * ({' + '.join(terms)}), 6) AS phi_{name}")
+    return ", ".join(out)
+
+
+@query(f"WITH {_DEP_ALL} SELECT source, target, {_shapley_sql()}, round(t0 * (1 - t1) * (1 - t2) * (1 - t3) * (1 - t4), 6) AS drop_frequency FROM st")
+def shapley_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = dependency.shapley(event_dependencies(spark, sf_dir))
+    return s.select("source", "target", *[r6(f"phi_{n}").alias(f"phi_{n}") for n in dependency.SIGNALS], r6("drop_frequency").alias("drop_frequency"))
+
+
+@query(f"WITH {_DEP_ALL} SELECT source, target, printf('communicates %.3f times a second over %.1f seconds', frequency, persistence) || '; ' || printf('edge confidence %.3f', confidence) || CASE WHEN precedence > 0 THEN '; ' || printf('activity of the target follows the source (%.3f)', precedence) ELSE '' END || CASE WHEN directionality > 0.5 THEN '; ' || printf('traffic goes one way (%.3f)', directionality) ELSE '' END AS evidence, concat_ws('; ', CASE WHEN precedence <= 0 THEN 'no temporal precedence' END, CASE WHEN directionality <= 0.5 THEN 'traffic goes both ways' END, CASE WHEN persistence <= 0 THEN 'seen at one moment only' END, CASE WHEN confidence < 0.5 THEN 'low edge confidence' END) AS counter_evidence FROM st")
+def evidence_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = dependency.evidence_report(event_dependencies(spark, sf_dir))
+    return e.select("source", "target", F.array_join("evidence", "; ").alias("evidence"), F.array_join("counter_evidence", "; ").alias("counter_evidence"))
+
+
+@query(f"""WITH {sql.SPARSE}, f AS (SELECT DISTINCT target AS node FROM e WHERE target LIKE 's%5'), h1 AS (SELECT f.node AS scenario, e.target AS node, min(e.source) AS caused_by FROM f JOIN (SELECT a AS source, b AS target FROM bw) e ON e.source = f.node GROUP BY ALL),
+h2 AS (SELECT h1.scenario, e.b AS node, min(h1.node) AS caused_by FROM h1 JOIN bw e ON e.a = h1.node WHERE e.b <> h1.scenario AND NOT EXISTS (SELECT 1 FROM h1 x WHERE x.scenario = h1.scenario AND x.node = e.b) GROUP BY ALL)
+SELECT node AS scenario, node, 0 AS hop, CAST(NULL AS VARCHAR) AS caused_by FROM f UNION ALL SELECT scenario, node, 1, caused_by FROM h1 UNION ALL SELECT scenario, node, 2, caused_by FROM h2""")
+def failure_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = graph.both_ways(adapters.sparse_graph(spark, sf_dir)).select(F.col("a").alias("source"), F.col("b").alias("target"))
+    failed = e.where("source like 's%5'").select(F.col("source").alias("scenario"), F.col("source").alias("node")).distinct()
+    return dependency.propagate_failure(e, failed)
+
+
+# graph algorithms
+
+
+@query(f"WITH {sql.SPARSE}, n AS (SELECT count(DISTINCT a) AS n FROM bw) SELECT a AS node, count(DISTINCT b) AS degree, round(count(DISTINCT b) / (n - 1.0), 6) AS centrality, round(avg(confidence), 6) AS mean_confidence FROM bw, n GROUP BY a, n")
+def degree_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = graph.degree_centrality(adapters.sparse_graph(spark, sf_dir))
+    return d.select("node", "degree", r6("centrality").alias("centrality"), r6("mean_confidence").alias("mean_confidence"))
+
+
+@query(f"WITH RECURSIVE {sql.SPARSE}, r AS (SELECT a AS node, a AS seen FROM bw UNION SELECT r.node, bw.b FROM r JOIN bw ON r.seen = bw.a) SELECT node, min(seen) AS component FROM r GROUP BY node")
+def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.components(adapters.sparse_graph(spark, sf_dir))
+
+
+def top_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers whose number ends in 7, as failures."""
+    return adapters.sparse_graph(spark, sf_dir).where("target like 's%7'").select(F.col("target").alias("failed")).distinct()
+
+
+_FAILED = """fl AS (SELECT DISTINCT target AS failed FROM e WHERE target LIKE 's%7'), nd AS (SELECT DISTINCT a AS node FROM bw),
+r AS (SELECT failed, node, node AS seen FROM fl, nd WHERE node <> failed UNION SELECT r.failed, r.node, bw.b FROM r JOIN bw ON r.seen = bw.a WHERE bw.b <> r.failed),
+cp AS (SELECT failed, node, min(seen) AS component FROM r GROUP BY ALL), sz AS (SELECT failed, component, count(*) AS n FROM cp GROUP BY ALL), tp AS (SELECT failed, max(n) AS top FROM sz GROUP BY failed)"""
+
+
+@query(f"WITH RECURSIVE {sql.SPARSE}, {_FAILED} SELECT cp.failed, round(top / CAST((SELECT count(*) FROM nd) AS DOUBLE), 6) AS connectivity_ratio, round(sum((sz.n >= 2)::INT) / CAST((SELECT count(*) FROM nd) AS DOUBLE), 6) AS reachable_ratio, count(*) - top AS stranded FROM cp JOIN sz ON cp.failed = sz.failed AND cp.component = sz.component JOIN tp ON cp.failed = tp.failed GROUP BY cp.failed, top")
+def resilience_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = graph.resilience(adapters.sparse_graph(spark, sf_dir), top_suppliers(spark, sf_dir))
+    return r.select("failed", r6("connectivity_ratio").alias("connectivity_ratio"), r6("reachable_ratio").alias("reachable_ratio"), "stranded")
+
+
+@query(f"WITH RECURSIVE {sql.SPARSE}, {_FAILED} SELECT cp.failed, cp.node, cp.component FROM cp")
+def whatif_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.failed_components(adapters.sparse_graph(spark, sf_dir), top_suppliers(spark, sf_dir)).select("failed", "node", "component")
+
+
+@query(f"WITH RECURSIVE {sql.SPARSE}, {_FAILED}, big AS (SELECT sz.failed, min(component) AS best FROM sz JOIN tp ON sz.failed = tp.failed AND sz.n = tp.top GROUP BY sz.failed) SELECT cp.failed, cp.node FROM cp JOIN big ON cp.failed = big.failed WHERE component <> best")
+def newly_unreachable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = graph.failed_components(adapters.sparse_graph(spark, sf_dir), top_suppliers(spark, sf_dir))
+    best = graph.largest(c).select("failed", F.col("component").alias("best"))
+    return c.join(best, "failed").where("component <> best").select("failed", "node")
+
+
+@query()
+def articulation_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.criticality(adapters.nation_graph(spark, sf_dir))
+
+
+@query()
+def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = graph.betweenness(adapters.nation_graph(spark, sf_dir))
+    return b.select("node", r6("betweenness").alias("betweenness"))
+
+
+@query()
+def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = adapters.nation_graph(spark, sf_dir)
+    return graph.recommendations(graph.criticality(e), graph.betweenness(e))
+
+
+@query()
+def root_cause(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = adapters.nation_graph(spark, sf_dir)
+    return graph.root_causes(e, "NATION_3").withColumn("score", r6("score"))
+
+
+@query(f"WITH RECURSIVE {sql.NATION}, w AS (SELECT a, b, -ln(least(greatest(confidence, 1e-9), 1.0)) AS w FROM bw), s AS (SELECT min(a) AS start FROM bw), r AS (SELECT start AS node, 0.0::DOUBLE AS cost, 0 AS hop FROM s UNION ALL SELECT w.b, r.cost + w.w, hop + 1 FROM r JOIN w ON r.node = w.a WHERE hop < 3) SELECT node, round(min(cost), 6) AS cost FROM r GROUP BY node")
+def shortest_path_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = adapters.nation_graph(spark, sf_dir)
+    start = e.agg(F.min("source").alias("start"))
+    return graph.shortest_paths(e, start, rounds=3).select("node", r6("cost").alias("cost"))
+
+
+@query()
+def alternate_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = graph.alternate_paths(adapters.nation_graph(spark, sf_dir), "NATION_3", "NATION_7", max_hops=3)
+    return p.select("rank", r6("cost").alias("cost"), F.replace("path", F.lit(graph.SEPARATOR), F.lit(">")).alias("path"))
+
+
+@query(f"WITH RECURSIVE {sql.SPARSE}, s AS (SELECT DISTINCT target AS start FROM e WHERE target LIKE 's%7'), r AS (SELECT start, start AS node, 0 AS hop FROM s UNION SELECT r.start, bw.b, hop + 1 FROM r JOIN bw ON r.node = bw.a WHERE hop < 3) SELECT start, node, min(hop) AS hop FROM r GROUP BY ALL")
+def hop_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    starts = top_suppliers(spark, sf_dir).withColumnRenamed("failed", "start")
+    return graph.hops(adapters.sparse_graph(spark, sf_dir), starts, 3).select("start", "node", "hop")
+
+
+@query(f"""WITH {sql.NATION}, sc AS (SELECT * FROM (VALUES ('a', 'node', 'NATION_3', 0.0), ('b', 'latency', 'NATION_7', 100.0), ('c', 'loss', 'NATION_11', 0.3)) v(scenario, kind, node, magnitude)),
+x AS (SELECT scenario, kind, magnitude, e.source, e.target, confidence, e.source = node OR e.target = node AS hit FROM e, sc)
+SELECT scenario, source, target, round(confidence, 6) AS confidence, round(-ln(least(greatest(confidence, 1e-9), 1.0)) + CASE WHEN NOT hit THEN 0 WHEN kind = 'latency' THEN magnitude / 100 WHEN kind = 'loss' THEN -ln(greatest(1 - magnitude, 1e-9)) ELSE 0 END, 6) AS cost FROM x WHERE NOT (hit AND kind = 'node')""")
+def failure_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [("a", "node", "NATION_3", None, None, 0.0), ("b", "latency", "NATION_7", None, None, 100.0), ("c", "loss", "NATION_11", None, None, 0.3)]
+    sc = spark.createDataFrame(rows, "scenario string, kind string, node string, source string, target string, magnitude double")
+    return graph.inject_failures(adapters.nation_graph(spark, sf_dir), sc).select("scenario", "source", "target", r6("confidence").alias("confidence"), r6("cost").alias("cost"))
+
+
+@query(f"WITH {sql.NATION} SELECT source, target, round(confidence, 6) AS confidence FROM e WHERE NOT (source = least('NATION_11', 'NATION_3') AND target = greatest('NATION_11', 'NATION_3')) UNION ALL SELECT least('NATION_11', 'NATION_3'), greatest('NATION_11', 'NATION_3'), 0.5")
+def counterfactual_add_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.counterfactual(adapters.nation_graph(spark, sf_dir), "add_route", "NATION_3", "NATION_11").select("source", "target", r6("confidence").alias("confidence"))
+
+
+# evaluation
+
+
+_TRUTH = "tp AS (SELECT DISTINCT 'c' || (o_custkey % 200) AS source, 's' || l_suppkey AS target, o_orderdate < TIMESTAMP '1997-01-01' AS early FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+
+
+def truth_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs of early orders as the truth, pairs of late ones as what was inferred."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", (F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp_ntz")).alias("early"))
+    p = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").join(o, "l_orderkey").select(F.concat(F.lit("c"), (F.col("o_custkey") % 200).cast("string")).alias("source"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("target"), "early").distinct()
+    return p.where("early").drop("early"), p.where("not early").drop("early")
+
+
+@query(f"WITH {_TRUTH}, a AS (SELECT source, target FROM tp WHERE early), p AS (SELECT source, target FROM tp WHERE NOT early), c AS (SELECT (SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM p)) AS matched, (SELECT count(*) FROM p) AS predicted, (SELECT count(*) FROM a) AS actual) SELECT matched, predicted, actual, round(matched / predicted::DOUBLE, 6) AS \"precision\", round(matched / actual::DOUBLE, 6) AS recall, round(2.0 * matched / (predicted + actual), 6) AS f1 FROM c")
+def topology_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    truth, inferred = truth_pairs(spark, sf_dir)
+    s = metrics.set_scores(inferred, truth, ["source", "target"])
+    return s.select("matched", "predicted", "actual", r6("precision").alias("precision"), r6("recall").alias("recall"), r6("f1").alias("f1"))
+
+
+@query(f"WITH {_TRUTH}, a AS (SELECT source, target FROM tp WHERE early), p AS (SELECT CASE WHEN length(source) % 2 = 0 THEN target ELSE source END AS source, CASE WHEN length(source) % 2 = 0 THEN source ELSE target END AS target FROM tp WHERE NOT early) SELECT (SELECT count(*) FROM p SEMI JOIN a ON p.source = a.source AND p.target = a.target) AS correct, (SELECT count(*) FROM p SEMI JOIN a ON p.source = a.target AND p.target = a.source) AS reversed, (SELECT count(*) FROM (SELECT * FROM p ANTI JOIN a ON p.source = a.source AND p.target = a.target) q ANTI JOIN a ON q.source = a.target AND q.target = a.source) AS spurious, (SELECT count(*) FROM a ANTI JOIN p ON p.source = a.source AND p.target = a.target) AS missing")
+def skeleton_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    truth, inferred = truth_pairs(spark, sf_dir)
+    even = F.length("source") % 2 == 0
+    turned = inferred.select(F.when(even, F.col("target")).otherwise(F.col("source")).alias("source"), F.when(even, F.col("source")).otherwise(F.col("target")).alias("target"))
+    return metrics.skeleton_scores(turned, truth)
+
+
+@query(f"WITH {_TRUTH}, a AS (SELECT source, target FROM tp WHERE early), p AS (SELECT source, target FROM tp WHERE NOT early), i AS (SELECT count(*) AS m FROM (SELECT * FROM a INTERSECT SELECT * FROM p)), u AS (SELECT count(*) AS n FROM (SELECT * FROM a UNION SELECT * FROM p)) SELECT m AS matched, n AS \"union\", round(m / n::DOUBLE, 6) AS jaccard FROM i, u")
+def edge_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = metrics.jaccard(*truth_pairs(spark, sf_dir), ["source", "target"])
+    return j.select("matched", "union", r6("jaccard").alias("jaccard"))
+
+
+@query("SELECT o_orderpriority, o_orderstatus, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS sd, min(o_totalprice) AS min, max(o_totalprice) AS max FROM orders GROUP BY ALL")
+def metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = metrics.summary(table(spark, sf_dir, "orders"), "o_totalprice", ["o_orderpriority", "o_orderstatus"])
+    return s.select("o_orderpriority", "o_orderstatus", "n", F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"), "min", "max")
+
+
+@query("WITH x AS (SELECT event_type, value, count(*) OVER w AS n, sum(value) OVER w AS s FROM events WINDOW w AS (PARTITION BY event_type)) SELECT event_type, any_value(n) AS n, round(any_value(s / n), 6) AS mean, round(max(abs((s - value) / (n - 1) - s / n)), 6) AS shift FROM x GROUP BY event_type")
+def loo_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = metrics.leave_one_out_shift(table(spark, sf_dir, "events"), "value", ["event_type"])
+    return s.select("event_type", "n", r6("mean").alias("mean"), r6("shift").alias("shift"))
+
+
+@query("WITH t AS (SELECT DISTINCT s_nationkey, p_value FROM (SELECT s_nationkey, s_suppkey, ((s_suppkey * 7919) % 1000 + 1) / 20000.0 AS p_value FROM supplier)), r AS (SELECT *, row_number() OVER (ORDER BY p_value, s_nationkey) AS k, count(*) OVER () AS m FROM t) SELECT s_nationkey, round(p_value, 9) AS p_value, round(max(least(1.0, (m - k + 1) * p_value)) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING), 9) AS adjusted FROM r")
+def holm_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "supplier").select("s_nationkey", ((F.col("s_suppkey") * 7919 % 1000 + 1) / 20000.0).alias("p_value")).distinct()
+    return metrics.holm(t, "p_value", order=["s_nationkey"]).select("s_nationkey", F.round("p_value", 9).alias("p_value"), F.round("adjusted", 9).alias("adjusted"))
+
+
+@query("WITH w AS (SELECT o_custkey % 20 AS seed, o_orderpriority, avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS a, avg(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END) AS b FROM orders GROUP BY ALL), d AS (SELECT o_orderpriority, b - a AS d FROM w WHERE a IS NOT NULL AND b IS NOT NULL) SELECT o_orderpriority, count(*) AS n, round(avg(d), 3) AS mean_diff, round(stddev_samp(d), 3) AS sd, round(avg(d) / stddev_samp(d), 5) AS dz FROM d GROUP BY o_orderpriority")
+def paired_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").withColumn("seed", F.col("o_custkey") % 20)
+    d = metrics.paired_difference(o, "o_totalprice", "o_orderstatus", "F", "O", ["seed"], ["o_orderpriority"])
+    return d.select("o_orderpriority", "n", F.round("mean_diff", 3).alias("mean_diff"), F.round("sd", 3).alias("sd"), F.round("dz", 5).alias("dz"))
+
+
+@query("WITH p AS (SELECT o_orderpriority, o_orderstatus, o_totalprice FROM orders) SELECT o_orderpriority, o_orderstatus, count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM p GROUP BY GROUPING SETS ((o_orderpriority, o_orderstatus), (o_orderpriority))")
+def pooled_and_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    sets = o.groupingSets([["o_orderpriority", "o_orderstatus"], ["o_orderpriority"]], "o_orderpriority", "o_orderstatus")
+    return sets.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.05), 6) AS p05, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
+def percentile_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.percentile("value", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(p.alias("p")).select("event_type", *[r6(F.col("p")[i]).alias(n) for i, n in enumerate(("p05", "p50", "p95"))])
+
+
+@query("WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, value FROM r WHERE i = least(n - 1, CAST(floor(0.95 * n) AS BIGINT))")
+def nearest_rank_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.nearest_rank(table(spark, sf_dir, "events"), "value", 0.95, ["event_type"])
+
+
+_DAILY = f"dy AS (SELECT event_type, CAST(floor((epoch_us(ts) - {EPOCH_START}) / {DAY_US}.0) AS BIGINT) AS day, count(*) AS n, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS v FROM events GROUP BY ALL)"
+
+
+def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.floor((micros(F.col("ts")) - EPOCH_START) / DAY_US).cast("long")
+    return table(spark, sf_dir, "events").groupBy("event_type", day.alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor("value").cast("long")).alias("v"))
+
+
+@query(f"WITH {_DAILY}, p AS (SELECT a.event_type, (b.v - a.v) / CAST(b.day - a.day AS DOUBLE) AS s, sign(b.v - a.v) AS g FROM dy a JOIN dy b ON a.event_type = b.event_type AND a.day < b.day) SELECT event_type, round(median(s), 6) AS slope, round(sum(g) / sqrt(CAST(count(*) AS DOUBLE) * sum(abs(g))), 6) AS tau FROM p GROUP BY event_type")
+def theil_sen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = metrics.theil_sen(daily(spark, sf_dir), "day", "v", ["event_type"])
+    return t.select("event_type", r6("slope").alias("slope"), r6("tau").alias("tau"))
+
+
+@query(f"WITH {_DAILY}, r AS (SELECT event_type, rank() OVER (PARTITION BY event_type ORDER BY n) + (count(*) OVER (PARTITION BY event_type, n) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY event_type ORDER BY v) + (count(*) OVER (PARTITION BY event_type, v) - 1) / 2.0 AS ry FROM dy) SELECT event_type, round(corr(rx, ry), 6) AS rho FROM r GROUP BY event_type")
+def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.spearman(daily(spark, sf_dir), "n", "v", ["event_type"]).select("event_type", r6("rho").alias("rho"))
+
+
+@query(f"WITH {_DAILY}, m AS (SELECT *, v < avg(v) OVER (PARTITION BY event_type) AS bad FROM dy), l AS (SELECT *, coalesce(lead(bad) OVER (PARTITION BY event_type ORDER BY day), false) AS nxt FROM m) SELECT event_type, min(day) AS day FROM l WHERE bad AND nxt GROUP BY event_type")
+def degradation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    d = daily(spark, sf_dir).withColumn("limit", F.avg("v").over(Window.partitionBy("event_type")))
+    return metrics.degradation(d, "day", "v", F.col("limit"), ["event_type"])
+
+
+@query(f"WITH {sql.EVENT_FLOWS}, c AS (SELECT src, port, count(*) AS n FROM ef GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, port) AS k FROM c) SELECT src AS src_ip, port AS dst_port, n FROM r WHERE k = 1")
+def port_role_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.mode(adapters.event_flows(spark, sf_dir), "dst_port", ["src_ip"])
+
+
+@query(f"""WITH l AS (SELECT user_id, epoch_us(ts) AS t FROM events WHERE event_type = 'view'), d AS (SELECT user_id, epoch_us(ts) AS t FROM events WHERE event_type = 'error'),
+u AS (SELECT user_id, t, 0 AS k FROM l UNION ALL SELECT user_id, t, 1 FROM d), b AS (SELECT *, sum(k) OVER w AS nd, sum(1 - k) OVER w AS nl FROM u WINDOW w AS (PARTITION BY user_id ORDER BY t, k ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT *, nl + max(nd - nl + 1) OVER (PARTITION BY user_id ORDER BY nl ROWS UNBOUNDED PRECEDING) AS claim FROM b WHERE k = 0)
+SELECT f.user_id, f.t AS onset, coalesce(x.t, -1) AS detected, coalesce(x.t - f.t, -1) AS latency FROM f LEFT JOIN (SELECT * FROM b WHERE k = 1) x ON x.user_id = f.user_id AND x.nd = f.claim""")
+def greedy_event_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", micros(F.col("ts")).alias("t"))
+    m = metrics.match_events(e.where("event_type = 'view'").withColumnRenamed("t", "onset"), e.where("event_type = 'error'").withColumnRenamed("t", "at"), ["user_id"])
+    return m.select("user_id", "onset", F.coalesce("detected", F.lit(-1)).alias("detected"), F.coalesce("latency", F.lit(-1)).alias("latency"))
+
+
+@query()
+def bootstrap_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_type", F.col("event_id").alias("id"), F.lit(1).alias("one"))
+    return metrics.bootstrap_bands(e, ["event_type"], "one")

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wireloom.functions.expressions import SECOND, micros
-from wireloom.operators import behavior, dependency, flows, graph, history, metrics, roles, topology
+from wireloom.operators import behavior, dependency, flows, generate, graph, history, metrics, roles, topology
 from wireloom.plans import sql
 from wireloom.sources import adapters
 from wireloom.sources.adapters import DAY_US, EPOCH_START, table
+from wireloom.streaming import engine
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -714,3 +715,88 @@ def greedy_event_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bootstrap_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_type", F.col("event_id").alias("id"), F.lit(1).alias("one"))
     return metrics.bootstrap_bands(e, ["event_type"], "one")
+
+
+# sampling and pages
+
+
+@query("SELECT event_id, user_id FROM events WHERE CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8) AS BIGINT) < 2147483648")
+def hash_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generate.md5_sample(table(spark, sf_dir, "events"), "event_id", 0.5).select("event_id", "user_id")
+
+
+@query(f"WITH {sql.EVENT_PACKETS}, {sql.flows(EVENT_IDLE)} SELECT src AS src_ip, dst AS dst_ip, first_us, (SELECT count(*) FROM un) AS total FROM un ORDER BY first_us, src, dst LIMIT 50 OFFSET 100")
+def paginate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = flows.units(adapters.event_packets(spark, sf_dir), EVENT_IDLE).select("src_ip", "dst_ip", "first_us")
+    total = u.agg(F.count(F.lit(1)).alias("total"))
+    return u.orderBy("first_us", "src_ip", "dst_ip").offset(100).limit(50).join(F.broadcast(total), F.lit(True))
+
+
+@query("WITH n AS (SELECT DISTINCT n_name AS name FROM nation), r AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS i FROM n) SELECT name, '10.0.' || (i // 254) || '.' || (i % 254 + 1) AS ip FROM r")
+def assign_ips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generate.assign_ips(table(spark, sf_dir, "nation").withColumnRenamed("n_name", "name"))
+
+
+# streams
+
+
+def packet_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as the packet stream of adapters.event_packets."""
+    e = engine.event_stream(spark, sf_dir)
+    none = F.lit(None).cast("int")
+    return e.select(
+        F.lit("events").alias("capture_id"), F.col("event_id").alias("packet_seq"), "ts", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("src_ip"), F.concat(F.lit("svc-"), "event_type").alias("dst_ip"),
+        none.alias("src_port"), none.alias("dst_port"), F.lit("UDP").alias("protocol"), F.floor("value").cast("long").alias("size_bytes"), F.lit(None).cast("string").alias("tcp_flags"),
+    )
+
+
+@query(f"WITH {sql.EVENT_PACKETS} SELECT src AS src_ip, us // 86400000000 * 86400000000 AS start_us, count(*) AS n, CAST(sum(size) AS BIGINT) AS volume FROM pk GROUP BY ALL")
+def stream_window_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine.run_update(engine.window_totals(packet_stream(spark, sf_dir), ["src_ip"], "1 day"), "windows", ["src_ip", "start_us"])
+
+
+@query(f"WITH {sql.EVENT_PACKETS}, w AS (SELECT dst, (us // 21600000000 - k) * 21600000000 AS start_us, size FROM pk, (SELECT unnest([0, 1, 2, 3]) AS k)) SELECT dst AS dst_ip, start_us, count(*) AS n, CAST(sum(size) AS BIGINT) AS volume FROM w GROUP BY ALL")
+def stream_window_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine.run_update(engine.window_totals(packet_stream(spark, sf_dir), ["dst_ip"], "1 day", slide="6 hours"), "sliding", ["dst_ip", "start_us"])
+
+
+@query("SELECT user_id, count(*) AS n FROM (SELECT DISTINCT event_id, user_id FROM events) GROUP BY user_id")
+def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine.event_stream(spark, sf_dir)
+    twice = e.select("ts", "event_id", "user_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
+    return engine.run_append(engine.deduplicated(twice, ["event_id"], "365 days"), "dedupe").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+_ALERTS = """v AS (SELECT 'value' AS rule, 'u' || user_id AS scope, epoch_us(ts) AS us, event_id AS seq, value FROM events),
+m AS (SELECT *, last_value(CASE WHEN value >= 60 THEN true WHEN value < 20 THEN false END IGNORE NULLS) OVER (PARTITION BY rule, scope ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS s0 FROM v), s AS (SELECT *, coalesce(s0, false) AS s FROM m), p AS (SELECT *, coalesce(lag(s) OVER (PARTITION BY rule, scope ORDER BY us, seq), false) AS p FROM s)
+SELECT rule, scope, us, CASE WHEN s THEN 'fired' ELSE 'resolved' END AS state, value FROM p WHERE s <> p"""
+
+
+@query(f"WITH {_ALERTS}")
+def stream_alert_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine.event_stream(spark, sf_dir)
+    rows = e.select(F.lit("value").alias("rule"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("scope"), micros(F.col("ts")).alias("us"), F.col("event_id").alias("seq"), "value")
+    return engine.run_append(engine.alert_transitions(rows, 20.0, 60.0), "alerts")
+
+
+@query(f"WITH {_ALERTS}")
+def alert_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    rows = e.select(F.lit("value").alias("rule"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("scope"), micros(F.col("ts")).alias("us"), F.col("event_id").alias("seq"), "value")
+    return engine.batch_transitions(rows, 20.0, 60.0)
+
+
+@query(f"WITH {sql.EVENT_PACKETS}, {sql.flows(EVENT_IDLE)}, {sql.EDGES} SELECT {EDGE_COLUMNS} FROM edges")
+def stream_incremental_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edge_columns(engine.IncrementalFlows(spark, EVENT_IDLE).run(packet_stream(spark, sf_dir)).edges())
+
+
+@query(f"WITH {sql.FINGERPRINTS}, z AS ({_Z}), mx AS (SELECT max(epoch) AS m FROM fp) SELECT ip, epoch, feature, round(z, 3) AS z FROM z, mx WHERE abs(z) >= 3 AND (epoch < m OR (feature IN ('distinct_destinations', 'total_byte_count') AND z > 0))")
+def stream_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine.event_stream(spark, sf_dir).where(micros(F.col("ts")) >= EPOCH_START + 20 * DAY_US)
+    f = e.select(
+        F.lit("events").alias("capture_id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("src_ip"), F.concat(F.lit("svc-"), "event_type").alias("dst_ip"), F.get_json_object("props", "$.k").cast("int").alias("dst_port"),
+        F.lit("UDP").alias("protocol"), micros(F.col("ts")).alias("first_us"), micros(F.col("ts")).alias("last_us"), F.lit(0.0).alias("duration_seconds"), F.floor("value").cast("long").alias("byte_count"), F.lit(1.0).alias("forward_byte_ratio"), F.lit(False).alias("is_persistent"),
+    )
+    found = engine.streaming_anomalies(f, user_baseline(spark, sf_dir), 86_400, EPOCH_START)
+    return found.select("ip", "epoch", "feature", F.round("z", 3).alias("z"))

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 SPACE = b" \t\n\x0b\x0c\r"
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 U64 = np.uint64
@@ -133,7 +133,7 @@ def text_bytes(text: str = "text") -> Column:
     return F.col(text).cast("binary").alias(text)
 
 
-def before(df: DataFrame, group: list[str], order: list[Column], value: str, out: str, per_bucket: int = 20_000) -> DataFrame:
+def before(df: DataFrame, group: list[str], order: list[Column], value: str, out: str, per_bucket: int = 2_000) -> DataFrame:
     """Add out: the sum of value over the rows of the same group that stand before, in a fixed order.
 
     A running sum in one window would put a hot group into one task. Here each group is

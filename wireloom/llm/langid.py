@@ -181,7 +181,7 @@ def label_languages(docs: DataFrame, model: bytes, spans: bool = True) -> DataFr
         m = pickle.loads(held.value)
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
         for batch in batches:
-            for part in common.slices(batch, "_bytes", common.SLICE_BYTES // 2):
+            for part in common.slices(batch, "_bytes", common.SLICE_BYTES):
                 rows = m.predict(common.texts_of(part, "_bytes"), spans)
                 names = [n for n in part.schema.names if n != "_bytes"]
                 cols = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())]

@@ -36,8 +36,14 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: later jobs start from the files, on any executor."""
+def cut(df: DataFrame, name: str = "cut", rows: int | None = None) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: later jobs start from the files, on any executor.
+
+    rows is an upper bound on the rows of a narrow table, where it is known: then about
+    100,000 rows go into a file (8 files at least), instead of a file per shuffle partition.
+    """
+    if rows is not None:
+        df = df.coalesce(max(8, -(-rows // 100_000)))
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/wireloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)

@@ -129,6 +129,20 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
+def packed(df: DataFrame) -> Column:
+    """All columns of df as one struct, _row: a caller's columns can't clash with an operator's own while they pass through it."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+
+
+def row_type(df: DataFrame) -> str:
+    return f"_row {df.select(packed(df)).schema['_row'].dataType.simpleString()}"
+
+
+def unpacked(df: DataFrame, *added: str) -> list[Column]:
+    """The columns of _row, less those that added replace, and then added."""
+    return [F.col(f"_row.`{c}`").alias(c) for c in df.schema["_row"].dataType.names if c not in added] + [F.col(c) for c in added]
+
+
 def text_bytes(text: str = "text") -> Column:
     return F.col(text).cast("binary").alias(text)
 

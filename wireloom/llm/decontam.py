@@ -105,15 +105,14 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, block: int
     spark = docs.sparkSession
     windows = cut(windows_of(benchmark, width), "windows")
     n_blocks = max(1, -(-windows.count() // block))
-    kept = [f for f in docs.schema.fields if f.name not in ("_n_words", "_hits")]
-    out = docs.select(*[f"`{f.name}`" for f in kept], F.lit(0).cast("long").alias("_n_words"), F.expr(f"cast(array() as {HIT})").alias("_hits"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + f", _n_words bigint, _hits {HIT}"
+    out = docs.select(common.packed(docs), F.lit(0).cast("long").alias("_n_words"), F.expr(f"cast(array() as {HIT})").alias("_hits"))
+    schema = f"{common.row_type(docs)}, _n_words bigint, _hits {HIT}"
     for k in range(n_blocks):
         part = windows.where(F.pmod(F.xxhash64("window"), F.lit(n_blocks)) == k)
         rows = [(r.item_id, tuple(bytes(r.window).split(b" "))) for r in part.toLocalIterator()]
         held = spark.sparkContext.broadcast(pickle.dumps(NGrams(rows)))
-        out = out.withColumn("_bytes", F.col("text").cast("binary")).mapInArrow(_scan(held), schema)
-    return out
+        out = out.withColumn("_bytes", F.col("_row.text").cast("binary")).mapInArrow(_scan(held), schema)
+    return out.select(*common.unpacked(out, "_n_words", "_hits"))
 
 
 def _scan(held):  # noqa: ANN001, ANN202
@@ -127,8 +126,7 @@ def _scan(held):  # noqa: ANN001, ANN202
                     tokens = words(text)
                     counts.append(len(tokens))
                     found.append(earlier + [{"start": a, "end": b, "item_id": i} for a, b, i in grams.hits(tokens)])
-                names = [n for n in part.schema.names if n not in ("_bytes", "_hits", "_n_words")]
-                yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + [pa.array(counts, pa.int64()), pa.array(found, kind)], names=[*names, "_n_words", "_hits"])
+                yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(counts, pa.int64()), pa.array(found, kind)], names=["_row", "_n_words", "_hits"])
 
     return scan
 

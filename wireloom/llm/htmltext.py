@@ -349,20 +349,19 @@ def extract(sources: list[str], trees: Trees) -> list[str]:
 
 
 def main_text(pages: DataFrame, model: bytes | None = None) -> DataFrame:
-    """pages with _main added: the main text of the whole html, '' where there is none (null and empty pages too)."""
+    """pages without html, with _main added: the main text of the whole html, '' where there is none (null and empty pages too)."""
     held = pages.sparkSession.sparkContext.broadcast(model or fit_extractor())
-    kept = [f for f in pages.schema.fields if f.name not in ("_main", "html")]
+    lean = pages.drop("html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = pickle.loads(held.value)
         for batch in batches:
             for part in common.slices(batch, "_bytes", common.SLICE_BYTES // 2):
                 texts = extract([t.decode(errors="replace") for t in common.texts_of(part, "_bytes")], trees)
-                names = [n for n in part.schema.names if n != "_bytes"]
-                yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + [pa.array(texts, pa.string())], names=[*names, "_main"])
+                yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(texts, pa.string())], names=["_row", "_main"])
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + "_main string"
-    return pages.select(*[f"`{f.name}`" for f in kept], F.col("html").cast("binary").alias("_bytes")).mapInArrow(run, schema)
+    found = pages.select(common.packed(lean), F.col("html").cast("binary").alias("_bytes")).mapInArrow(run, f"{common.row_type(lean)}, _main string")
+    return found.select(*common.unpacked(found, "_main"))
 
 
 def op8_main_text(pages: DataFrame) -> DataFrame:

@@ -175,7 +175,6 @@ def label_languages(docs: DataFrame, model: bytes, spans: bool = True) -> DataFr
     """docs with _lang, _lang_score and, if asked for, _lang_spans: array<struct<start, end, lang>>. Null texts and texts without letters are 'und' with score 0."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     added = ["_lang", "_lang_score", *["_lang_spans"] * spans]
-    kept = [f for f in docs.schema.fields if f.name not in ("_lang", "_lang_score", "_lang_spans")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = pickle.loads(held.value)
@@ -183,14 +182,14 @@ def label_languages(docs: DataFrame, model: bytes, spans: bool = True) -> DataFr
         for batch in batches:
             for part in common.slices(batch, "_bytes", common.SLICE_BYTES):
                 rows = m.predict(common.texts_of(part, "_bytes"), spans)
-                names = [n for n in part.schema.names if n != "_bytes"]
                 cols = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())]
                 if spans:
                     cols.append(pa.array([[{"start": a, "end": b, "lang": x} for a, b, x in r[2]] for r in rows], kind))
-                yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + cols, names=[*names, *added])
+                yield pa.RecordBatch.from_arrays([part.column("_row"), *cols], names=["_row", *added])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", _lang string, _lang_score double" + ", _lang_spans array<struct<start:int,end:int,lang:string>>" * spans
-    return docs.select(*[f"`{f.name}`" for f in kept], F.col("text").cast("binary").alias("_bytes")).mapInArrow(run, schema)
+    schema = f"{common.row_type(docs)}, _lang string, _lang_score double" + ", _lang_spans array<struct<start:int,end:int,lang:string>>" * spans
+    found = docs.select(common.packed(docs), F.col("text").cast("binary").alias("_bytes")).mapInArrow(run, schema)
+    return found.select(*common.unpacked(found, *added))
 
 
 def op7_language(docs: DataFrame) -> DataFrame:

@@ -120,8 +120,8 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     with the white space after it. n_chars is counted anew. Rows equal in doc_id, source
     and text are one row repeated.
     """
-    keyed = docs.withColumn("_h", F.xxhash64("text"))
-    sized = cut(keyed.select("doc_id", "source", "_h", common.n_words(F.col("text")).alias("size")), "sizes")
+    keyed = docs.select(common.packed(docs), F.col("doc_id"), F.col("source"), F.xxhash64("text").alias("_h"))
+    sized = cut(docs.select("doc_id", "source", F.xxhash64("text").alias("_h"), common.n_words(F.col("text")).alias("size")), "sizes")
     targets = cut(source_targets(sized), "targets")
     drawn = draws(draw_plan(targets)).select("sid", "block", "epoch")
     parts = pieces(sized, targets, ["doc_id", "_h"]).where("size > 0").join(drawn, ["sid", "block"])
@@ -131,9 +131,11 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     one = keyed.dropDuplicates(["doc_id", "source", "_h"])
     on = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_h") == F.col("_k"))
     out = one.join(plan, on).withColumn("_copy", F.explode("_copies"))
-    tokens = F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*"), F.lit(0))
+    tokens = F.regexp_extract_all("_row.text", F.lit("[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*"), F.lit(0))
     chosen = F.array_join(F.transform(F.col("_copy.parts"), lambda p: F.array_join(F.slice(F.col("_tokens"), (p["from"] + 1).cast("int"), (p["to"] - p["from"]).cast("int")), "")), "")
-    out = out.withColumn("_tokens", F.when(F.col("_copy.parts").isNotNull(), tokens)).withColumn("text", F.when(F.col("_copy.parts").isNull(), F.col("text")).otherwise(chosen))
+    text = F.when(F.col("_copy.parts").isNull(), F.col("_row.text")).otherwise(chosen)
+    out = out.withColumn("_tokens", F.when(F.col("_copy.parts").isNotNull(), tokens)).withColumn("_text", text)
+    anew = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[f"`{c}`" for c in docs.columns])
+        anew["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[anew.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])

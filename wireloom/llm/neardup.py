@@ -207,9 +207,10 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     from pyspark.sql import Window
 
     kept = near_duplicates(docs, k, percent).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    one = docs.join(kept, F.col("doc_id").cast("long") == F.col("_id"))
-    order = Window.partitionBy("_id").orderBy(F.xxhash64("text"))
-    one = one.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select(*[f"`{c}`" for c in docs.columns])
+    rows = docs.select(common.packed(docs), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_text"))
+    order = Window.partitionBy("_id").orderBy("_text")
+    one = rows.join(kept, "_id").withColumn("_nth", F.row_number().over(order)).where("_nth = 1")
+    one = one.select(*common.unpacked(one))
     return one.unionByName(docs.where("doc_id is null"))
 
 

@@ -203,18 +203,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> b
 def score(docs: DataFrame, model: bytes) -> DataFrame:
     """docs with the column _score added: the calibrated probability of quality 1. Null texts score as empty ones."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [f for f in docs.schema.fields if f.name != "_score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, network = pickle.loads(held.value)
         for batch in batches:
             for part in common.slices(batch, "_bytes"):
                 p = network.probabilities(pooled(common.texts_of(part, "_bytes"), vectors))
-                names = [n for n in part.schema.names if n != "_bytes"]
-                yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + [pa.array(p.astype(float).ravel())], names=[*names, "_score"])
+                yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(p.astype(float).ravel())], names=["_row", "_score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", _score double"
-    return docs.select(*[f"`{f.name}`" for f in kept], F.col("text").cast("binary").alias("_bytes")).mapInArrow(run, schema)
+    scored = docs.select(common.packed(docs), F.col("text").cast("binary").alias("_bytes")).mapInArrow(run, f"{common.row_type(docs)}, _score double")
+    return scored.select(*common.unpacked(scored, "_score"))
 
 
 def fold(doc_id: str, n: int) -> F.Column:

@@ -123,18 +123,16 @@ def scan(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int, int]]:
 
 def find_secrets(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with _spans added: array<struct<kind, start, end>> of the whole text, in code points; a null or empty text has none."""
-    kept = [f for f in docs.schema.fields if f.name != "_spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             for part in common.slices(batch, "_bytes"):
                 spans = [[{"kind": k, "start": a, "end": b} for k, a, b in scan(t.decode(errors="replace"), threshold)] for t in common.texts_of(part, "_bytes")]
-                names = [n for n in part.schema.names if n != "_bytes"]
-                yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + [pa.array(spans, kind)], names=[*names, "_spans"])
+                yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(spans, kind)], names=["_row", "_spans"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", _spans array<struct<kind:string,start:int,end:int>>"
-    return docs.select(*[f"`{f.name}`" for f in kept], F.col("text").cast("binary").alias("_bytes")).mapInArrow(run, schema)
+    found = docs.select(common.packed(docs), F.col("text").cast("binary").alias("_bytes")).mapInArrow(run, f"{common.row_type(docs)}, _spans array<struct<kind:string,start:int,end:int>>")
+    return found.select(*common.unpacked(found, "_spans"))
 
 
 def op3_secrets(docs: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ def first_shard(node: str, shards: int) -> Column:
     return F.pmod(F.xxhash64(F.col(node), F.lit(17)), F.lit(shards)).cast("int")
 
 
-def propagate(links: DataFrame, shards: int, quota: int, rounds: int = 4) -> DataFrame:
+def propagate(links: DataFrame, shards: int, quota: int, rounds: int = 4, n: int | None = None) -> DataFrame:
     """(node, label) for the nodes of links(node, link): nodes of a link are neighbours of each other.
 
     A link of more nodes than a quarter of the quota is split by a hash of the node, so no
@@ -23,19 +23,19 @@ def propagate(links: DataFrame, shards: int, quota: int, rounds: int = 4) -> Dat
     prefers the shard that most of its neighbours are in, over all its links (ties: by a
     hash of link and shard, so no shard draws them all). Shards admit movers, link by
     link, until their linked nodes fill the quota; nodes without links need no counting
-    here, as they can go anywhere at no cost afterwards.
+    here, as they can go anywhere at no cost afterwards. n bounds the rows of links.
     """
     most = max(1, quota // 4)
     big = links.groupBy("link").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select("link", F.ceil(F.col("_n") / most).alias("_parts"))
     part = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64("node", F.lit(3)), F.col("_parts")))
-    links = cut(links.join(big, "link", "left").select("node", F.xxhash64("link", part).alias("link")), "links")
-    state = cut(links.select("node").distinct().withColumn("label", first_shard("node", shards)), "labels")
+    links = cut(links.join(big, "link", "left").select("node", F.xxhash64("link", part).alias("link")), "links", n)
+    state = cut(links.select("node").distinct().withColumn("label", first_shard("node", shards)), "labels", n)
     for turn in range(rounds):
         votes = links.join(state, "node").groupBy("link", "label").agg(F.count(F.lit(1)).alias("n"))
         top = votes.groupBy("link").agg(F.max(F.struct(F.col("n"), F.xxhash64("link", "label").alias("_h"), F.col("label"))).alias("_t")).select("link", F.col("_t.label").alias("to"), F.col("_t.n").alias("n"))
         wish = links.join(top, "link").groupBy("node", "to").agg(F.sum("n").alias("n"), F.min("link").alias("link"))
         wish = wish.groupBy("node").agg(F.max(F.struct("n", "link", "to")).alias("_t")).select("node", F.col("_t.to").alias("to"), F.col("_t.link").alias("link"))
-        both = cut(state.join(wish, "node", "left").select("node", "label", F.coalesce("to", "label").alias("to"), "link"), "wishes")
+        both = cut(state.join(wish, "node", "left").select("node", "label", F.coalesce("to", "label").alias("to"), "link"), "wishes", n)
         flow = {(r.label, r.to): r.n for r in both.groupBy("label", "to").agg(F.count(F.lit(1)).alias("n")).collect()}  # shards * shards rows at most
         held, into, out = {}, {}, {}
         for (a, b), n in flow.items():
@@ -48,7 +48,7 @@ def propagate(links: DataFrame, shards: int, quota: int, rounds: int = 4) -> Dat
         share = [min(1.0, max(0.0, (quota - held.get(s, 0) + out.get(s, 0)) / into[s])) if into.get(s) else 0.0 for s in range(shards)]
         admitted = F.element_at(F.array(*[F.lit(int(x * FRACTION)) for x in share]), F.col("to") + 1)
         moves = (F.col("to") != F.col("label")) & (F.pmod(F.xxhash64("link", F.lit(turn)), F.lit(FRACTION)) < admitted)
-        after = cut(both.select("node", F.when(moves, F.col("to")).otherwise(F.col("label")).alias("label")), "labels")
+        after = cut(both.select("node", F.when(moves, F.col("to")).otherwise(F.col("label")).alias("label")), "labels", n)
         discard(state, both)
         state = after
     return state
@@ -66,11 +66,11 @@ def balanced_shards(rows: DataFrame, links: DataFrame, shards: int = 24, rounds:
     quotas = [total // shards + (s < total % shards) for s in range(shards)]
     shared = links.where("node is not null and link is not null").distinct()
     several = shared.groupBy("link").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("link")
-    shared = cut(shared.join(several, "link"), "linked")
-    labels = propagate(shared, shards, max(quotas, default=0), rounds)
+    shared = cut(shared.join(several, "link"), "linked", total)
+    labels = propagate(shared, shards, max(quotas, default=0), rounds, total)
     held = rows.join(labels.select(F.col("node").alias("_node"), F.col("label").alias("_label")), F.col("node") == F.col("_node"), "left")
     held = held.select(*rows.columns, F.coalesce("_label", first_shard("node", shards)).alias("_label"), F.col("_label").isNull().cast("int").alias("_class"), F.lit(1).cast("long").alias("_one"))
-    held = cut(held, "labelled")
+    held = cut(held, "labelled", total)
     counts = {(r[0], r[1]): r[2] for r in held.groupBy("_label", "_class").count().collect()}  # two rows per shard at most
     size = [counts.get((s, 0), 0) + counts.get((s, 1), 0) for s in range(shards)]
     over, short, deficits = [0], [0], []
@@ -112,8 +112,8 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     rows = cut(digests(docs), "digests")
     placed = balanced_shards(rows, rows.select("node", F.col("text_key").alias("link")), shards)
     lists = placed.groupBy(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).agg(F.collect_list(F.struct("shard", "slot")).alias("_places"))
-    kept = [c for c in docs.columns if c not in ("shard", "slot")]
-    keyed = docs.select(*[f"`{c}`" for c in kept], F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_h"))
+    keyed = docs.select(common.packed(docs), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_h"))
     one = keyed.dropDuplicates(["_id", "_h"])
     out = one.join(lists, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_k")))
-    return out.withColumn("_place", F.explode("_places")).select(*[f"`{c}`" for c in kept], F.col("_place.shard").alias("shard"), F.col("_place.slot").alias("slot"))
+    out = out.select("_row", F.inline("_places"))
+    return out.select(*common.unpacked(out, "shard", "slot"))

@@ -149,7 +149,7 @@ class IncrementalFlows:
         """(sign, flow columns) of a batch: -1 for flows that no longer hold, 1 for those that do now; unchanged ones cancel out."""
         units = self.spark.read.parquet(f"{self.place}/units")
         now = units.where(F.col("_batch") == number).drop("_batch")
-        before = self._latest(units.where(F.col("_batch") < number)).join(now.select("_key").distinct(), "_key", "left_semi")
+        before = self._latest(units.where(F.col("_batch") < number)).join(now.select("_key").distinct(), "_key", "left_semi").select(*now.columns)
         gone, come = before.exceptAll(now), now.exceptAll(before)
         return gone.withColumn("sign", F.lit(-1)).unionByName(come.withColumn("sign", F.lit(1))).drop("_key")
 

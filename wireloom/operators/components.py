@@ -36,7 +36,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         near = _nearest(down)
         small = down.join(near, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(near.select("u", F.col("m").alias("v"))).distinct()
-        after = cut(small.where("u <> v"), "edges")
+        after = cut(small.where("u <> v"), "edges", 2 * state[0])
         discard(edges)
         edges, last = after, state
         state = _state(edges)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wireloom.functions.expressions import SECOND, micros
-from wireloom.operators import behavior, dependency, flows, generate, graph, history, metrics, roles, topology
+from wireloom.operators import behavior, causal, dependency, flows, generate, graph, history, learned, metrics, roles, topology
 from wireloom.plans import sql
 from wireloom.sources import adapters
 from wireloom.sources.adapters import DAY_US, EPOCH_START, table
@@ -800,3 +800,28 @@ def stream_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     found = engine.streaming_anomalies(f, user_baseline(spark, sf_dir), 86_400, EPOCH_START)
     return found.select("ip", "epoch", "feature", F.round("z", 3).alias("z"))
+
+
+# learned scores and causal discovery
+
+
+@query()
+def pc_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = dependency.bucket_series(adapters.event_packets(spark, sf_dir).select(F.col("dst_ip").alias("node"), micros(F.col("ts")).alias("us")), 3600)
+    return causal.discover(s).select("source", "target", "lag", r6("r").alias("r"))
+
+
+@query()
+def edge_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of early orders, scored for whether the pair trades again later."""
+    q = quarter_edges(spark, sf_dir)
+    early = q.where("version < 6").groupBy("source", "target").agg(F.sum("observations").alias("observation_count"), F.max(F.lit(0.5)).alias("bidirectional"))
+    later = q.where("version >= 6").select("source", "target").distinct().withColumn("y", F.lit(1.0))
+    rows = learned.pair_features(early).join(later, ["source", "target"], "left").withColumn("y", F.coalesce("y", F.lit(0.0)))
+    return learned.score_edges(rows, learned.fit_logistic(rows, learned.PAIR_FEATURES, "y")).select("source", "target", F.round("probability", 4).alias("probability"))
+
+
+@query()
+def sequence_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = user_fingerprints(spark, sf_dir).select(F.col("ip").alias("key"), "epoch", F.log1p("total_byte_count").alias("value"))
+    return learned.sequence_anomalies(s, 20).select("key", "epoch", r6("residual").alias("residual"))

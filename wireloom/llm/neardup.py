@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wireloom.llm import common
-from wireloom.llm.components import connected_components
+from wireloom.operators.components import connected_components
 from wireloom.session import cut, discard
 
 U64 = np.uint64
@@ -159,9 +159,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     full = signed.where("n_shingles > 0")
     classes = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
     reps = full.join(classes.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "keys", *MARKS)
-    spread = reps.select("rep", "n", *MARKS, F.explode("keys").alias("key"))
-    shared = reps.select("rep", F.explode("keys").alias("key")).groupBy("key").agg(F.min("rep").alias("_lo"), F.max("rep").alias("_hi")).where("_lo <> _hi").select("key")
-    members = cut(spread.join(shared, "key").select("key", "rep", "n", *MARKS, F.col("rep").alias("comp")), "members")
+    spread = reps.select("rep", F.explode("keys").alias("key"))
+    shared = spread.groupBy("key").agg(F.min("rep").alias("_lo"), F.max("rep").alias("_hi")).where("_lo <> _hi").select("key")
+    # sizes and marks join the few rows that are left, and don't travel with every key
+    members = cut(spread.join(shared, "key").join(reps.select("rep", "n", *MARKS), "rep").select("key", "rep", "n", *MARKS, F.col("rep").alias("comp")), "members")
+    size = members.count()
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes()).where("text is not null").join(wanted, "doc_id", "left_semi"), "texts")
 
@@ -172,7 +174,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     for turn in range(14):  # by the last of which every member has been a leader
         buckets = members.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count(F.lit(1)).alias("_m"), F.min("rep").alias("_first")).where("_lo <> _hi")
         coin = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(1 << 20)) * F.col("_m") < F.lit((8**turn - 1) << 20)
-        active = cut(members.join(buckets, "key").select("key", "rep", "n", *MARKS, "comp", ((F.col("rep") == F.col("_first")) | coin).alias("lead")), "active")
+        active = cut(members.join(buckets, "key").select("key", "rep", "n", *MARKS, "comp", ((F.col("rep") == F.col("_first")) | coin).alias("lead")), "active", size)
         if active.isEmpty():
             break
         a = active.where("lead").select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), *[F.col(m).alias(f"a{m}") for m in MARKS])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wireloom.functions.expressions import SECOND, micros
-from wireloom.operators import behavior, causal, dependency, flows, generate, graph, history, learned, metrics, roles, topology
+from wireloom.operators import behavior, causal, dependency, flows, generate, graph, history, learned, metrics, outcomes, roles, topology
 from wireloom.plans import sql
 from wireloom.sources import adapters
 from wireloom.sources.adapters import DAY_US, EPOCH_START, table
@@ -825,3 +825,71 @@ def edge_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sequence_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = user_fingerprints(spark, sf_dir).select(F.col("ip").alias("key"), "epoch", F.log1p("total_byte_count").alias("value"))
     return learned.sequence_anomalies(s, 20).select("key", "epoch", r6("residual").alias("residual"))
+
+
+# compositions
+
+
+@query(f"WITH RECURSIVE {sql.SPARSE}, {_FAILED}, c0 AS (SELECT a AS node, a AS seen FROM bw UNION SELECT c0.node, bw.b FROM c0 JOIN bw ON c0.seen = bw.a), nc AS (SELECT count(DISTINCT m) AS c FROM (SELECT node, min(seen) AS m FROM c0 GROUP BY node)) SELECT cp.failed, count(*) - top AS stranded, round((count(*) - top) / CAST((SELECT count(*) FROM nd) AS DOUBLE), 6) AS share, count(DISTINCT component) > (SELECT c FROM nc) AS articulation FROM cp JOIN tp ON cp.failed = tp.failed GROUP BY cp.failed, top")
+def failure_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = outcomes.failure_outcomes(adapters.sparse_graph(spark, sf_dir), top_suppliers(spark, sf_dir))
+    return o.select("failed", "stranded", r6("share").alias("share"), "articulation")
+
+
+@query(f"WITH {sql.TRADE_PACKETS}, n AS (SELECT least(src, dst) AS source, greatest(src, dst) AS target, count(*) AS n, CAST(sum((seq % 4 = 0)::INT) AS BIGINT) AS kept FROM pk GROUP BY ALL) SELECT round(avg(1 - pow(0.75, n)), 6) AS expected, round(avg((kept > 0)::INT), 6) AS observed, count(*) AS edges FROM n")
+def edge_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = adapters.trade_packets(spark, sf_dir)
+    n = p.groupBy(F.least("src_ip", "dst_ip").alias("source"), F.greatest("src_ip", "dst_ip").alias("target")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("packet_seq") % 4 == 0).cast("long")).alias("kept"))
+    s = outcomes.edge_survival(n, 0.25)
+    return s.select(r6("expected").alias("expected"), r6("observed").alias("observed"), "edges")
+
+
+@query(f"WITH {_QUARTERS}, a AS (SELECT source, target, 1 - exp(-observations / 5.0) AS c FROM q WHERE version = 2), b AS (SELECT source, target, 1 - exp(-observations / 5.0) AS c FROM q WHERE version = 3) SELECT round(avg(abs(a.c - b.c)), 6) AS mae, count(*) AS pairs FROM a JOIN b ON a.source = b.source AND a.target = b.target")
+def confidence_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = quarter_edges(spark, sf_dir).withColumn("confidence", 1 - F.exp(-F.col("observations") / 5.0))
+    return outcomes.confidence_error(q.where("version = 2"), q.where("version = 3")).select(r6("mae").alias("mae"), "pairs")
+
+
+@query(f"WITH {_QUARTERS}, a AS (SELECT * FROM q WHERE version = 2), b AS (SELECT * FROM q WHERE version = 3), j AS (SELECT a.source, a.target, a.observations AS ao, b.observations AS bo, a.volume AS av, b.volume AS bv FROM a JOIN b ON a.source = b.source AND a.target = b.target) SELECT source, target, 'observations' AS field, CAST(ao AS DOUBLE) AS a, CAST(bo AS DOUBLE) AS b, CAST(bo - ao AS DOUBLE) AS delta FROM j UNION ALL SELECT source, target, 'volume', av, bv, bv - av FROM j")
+def compare_experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = quarter_edges(spark, sf_dir)
+    return outcomes.compare_experiments(q.where("version = 2"), q.where("version = 3"), ["source", "target"], ["observations", "volume"])
+
+
+@query("WITH r AS (SELECT doc_id AS id, lang AS role, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents) SELECT id, role FROM r ORDER BY n, role LIMIT 10")
+def select_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outcomes.select_shots(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("role")), 10)
+
+
+@query("SELECT l.level, c.completeness, s.seed FROM (VALUES ('small'), ('large')) l(level), (VALUES (1.0::DOUBLE), (0.5::DOUBLE), (0.25::DOUBLE)) c(completeness), (VALUES (42), (43)) s(seed)")
+def experiment_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outcomes.axes(spark, level=["small", "large"], completeness=[1.0, 0.5, 0.25], seed=[42, 43])
+
+
+@query(f"WITH {_QUARTERS}, p AS (SELECT source, target, round(1 - exp(-sum(observations) / 20.0), 9) AS pr FROM q WHERE version < 3 GROUP BY ALL), e AS (SELECT DISTINCT source, target FROM q WHERE version = 0) SELECT p.source, p.target, round(pr, 6) AS confidence, e.source IS NULL AS synthesized FROM p LEFT JOIN e ON p.source = e.source AND p.target = e.target WHERE pr >= 0.3")
+def graph_from_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = quarter_edges(spark, sf_dir)
+    p = q.where("version < 3").groupBy("source", "target").agg(F.round(1 - F.exp(-F.sum("observations") / 20.0), 9).alias("probability"))
+    g = outcomes.graph_from_probabilities(q.where("version = 0").select("source", "target").distinct(), p, 0.3)
+    return g.select("source", "target", r6("confidence").alias("confidence"), "synthesized")
+
+
+@query("SELECT doc_id AS id, string_agg(DISTINCT n, ',' ORDER BY n) AS numbers FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\d+(?:\\.\\d+)?')) AS n FROM documents) WHERE NOT (n = '2.0' OR n = CAST(doc_id AS VARCHAR)) GROUP BY doc_id")
+def unsupported_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    facts = d.select("id", F.concat(F.lit("version 2.0 of document "), F.col("id").cast("string")).alias("fact"))
+    return outcomes.unsupported_numbers(d, facts).select("id", F.array_join("numbers", ",").alias("numbers"))
+
+
+@query()
+def route_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = adapters.nation_graph(spark, sf_dir)
+    after = graph.counterfactual(e, "remove_node", "NATION_3")
+    pairs = e.where("source <> 'NATION_3' and target <> 'NATION_3'").select(F.col("source").alias("start"), F.col("target").alias("node")).where("start = 'NATION_0'")
+    return outcomes.route_changes(e, after, pairs, 4).select("start", "node", r6("cost_before").alias("cost_before"), r6("cost_after").alias("cost_after"), "changed", "lost")
+
+
+@query()
+def failure_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = adapters.nation_graph(spark, sf_dir)
+    return outcomes.failure_targets(graph.criticality(e), graph.degree_centrality(e), 5)

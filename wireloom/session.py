@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -31,7 +33,9 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one where the setting is absent (tests, notebooks)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="wireloom-")
+        own = tempfile.mkdtemp(prefix="wireloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = "file://" + own
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -70,8 +74,6 @@ def ship(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
-    import shutil
-
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     base = os.path.join(tempfile.mkdtemp(prefix="wireloom-"), "wireloom")
     spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", top, os.path.basename(os.path.dirname(os.path.abspath(__file__)))))

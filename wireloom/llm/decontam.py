@@ -111,7 +111,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, block: int
         part = windows.where(F.pmod(F.xxhash64("window"), F.lit(n_blocks)) == k)
         rows = [(r.item_id, tuple(bytes(r.window).split(b" "))) for r in part.toLocalIterator()]
         held = spark.sparkContext.broadcast(pickle.dumps(NGrams(rows)))
-        out = out.withColumn("_bytes", F.col("_row.text").cast("binary")).mapInArrow(_scan(held), schema)
+        out = out.mapInArrow(_scan(held), schema)
     return out.select(*common.unpacked(out, "_n_words", "_hits"))
 
 
@@ -120,9 +120,9 @@ def _scan(held):  # noqa: ANN001, ANN202
         grams = pickle.loads(held.value)
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("item_id", pa.int64())]))
         for batch in batches:
-            for part in common.slices(batch, "_bytes"):
+            for part, texts in common.row_parts(batch):
                 counts, found = [], []
-                for text, earlier in zip(common.texts_of(part, "_bytes"), part.column("_hits").to_pylist()):
+                for text, earlier in zip(texts, part.column("_hits").to_pylist()):
                     tokens = words(text)
                     counts.append(len(tokens))
                     found.append(earlier + [{"start": a, "end": b, "item_id": i} for a, b, i in grams.hits(tokens)])

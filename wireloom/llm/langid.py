@@ -180,15 +180,15 @@ def label_languages(docs: DataFrame, model: bytes, spans: bool = True) -> DataFr
         m = pickle.loads(held.value)
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
         for batch in batches:
-            for part in common.slices(batch, "_bytes", common.SLICE_BYTES):
-                rows = m.predict(common.texts_of(part, "_bytes"), spans)
+            for part, texts in common.row_parts(batch):
+                rows = m.predict(texts, spans)
                 cols = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())]
                 if spans:
                     cols.append(pa.array([[{"start": a, "end": b, "lang": x} for a, b, x in r[2]] for r in rows], kind))
                 yield pa.RecordBatch.from_arrays([part.column("_row"), *cols], names=["_row", *added])
 
     schema = f"{common.row_type(docs)}, _lang string, _lang_score double" + ", _lang_spans array<struct<start:int,end:int,lang:string>>" * spans
-    found = docs.select(common.packed(docs), F.col("text").cast("binary").alias("_bytes")).mapInArrow(run, schema)
+    found = docs.select(common.packed(docs)).mapInArrow(run, schema)
     return found.select(*common.unpacked(found, *added))
 
 
@@ -196,5 +196,5 @@ def op7_language(docs: DataFrame) -> DataFrame:
     """Contract 7: the language of every document, learnt outside the held-out fold."""
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4
     model = fit_languages(docs.select("doc_id", "text", "lang").where(fold != 2))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold == 2).alias("held_out"), F.col("text").cast("binary").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold == 2).alias("held_out"), "text")
     return label_languages(texts, model, spans=False).select("doc_id", "held_out", F.col("_lang").alias("lang_pred"), F.col("_lang_score").alias("score"))

@@ -79,7 +79,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         place, sign = index_vectors()
         total = np.zeros((BUCKETS, DIM))
         for batch in batches:
-            for part in common.slices(batch, "text", 2 * common.SLICE_BYTES):
+            for part in common.slices(batch, "text"):
                 total += context_sums(common.texts_of(part, "text"), place, sign)
         met = np.flatnonzero(np.any(total != 0, axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(met)] + [pa.array(total[met, j].astype(np.int64)) for j in range(DIM)], names=["bucket", *names])
@@ -207,11 +207,11 @@ def score(docs: DataFrame, model: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, network = pickle.loads(held.value)
         for batch in batches:
-            for part in common.slices(batch, "_bytes"):
-                p = network.probabilities(pooled(common.texts_of(part, "_bytes"), vectors))
+            for part, texts in common.row_parts(batch):
+                p = network.probabilities(pooled(texts, vectors))
                 yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(p.astype(float).ravel())], names=["_row", "_score"])
 
-    scored = docs.select(common.packed(docs), F.col("text").cast("binary").alias("_bytes")).mapInArrow(run, f"{common.row_type(docs)}, _score double")
+    scored = docs.select(common.packed(docs)).mapInArrow(run, f"{common.row_type(docs)}, _score double")
     return scored.select(*common.unpacked(scored, "_score"))
 
 

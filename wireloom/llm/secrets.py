@@ -127,11 +127,11 @@ def find_secrets(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            for part in common.slices(batch, "_bytes"):
-                spans = [[{"kind": k, "start": a, "end": b} for k, a, b in scan(t.decode(errors="replace"), threshold)] for t in common.texts_of(part, "_bytes")]
+            for part, texts in common.row_parts(batch):
+                spans = [[{"kind": k, "start": a, "end": b} for k, a, b in scan(t.decode(errors="replace"), threshold)] for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(spans, kind)], names=["_row", "_spans"])
 
-    found = docs.select(common.packed(docs), F.col("text").cast("binary").alias("_bytes")).mapInArrow(run, f"{common.row_type(docs)}, _spans array<struct<kind:string,start:int,end:int>>")
+    found = docs.select(common.packed(docs)).mapInArrow(run, f"{common.row_type(docs)}, _spans array<struct<kind:string,start:int,end:int>>")
     return found.select(*common.unpacked(found, "_spans"))
 
 

@@ -421,6 +421,36 @@ def test_quality(spark, sf_dir):
     assert all(abs(again[i] - scored[i]["score"]) < 1e-6 for i in again)
 
 
+def test_quality_words_have_own_vectors(spark):
+    """More words than any fixed table of 16,384 rows: every word has a row, and the row is the sum over its own contexts."""
+    texts = [" ".join(f"{a}{i:05d}".translate(str.maketrans("0123456789", "abcdefghij")) for a in "xyz") for i in range(10_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["word"]: np.frombuffer(r["vector"], dtype=np.float16) for r in quality.word_vectors(df.repartition(7)).collect()}
+    assert len(rows) == len({w for t in texts for w in t.split()}) == 30_000
+    for t in texts[:50]:
+        hashes, _ = quality.token_ids([t.encode()])
+        place, sign = quality.index_vectors(hashes)
+        index = np.zeros((3, quality.DIM))
+        for j in range(quality.NONZERO):
+            np.add.at(index, (np.arange(3), place[:, j]), sign[:, j])
+        for i, h in enumerate(hashes.view(np.int64).tolist()):
+            want = index.sum(0) - index[i]
+            want = want / max(np.linalg.norm(want), 1e-9)
+            assert np.allclose(rows[h], want, atol=1e-3)
+
+
+def test_quality_features_of_blocks(spark):
+    """Features by the join are those of a lookup in the whole table, whatever the block."""
+    df = odd(spark)
+    vectors = quality.word_vectors(df)
+    rows = sorted((np.uint64(r["word"] & (2**64 - 1)), r["vector"]) for r in vectors.collect())
+    words, table = np.array([w for w, _ in rows], dtype=np.uint64), np.stack([np.frombuffer(v, dtype=np.float16) for _, v in rows]).astype(np.float32)
+    got = quality.with_features(df, vectors, lambda x: quality.pa.array(list(x.astype(float)), quality.pa.list_(quality.pa.float64())), "_x", "array<double>").collect()
+    assert len(got) == 13 and set(got[0].asDict()) == {*df.columns, "_x"}
+    for r in got:
+        assert np.allclose(r["_x"], quality.pooled([(r["text"] or "").encode()], words, table)[0], atol=1e-5)
+
+
 def test_quality_odd(spark):
     rows = quality.op9_quality(odd(spark), labels(spark)).collect()
     assert len(rows) == 13 and all(0 <= r["score"] <= 1 for r in rows)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,114 +11,198 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wireloom.llm import common
+from wireloom.session import cut, discard
 
 U64 = np.uint64
-BUCKETS, DIM, NONZERO, WINDOW = 1 << 14, 16, 4, 2
-SHAPES = 8
-#: Classes of a byte: white space, lower-case letter, upper-case letter, digit, other ASCII, part of a non-ASCII character.
-_CLASS = np.full(256, 4, dtype=np.uint8)
-_CLASS[list(common.SPACE)] = 0
-_CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 1, 2, 3, 5
-_COUNT = np.array([0, 1 << 21, 1 << 42, 1, 0, 0], dtype=np.int64)  # lower, upper, digit
-_RUN = np.array([0, 1, 1, 1, 2, 1], dtype=np.uint8)  # white space, word, marks
+DIM, NONZERO, WINDOW = 16, 4, 2
+#: A block of documents looks up its words together: about this much text, and at least MIN_BLOCKS of them.
+BLOCK_BYTES, MIN_BLOCKS = 32 << 20, 32
+#: Texts whose sums a task adds up before it sends them.
+SUM_BYTES = 16 << 20
+#: Classes of a byte: white space, word (letters, digits, parts of non-ASCII characters), marks.
+_RUN = np.full(256, 2, dtype=np.uint8)
+_RUN[list(common.SPACE)] = 0
+_RUN[97:123] = _RUN[65:91] = _RUN[48:58] = _RUN[128:] = 1
 
 
 def token_ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, text number) of the tokens: words, and runs of marks. A word's shape (case, digits, ASCII or not) picks its share of the buckets."""
+    """(64-bit hash, text number) of the tokens: words, and runs of marks, as they are written."""
     blob = np.frombuffer(b" " + b" ".join(texts) + b" ", dtype=np.uint8)
-    kind = _CLASS[blob]
-    run = _RUN[kind]
+    run = _RUN[blob]
     edges = np.flatnonzero(np.diff(run)) + 1
     starts, ends = edges, np.concatenate((edges[1:], [len(blob)]))
     real = run[starts] > 0
     starts, ends = starts[real], ends[real]
-    packed = np.concatenate(([0], np.cumsum(_COUNT[kind])))  # three counts in one sum: differences of it are exact
-    packed = packed[ends] - packed[starts]
-    n_up, n_low, n_dig = packed >> 42, (packed >> 21) & 0x1FFFFF, packed & 0x1FFFFF
-    shape = np.select(
-        [run[starts] == 2, n_dig > 0, (n_up >= 2) & (n_low == 0), (n_up == 1) & (kind[starts] == 2), n_up > 0, kind[starts] == 5],
-        [0, 1, 2, 3, 4, 5],
-        6,
-    )
-    per = BUCKETS // SHAPES
-    bucket = shape * per + (common.span_hashes(blob, starts, ends) % U64(per)).astype(np.int64)
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-    return bucket, np.searchsorted(np.cumsum(lengths + 1), starts, side="right")
+    return common.span_hashes(blob, starts, ends), np.searchsorted(np.cumsum(lengths + 1), starts, side="right")
 
 
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """The fixed random index vector of every bucket: NONZERO places and signs, from a hash of the bucket's number."""
-    bits = common.mix(np.arange(BUCKETS, dtype=U64) + common.seeded(11))
+def index_vectors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The fixed random index vector of every word: NONZERO places and signs, from its hash."""
+    bits = common.mix(words + common.seeded(11))
     place = np.stack([(bits >> U64(8 * j)) % U64(DIM) for j in range(NONZERO)], 1).astype(np.int64)
     sign = np.stack([((bits >> U64(40 + j)) & U64(1)).astype(np.int64) * 2 - 1 for j in range(NONZERO)], 1)
     return place, sign
 
 
-def context_sums(texts: list[bytes], place: np.ndarray, sign: np.ndarray) -> np.ndarray:
-    """For each bucket the sum of the index vectors of the tokens up to WINDOW places away in the same text."""
-    bucket, owner = token_ids(texts)
-    out = np.zeros(BUCKETS * DIM)
+def context_sums(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words, ascending, and for each the sum of the index vectors of the tokens up to WINDOW places away in the same text."""
+    tokens, owner = token_ids(texts)
+    words, at = np.unique(tokens, return_inverse=True)
+    place, sign = index_vectors(words)
+    out = np.zeros(len(words) * DIM)
     for gap in range(1, WINDOW + 1):
-        same = np.flatnonzero(owner[gap:] == owner[:-gap]) if len(bucket) > gap else np.empty(0, dtype=np.int64)
-        left, right = bucket[same], bucket[same + gap]
+        same = np.flatnonzero(owner[gap:] == owner[:-gap]) if len(at) > gap else np.empty(0, dtype=np.int64)
+        left, right = at[same], at[same + gap]
         for a, b in ((left, right), (right, left)):
             for j in range(NONZERO):
-                out += np.bincount(a * DIM + place[b, j], weights=sign[b, j], minlength=BUCKETS * DIM)
-    return out.reshape(BUCKETS, DIM)
+                out += np.bincount(a * DIM + place[b, j], weights=sign[b, j], minlength=len(out))
+    return words, out.reshape(-1, DIM).astype(np.int64)
 
 
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """Random-indexing vectors of all documents' tokens, as unit rows of a BUCKETS x DIM matrix.
+def word_vectors(docs: DataFrame) -> DataFrame:
+    """(word, vector): the random-indexing vector of every word of the documents, a unit row of DIM half floats as bytes, written as a table.
 
-    Each task sums its own documents and sends one row per bucket that it met; Spark adds
-    them up by bucket. The result has BUCKETS rows at any size of the input, which is what
-    the driver receives. Sums are whole numbers, so the order of tasks doesn't matter.
+    Each task sums its own documents by word; Spark adds the sums up by the word's 64-bit
+    hash. The table grows with the vocabulary and stays on the executors' side: the driver
+    receives none of it. Sums are whole numbers, so the order of tasks doesn't matter.
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, sign = index_vectors()
-        total = np.zeros((BUCKETS, DIM))
+        held, size = [], 0
         for batch in batches:
             for part in common.slices(batch, "text"):
-                total += context_sums(common.texts_of(part, "text"), place, sign)
-        met = np.flatnonzero(np.any(total != 0, axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(met)] + [pa.array(total[met, j].astype(np.int64)) for j in range(DIM)], names=["bucket", *names])
+                texts = common.texts_of(part, "text")
+                held.append(context_sums(texts))
+                size += sum(map(len, texts))
+                if size >= SUM_BYTES:
+                    yield added(held)
+                    held, size = [], 0
+        if held:
+            yield added(held)
+
+    def added(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        words, sums = np.concatenate([w for w, _ in held]), np.concatenate([s for _, s in held])
+        order = np.argsort(words, kind="stable")
+        words, first = np.unique(words[order], return_index=True)
+        sums = np.add.reduceat(sums[order], first, axis=0) if len(words) else sums
+        return pa.RecordBatch.from_arrays([common.signed(words), *[pa.array(sums[:, j]) for j in range(DIM)]], names=["word", *names])
+
+    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = np.stack([batch.column(n).to_numpy() for n in names], 1).astype(float)
+            v = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.float16)
+            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * DIM), len(v), [None, pa.py_buffer(v.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), packed.cast(pa.binary())], names=["word", "vector"])
 
     names = [f"v{j}" for j in range(DIM)]
-    sums = docs.select(common.text_bytes()).mapInArrow(partial, "bucket long, " + ", ".join(f"{n} long" for n in names))
-    rows = sums.groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
-    vectors = np.zeros((BUCKETS, DIM))
-    vectors[rows["bucket"].to_numpy(dtype=np.int64)] = rows[names].to_numpy(dtype=float)
-    return (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    sums = docs.select(common.text_bytes()).mapInArrow(partial, "word long, " + ", ".join(f"{n} long" for n in names))
+    sums = sums.groupBy("word").agg(*[F.sum(n).alias(n) for n in names])
+    return cut(sums.mapInArrow(unit, "word long, vector binary"), "vectors")
+
+
+def with_features(docs: DataFrame, vectors: DataFrame, finish: Callable[[np.ndarray], pa.Array], out: str, out_type: str) -> DataFrame:
+    """docs with a column out added: finish of the features of its texts.
+
+    Documents are dealt into blocks by a hash; a block's distinct words are joined to their
+    vectors once, and sent ahead of its documents. A worker holds the words of one block.
+    """
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_blocks = max(MIN_BLOCKS, -(-size // BLOCK_BYTES))
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int").alias("_block")
+    dealt = docs.select(block, common.text_bytes()).repartition("_block").sortWithinPartitions("_block")
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for part in (p for batch in batches for p in common.slices(batch, "text")):
+            blocks = part.column("_block").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+            for a, b in zip(cuts, cuts[1:]):
+                if held and blocks[a] != now:
+                    yield asked(now, held)
+                    held = []
+                now = blocks[a]
+                held.append(np.unique(token_ids(common.texts_of(part.slice(a, b - a), "text"))[0]))
+                if len(held) > 16:
+                    held = [np.unique(np.concatenate(held))]
+        if held:
+            yield asked(now, held)
+
+    def asked(block: int, held: list[np.ndarray]) -> pa.RecordBatch:
+        words = np.unique(np.concatenate(held))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block, dtype=np.int32)), common.signed(words)], names=["_block", "word"])
+
+    wanted = dealt.mapInArrow(distinct, "_block int, word long").join(vectors, "word")
+    row_type = docs.select(common.packed(docs)).schema["_row"].dataType
+    ahead = wanted.select("_block", F.lit(0).alias("_late"), F.col("word").alias("_word"), F.col("vector").alias("_vector"), F.lit(None).cast(row_type).alias("_row"))
+    late = docs.select(block, F.lit(1).alias("_late"), F.lit(None).cast("long").alias("_word"), F.lit(None).cast("binary").alias("_vector"), common.packed(docs))
+    both = ahead.unionByName(late).repartition("_block").sortWithinPartitions("_block", "_late")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, words, raw, table = None, [], [], None
+        for batch in batches:
+            blocks, is_late = batch.column("_block").to_numpy(), batch.column("_late").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(blocks * 2 + is_late)) + 1).tolist(), len(blocks)]
+            for a, b in zip(cuts, cuts[1:]):
+                if b == a:
+                    continue
+                if blocks[a] != now:
+                    now, words, raw, table = blocks[a], [], [], None
+                part = batch.slice(a, b - a)
+                if not is_late[a]:
+                    words.append(part.column("_word").to_numpy().view(U64))
+                    raw.append(b"".join(part.column("_vector").to_pylist()))
+                    continue
+                if table is None:
+                    table = lookup(words, raw)
+                    words, raw = [], []
+                for rows, texts in common.row_parts(part.select(["_row"])):
+                    yield pa.RecordBatch.from_arrays([rows.column("_row"), finish(pooled(texts, *table))], names=["_row", out])
+
+    done = both.mapInArrow(run, f"{common.row_type(docs)}, {out} {out_type}")
+    return done.select(*common.unpacked(done, out))
+
+
+def lookup(words: list[np.ndarray], raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(words, ascending; their vectors) of a block."""
+    if not words:
+        return np.empty(0, dtype=U64), np.zeros((0, DIM), dtype=np.float32)
+    all_words, vectors = np.concatenate(words), np.frombuffer(b"".join(raw), dtype=np.float16).reshape(-1, DIM)
+    order = np.argsort(all_words)
+    return all_words[order], vectors[order].astype(np.float32)
 
 
 GAPS = (1, 2)
 N_FEATURES = 2 * DIM + 6
 
 
-def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
-    """A row per text: mean and deviation of its word vectors, likeness of neighbouring vectors at distance 1 and 2, norm, spread and size."""
+def pooled(texts: list[bytes], words: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """A row per text: mean and deviation of its word vectors, likeness of neighbouring vectors at distance 1 and 2, norm, spread and size. words is ascending; a word that it lacks has the zero vector."""
     n = len(texts)
-    bucket, owner = token_ids(texts)
+    tokens, owner = token_ids(texts)
     counts = np.bincount(owner, minlength=n)
     out = np.zeros((n, N_FEATURES), dtype=np.float32)
     some = np.flatnonzero(counts)
     if not len(some):
         return out
     first = np.concatenate(([0], np.cumsum(counts)[:-1]))[some]
-    v = vectors[bucket]
+    at = np.searchsorted(words, tokens).clip(max=max(len(words) - 1, 0))
+    v = np.zeros((len(tokens), DIM), dtype=np.float32)
+    if len(words):
+        known = words[at] == tokens
+        v[known] = vectors[at[known]]
     size = counts[some][:, None]
     mean = np.add.reduceat(v, first, axis=0) / size
     out[some, :DIM] = mean
     out[some, DIM : 2 * DIM] = np.sqrt(np.maximum(np.add.reduceat(v * v, first, axis=0) / size - mean * mean, 0))
     for gap in GAPS:
-        like = np.zeros(len(bucket), dtype=np.float32)
-        if len(bucket) > gap:
+        like = np.zeros(len(tokens), dtype=np.float32)
+        if len(tokens) > gap:
             like[:-gap] = np.einsum("ij,ij->i", v[:-gap], v[gap:]) * (owner[:-gap] == owner[gap:])
         out[some, 2 * DIM + gap - 1] = np.add.reduceat(like, first) / np.maximum(counts[some] - gap, 1)
     out[some, 2 * DIM + 2] = np.linalg.norm(mean, axis=1)
-    repeat = np.zeros(len(bucket), dtype=np.float32)
-    repeat[1:] = (bucket[1:] == bucket[:-1]) & (owner[1:] == owner[:-1])
+    repeat = np.zeros(len(tokens), dtype=np.float32)
+    repeat[1:] = (tokens[1:] == tokens[:-1]) & (owner[1:] == owner[:-1])
     out[some, 2 * DIM + 3] = np.add.reduceat(repeat, first) / counts[some]
     out[some, 2 * DIM + 4] = np.log1p(counts[some])
     out[some, 2 * DIM + 5] = 1.0
@@ -175,44 +259,33 @@ class Network:
         return self
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> bytes:
+def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> tuple[DataFrame, bytes]:
     """Word vectors over all docs, and a network over at most about max_rows labelled rows (by a hash of doc_id; the bound on the sample).
 
     labels has doc_id and quality; rows with a null in either are left out. Returns the
-    pickled (vectors, network): BUCKETS x DIM floats and some weights, a fixed size.
+    table of vectors and the pickled network, which has a fixed size.
     """
     vectors = word_vectors(docs)
-    held = docs.sparkSession.sparkContext.broadcast(vectors)
     known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_y")).where("_id is not null and _y is not null").distinct()
     share = min(1.0, max_rows / max(1, known.count()))
     known = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    sample = docs.select("doc_id", common.text_bytes()).join(known, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_y")
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in common.slices(batch, "text"):
-                x = pooled(common.texts_of(part, "text"), held.value).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_y"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
+    sample = cut(docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_y"), "sample")
+    rows = with_features(sample, vectors, lambda x: pa.array(list(x.astype(np.float64)), pa.list_(pa.float64())), "_x", "array<double>").select("doc_id", "_y", "_x").toPandas()
+    discard(sample)
+    x = np.stack(rows["_x"].tolist()) if len(rows) else np.zeros((0, N_FEATURES))
+    order = np.lexsort((*x.T[:3], rows["_y"].to_numpy(dtype=np.int64), rows["doc_id"].to_numpy(dtype=np.int64))) if len(rows) else np.empty(0, dtype=np.int64)
+    return vectors, pickle.dumps(Network().fit(x[order], rows["_y"].to_numpy(dtype=np.int64)[order]))
 
-    rows = sample.mapInArrow(features, "doc_id long, y int, x array<double>").toPandas()
-    x = np.stack(rows["x"].tolist()) if len(rows) else np.zeros((0, N_FEATURES))
-    order = np.lexsort((*x.T[:3], rows["y"].to_numpy(dtype=np.int64), rows["doc_id"].to_numpy(dtype=np.int64))) if len(rows) else np.empty(0, dtype=np.int64)
-    return pickle.dumps((vectors, Network().fit(x[order], rows["y"].to_numpy(dtype=np.int64)[order])))
 
-
-def score(docs: DataFrame, model: bytes) -> DataFrame:
+def score(docs: DataFrame, model: tuple[DataFrame, bytes]) -> DataFrame:
     """docs with the column _score added: the calibrated probability of quality 1. Null texts score as empty ones."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    vectors, network = model
+    held = docs.sparkSession.sparkContext.broadcast(network)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, network = pickle.loads(held.value)
-        for batch in batches:
-            for part, texts in common.row_parts(batch):
-                p = network.probabilities(pooled(texts, vectors))
-                yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(p.astype(float).ravel())], names=["_row", "_score"])
+    def finish(x: np.ndarray) -> pa.Array:
+        return pa.array(pickle.loads(held.value).probabilities(x).astype(float).ravel())
 
-    scored = docs.select(common.packed(docs)).mapInArrow(run, f"{common.row_type(docs)}, _score double")
-    return scored.select(*common.unpacked(scored, "_score"))
+    return with_features(docs, vectors, finish, "_score", "double")
 
 
 def fold(doc_id: str, n: int) -> F.Column:

@@ -94,7 +94,16 @@ def protocol_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 x AS (SELECT *, unnest(range(greatest(n, 1))) AS k FROM r)
 SELECT us + CAST(k AS BIGINT) * 1000000 AS at_us, CASE WHEN k = greatest(n, 1) - 1 THEN octets - (octets // greatest(n, 1)) * (greatest(n, 1) - 1) ELSE octets // greatest(n, 1) END AS size_bytes, count(*) AS n FROM x GROUP BY ALL""")
 def record_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0")  # the records of this example
+    return expanded(table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0"))  # the records of this example
+
+
+@query()
+def record_expansion_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return expanded(table(spark, sf_dir, "lineitem"))
+
+
+def expanded(line: DataFrame) -> DataFrame:
+    """Packets by time and size of line items as flow records."""
     n = F.col("l_quantity").cast("long")
     records = line.select(
         F.lit("x").alias("capture_id"), F.col("l_orderkey").alias("record_id"), F.lit("a").alias("src_ip"), F.lit("b").alias("dst_ip"), F.lit(1).alias("src_port"), F.lit(2).alias("dst_port"), F.lit("UDP").alias("protocol"),
@@ -165,9 +174,19 @@ def edge_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def collector_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Three collectors, each of which misses a fifth of the events."""
+    """Three collectors, each of which sees two of eleven events; users are folded to 40."""
     e = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string")).alias("source"), F.concat(F.lit("svc-"), "event_type").alias("target"), "event_id", F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("collector"))
-    e = e.where((F.col("event_id") + F.col("collector") * 7) % 11 < 2)
+    return seen_by_collectors(e.where((F.col("event_id") + F.col("collector") * 7) % 11 < 2))
+
+
+def all_collector_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Three collectors of all users' events, each of which misses a fifth of them by a hash."""
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source"), F.concat(F.lit("svc-"), "event_type").alias("target"), "event_id", F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("collector"))
+    return seen_by_collectors(e.where(F.pmod(F.xxhash64("event_id", "collector"), F.lit(5)) > 0))
+
+
+def seen_by_collectors(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, nodes) of each collector."""
     edges = e.groupBy("collector", "source", "target").agg(F.count(F.lit(1)).alias("n")).withColumn("confidence", 1 - F.exp(-F.col("n") / 20.0))
     nodes = e.select("collector", F.explode(F.array("source", "target")).alias("ip")).distinct()
     return edges, nodes
@@ -191,6 +210,16 @@ def collector_quorum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.quorum(topology.resolve_collectors(*collector_edges(spark, sf_dir)))
 
 
+@query()
+def collector_resolution_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topology.resolve_collectors(*all_collector_edges(spark, sf_dir))
+
+
+@query()
+def collector_quorum_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topology.quorum(topology.resolve_collectors(*all_collector_edges(spark, sf_dir)))
+
+
 @query("""WITH x AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS us FROM events) SELECT 'u' || user_id AS src_ip, 'svc-' || event_type AS dst_ip, us FROM x""")
 def collector_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event seen by two collectors, the second up to 0.9 ms later: one packet is left of each two."""
@@ -352,11 +381,12 @@ QUARTER_US = 7_889_400_000_000
 START_1995 = 788_918_400_000_000
 
 
-def quarter_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(version, source, target, observations, volume): customer segments and suppliers by quarter of the order."""
+def quarter_edges(spark: SparkSession, sf_dir: str, folded: bool = True) -> DataFrame:
+    """(version, source, target, observations, volume): customers and suppliers by quarter of the order; folded to 40 and 50 segments, or each by itself."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", micros(F.col("o_orderdate")).alias("us"))
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity").join(o, "l_orderkey").where(F.col("us") >= START_1995)
-    c, s = F.concat(F.lit("c"), (F.col("o_custkey") % 40).cast("string")), F.concat(F.lit("s"), (F.col("l_suppkey") % 50).cast("string"))
+    customer, supplier = (F.col("o_custkey") % 40, F.col("l_suppkey") % 50) if folded else (F.col("o_custkey"), F.col("l_suppkey"))
+    c, s = F.concat(F.lit("c"), customer.cast("string")), F.concat(F.lit("s"), supplier.cast("string"))
     version = F.floor((F.col("us") - START_1995) / QUARTER_US).cast("long")
     return line.groupBy(version.alias("version"), c.alias("source"), s.alias("target")).agg(F.count(F.lit(1)).alias("observations"), F.sum(F.floor("l_quantity").cast("long")).alias("volume"))
 
@@ -399,6 +429,30 @@ def fingerprint_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.upsert(f.where("epoch < 15"), f.where("epoch >= 10 and epoch % 7 = 3"), ["ip"], "epoch")
 
 
+@query()
+def event_timeline_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.timeline(quarter_edges(spark, sf_dir, folded=False), ["source", "target"], ["observations", "volume"])
+
+
+@query()
+def snapshot_diff_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = quarter_edges(spark, sf_dir, folded=False)
+    return history.diff_edges(q.where("version = 2"), q.where("version = 3"), ["source", "target"], ["observations", "volume"])
+
+
+@query()
+def node_diff_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = quarter_edges(spark, sf_dir, folded=False).select("version", F.explode(F.array("source", "target")).alias("node")).distinct()
+    return history.diff_nodes(n.where("version = 2").select("node"), n.where("version = 3").select("node"), ["node"])
+
+
+@query()
+def fingerprint_upsert_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every epoch from 10 on is upserted."""
+    f = user_fingerprints(spark, sf_dir).select("ip", "epoch", "total_byte_count")
+    return history.upsert(f.where("epoch < 15"), f.where("epoch >= 10"), ["ip"], "epoch")
+
+
 # dependency
 
 
@@ -598,10 +652,11 @@ def counterfactual_add_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TRUTH = "tp AS (SELECT DISTINCT 'c' || (o_custkey % 200) AS source, 's' || l_suppkey AS target, o_orderdate < TIMESTAMP '1997-01-01' AS early FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 
 
-def truth_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Pairs of early orders as the truth, pairs of late ones as what was inferred."""
+def truth_pairs(spark: SparkSession, sf_dir: str, folded: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Pairs of early orders as the truth, pairs of late ones as what was inferred; customers folded to 200, or each by itself."""
+    customer = F.col("o_custkey") % 200 if folded else F.col("o_custkey")
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", (F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp_ntz")).alias("early"))
-    p = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").join(o, "l_orderkey").select(F.concat(F.lit("c"), (F.col("o_custkey") % 200).cast("string")).alias("source"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("target"), "early").distinct()
+    p = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").join(o, "l_orderkey").select(F.concat(F.lit("c"), customer.cast("string")).alias("source"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("target"), "early").distinct()
     return p.where("early").drop("early"), p.where("not early").drop("early")
 
 
@@ -626,6 +681,19 @@ def edge_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("matched", "union", r6("jaccard").alias("jaccard"))
 
 
+@query()
+def topology_prf_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    truth, inferred = truth_pairs(spark, sf_dir, folded=False)
+    s = metrics.set_scores(inferred, truth, ["source", "target"])
+    return s.select("matched", "predicted", "actual", r6("precision").alias("precision"), r6("recall").alias("recall"), r6("f1").alias("f1"))
+
+
+@query()
+def edge_jaccard_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = metrics.jaccard(*truth_pairs(spark, sf_dir, folded=False), ["source", "target"])
+    return j.select("matched", "union", r6("jaccard").alias("jaccard"))
+
+
 @query("SELECT o_orderpriority, o_orderstatus, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS sd, min(o_totalprice) AS min, max(o_totalprice) AS max FROM orders GROUP BY ALL")
 def metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = metrics.summary(table(spark, sf_dir, "orders"), "o_totalprice", ["o_orderpriority", "o_orderstatus"])

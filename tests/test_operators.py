@@ -157,6 +157,17 @@ def test_betweenness_and_criticality(spark):
     assert top["node"] == "H" and top["score"] == 1.0
 
 
+def test_searches_reach_the_end_of_a_chain(spark):
+    """Searches have no depth at which they stop: a chain of 17 edges, whose far end is past every former bound and past a cut of the plan."""
+    names = [f"n{i:02d}" for i in range(18)]
+    g = graph_df(spark, [(a, b, 0.9) for a, b in zip(names, names[1:])])
+    starts = spark.createDataFrame([(names[0],)], "start string")
+    assert {r["node"]: r["hop"] for r in graph.hops(g, starts).collect()} == {n: i for i, n in enumerate(names)}
+    assert {r["node"]: r["cost"] for r in graph.shortest_paths(g, starts).collect()} == pytest.approx({n: -i * math.log(0.9) for i, n in enumerate(names)})
+    want = {n: 2 * i * (17 - i) / (17 * 16) for i, n in enumerate(names)}
+    assert {r["node"]: r["betweenness"] for r in graph.betweenness(g).collect()} == pytest.approx(want)
+
+
 def test_metrics(spark):
     empty = spark.createDataFrame([], "k string")
     r = metrics.set_scores(empty, empty, ["k"]).first()

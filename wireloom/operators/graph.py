@@ -5,6 +5,8 @@ Edges are undirected rows (source, target, confidence); loops are ignored.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from wireloom.operators.components import connected_components
 from wireloom.session import cut
 
 SEPARATOR = "\x1f"
+#: Levels of a search after which their union is written, so that its plan doesn't grow with the depth.
+PLAN_STEPS = 16
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -88,22 +92,24 @@ def root_causes(edges: DataFrame, failed: str, top: int = 50) -> DataFrame:
     return scored.orderBy(F.col("score").desc(), "collateral", "failed").limit(top).withColumn("rank", F.row_number().over(w)).select(F.col("failed").alias("node"), "prevented", "score", "collateral", "rank")
 
 
-def hops(edges: DataFrame, sources: DataFrame, depth: int = 6) -> DataFrame:
-    """(start, node, hop, paths): breadth-first distance from every start of sources(start), and the number of shortest paths, down to depth hops."""
+def hops(edges: DataFrame, sources: DataFrame, depth: int | None = None) -> DataFrame:
+    """(start, node, hop, paths): breadth-first distance from every start of sources(start), and the number of shortest paths; of all nodes that can be reached, or down to depth hops."""
     e = cut(both_ways(edges).select("a", "b").distinct(), "links")
     front = sources.select("start", F.col("start").alias("node"), F.lit(0).alias("hop"), F.lit(1).cast("double").alias("paths"))
     seen = cut(front, "hops")
     front = seen
-    for hop in range(1, depth + 1):
+    for hop in count(1) if depth is None else range(1, depth + 1):
         step = front.join(e, F.col("node") == F.col("a")).groupBy("start", F.col("b").alias("node")).agg(F.sum("paths").alias("paths"))
         step = cut(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").select("start", "node", F.lit(hop).alias("hop"), "paths"), "hops")
         if step.isEmpty():
             break
         seen, front = seen.unionByName(step), step
+        if hop % PLAN_STEPS == 0:
+            seen = cut(seen, "hops")
     return seen
 
 
-def betweenness(edges: DataFrame, depth: int = 12) -> DataFrame:
+def betweenness(edges: DataFrame, depth: int | None = None) -> DataFrame:
     """(node, betweenness), normalised for an undirected graph: shortest-path counts outwards by level, dependencies back inwards by level."""
     nodes = nodes_of(edges)
     seen = cut(hops(edges, nodes.select(F.col("node").alias("start")), depth), "hops")
@@ -117,21 +123,24 @@ def betweenness(edges: DataFrame, depth: int = 12) -> DataFrame:
         got = upper.join(give.select("start", F.col("a").alias("node"), "_pw", F.col("delta").alias("_dw")), ["start", "node"], "left").groupBy("start", "node", "hop", "paths").agg(F.coalesce(F.sum(F.col("paths") / F.col("_pw") * (1 + F.col("_dw"))), F.lit(0.0)).alias("delta"))
         delta = cut(got, "deltas")
         total = total.unionByName(delta)
+        if hop % PLAN_STEPS == 0:
+            total = cut(total, "deltas")
     n = nodes.count()
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
     sums = total.where("hop > 0").groupBy("node").agg((F.sum("delta") * scale).alias("betweenness"))
     return nodes.join(sums, "node", "left").select("node", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, weight: Column | None = None, rounds: int = 12) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame, weight: Column | None = None, rounds: int | None = None) -> DataFrame:
     """(start, node, cost, path): cheapest path from every start; among equal costs the lexicographically first path.
 
-    Relaxation by rounds: only nodes whose cost fell in the last round send offers.
+    Relaxation by rounds: only nodes whose cost fell in the last round send offers. It goes on until no cost
+    falls, or for the given number of rounds. Offers are simple paths, so it ends.
     """
     e = cut(both_ways(edges).withColumn("w", weight if weight is not None else edge_weight(F.col("confidence"))).groupBy("a", "b").agg(F.min("w").alias("w")), "links")
     best = cut(sources.select("start", F.col("start").alias("node"), F.lit(0.0).alias("cost"), F.col("start").alias("path")), "costs")
     front = best
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         offers = front.join(e, F.col("node") == F.col("a")).where(~F.array_contains(F.split("path", SEPARATOR), F.col("b"))).select("start", F.col("b").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.concat_ws(SEPARATOR, "path", "b").alias("path"))
         top = best.withColumn("_old", F.lit(0)).unionByName(offers.withColumn("_old", F.lit(1))).groupBy("start", "node").agg(F.min(F.struct("cost", "path", "_old")).alias("_t"))
         after = cut(top.select("start", "node", "_t.cost", "_t.path", "_t._old"), "costs")

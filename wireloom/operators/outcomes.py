@@ -10,7 +10,7 @@ from wireloom.operators import graph, metrics
 from wireloom.session import cut
 
 
-def route_changes(before: DataFrame, after: DataFrame, pairs: DataFrame, rounds: int = 8) -> DataFrame:
+def route_changes(before: DataFrame, after: DataFrame, pairs: DataFrame, rounds: int | None = None) -> DataFrame:
     """(start, node, cost_before, cost_after, changed, lost) of pairs(start, node) on two graphs."""
     starts = pairs.select("start").distinct()
     a = graph.shortest_paths(before, starts, rounds=rounds).select("start", "node", F.col("cost").alias("cost_before"), F.col("path").alias("_a"))

@@ -620,6 +620,13 @@ def shortest_path_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.shortest_paths(e, start, rounds=3).select("node", r6("cost").alias("cost"))
 
 
+@query()
+def shortest_path_cost_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of any number of edges."""
+    e = adapters.nation_graph(spark, sf_dir)
+    return graph.shortest_paths(e, e.agg(F.min("source").alias("start"))).select("node", r6("cost").alias("cost"))
+
+
 @query()
 def alternate_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = graph.alternate_paths(adapters.nation_graph(spark, sf_dir), "NATION_3", "NATION_7", max_hops=3)
@@ -632,6 +639,13 @@ def hop_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.hops(adapters.sparse_graph(spark, sf_dir), starts, 3).select("start", "node", "hop")
 
 
+@query()
+def hop_classes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node that can be reached, at any distance."""
+    starts = top_suppliers(spark, sf_dir).withColumnRenamed("failed", "start")
+    return graph.hops(adapters.sparse_graph(spark, sf_dir), starts).select("start", "node", "hop")
+
+
 @query(f"""WITH {sql.NATION}, sc AS (SELECT * FROM (VALUES ('a', 'node', 'NATION_3', 0.0), ('b', 'latency', 'NATION_7', 100.0), ('c', 'loss', 'NATION_11', 0.3)) v(scenario, kind, node, magnitude)),
 x AS (SELECT scenario, kind, magnitude, e.source, e.target, confidence, e.source = node OR e.target = node AS hit FROM e, sc)
 SELECT scenario, source, target, round(confidence, 6) AS confidence, round(-ln(least(greatest(confidence, 1e-9), 1.0)) + CASE WHEN NOT hit THEN 0 WHEN kind = 'latency' THEN magnitude / 100 WHEN kind = 'loss' THEN -ln(greatest(1 - magnitude, 1e-9)) ELSE 0 END, 6) AS cost FROM x WHERE NOT (hit AND kind = 'node')""")
@@ -954,7 +968,7 @@ def route_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = adapters.nation_graph(spark, sf_dir)
     after = graph.counterfactual(e, "remove_node", "NATION_3")
     pairs = e.where("source <> 'NATION_3' and target <> 'NATION_3'").select(F.col("source").alias("start"), F.col("target").alias("node")).where("start = 'NATION_0'")
-    return outcomes.route_changes(e, after, pairs, 4).select("start", "node", r6("cost_before").alias("cost_before"), r6("cost_after").alias("cost_after"), "changed", "lost")
+    return outcomes.route_changes(e, after, pairs).select("start", "node", r6("cost_before").alias("cost_before"), r6("cost_after").alias("cost_after"), "changed", "lost")
 
 
 @query()

@@ -562,6 +562,17 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.components(adapters.sparse_graph(spark, sf_dir))
 
 
+@query()
+def degree_centrality_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = graph.degree_centrality(adapters.sparse_graph(spark, sf_dir, None))
+    return d.select("node", "degree", r6("centrality").alias("centrality"), r6("mean_confidence").alias("mean_confidence"))
+
+
+@query()
+def connected_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.components(adapters.sparse_graph(spark, sf_dir, None))
+
+
 def top_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers whose number ends in 7, as failures."""
     return adapters.sparse_graph(spark, sf_dir).where("target like 's%7'").select(F.col("target").alias("failed")).distinct()

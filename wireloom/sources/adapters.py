@@ -59,9 +59,10 @@ def event_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sparse_graph(spark: SparkSession, sf_dir: str, least: float = 490_000.0) -> DataFrame:
-    """Customers and suppliers of large orders: (source, target, confidence)."""
-    o = table(spark, sf_dir, "orders").where(F.col("o_totalprice") > least).select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+def sparse_graph(spark: SparkSession, sf_dir: str, least: float | None = 490_000.0) -> DataFrame:
+    """Customers and suppliers of large orders, or with least None of all orders: (source, target, confidence)."""
+    orders = table(spark, sf_dir, "orders")
+    o = (orders if least is None else orders.where(F.col("o_totalprice") > least)).select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     pairs = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").join(o, "l_orderkey")
     c, s = F.concat(F.lit("c"), F.col("o_custkey").cast("string")), F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
     return pairs.groupBy(c.alias("source"), s.alias("target")).agg(F.count(F.lit(1)).alias("observation_count")).select("source", "target", "observation_count", (1 - F.pow(F.lit(0.5), F.col("observation_count"))).alias("confidence"))

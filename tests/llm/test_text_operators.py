@@ -421,34 +421,59 @@ def test_quality(spark, sf_dir):
     assert all(abs(again[i] - scored[i]["score"]) < 1e-6 for i in again)
 
 
+def brute_vectors(texts):
+    """Unit vector of every word, token by token."""
+    out = {}
+    for t in texts:
+        tokens, _ = quality.token_ids([(t or "").encode()])
+        index = quality.index_vectors(tokens).astype(np.int64)
+        for i, w in enumerate(tokens.tolist()):
+            near = [j for j in range(max(0, i - quality.WINDOW), min(len(tokens), i + quality.WINDOW + 1)) if j != i]
+            out[w] = out.get(w, 0) + index[near].sum(0)
+    words = np.array(sorted(out), dtype=np.uint64)
+    table = np.array([out[w] for w in words.tolist()], dtype=float).reshape(-1, quality.DIM)
+    return words, (table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+
+
 def test_quality_words_have_own_vectors(spark):
-    """More words than any fixed table of 16,384 rows: every word has a row, and the row is the sum over its own contexts."""
+    """More words than any fixed table of 16,384 rows: every word's vector is the sum over its own contexts, in any block."""
     texts = [" ".join(f"{a}{i:05d}".translate(str.maketrans("0123456789", "abcdefghij")) for a in "xyz") for i in range(10_000)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows = {r["word"]: np.frombuffer(r["vector"], dtype=np.float16) for r in quality.word_vectors(df.repartition(7)).collect()}
-    assert len(rows) == len({w for t in texts for w in t.split()}) == 30_000
-    for t in texts[:50]:
-        hashes, _ = quality.token_ids([t.encode()])
-        place, sign = quality.index_vectors(hashes)
-        index = np.zeros((3, quality.DIM))
-        for j in range(quality.NONZERO):
-            np.add.at(index, (np.arange(3), place[:, j]), sign[:, j])
-        for i, h in enumerate(hashes.view(np.int64).tolist()):
-            want = index.sum(0) - index[i]
-            want = want / max(np.linalg.norm(want), 1e-9)
-            assert np.allclose(rows[h], want, atol=1e-3)
-
-
-def test_quality_features_of_blocks(spark):
-    """Features by the join are those of a lookup in the whole table, whatever the block."""
+    words, table = brute_vectors(texts)
+    assert len(words) == 30_000
+    got = {r["doc_id"]: np.frombuffer(r["features"], dtype=np.float32) for r in quality.document_features(df.repartition(7), 5).collect()}
+    assert len(got) == 10_000
+    for i in range(0, 10_000, 97):
+        assert np.allclose(got[i], quality.pooled([texts[i].encode()], words, table)[0], atol=1e-5)
+
+
+def test_quality_features_of_blocks(spark, sf_dir):
+    """Features through blocks are those of a lookup in the whole table, whatever the number of blocks."""
+    for df in (odd(spark), documents(spark, sf_dir)):
+        rows = df.select("doc_id", "text").collect()
+        words, table = brute_vectors([r["text"] for r in rows])
+        for blocks in (1, 7):
+            got = {(r["doc_id"], r["text_key"]): r["features"] for r in quality.document_features(df, blocks).collect()}
+            keys = df.selectExpr("doc_id", "text", "xxhash64(text) as k").collect()
+            assert set(got) == {(r["doc_id"], r["k"]) for r in keys}
+            for r in keys:
+                assert np.allclose(np.frombuffer(got[r["doc_id"], r["k"]], dtype=np.float32), quality.pooled([(r["text"] or "").encode()], words, table)[0], atol=1e-4)
+
+
+def test_packed_sums_round_trip():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 1000):
+        words = np.sort(rng.integers(0, 2**64, n, dtype=np.uint64))
+        sums = rng.integers(-(2**40), 2**40, (n, quality.DIM)) * rng.integers(0, 2, (n, quality.DIM))
+        a, b = quality.unpacked_sums(quality.packed_sums(words, sums), n)
+        assert (a == words).all() and (b == sums).all()
+
+
+def test_keep_good_keeps_columns(spark):
     df = odd(spark)
-    vectors = quality.word_vectors(df)
-    rows = sorted((np.uint64(r["word"] & (2**64 - 1)), r["vector"]) for r in vectors.collect())
-    words, table = np.array([w for w, _ in rows], dtype=np.uint64), np.stack([np.frombuffer(v, dtype=np.float16) for _, v in rows]).astype(np.float32)
-    got = quality.with_features(df, vectors, lambda x: quality.pa.array(list(x.astype(float)), quality.pa.list_(quality.pa.float64())), "_x", "array<double>").collect()
-    assert len(got) == 13 and set(got[0].asDict()) == {*df.columns, "_x"}
-    for r in got:
-        assert np.allclose(r["_x"], quality.pooled([(r["text"] or "").encode()], words, table)[0], atol=1e-5)
+    got = quality.keep_good(df, labels(spark).where("1 = 0"))
+    assert got.schema.names == df.schema.names and [f.dataType for f in got.schema] == [f.dataType for f in df.schema]
+    assert sorted(map(str, got.collect())) == sorted(map(str, df.collect()))
 
 
 def test_quality_odd(spark):

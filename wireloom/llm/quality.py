@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +15,12 @@ from wireloom.session import cut, discard
 
 U64 = np.uint64
 DIM, NONZERO, WINDOW = 16, 4, 2
-#: A block of documents looks up its words together: about this much text, and at least MIN_BLOCKS of them.
-BLOCK_BYTES, MIN_BLOCKS = 32 << 20, 32
-#: Texts whose sums a task adds up before it sends them.
-SUM_BYTES = 16 << 20
+#: Documents of a block meet their word vectors together: about this much text, and at least MIN_BLOCKS of them.
+BLOCK_BYTES, MIN_BLOCKS = 64 << 20, 8
+#: Text that a task packs into blobs at a time.
+PACK_BYTES = 16 << 20
+#: Parts of the vocabulary for each block, so that a part holds a fraction of a block's words.
+PARTS = 4
 #: Classes of a byte: white space, word (letters, digits, parts of non-ASCII characters), marks.
 _RUN = np.full(256, 2, dtype=np.uint8)
 _RUN[list(common.SPACE)] = 0
@@ -37,139 +39,175 @@ def token_ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return common.span_hashes(blob, starts, ends), np.searchsorted(np.cumsum(lengths + 1), starts, side="right")
 
 
-def index_vectors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The fixed random index vector of every word: NONZERO places and signs, from its hash."""
+def index_vectors(words: np.ndarray) -> np.ndarray:
+    """The fixed random index vector of every word, from its hash: NONZERO draws of a place and a sign."""
     bits = common.mix(words + common.seeded(11))
-    place = np.stack([(bits >> U64(8 * j)) % U64(DIM) for j in range(NONZERO)], 1).astype(np.int64)
-    sign = np.stack([((bits >> U64(40 + j)) & U64(1)).astype(np.int64) * 2 - 1 for j in range(NONZERO)], 1)
-    return place, sign
+    out = np.zeros((len(words), DIM), dtype=np.int8)
+    at = np.arange(len(words))
+    for j in range(NONZERO):
+        out[at, ((bits >> U64(8 * j)) % U64(DIM)).astype(np.int64)] += ((bits >> U64(40 + j)) & U64(1)).astype(np.int8) * 2 - 1
+    return out
 
 
 def context_sums(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The distinct words, ascending, and for each the sum of the index vectors of the tokens up to WINDOW places away in the same text."""
     tokens, owner = token_ids(texts)
     words, at = np.unique(tokens, return_inverse=True)
-    place, sign = index_vectors(words)
-    out = np.zeros(len(words) * DIM)
+    if not len(words):
+        return words, np.zeros((0, DIM), dtype=np.int64)
+    own = index_vectors(words)[at]
+    near = np.zeros_like(own)  # at most 2 * WINDOW * NONZERO in a place
     for gap in range(1, WINDOW + 1):
-        same = np.flatnonzero(owner[gap:] == owner[:-gap]) if len(at) > gap else np.empty(0, dtype=np.int64)
-        left, right = at[same], at[same + gap]
-        for a, b in ((left, right), (right, left)):
-            for j in range(NONZERO):
-                out += np.bincount(a * DIM + place[b, j], weights=sign[b, j], minlength=len(out))
-    return words, out.reshape(-1, DIM).astype(np.int64)
+        same = (owner[gap:] == owner[:-gap])[:, None]
+        near[:-gap] += own[gap:] * same
+        near[gap:] += own[:-gap] * same
+    order = np.argsort(at, kind="stable")
+    first = np.searchsorted(at[order], np.arange(len(words)))
+    return words, np.add.reduceat(near[order], first, axis=0, dtype=np.int64)
 
 
-def word_vectors(docs: DataFrame) -> DataFrame:
-    """(word, vector): the random-indexing vector of every word of the documents, a unit row of DIM half floats as bytes, written as a table.
+def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all parts, ascending, and the sums of their sums."""
+    words, sums = np.concatenate([w for w, _ in held]), np.concatenate([s for _, s in held])
+    order = np.argsort(words, kind="stable")
+    words, first = np.unique(words[order], return_index=True)
+    return words, (np.add.reduceat(sums[order], first, axis=0) if len(words) else sums)
 
-    Each task sums its own documents by word; Spark adds the sums up by the word's 64-bit
-    hash. The table grows with the vocabulary and stays on the executors' side: the driver
-    receives none of it. Sums are whole numbers, so the order of tasks doesn't matter.
-    """
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for part in common.slices(batch, "text"):
-                texts = common.texts_of(part, "text")
-                held.append(context_sums(texts))
-                size += sum(map(len, texts))
-                if size >= SUM_BYTES:
-                    yield added(held)
-                    held, size = [], 0
-        if held:
-            yield added(held)
+def packed_sums(words: np.ndarray, sums: np.ndarray) -> bytes:
+    """Words and their whole-number sums as compressed bytes: most sums are small, so their higher bytes cost next to nothing."""
+    folded = ((sums << 1) ^ (sums >> 63)).T.reshape(-1)
+    return pa.compress(words.tobytes() + np.ascontiguousarray(folded.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
 
-    def added(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        words, sums = np.concatenate([w for w, _ in held]), np.concatenate([s for _, s in held])
-        order = np.argsort(words, kind="stable")
-        words, first = np.unique(words[order], return_index=True)
-        sums = np.add.reduceat(sums[order], first, axis=0) if len(words) else sums
-        return pa.RecordBatch.from_arrays([common.signed(words), *[pa.array(sums[:, j]) for j in range(DIM)]], names=["word", *names])
 
-    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            v = np.stack([batch.column(n).to_numpy() for n in names], 1).astype(float)
-            v = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.float16)
-            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * DIM), len(v), [None, pa.py_buffer(v.tobytes())])
-            yield pa.RecordBatch.from_arrays([batch.column("word"), packed.cast(pa.binary())], names=["word", "vector"])
+def unpacked_sums(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(pa.decompress(blob, decompressed_size=8 * n * (1 + DIM), codec="zstd", asbytes=True), dtype=np.uint8)
+    folded = np.ascontiguousarray(raw[8 * n :].reshape(8, -1).T).view(U64).reshape(DIM, n).T
+    return raw[: 8 * n].view(U64), (folded >> U64(1)).view(np.int64) ^ -(folded & U64(1)).view(np.int64)
 
-    names = [f"v{j}" for j in range(DIM)]
-    sums = docs.select(common.text_bytes()).mapInArrow(partial, "word long, " + ", ".join(f"{n} long" for n in names))
-    sums = sums.groupBy("word").agg(*[F.sum(n).alias(n) for n in names])
-    return cut(sums.mapInArrow(unit, "word long, vector binary"), "vectors")
 
+def packed_texts(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """(_block, _blob): the rows of every block as one compressed Arrow stream."""
+    table = pa.Table.from_batches(batches)
+    table = table.take(pa.array(np.argsort(table.column("_block").to_numpy(), kind="stable"))).combine_chunks()
+    blocks = table.column("_block").to_numpy()
+    cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+    rows, blobs = table.drop_columns(["_block"]), []
+    for a, b in zip(cuts, cuts[1:]):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(rows.slice(a, b - a))
+        blobs.append(sink.getvalue().to_pybytes())
+    return pa.RecordBatch.from_arrays([pa.array(blocks[cuts[:-1]]), pa.array(blobs, pa.binary())], names=["_block", "_blob"])
 
-def with_features(docs: DataFrame, vectors: DataFrame, finish: Callable[[np.ndarray], pa.Array], out: str, out_type: str) -> DataFrame:
-    """docs with a column out added: finish of the features of its texts.
 
-    Documents are dealt into blocks by a hash; a block's distinct words are joined to their
-    vectors once, and sent ahead of its documents. A worker holds the words of one block.
-    """
+def unpacked_texts(blob: pa.Scalar) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of a blob's rows, each with its texts."""
+    for batch in pa.ipc.open_stream(blob.as_buffer()):
+        for part in common.slices(batch, "text"):
+            yield part, common.texts_of(part, "text")
+
+
+def block_count(docs: DataFrame) -> int:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(MIN_BLOCKS, -(-size // BLOCK_BYTES))
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int").alias("_block")
-    dealt = docs.select(block, common.text_bytes()).repartition("_block").sortWithinPartitions("_block")
+    return max(MIN_BLOCKS, -(-size // BLOCK_BYTES))
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+
+def document_features(docs: DataFrame, n_blocks: int | None = None) -> DataFrame:
+    """(doc_id, text_key, features) of docs(doc_id, text), row by row: the pooled vectors of a document's words, as float32 bytes.
+
+    Every word of all documents has a vector of its own, the sum of the index vectors of
+    the tokens near it anywhere. Documents are dealt into blocks by a hash of the row, each
+    a compressed Arrow stream. A block sums its own words; parts of the vocabulary add the
+    blocks' sums up and send every block back the totals of its words, which meet its
+    documents in a cogroup. The texts are shuffled once; neither the vocabulary nor a block
+    passes through the driver, and a task holds the words of one block or one part. Sums
+    are whole numbers, so results don't depend on the order of tasks. text_key is
+    xxhash64 of the text. A null text is empty and has zero features.
+    """
+    n_blocks = n_blocks or block_count(docs)
+    n_parts = PARTS * n_blocks
+    key = F.xxhash64("text").alias("text_key")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key, F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int").alias("_block"), common.text_bytes())
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for part in (p for batch in batches for p in common.slices(batch, "text")):
-            blocks = part.column("_block").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
-            for a, b in zip(cuts, cuts[1:]):
-                if held and blocks[a] != now:
-                    yield asked(now, held)
+            held.append(part)
+            size += part.nbytes
+            if size >= PACK_BYTES:
+                yield packed_texts(held)
+                held, size = [], 0
+        if held:
+            yield packed_texts(held)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for block, blob in zip(batch.column("_block").to_pylist(), batch.column("_blob")):
+                if held and block != now:
+                    yield shares(now, *merged(held))
                     held = []
-                now = blocks[a]
-                held.append(np.unique(token_ids(common.texts_of(part.slice(a, b - a), "text"))[0]))
-                if len(held) > 16:
-                    held = [np.unique(np.concatenate(held))]
+                now = block
+                for _, texts in unpacked_texts(blob):
+                    held.append(context_sums(texts))
+                    if len(held) > 16:
+                        held = [merged(held)]
         if held:
-            yield asked(now, held)
+            yield shares(now, *merged(held))
 
-    def asked(block: int, held: list[np.ndarray]) -> pa.RecordBatch:
-        words = np.unique(np.concatenate(held))
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block, dtype=np.int32)), common.signed(words)], names=["_block", "word"])
+    def shares(block: int, words: np.ndarray, totals: np.ndarray) -> pa.RecordBatch:
+        part = (words % U64(n_parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        words, totals, part = words[order], totals[order], part[order]
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)] if len(part) else [0]
+        spans = list(zip(cuts, cuts[1:]))
+        return sums_batch([(part[a], block, b - a, packed_sums(words[a:b], totals[a:b])) for a, b in spans])
 
-    wanted = dealt.mapInArrow(distinct, "_block int, word long").join(vectors, "word")
-    row_type = docs.select(common.packed(docs)).schema["_row"].dataType
-    ahead = wanted.select("_block", F.lit(0).alias("_late"), F.col("word").alias("_word"), F.col("vector").alias("_vector"), F.lit(None).cast(row_type).alias("_row"))
-    late = docs.select(block, F.lit(1).alias("_late"), F.lit(None).cast("long").alias("_word"), F.lit(None).cast("binary").alias("_vector"), common.packed(docs))
-    both = ahead.unionByName(late).repartition("_block").sortWithinPartitions("_block", "_late")
+    def sums_batch(made: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        cols = list(zip(*made)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["_part", "_block", "_n", "_sums"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, words, raw, table = None, [], [], None
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
         for batch in batches:
-            blocks, is_late = batch.column("_block").to_numpy(), batch.column("_late").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(blocks * 2 + is_late)) + 1).tolist(), len(blocks)]
-            for a, b in zip(cuts, cuts[1:]):
-                if b == a:
-                    continue
-                if blocks[a] != now:
-                    now, words, raw, table = blocks[a], [], [], None
-                part = batch.slice(a, b - a)
-                if not is_late[a]:
-                    words.append(part.column("_word").to_numpy().view(U64))
-                    raw.append(b"".join(part.column("_vector").to_pylist()))
-                    continue
-                if table is None:
-                    table = lookup(words, raw)
-                    words, raw = [], []
-                for rows, texts in common.row_parts(part.select(["_row"])):
-                    yield pa.RecordBatch.from_arrays([rows.column("_row"), finish(pooled(texts, *table))], names=["_row", out])
-
-    done = both.mapInArrow(run, f"{common.row_type(docs)}, {out} {out_type}")
-    return done.select(*common.unpacked(done, out))
-
-
-def lookup(words: list[np.ndarray], raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(words, ascending; their vectors) of a block."""
-    if not words:
+            for part, block, n, blob in zip(*[batch.column(c).to_pylist() for c in ("_part", "_block", "_n", "_sums")]):
+                if held and part != now:
+                    yield totals_of(now, held)
+                    held = []
+                now = part
+                held.append((block, *unpacked_sums(blob, n)))
+        if held:
+            yield totals_of(now, held)
+
+    def totals_of(part: int, held: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        words, totals = merged([(w, s) for _, w, s in held])
+        return sums_batch([(part, block, len(w), packed_sums(w, totals[np.searchsorted(words, w)])) for block, w, _ in held])
+
+    def pool(known: pa.Table, texts: pa.Table) -> pa.Table:
+        words, table = lookup([unpacked_sums(b, n) for b, n in zip(known.column("_sums").to_pylist(), known.column("_n").to_pylist())])
+        out = [pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.binary())], names=["doc_id", "text_key", "features"])]
+        for blob in texts.column("_blob"):
+            for part, found in unpacked_texts(blob):
+                x = pooled(found, words, table)
+                out.append(pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "text_key", "features"]))
+        return pa.Table.from_batches(out)
+
+    dealt = rows.mapInArrow(pack, "_block int, _blob binary").repartition("_block")
+    kind = "_part long, _block int, _n long, _sums binary"
+    asked = dealt.sortWithinPartitions("_block").mapInArrow(sums, kind)
+    answers = asked.repartition("_part").sortWithinPartitions("_part").mapInArrow(answer, kind)
+    return answers.groupBy("_block").cogroup(dealt.groupBy("_block")).applyInArrow(pool, "doc_id long, text_key long, features binary")
+
+
+def lookup(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(words, ascending; their vectors, as unit rows) of a block, whose parts have no word in common."""
+    if not held:
         return np.empty(0, dtype=U64), np.zeros((0, DIM), dtype=np.float32)
-    all_words, vectors = np.concatenate(words), np.frombuffer(b"".join(raw), dtype=np.float16).reshape(-1, DIM)
-    order = np.argsort(all_words)
-    return all_words[order], vectors[order].astype(np.float32)
+    words, sums = np.concatenate([w for w, _ in held]), np.concatenate([s.astype(np.float32) for _, s in held])
+    order = np.argsort(words)
+    sums = sums[order]
+    return words[order], sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
 
 
 GAPS = (1, 2)
@@ -259,33 +297,32 @@ class Network:
         return self
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> tuple[DataFrame, bytes]:
-    """Word vectors over all docs, and a network over at most about max_rows labelled rows (by a hash of doc_id; the bound on the sample).
+def fit_quality(features: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> bytes:
+    """A pickled network over at most about max_rows labelled rows (by a hash of doc_id; the bound on the sample).
 
-    labels has doc_id and quality; rows with a null in either are left out. Returns the
-    table of vectors and the pickled network, which has a fixed size.
+    features is a table of document_features. labels has doc_id and quality; rows with a
+    null in either are left out, repeated ones count once. The network has a fixed size.
     """
-    vectors = word_vectors(docs)
-    known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_y")).where("_id is not null and _y is not null").distinct()
+    known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("_y")).where("_id is not null and _y is not null").distinct()
     share = min(1.0, max_rows / max(1, known.count()))
     known = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    sample = cut(docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_y"), "sample")
-    rows = with_features(sample, vectors, lambda x: pa.array(list(x.astype(np.float64)), pa.list_(pa.float64())), "_x", "array<double>").select("doc_id", "_y", "_x").toPandas()
-    discard(sample)
-    x = np.stack(rows["_x"].tolist()) if len(rows) else np.zeros((0, N_FEATURES))
+    rows = features.join(known, F.col("doc_id") == F.col("_id")).select("doc_id", "_y", "features").toPandas()
+    x = np.frombuffer(b"".join(rows["features"]), dtype=np.float32).reshape(-1, N_FEATURES).astype(float)
     order = np.lexsort((*x.T[:3], rows["_y"].to_numpy(dtype=np.int64), rows["doc_id"].to_numpy(dtype=np.int64))) if len(rows) else np.empty(0, dtype=np.int64)
-    return vectors, pickle.dumps(Network().fit(x[order], rows["_y"].to_numpy(dtype=np.int64)[order]))
+    return pickle.dumps(Network().fit(x[order], rows["_y"].to_numpy(dtype=np.int64)[order]))
 
 
-def score(docs: DataFrame, model: tuple[DataFrame, bytes]) -> DataFrame:
-    """docs with the column _score added: the calibrated probability of quality 1. Null texts score as empty ones."""
-    vectors, network = model
-    held = docs.sparkSession.sparkContext.broadcast(network)
+def scored(features: DataFrame, network: bytes) -> DataFrame:
+    """(doc_id, text_key, score): the calibrated probability of quality 1 of every row of features."""
+    held = features.sparkSession.sparkContext.broadcast(network)
 
-    def finish(x: np.ndarray) -> pa.Array:
-        return pa.array(pickle.loads(held.value).probabilities(x).astype(float).ravel())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = pickle.loads(held.value)
+        for batch in batches:
+            x = np.frombuffer(b"".join(batch.column("features").to_pylist()), dtype=np.float32).reshape(-1, N_FEATURES).astype(float)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(net.probabilities(x).astype(float).ravel())], names=["doc_id", "text_key", "score"])
 
-    return with_features(docs, vectors, finish, "_score", "double")
+    return features.mapInArrow(run, "doc_id long, text_key long, score double")
 
 
 def fold(doc_id: str, n: int) -> F.Column:
@@ -294,13 +331,30 @@ def fold(doc_id: str, n: int) -> F.Column:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The documents that the classifier, fitted on all of labels, doesn't reject; columns as they were."""
-    return score(docs, fit_quality(docs, labels)).where(F.col("_score") >= threshold).select(*[f"`{c}`" for c in docs.columns])
+    """The documents that the classifier, fitted on all of labels, doesn't reject; columns, names and types as they were.
+
+    Null and empty texts are scored as texts without words. Rows equal in doc_id and text
+    have one score, so repeated rows stay or go together; a null doc_id is scored like
+    any other. Without labels nothing is rejected (every score is 0.5). An empty table
+    gives an empty one.
+    """
+    features = cut(document_features(docs), "features")
+    good = scored(features, fit_quality(features, labels)).where(F.col("score") >= threshold)
+    good = cut(good.select(F.col("doc_id").alias("_good_id"), F.col("text_key").alias("_good_key")).distinct(), "good")
+    discard(features)
+    held = docs.select(common.packed(docs), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_key"))
+    kept = held.join(good, F.col("_id").eqNullSafe(F.col("_good_id")) & (F.col("_key") == F.col("_good_key")), "left_semi")
+    return kept.select(*common.unpacked(kept))
 
 
 def op9_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """Contract 9: a score for every document, from labels outside the held-out fold."""
-    base = docs.select(F.col("doc_id").cast("long"), "text")
-    model = fit_quality(base, labels.where(fold("doc_id", 5) != 0))
-    scored = score(base, model)
-    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+    """Contract 9: a score for every document, from labels outside the held-out fold.
+
+    Null and empty texts get the score of a text without words. Repeated rows get a row
+    each, with equal scores; a null doc_id is held out or not by the checksum of no bytes.
+    Labels with nulls are left out, and without any every score is 0.5. Other columns of
+    docs and labels are ignored. An empty table gives an empty result.
+    """
+    features = cut(document_features(docs), "features")
+    found = scored(features, fit_quality(features, labels.where(fold("doc_id", 5) != 0)))
+    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -63,27 +63,34 @@ def context_sums(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         near[gap:] += own[:-gap] * same
     order = np.argsort(at, kind="stable")
     first = np.searchsorted(at[order], np.arange(len(words)))
-    return words, np.add.reduceat(near[order], first, axis=0, dtype=np.int64)
+    sums = np.add.reduceat(near[order], first, axis=0, dtype=np.int64)
+    return words, sums.astype(np.int32) if len(at) < 1 << 26 else sums
 
 
 def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """The words of all parts, ascending, and the sums of their sums."""
-    words, sums = np.concatenate([w for w, _ in held]), np.concatenate([s for _, s in held])
-    order = np.argsort(words, kind="stable")
-    words, first = np.unique(words[order], return_index=True)
-    return words, (np.add.reduceat(sums[order], first, axis=0) if len(words) else sums)
+    """The words of all parts, ascending, and the sums of their sums; held is used up, so that no part outlives its turn."""
+    words = np.unique(np.concatenate([w for w, _ in held]))
+    most = sum(max(int(s.max(initial=0)), -int(s.min(initial=0))) for _, s in held)
+    out = np.zeros((len(words), DIM), dtype=np.int32 if most < 1 << 31 else np.int64)
+    while held:
+        w, s = held.pop()
+        out[np.searchsorted(words, w)] += s.astype(out.dtype, copy=False)
+    return words, out
 
 
 def packed_sums(words: np.ndarray, sums: np.ndarray) -> bytes:
-    """Words and their whole-number sums as compressed bytes: most sums are small, so their higher bytes cost next to nothing."""
-    folded = ((sums << 1) ^ (sums >> 63)).T.reshape(-1)
-    return pa.compress(words.tobytes() + np.ascontiguousarray(folded.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+    """Ascending words (as steps) and their whole-number sums as compressed bytes: most are small, so their higher bytes cost next to nothing."""
+    sums = sums.astype(np.int64)
+    folded = ((sums << 1) ^ (sums >> 63)).T.reshape(-1).view(U64)
+    steps = np.diff(words, prepend=U64(0))
+    return pa.compress(np.ascontiguousarray(np.concatenate((steps, folded)).view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
 
 
 def unpacked_sums(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(pa.decompress(blob, decompressed_size=8 * n * (1 + DIM), codec="zstd", asbytes=True), dtype=np.uint8)
-    folded = np.ascontiguousarray(raw[8 * n :].reshape(8, -1).T).view(U64).reshape(DIM, n).T
-    return raw[: 8 * n].view(U64), (folded >> U64(1)).view(np.int64) ^ -(folded & U64(1)).view(np.int64)
+    numbers = np.ascontiguousarray(raw.reshape(8, -1).T).view(U64).ravel()
+    folded = numbers[n:].reshape(DIM, n).T
+    return np.cumsum(numbers[:n], dtype=U64), (folded >> U64(1)).view(np.int64) ^ -(folded & U64(1)).view(np.int64)
 
 
 def packed_texts(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -95,7 +102,7 @@ def packed_texts(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     rows, blobs = table.drop_columns(["_block"]), []
     for a, b in zip(cuts, cuts[1:]):
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as out:
             out.write_table(rows.slice(a, b - a))
         blobs.append(sink.getvalue().to_pybytes())
     return pa.RecordBatch.from_arrays([pa.array(blocks[cuts[:-1]]), pa.array(blobs, pa.binary())], names=["_block", "_blob"])
@@ -147,7 +154,6 @@ def document_features(docs: DataFrame, n_blocks: int | None = None) -> DataFrame
             for block, blob in zip(batch.column("_block").to_pylist(), batch.column("_blob")):
                 if held and block != now:
                     yield shares(now, *merged(held))
-                    held = []
                 now = block
                 for _, texts in unpacked_texts(blob):
                     held.append(context_sums(texts))
@@ -157,9 +163,7 @@ def document_features(docs: DataFrame, n_blocks: int | None = None) -> DataFrame
             yield shares(now, *merged(held))
 
     def shares(block: int, words: np.ndarray, totals: np.ndarray) -> pa.RecordBatch:
-        part = (words % U64(n_parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        words, totals, part = words[order], totals[order], part[order]
+        part = (((words >> U64(32)) * U64(n_parts)) >> U64(32)).astype(np.int64)  # ranges of the hash, in its order
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)] if len(part) else [0]
         spans = list(zip(cuts, cuts[1:]))
         return sums_batch([(part[a], block, b - a, packed_sums(words[a:b], totals[a:b])) for a, b in spans])
@@ -185,7 +189,7 @@ def document_features(docs: DataFrame, n_blocks: int | None = None) -> DataFrame
         return sums_batch([(part, block, len(w), packed_sums(w, totals[np.searchsorted(words, w)])) for block, w, _ in held])
 
     def pool(known: pa.Table, texts: pa.Table) -> pa.Table:
-        words, table = lookup([unpacked_sums(b, n) for b, n in zip(known.column("_sums").to_pylist(), known.column("_n").to_pylist())])
+        words, table = lookup(known)
         out = [pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.binary())], names=["doc_id", "text_key", "features"])]
         for blob in texts.column("_blob"):
             for part, found in unpacked_texts(blob):
@@ -200,14 +204,17 @@ def document_features(docs: DataFrame, n_blocks: int | None = None) -> DataFrame
     return answers.groupBy("_block").cogroup(dealt.groupBy("_block")).applyInArrow(pool, "doc_id long, text_key long, features binary")
 
 
-def lookup(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """(words, ascending; their vectors, as unit rows) of a block, whose parts have no word in common."""
-    if not held:
-        return np.empty(0, dtype=U64), np.zeros((0, DIM), dtype=np.float32)
-    words, sums = np.concatenate([w for w, _ in held]), np.concatenate([s.astype(np.float32) for _, s in held])
-    order = np.argsort(words)
-    sums = sums[order]
-    return words[order], sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+def lookup(known: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(words, ascending; their vectors, as unit rows) of a block: its parts are ranges of words, so they follow each other by number."""
+    size = sum(known.column("_n").to_pylist())
+    words, table, at = np.empty(size, dtype=U64), np.empty((size, DIM), dtype=np.float32), 0
+    for i in np.argsort(known.column("_part").to_numpy()).tolist():
+        n = known.column("_n")[i].as_py()
+        words[at : at + n], sums = unpacked_sums(known.column("_sums")[i].as_buffer(), n)
+        unit = sums.astype(np.float32)
+        table[at : at + n] = unit / np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-9)
+        at += n
+    return words, table
 
 
 GAPS = (1, 2)

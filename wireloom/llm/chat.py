@@ -15,7 +15,8 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary of RANKS splits text before merging (fixed value, belongs to that file).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 START, END = "<|im_start|>", "<|im_end|>"
-PIECE = 4096
+#: Runs of white space (fixed value: the characters of \\s in PATTERN) that are too long for the pattern's matcher, which goes back over them.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{256,}")
 
 
 def escape(text: str) -> str:
@@ -51,10 +52,20 @@ class Codec:
         self.end = self.start + 1
 
     def encode(self, text: str) -> list[int]:
-        """Ids of a text; long texts in pieces of PIECE code points, which bounds the time of a merge."""
+        """Ids of the whole text.
+
+        PATTERN makes a long run of white space one piece up to its last character, which goes
+        with what follows (at the end of the text, the whole run); such runs are merged as the
+        piece that they are, so ids are those of the pattern for texts of any length.
+        """
         out: list[int] = []
-        for i in range(0, len(text), PIECE):
-            out.extend(self.inner.encode_ordinary(text[i : i + PIECE]))
+        at = 0
+        for m in LONG_SPACE.finditer(text):
+            end = m.end() - (m.end() < len(text))
+            out.extend(self.inner.encode_ordinary(text[at : m.start()]))
+            out.extend(self.inner._encode_single_piece(text[m.start() : end]))
+            at = end
+        out.extend(self.inner.encode_ordinary(text[at:]))
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -115,6 +126,8 @@ def read_back(formatted: DataFrame, ranks_path: str = RANKS) -> DataFrame:
     """Digests of every conversation, from ids and masks alone, read in order without holding a conversation.
 
     conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_tokens.
+    formatted may come from anywhere, a table too: rows are brought together by conv_id here
+    (no second shuffle right after format_chat, which leaves them so).
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,13 +176,17 @@ def read_back(formatted: DataFrame, ranks_path: str = RANKS) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens"])
 
-    # format_chat's window leaves each conversation in one partition; this sort is that window's order
-    ordered = formatted.sortWithinPartitions("conv_id", "position")
+    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "position")
     return ordered.mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long")
 
 
 def op1_chat(conversations: DataFrame) -> DataFrame:
-    """Contract 1: all conversations, and conversation -1, formatted and read back."""
+    """Contract 1: all conversations, and conversation -1, formatted and read back.
+
+    Null roles and texts are empty, rows of a null conv_id are one conversation, ties and
+    repeated rows stay in the order of format_chat, other columns are ignored. An empty
+    table gives conversation -1 alone.
+    """
     odd = f"{END}{START}assistant ok"
     spark = conversations.sparkSession
     more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))

@@ -30,9 +30,15 @@ def get_spark(app: str = "wireloom", cpus: str | int | None = None, **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one where the setting is absent (tests, notebooks)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by spark.checkpoint.dir, or set by setCheckpointDir; a temporary one where neither is and the master is local (tests, notebooks).
+
+    On a cluster a folder of one machine would lose the tables of all others, so there an unset folder is an error.
+    """
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="wireloom-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = "file://" + own
@@ -75,6 +81,8 @@ def ship(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    base = os.path.join(tempfile.mkdtemp(prefix="wireloom-"), "wireloom")
+    folder = tempfile.mkdtemp(prefix="wireloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    base = os.path.join(folder, "wireloom")
     spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", top, os.path.basename(os.path.dirname(os.path.abspath(__file__)))))
     _SHIPPED.add(app)

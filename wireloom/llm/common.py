@@ -154,17 +154,19 @@ def text_bytes(text: str = "text") -> Column:
     return F.col(text).cast("binary").alias(text)
 
 
-def before(df: DataFrame, group: list[str], order: list[Column], value: str, out: str, per_bucket: int = 2_000) -> DataFrame:
+def before(df: DataFrame, group: list[str], order: list[Column], value: str, out: str, per_bucket: int = 2_000, together: Column | None = None) -> DataFrame:
     """Add out: the sum of value over the rows of the same group that stand before, in a fixed order.
 
     A running sum in one window would put a hot group into one task. Here each group is
     dealt into buckets by a hash of the order columns, about per_bucket rows each; a sum
     per bucket and a small running sum over buckets give every bucket its start. The
     order is by bucket, then by the order columns, so it is fixed but not sorted overall.
+    Rows that agree in together, where it is given, follow each other; they share a bucket,
+    so they have to be few.
     """
     from pyspark.sql import Window
 
-    held = df.withColumn("_order", F.xxhash64(*order))
+    held = df.withColumn("_order", F.xxhash64(*order) if together is None else F.xxhash64(together))
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.ceil(F.col("_n") / per_bucket).alias("_buckets"))
     on = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pickle
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,53 +23,96 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(TABLE).split()
 
 
-class NGrams:
-    """Windows of benchmark items by length: sorted hashes to search, and the words themselves to verify a hit."""
-
-    def __init__(self, windows: list[tuple[int, tuple[bytes, ...]]]) -> None:
-        self.code: dict[bytes, int] = {}
-        self.items: dict[tuple[int, ...], list[int]] = defaultdict(list)
-        for item, window in windows:
-            key = tuple(self.code.setdefault(w, len(self.code) + 1) for w in window)
-            if item not in self.items[key]:
-                self.items[key].append(item)
-        self.sorted: dict[int, np.ndarray] = {}
-        by_length = defaultdict(list)
-        for key in self.items:
-            by_length[len(key)].append(key)
-        for n, keys in by_length.items():
-            self.sorted[n] = np.unique(self.roll(np.array(keys, dtype=np.uint64).ravel(), n)[::n])
-
-    @staticmethod
-    def roll(ids: np.ndarray, n: int) -> np.ndarray:
-        """Hash of the n ids from each place on, where that many follow."""
-        size = len(ids) - n + 1
-        out = np.zeros(max(0, size), dtype=np.uint64)
-        for j in range(n):
-            out = common.mix(out + ids[j : j + max(0, size)] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(j))
-        return out
+def word_hashes(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(joined texts with words lower-cased and all else blank, word starts, ends, text numbers, 64-bit hashes)."""
+    joined = (b" " + b" ".join(texts) + b" ").translate(TABLE)
+    blob = np.frombuffer(joined, dtype=np.uint8)
+    edges = np.flatnonzero(np.diff(blob != 32)) + 1
+    starts, ends = edges[0::2], edges[1::2]
+    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    owner = np.searchsorted(np.cumsum(lengths + 1), starts, side="right")
+    return joined, starts, ends, owner, common.span_hashes(blob, starts, ends)
 
-    def hits(self, tokens: list[bytes]) -> list[tuple[int, int, int]]:
-        """(start, end, item) in words of every occurring window."""
-        get = self.code.get
-        ids = np.array([get(w, 0) for w in tokens], dtype=np.uint64)
-        found = []
-        known = np.concatenate(([0], np.cumsum(ids > 0)))
-        for n, keys in self.sorted.items():
-            if len(ids) < n:
-                continue
-            # only windows made of benchmark words alone are hashed
-            start = np.flatnonzero(known[n:] - known[:-n] == n)
-            if not len(start):
+
+def chains(h: np.ndarray, owner: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(n, places, hashes) for n = 1 to width: the hash of the n words from every place from which the text has that many."""
+    at = np.arange(len(h))
+    now = common.mix(h)
+    for n in range(1, width + 1):
+        if n > 1:
+            keep = np.flatnonzero(at + n - 1 < len(h))
+            keep = keep[owner[at[keep] + n - 1] == owner[at[keep]]]
+            at = at[keep]
+            now = common.mix(now[keep] * np.uint64(0x9E3779B97F4A7C15) + h[at + n - 1] + np.uint64(n))
+        yield n, at, now
+
+
+class NGrams:
+    """Windows of benchmark items, as arrays: sorted hashes to search, the words themselves to verify a hit, and the items of each window."""
+
+    def __init__(self, windows: list[bytes], number: np.ndarray, items: np.ndarray, width: int) -> None:
+        """windows: distinct, words joined by one space; window number[i] is one of item items[i]."""
+        _, _, _, owner, h = word_hashes(windows)
+        size = np.bincount(owner, minlength=len(windows))
+        first = np.cumsum(size) - size
+        codes = np.zeros(len(windows), dtype=np.uint64)
+        for n, at, code in chains(h, owner, width):
+            mine = np.flatnonzero(size == n)
+            codes[mine] = code[np.searchsorted(at, first[mine])]
+        self.width, self.lengths = width, set(np.unique(size).tolist())
+        order = np.argsort(codes, kind="stable")
+        self.codes, self.window = codes[order], order
+        self.text = b"".join(windows)
+        self.bounds = np.concatenate(([0], np.cumsum(np.fromiter(map(len, windows), dtype=np.int64, count=len(windows)))))
+        order = np.lexsort((items, number))
+        self.items = items[order]
+        self.item_bounds = np.searchsorted(number[order], np.arange(len(windows) + 1))
+        #: One byte for each of 2^22 values of a hash's first bits rules most places out.
+        self.seen = np.zeros(1 << 22, dtype=bool)
+        self.seen[(codes >> np.uint64(42)).astype(np.int64)] = True
+
+    def hits(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text number of every word; place, length and window number of every occurrence), in words."""
+        joined, starts, ends, owner, h = word_hashes(texts)
+        found: list[tuple[int, int, int]] = []
+        for n, at, code in chains(h, owner, self.width):
+            if n not in self.lengths:
                 continue
-            h = np.zeros(len(start), dtype=np.uint64)
-            for j in range(n):
-                h = common.mix(h + ids[start + j] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(j))
-            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            for s in start[keys[at] == h].tolist():
-                items = self.items.get(tuple(ids[s : s + n].tolist()))  # verified on the words, not on the hash
-                found.extend((s, s + n, item) for item in items or ())
-        return found
+            likely = np.flatnonzero(self.seen[(code >> np.uint64(42)).astype(np.int64)])
+            low = np.searchsorted(self.codes, code[likely])
+            for i, j in zip(likely.tolist(), low.tolist()):
+                c = code[i]
+                said = None
+                while j < len(self.codes) and self.codes[j] == c:  # verified on the words, not on the hash
+                    w = int(self.window[j])
+                    said = said or b" ".join([joined[starts[k] : ends[k]] for k in range(at[i], at[i] + n)])
+                    if said == self.text[self.bounds[w] : self.bounds[w + 1]]:
+                        found.append((int(at[i]), n, w))
+                    j += 1
+        place, length, window = (np.array(x, dtype=np.int64) for x in (zip(*found) if found else ([], [], [])))
+        return owner, place, length, window
+
+    def scan(self, texts: list[bytes]) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[list[int]]]:
+        """For each text: number of words, spans of hit words (start, end; those that touch are one), items with occurring windows, ascending."""
+        owner, place, length, window = self.hits(texts)
+        counts = np.bincount(owner, minlength=len(texts))
+        spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+        items: list[list[int]] = [[] for _ in texts]
+        if len(place):
+            first = np.cumsum(counts) - counts
+            steps = np.bincount(place, minlength=len(owner) + 1) - np.bincount(place + length, minlength=len(owner) + 1)
+            hit = np.cumsum(steps)[:-1] > 0
+            edge = np.concatenate(([True], owner[1:] != owner[:-1]))
+            starts = np.flatnonzero(hit & (edge | ~np.concatenate(([False], hit[:-1]))))
+            ends = np.flatnonzero(hit & (np.concatenate((edge[1:], [True])) | ~np.concatenate((hit[1:], [False])))) + 1
+            for a, b in zip(starts.tolist(), ends.tolist()):
+                i = int(owner[a])
+                spans[i].append((a - int(first[i]), b - int(first[i])))
+            pairs = np.unique(np.stack((owner[place], window), 1), axis=0)
+            for i in np.unique(pairs[:, 0]).tolist():
+                mine = pairs[pairs[:, 0] == i, 1].tolist()
+                items[i] = np.unique(np.concatenate([self.items[self.item_bounds[w] : self.item_bounds[w + 1]] for w in mine])).tolist()
+        return counts, spans, items
 
 
 def windows_of(benchmark: DataFrame, width: int) -> DataFrame:
@@ -90,63 +132,88 @@ def windows_of(benchmark: DataFrame, width: int) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("long"), common.text_bytes()).mapInArrow(cut_up, "item_id long, window binary").distinct()
 
 
-HIT = "array<struct<start:int,end:int,item_id:bigint>>"
-
+SPANS = "array<struct<start:int,end:int>>"
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, block: int = 2_000_000) -> DataFrame:
-    """docs with _n_words and _hits added: array<struct<start, end, item_id>>, word positions of benchmark windows.
 
-    docs needs text; other columns pass through. The hash set is broadcast in blocks of
-    about block windows (some 300 MB at most), so no broadcast grows with the benchmark:
-    a benchmark of one block takes one pass over docs, a larger one a pass for each. Null
-    and empty texts and items have no words, so no windows and no hits; items without an
-    item_id are left out.
-    """
+def scanned(docs: DataFrame, benchmark: DataFrame, width: int, block_bytes: int) -> DataFrame:
+    """(_row, _n_words, _spans, _items): the rows of docs as they are, and what find_hits says of them."""
     spark = docs.sparkSession
     windows = cut(windows_of(benchmark, width), "windows")
-    n_blocks = max(1, -(-windows.count() // block))
-    out = docs.select(common.packed(docs), F.lit(0).cast("long").alias("_n_words"), F.expr(f"cast(array() as {HIT})").alias("_hits"))
-    schema = f"{common.row_type(docs)}, _n_words bigint, _hits {HIT}"
+    size = windows.agg(F.sum(F.octet_length("window"))).first()[0] or 0
+    n_blocks = max(1, -(-size // block_bytes))
+    out = docs.select(common.packed(docs), F.lit(0).cast("long").alias("_n_words"), F.expr(f"cast(array() as {SPANS})").alias("_spans"), F.expr("cast(array() as array<bigint>)").alias("_items"))
+    schema = f"{common.row_type(docs)}, _n_words bigint, _spans {SPANS}, _items array<bigint>"
     for k in range(n_blocks):
-        part = windows.where(F.pmod(F.xxhash64("window"), F.lit(n_blocks)) == k)
-        rows = [(r.item_id, tuple(bytes(r.window).split(b" "))) for r in part.toLocalIterator()]
-        held = spark.sparkContext.broadcast(pickle.dumps(NGrams(rows)))
+        part = windows.where(F.pmod(F.xxhash64("window"), F.lit(n_blocks)) == k).toArrow()
+        coded = part.column("window").combine_chunks().dictionary_encode()
+        held = spark.sparkContext.broadcast(pickle.dumps(NGrams(coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), part.column("item_id").to_numpy(), width)))
+        del part, coded
         out = out.mapInArrow(_scan(held), schema)
-    return out.select(*common.unpacked(out, "_n_words", "_hits"))
+    return out
 
 
 def _scan(held):  # noqa: ANN001, ANN202
+    def union(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        out: list[tuple[int, int]] = []
+        for x, y in sorted(a + b):
+            if out and x <= out[-1][1]:
+                out[-1] = (out[-1][0], max(y, out[-1][1]))
+            else:
+                out.append((x, y))
+        return out
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = pickle.loads(held.value)
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("item_id", pa.int64())]))
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             for part, texts in common.row_parts(batch):
-                counts, found = [], []
-                for text, earlier in zip(texts, part.column("_hits").to_pylist()):
-                    tokens = words(text)
-                    counts.append(len(tokens))
-                    found.append(earlier + [{"start": a, "end": b, "item_id": i} for a, b, i in grams.hits(tokens)])
-                yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(counts, pa.int64()), pa.array(found, kind)], names=["_row", "_n_words", "_hits"])
+                counts, spans, items = grams.scan(texts)
+                for i, (old, known) in enumerate(zip(part.column("_spans").to_pylist(), part.column("_items").to_pylist())):
+                    if old:  # of an earlier block
+                        spans[i], items[i] = union(spans[i], [(x["start"], x["end"]) for x in old]), sorted({*items[i], *known})
+                said = pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], kind)
+                yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(counts.astype(np.int64)), said, pa.array(items, pa.list_(pa.int64()))], names=["_row", "_n_words", "_spans", "_items"])
 
     return scan
 
 
+def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
+    """docs with _n_words, _spans and _items added (columns of these names give way).
+
+    _spans are the places of words inside benchmark windows, array<struct<start, end>>, with
+    spans that overlap or touch as one; _items are the ids of items with an occurring
+    window, ascending. So a row's size doesn't grow with the number of occurrences.
+
+    docs needs text; other columns pass through. The hash set is broadcast in blocks of at
+    most about block_bytes of window text (with hashes and bounds about twice that), so
+    no broadcast grows with the benchmark: one of a single block takes one pass over docs,
+    a larger one a pass for each. Null and empty texts and items have no words, so no
+    windows and no hits; items without an item_id are left out; repeated rows of either
+    table change nothing else.
+    """
+    found = scanned(docs, benchmark, width, block_bytes)
+    return found.select(*common.unpacked(found, "_n_words", "_spans", "_items"))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, drop: str = "documents") -> DataFrame:
     """docs without benchmark text: drop='documents' leaves out every document with a hit, drop='spans' cuts the hit words out.
 
     A cut span is replaced by one line feed, and n_chars, where there is one, is counted
-    anew. Columns and types stay as they were; rows are not reordered on purpose, but
-    Spark promises no order.
+    anew. Columns, whatever their names, and types stay as they were, null and empty texts
+    and repeated rows too; an empty benchmark takes nothing out. Rows are not reordered on
+    purpose, but Spark promises no order.
     """
-    found = find_hits(docs, benchmark, width)
+    found = scanned(docs, benchmark, width, 32 << 20)
     if drop == "documents":
-        return found.where(F.size("_hits") == 0).select(*docs.columns)
+        clean = found.where(F.size("_spans") == 0)
+        return clean.select(*common.unpacked(clean))
     if drop != "spans":
         raise ValueError("drop is 'documents' or 'spans'")
-    clean = found.withColumn("text", F.pandas_udf(_cut_spans, "string")(F.col("text"), F.col("_hits")))
+    clean = found.withColumn("_text", F.pandas_udf(_cut_spans, "string")(F.col("_row.text"), F.col("_spans")))
+    anew = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.select(*docs.columns)
+        anew["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
+    return clean.select(*[anew.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def _cut_spans(text, hits):  # noqa: ANN001, ANN202
@@ -174,25 +241,10 @@ def _cut_spans(text, hits):  # noqa: ANN001, ANN202
 def op10_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The digest of contract 10: words, hit words and occurring items of every document.
 
-    A null document has no words; repeated rows get a row each.
+    A null document has no words; repeated rows get a row each; a null doc_id stays null;
+    other columns are ignored; an empty table gives an empty result.
     """
-    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    base = docs.select(F.col("doc_id").cast("long"), "text")
-    found = find_hits(base, benchmark)
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
-        for batch in batches:
-            rows = []
-            for doc, n, hits in zip(batch.column("doc_id").to_pylist(), batch.column("_n_words").to_pylist(), batch.column("_hits").to_pylist()):
-                hit, last = 0, 0
-                for a, b in sorted((x["start"], x["end"]) for x in hits):
-                    hit += max(0, b - max(a, last))
-                    last = max(last, b)
-                items = sorted({str(x["item_id"]) for x in hits})
-                rows.append((doc, n, hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), hit > 0))
-            cols = list(zip(*rows)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-
-    return found.select("doc_id", "_n_words", "_hits").mapInArrow(digest, schema)
+    found = find_hits(docs.select(F.col("doc_id").cast("long"), "text"), benchmark)
+    n_hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    ids = F.array_join(F.array_sort(F.transform("_items", lambda i: i.cast("string"))), ",")
+    return found.select("doc_id", F.col("_n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))

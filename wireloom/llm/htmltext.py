@@ -6,6 +6,7 @@ import html
 import pickle
 import random
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,16 +16,21 @@ from pyspark.sql import functions as F
 
 from wireloom.llm import common
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]{0,4096}+"|'[^']{0,4096}+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 #: Elements by their part in a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea title iframe svg math object select option button xmp noembed".split())
-INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = set("script style noscript template textarea title iframe svg select option button noembed".split())
+INLINE = set(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark object q s samp small span strike strong sub sup time tt u var wbr "
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd semantics annotation".split()
+)
 CLOSES_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 ALIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = {"ul", "ol", "dl", "table", "menu", "body", "html"}
 TAGS = "article main section div p h1 h2 h3 ul ol li nav header footer aside form table td blockquote figure pre #block".split()
+#: Attribute words are features by hash, of a node and of its parent, besides the counts of two lists.
+TOKEN_BUCKETS = 32
 GOOD = set("article body content entry main post story text prose read hentry markdown articlebody copy paragraph".split())
 BAD = set(
     "ad ads advert advertisement adslot alert aside author banner bar bottom breadcrumb breadcrumbs button comment comments consent cookie cookies copyright credits disclaimer discussion disqus footer foot form gdpr head "
@@ -38,25 +44,31 @@ class Page:
 
     def __init__(self, source: str) -> None:
         self.parent, self.tag, self.good, self.bad = [-1], ["html"], [0], [0]
+        self.tokens: list[int] = [0]  # a bit for every bucket of TOKEN_BUCKETS that an attribute word falls into
         self.text: list[str] = [""]
         self.links: list[int] = [0]
         self._stack: list[tuple[str, int]] = [("html", 0)]
+        self._open: dict[str, list[int]] = {"html": [0]}  # places in the stack by tag, so that no look-up walks it
+        self._scopes: list[int] = [0]
         self._buffer: list[str] = []
         self._linked = 0
         self._in_link = 0
         self._read(source)
 
     def _node(self, tag: str, attrs: str = "") -> int:
-        good = bad = 0
+        good = bad = bits = 0
         if attrs:
             for value in ATTRIBUTE.findall(attrs):
                 words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
                 good += len(words & GOOD)
                 bad += len(words & BAD)
+                for w in words:
+                    bits |= 1 << zlib.crc32(w.encode()) % TOKEN_BUCKETS
         self.parent.append(self._stack[-1][1])
         self.tag.append(tag)
         self.good.append(good)
         self.bad.append(bad)
+        self.tokens.append(bits)
         self.text.append("")
         self.links.append(0)
         return len(self.tag) - 1
@@ -78,11 +90,25 @@ class Page:
 
     def _pop(self, upto: int) -> None:
         self._flush()
-        del self._stack[upto:]
+        while len(self._stack) > upto:
+            tag, _ = self._stack.pop()
+            self._open[tag].pop()
+            if tag in SCOPE:
+                self._scopes.pop()
+
+    def _push(self, tag: str, attrs: str) -> None:
+        self._open.setdefault(tag, []).append(len(self._stack))
+        if tag in SCOPE:
+            self._scopes.append(len(self._stack))
+        self._stack.append((tag, self._node(tag, attrs)))
+
+    def _last(self, tags: set[str]) -> int:
+        """The innermost place in the stack of any of the tags; 0 where none is open."""
+        return max((self._open[t][-1] for t in tags if self._open.get(t)), default=0)
 
     def _read(self, source: str) -> None:
-        at, raw = 0, ""
-        end = len(source)
+        at, end = 0, len(source)
+        unclosed: set[str] = set()
         while at < end:
             m = TOKEN.search(source, at)
             if m is None:
@@ -97,10 +123,16 @@ class Page:
                     self._say(html.escape(m[0][9:].removesuffix("]]>")))
                 continue
             closing, attrs = bool(m[1] or m[4]), m[3] or m[6] or ""
-            if tag in RAW:
-                if not closing and not attrs.endswith("/"):
-                    close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at)
-                    at = close.end() if close else (end if tag in ("script", "style") else at)
+            if tag in RAW or tag == "xmp":
+                if not closing and not attrs.endswith("/") and tag not in unclosed:
+                    close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
+                    if tag == "xmp":  # text as it is written
+                        self._flush()
+                        self._say(html.escape(source[at : close.start() if close else end]))
+                        self._flush()
+                    if not close:
+                        unclosed.add(tag)  # nor is there one further on
+                    at = close.end() if close else (end if tag in ("script", "style", "xmp") else at)
                 continue
             if tag in INLINE:
                 if tag == "a":
@@ -113,25 +145,18 @@ class Page:
                 continue
             self._in_link = 0 if tag in CLOSES_P else self._in_link
             if closing:
-                for i in range(len(self._stack) - 1, 0, -1):
-                    if self._stack[i][0] == tag:
-                        self._pop(i)
-                        break
+                if (i := self._last({tag})) > 0:
+                    self._pop(i)
                 else:
                     self._flush()
                 continue
             self._flush()
             if tag in CLOSES_P and self._stack[-1][0] == "p":
                 self._pop(len(self._stack) - 1)
-            if tag in ALIKE:
-                for i in range(len(self._stack) - 1, 0, -1):
-                    if self._stack[i][0] in ALIKE[tag]:
-                        self._pop(i)
-                        break
-                    if self._stack[i][0] in SCOPE:
-                        break
-            if len(self._stack) < 400 and tag != "html":  # deeper elements count as their ancestor
-                self._stack.append((tag, self._node(tag, attrs)))
+            if tag in ALIKE and (i := self._last(ALIKE[tag])) > self._scopes[-1]:
+                self._pop(i)
+            if tag != "html":
+                self._push(tag, attrs)
         self._flush()
 
     def features(self) -> np.ndarray:
@@ -180,7 +205,8 @@ class Page:
             chars / (nodes + 1), links / np.maximum(1, chars), commas / np.maximum(1, chars), chars / np.maximum(1, blocks), chars / total, start / total, rank / np.maximum(1, siblings), siblings, same,
             chars / np.maximum(1, chars[upx]), links[upx] / np.maximum(1, chars[upx]),
         ]
-        return np.stack(cols, 1)
+        bits = np.array(self.tokens, dtype=np.int64)[:, None] >> np.arange(TOKEN_BUCKETS) & 1
+        return np.concatenate((np.stack(cols, 1), bits, bits[upx]), 1)
 
     def decode(self, p: np.ndarray) -> str:
         """The text of kept leaves under the likeliest labelling in which a node that is left out leaves out all below it."""
@@ -207,7 +233,10 @@ class Trees:
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
         n, m = x.shape
-        self.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins)[1:-1])) for j in range(m)]
+        two = np.flatnonzero(((x == 0) | (x == 1)).all(0))  # yes or no, the tokens: one cut, and sums by a product
+        yes = x[:, two].astype(np.float32)
+        many = [j for j in range(m) if j not in set(two.tolist())]
+        self.edges = [np.array([0.5]) if j in set(two.tolist()) else np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins)[1:-1])) for j in range(m)]
         binned = np.stack([np.searchsorted(self.edges[j], x[:, j], side="right") for j in range(m)], 1)
         self.base = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
         f = np.full(n, self.base)
@@ -222,7 +251,18 @@ class Trees:
                 live = at >= low
                 best = np.full(width, 1e-3)
                 choice = np.full((width, 2), -1)
-                for j in range(m):
+                here = (at[None, :] - low == np.arange(width)[:, None]).astype(np.float32)
+                gt, ht = here @ g, here @ h
+                gr, hr = (here * g.astype(np.float32)) @ yes, (here * h.astype(np.float32)) @ yes
+                gl, hl = gt[:, None] - gr, ht[:, None] - hr
+                gain = gl**2 / (hl + 1) + gr**2 / (hr + 1) - (gt**2 / (ht + 1))[:, None]
+                gain[(hl < self.least / 10) | (hr < self.least / 10)] = 0
+                if len(two):
+                    top = gain.argmax(1)
+                    better = gain[np.arange(width), top] > best
+                    best = np.where(better, gain[np.arange(width), top], best)
+                    choice[better] = np.stack([two[top], np.zeros(width, dtype=np.int64)], 1)[better]
+                for j in many:
                     key = (at[live] - low) * self.bins + binned[live, j]
                     gs = np.bincount(key, g[live], width * self.bins).reshape(width, self.bins).cumsum(1)
                     hs = np.bincount(key, h[live], width * self.bins).reshape(width, self.bins).cumsum(1)
@@ -262,7 +302,8 @@ MARK = "\ue000"
 
 
 def training_page(rng: random.Random) -> str:
-    """A page of a random layout; blocks of its main text start with MARK."""
+    """A page of a random layout; blocks of its main text start with MARK. One in ten has class names that say nothing."""
+    plain = rng.random() < 0.1
 
     def words(a: int, b: int) -> str:
         out = ["".join(rng.choice(("an", "to", "re", "li", "es", "on", "ka", "mur", "vel", "sti")) for _ in range(rng.randint(1, 4))) + rng.choice(("", "", "", "", ",", ".")) for _ in range(rng.randint(a, b))]
@@ -271,6 +312,8 @@ def training_page(rng: random.Random) -> str:
     def element(names: list[str], body: str) -> str:
         name = rng.choice(names)
         tag, _, cls = name.partition(".")
+        if plain and cls and tag == "div":  # a page whose class names say nothing
+            cls = "".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
         attr = "" if not cls else rng.choice((f' class="{cls}"', f' id="{cls}"', f' class="{rng.choice(("c", "box", "wrap"))} {cls}"'))
         return f"<{tag}{attr}>{body}</{tag}>"
 
@@ -365,6 +408,12 @@ def main_text(pages: DataFrame, model: bytes | None = None) -> DataFrame:
 
 
 def op8_main_text(pages: DataFrame) -> DataFrame:
-    """Contract 8: the main text of every page and its length in code points."""
+    """Contract 8: the main text of every page and its length in code points.
+
+    A null or empty html, and a page without main text, give '' and 0. page_id and url may be
+    null; repeated rows get a row each. Elements may nest to any depth, and attributes, raw
+    elements and texts have any length; broken markup is read on as browsers do. An empty
+    table gives an empty result.
+    """
     found = main_text(pages.select("page_id", "url", "html"))
     return found.select("page_id", "url", F.col("_main").alias("text"), F.length("_main").cast("long").alias("n_chars"))

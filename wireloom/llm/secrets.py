@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -33,12 +33,17 @@ WORDS = (
     "tuesday wednesday thursday friday saturday sunday love money hunter killer jordan michael charlie thomas robert daniel "
     "company project development production staging local host name email phone"
 ).split()
-#: Rows of a keyboard, for walks along them in either direction.
-ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
+#: Rows of a keyboard, plain and shifted, for straight walks along and across them.
+KEYS = ("`1234567890-=", " qwertyuiop[]\\", " asdfghjkl;'", " zxcvbnm,./")
+SHIFTED = ("~!@#$%^&*()_+", " QWERTYUIOP{}|", ' ASDFGHJKL:"', " ZXCVBNM<>?")
+ALPHABET = "abcdefghijklmnopqrstuvwxyz"
+#: Steps of a straight walk: right, left, down along a slanted column, down to the left of it, and both back up.
+STEPS = ((0, 1), (0, -1), (1, 0), (1, -1), (-1, 0), (-1, 1))
 DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
 LEET = str.maketrans("013457@$!", "oleastasi")
 RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-LONGEST = max(map(len, WORDS))
+SHORTEST, LONGEST = 3, 16  # letters of a word in the ranked table
+PLACE = {c: (r, i) for rows in (KEYS, SHIFTED) for r, row in enumerate(rows) for i, c in enumerate(row) if c != " "}
 START_COST = 1.0  # log10 of choosing a kind of segment
 THRESHOLD = 12.0
 
@@ -52,13 +57,30 @@ def brute(ch: str) -> float:
     return math.log10(33) if ch < "\x80" else 2.0
 
 
-def segments(value: str) -> Iterator[tuple[int, int, float]]:
-    """(start, end, log10 guesses) of the words, dates, repeats and walks in value; their number is in proportion to its length."""
+def walks(value: str) -> Iterator[tuple[int, int, int]]:
+    """(start, end, choices) of straight walks over three keys or more, and of runs of the alphabet."""
+    keys = [PLACE.get(c) for c in value]
+    moves = [(b[0] - a[0], b[1] - a[1]) if a and b else None for a, b in zip(keys, keys[1:])]
+    letters = [ALPHABET.find(c) for c in value.lower()]
+    turns = [b - a if a >= 0 and b >= 0 and abs(b - a) == 1 else None for a, b in zip(letters, letters[1:])]
+    for steps, choices in (([m if m in STEPS else None for m in moves], len(PLACE) // 2 * len(STEPS)), (turns, 2 * len(ALPHABET))):
+        i = 0
+        while i < len(steps):
+            j = i
+            while j < len(steps) and steps[j] is not None and steps[j] == steps[i]:
+                j += 1
+            if j - i >= 2:
+                yield i, j + 1, choices
+            i = max(j, i + 1)
+
+
+def segments(value: str, ranks: dict[str, int] = RANK) -> Iterator[tuple[int, int, float]]:
+    """(start, end, log10 guesses) of the words of the ranked table, dates, repeats and walks in value; their number is in proportion to its length."""
     low = value.lower()
     for form, extra in ((low, 0.0), (low.translate(LEET), 0.5)):
         for i in range(len(form)):
-            for j in range(i + 3, min(len(form), i + LONGEST) + 1):
-                rank = RANK.get(form[i:j])
+            for j in range(i + SHORTEST, min(len(form), i + LONGEST) + 1):
+                rank = ranks.get(form[i:j])
                 if rank:
                     case = 0.0 if value[i:j].islower() else 0.3 if value[i:j].istitle() or value[i:j].isupper() else (j - i) * 0.3
                     yield i, j, math.log10(rank + 1) + extra + case
@@ -75,20 +97,11 @@ def segments(value: str) -> Iterator[tuple[int, int, float]]:
                 i = j + 1
             else:
                 i += 1
-    for row in ROWS:
-        for line in (row, row[::-1]):
-            next_ = dict(zip(line, line[1:]))
-            i = 0
-            while i < len(low):
-                j = i
-                while j + 1 < len(low) and next_.get(low[j]) == low[j + 1]:
-                    j += 1
-                if j - i >= 2:
-                    yield i, j + 1, 1.0 + math.log10(j + 1 - i) + math.log10(len(row))
-                i = j + 1
+    for i, j, choices in walks(value):
+        yield i, j, math.log10(choices) + math.log10(j - i)
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, ranks: dict[str, int] = RANK) -> float:
     """log10 of the guesses that the cheapest cut of value into segments takes.
 
     Dynamic programming over end positions: a position costs the least of its segments'
@@ -96,7 +109,7 @@ def guess_cost(value: str) -> float:
     start once. Time is in proportion to the length.
     """
     ends: dict[int, list[tuple[int, float]]] = {}
-    for i, j, cost in segments(value):
+    for i, j, cost in segments(value, ranks):
         ends.setdefault(j, []).append((i, cost))
     best = [0.0] + [math.inf] * len(value)  # after a finished segment
     span = [math.inf] * (len(value) + 1)  # inside a brute-force span
@@ -107,28 +120,44 @@ def guess_cost(value: str) -> float:
     return best[-1] if value else 0.0
 
 
-@lru_cache(maxsize=50_000)
-def costly(value: str, threshold: float) -> bool:
-    return guess_cost(value) >= threshold
-
-
-def scan(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int, int]]:
+def scan(text: str, threshold: float = THRESHOLD, cost: Callable[[str], float] = guess_cost) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points by start, then kind: base matches, and values in credential context of 10^threshold guesses or more."""
     found = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     found += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
-    found += [("guess", *m.span(1)) for m in CONTEXT.finditer(text) if costly(m[1], threshold)]
+    found += [("guess", *m.span(1)) for m in CONTEXT.finditer(text) if cost(m[1]) >= threshold]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
-def find_secrets(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with _spans added: array<struct<kind, start, end>> of the whole text, in code points; a null or empty text has none."""
+def learned_ranks(docs: DataFrame, size: int = 20_000) -> dict[str, int]:
+    """Guess ranks of words: WORDS, and then the size most frequent words of all texts (a Spark count; ties by the word).
+
+    size is the documented bound of the table that is broadcast. A word is a run of
+    SHORTEST to LONGEST letters a-z in any case; it has to occur twice.
+    """
+    word = F.explode(F.regexp_extract_all(F.lower(F.col("text")), F.lit(f"(?<![a-z])[a-z]{{{SHORTEST},{LONGEST}}}(?![a-z])"), F.lit(0))).alias("word")
+    top = docs.select(word).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(size)
+    out = dict(RANK)
+    for r in top.collect():
+        out.setdefault(r["word"], len(out) + 1)
+    return out
+
+
+def find_secrets(docs: DataFrame, threshold: float = THRESHOLD, ranks: dict[str, int] | None = None) -> DataFrame:
+    """docs with _spans added (a column of that name gives way): array<struct<kind, start, end>> of the whole text, in code points.
+
+    Words that are cheap to guess are learned from docs, unless ranks are given. A null or
+    empty text has no spans, repeated rows have the same ones, other columns pass through,
+    and an empty table gives an empty one.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(learned_ranks(docs) if ranks is None else ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+        cost = lru_cache(maxsize=50_000)(lambda value: guess_cost(value, held.value))
         for batch in batches:
             for part, texts in common.row_parts(batch):
-                spans = [[{"kind": k, "start": a, "end": b} for k, a, b in scan(t.decode(errors="replace"), threshold)] for t in texts]
+                spans = [[{"kind": k, "start": a, "end": b} for k, a, b in scan(t.decode(errors="replace"), threshold, cost)] for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(spans, kind)], names=["_row", "_spans"])
 
     found = docs.select(common.packed(docs)).mapInArrow(run, f"{common.row_type(docs)}, _spans array<struct<kind:string,start:int,end:int>>")
@@ -136,7 +165,12 @@ def find_secrets(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def op3_secrets(docs: DataFrame) -> DataFrame:
-    """Contract 3: counts of the base kinds, and the spans, of every document."""
+    """Contract 3: counts of the base kinds, and the spans, of every document.
+
+    A null or empty text has no spans (the digest is that of no bytes). Spans that start at
+    one place are in the order of KINDS. Repeated rows get a row each, a null doc_id stays
+    null, other columns are ignored, and an empty table gives an empty result.
+    """
     # the text itself goes no further than the scan
     lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = find_secrets(lean).drop("text")

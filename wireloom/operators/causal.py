@@ -24,40 +24,56 @@ def fisher_z_p(r: float, n: int, conditioned: int) -> float:
 
 
 def partial_correlation(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> float | None:
-    """Correlation of what a regression on z leaves of x and y; None where a side is constant or explained."""
+    """Correlation of what a regression on z leaves of x and y; None where it isn't defined: z has columns that others explain, or (next to) nothing is left of a side."""
+    x, y = x - x.mean(), y - y.mean()
+    before = np.linalg.norm(x), np.linalg.norm(y)
     if z.shape[1]:
-        z = np.column_stack([np.ones(len(x)), z])
+        z = z - z.mean(axis=0)
+        if np.linalg.matrix_rank(z, tol=1e-8 * max(1.0, float(np.abs(z).max()))) < z.shape[1]:
+            return None
         x = x - z @ np.linalg.lstsq(z, x, rcond=None)[0]
         y = y - z @ np.linalg.lstsq(z, y, rcond=None)[0]
-    x, y = x - x.mean(), y - y.mean()
-    size = math.sqrt(float(x @ x) * float(y @ y))
-    return float(x @ y) / size if size > 1e-9 * max(1, len(x)) else None
+    after = np.linalg.norm(x), np.linalg.norm(y)
+    if any(b <= 1e-6 * max(a, 1e-12) for a, b in zip(before, after)):
+        return None
+    return max(-1.0, min(1.0, float(x @ y) / float(after[0] * after[1])))
 
 
 def parents(y: np.ndarray, columns: dict[tuple[str, int], np.ndarray], alpha: float = ALPHA) -> list[tuple[str, int, float, float]]:
-    """Lagged columns that stay dependent on y given up to MAX_SET of the other candidates, in an order-independent search, and given all that are left."""
-    kept: dict[tuple[str, int], tuple[float, float]] = {}
+    """(source, lag, r, p) of lagged columns that stay dependent on y.
+
+    Every column takes part. A search that doesn't depend on the order of columns takes out,
+    size by size, each one that is independent of y given some set of up to MAX_SET others;
+    sets come from its MAX_CANDIDATES strongest rivals, which bounds the tests and not the
+    parents. r and p are those given all that are left at the end. A test that isn't
+    defined takes nothing out, and a constant series has no part in any.
+    """
     none = np.empty((len(y), 0))
+    kept: dict[tuple[str, int], float] = {}
+    if np.ptp(y) == 0:
+        return []
     for key in sorted(columns):
-        r = partial_correlation(columns[key], y, none)
-        if r is not None and (p := fisher_z_p(r, len(y), 0)) <= alpha:
-            kept[key] = (r, p)
-    order = sorted(kept, key=lambda k: (-abs(kept[k][0]), k))[:MAX_CANDIDATES]
-    kept = {k: kept[k] for k in order}
+        if np.ptp(columns[key]):
+            r = partial_correlation(columns[key], y, none)
+            if r is None or fisher_z_p(r, len(y), 0) <= alpha:
+                kept[key] = abs(r or 0.0)
     for size in range(1, MAX_SET + 1):
-        gone = []
+        order = sorted(kept, key=lambda k: (-kept[k], k))
+        gone = set()
         for key in sorted(kept):
-            for chosen in combinations([k for k in order if k in kept and k != key], size):
+            rivals = [k for k in order if k != key][:MAX_CANDIDATES]
+            for chosen in combinations(rivals, size):
                 r = partial_correlation(columns[key], y, np.column_stack([columns[k] for k in chosen]))
-                if r is None or fisher_z_p(r, len(y), size) > alpha:
-                    gone.append(key)
+                if r is not None and fisher_z_p(r, len(y), size) > alpha:
+                    gone.add(key)
                     break
-        for key in gone:
-            del kept[key]
+        kept = {k: v for k, v in kept.items() if k not in gone}
     out = []
     for key in sorted(kept):
-        others = [k for k in kept if k != key]
+        others = sorted((k for k in kept if k != key), key=lambda k: (-kept[k], k))[: max(0, len(y) - 5)]
         r = partial_correlation(columns[key], y, np.column_stack([columns[k] for k in others]) if others else none)
+        if r is None:  # not defined given all: its own correlation stands
+            r, others = partial_correlation(columns[key], y, none), []
         if r is not None and (p := fisher_z_p(r, len(y), len(others))) <= alpha:
             out.append((*key, r, p))
     return out

@@ -18,7 +18,7 @@ def _state(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges(u, v): component is the smallest node reachable.
 
     Each round joins every edge to the minimum of an end's neighbourhood, so a node with
@@ -28,9 +28,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     edges = cut(edges.where("u is not null and v is not null and u <> v").select("u", "v").distinct(), "edges")
     state = _state(edges)
-    for _ in range(max_rounds):
-        if state[0] == 0:
-            break
+    while state[0]:  # until a round changes nothing
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_nearest(both), "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))

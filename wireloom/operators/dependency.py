@@ -44,8 +44,10 @@ def temporal_precedence(pairs: DataFrame, times: DataFrame, seconds: float = 10.
     meta = pairs.select("source", "target").distinct().join(s, "source").join(t, "target").select("source", "target", F.least("_slo", "_tlo").alias("_start"), (F.floor((F.greatest("_shi", "_thi") - F.least("_slo", "_tlo")) / width) + 1).alias("buckets"))
 
     def counts(side: str) -> DataFrame:
-        at = F.floor((F.col("us") - F.col("_start")) / width)
-        return meta.join(times.withColumnRenamed("node", side), side).groupBy("source", "target", "buckets", at.alias("b")).agg(F.count(F.lit(1)).alias("n"))
+        # pairs that share an end and a start share its series: a hub's times meet each start once, not each neighbour
+        starts = meta.select(F.col(side).alias("node"), "_start").distinct()
+        per = starts.join(times, "node").groupBy("node", "_start", F.floor((F.col("us") - F.col("_start")) / width).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+        return meta.join(per.withColumnRenamed("node", side), [side, "_start"]).select("source", "target", "buckets", "b", "n")
 
     lags = F.explode(F.sequence(F.lit(0), F.least(F.lit(max_lag), F.col("buckets") - 1).cast("int"))).alias("lag")
     x = counts("source").select("source", "target", "buckets", "b", "n", lags).where("b < buckets - lag").select("source", "target", "buckets", "lag", (F.col("b") + F.col("lag")).alias("at"), F.col("n").alias("x"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wireloom.functions.expressions import SECOND, micros
 from wireloom.functions.ranking import ranked
+from wireloom.session import cut
 
 #: Well-known services by transport and port.
 WELL_KNOWN = (("TCP", 80, "http"), ("TCP", 443, "tls"), ("TCP", 5432, "postgresql"), ("TCP", 6379, "redis"), ("UDP", 53, "dns"))
@@ -92,9 +93,12 @@ def reconstruct_flows(packets: DataFrame, udp_idle: float = 30.0, tls: DataFrame
     destination_diversity and port_diversity count over the whole capture by canonical
     source (a null port counts as a value).
     """
-    u = units(packets, udp_idle)
+    u = cut(units(packets, udp_idle), "units")  # read twice: packets are sorted once
     port = F.coalesce(F.col("dst_port"), F.lit(-1))
-    by_src = u.groupBy("capture_id", "src_ip").agg(F.count_distinct("dst_ip").alias("destination_diversity"), F.count_distinct(port).alias("port_diversity"))
+    # distinct ends first, which combines before the shuffle; what is left is counted
+    ends = u.groupBy("capture_id", "src_ip", "dst_ip", port.alias("dst_port")).agg(F.count(F.lit(1)).alias("_n"))
+    port = F.col("dst_port")
+    by_src = ends.groupBy("capture_id", "src_ip").agg(F.count_distinct("dst_ip").alias("destination_diversity"), F.count_distinct(port).alias("port_diversity"))
     u = u.withColumn("is_persistent", F.count(F.lit(1)).over(Window.partitionBy(*KEY)) > 1).join(by_src, ["capture_id", "src_ip"])
     if tls is None:
         return u.withColumn("tls_version", F.lit(None).cast("string"))

@@ -32,7 +32,8 @@ def nodes_of(edges: DataFrame) -> DataFrame:
 def degree_centrality(edges: DataFrame) -> DataFrame:
     """(node, degree, centrality, mean_confidence): neighbours, their share of the other nodes, and the mean over incident edges."""
     per = both_ways(edges).groupBy("a").agg(F.count_distinct("b").alias("degree"), F.avg("confidence").alias("mean_confidence"))
-    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
+    per = per.join(F.broadcast(per.agg(F.count(F.lit(1)).alias("_nodes"))), F.lit(True))
+    n = F.col("_nodes")
     return per.select(F.col("a").alias("node"), "degree", F.when(n > 1, F.col("degree") / (n - 1)).otherwise(0.0).alias("centrality"), "mean_confidence")
 
 
@@ -151,15 +152,29 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, weight: Column | None =
     return best
 
 
-def alternate_paths(edges: DataFrame, source: str, target: str, k: int = 5, max_hops: int = 4) -> DataFrame:
-    """(rank, cost, path): the k cheapest simple paths of at most max_hops edges."""
-    e = both_ways(edges).withColumn("w", edge_weight(F.col("confidence"))).groupBy("a", "b").agg(F.min("w").alias("w"))
-    paths = edges.sparkSession.createDataFrame([(source, 0.0, source)], "node string, cost double, path string")
-    done = paths.where("1 = 0")
-    for _ in range(max_hops):
-        paths = paths.join(e, F.col("node") == F.col("a")).where(~F.array_contains(F.split("path", SEPARATOR), F.col("b"))).select(F.col("b").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.concat_ws(SEPARATOR, "path", "b").alias("path"))
-        done = done.unionByName(paths.where(F.col("node") == target))
-        paths = paths.where(F.col("node") != target)
+def alternate_paths(edges: DataFrame, source: str, target: str, k: int = 5, max_hops: int | None = None) -> DataFrame:
+    """(rank, cost, path): the k cheapest simple paths, of any number of edges or of at most max_hops.
+
+    Paths grow edge by edge. One whose cost and cheapest way on to the target come to more
+    than the k-th best path found so far is given up, so the search ends by itself.
+    """
+    e = cut(both_ways(edges).withColumn("w", edge_weight(F.col("confidence"))).groupBy("a", "b").agg(F.min("w").alias("w")), "links")
+    start = edges.sparkSession.createDataFrame([(source, 0.0, source)], "node string, cost double, path string")
+    ahead = cut(shortest_paths(edges, start.select(F.lit(target).alias("start"))).select(F.col("node").alias("_to"), F.col("cost").alias("_ahead")), "ahead")
+    paths, done = start, cut(start.where("1 = 0"), "paths")
+    worst = None
+    for _ in count() if max_hops is None else range(max_hops):
+        step = paths.join(e, F.col("node") == F.col("a")).where(~F.array_contains(F.split("path", SEPARATOR), F.col("b"))).select(F.col("b").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.concat_ws(SEPARATOR, "path", "b").alias("path"))
+        step = step.join(ahead, F.col("node") == F.col("_to"))  # nodes that don't reach the target drop out
+        if worst is not None:
+            step = step.where(F.col("cost") + F.col("_ahead") <= worst + 1e-9)
+        step = cut(step.drop("_to", "_ahead"), "paths")
+        if step.isEmpty():
+            break
+        done = cut(done.unionByName(step.where(F.col("node") == target)).orderBy("cost", "path").limit(k), "paths")
+        found = done.agg(F.count(F.lit(1)), F.max("cost")).first()
+        worst = found[1] if found[0] == k else None
+        paths = step.where(F.col("node") != target)
     w = Window.orderBy("cost", "path")
     return done.orderBy("cost", "path").limit(k).withColumn("rank", F.row_number().over(w)).select("rank", "cost", "path")
 

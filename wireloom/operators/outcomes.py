@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,13 +99,16 @@ def validate_prediction(predicted: DataFrame, actual: DataFrame, predicted_share
     return e.join(s, "failed", "left").select("failed", F.coalesce("precision", one).alias("precision"), F.coalesce("recall", one).alias("recall"), F.coalesce("f1", one).alias("f1"), "share_error")
 
 
-def expected_paths(declared: DataFrame, max_hops: int = 4) -> DataFrame:
-    """(source, target, path, hops): every simple directed path of declared(source, target) up to max_hops edges; for scenario graphs, which are small."""
+def expected_paths(declared: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """(source, target, path, hops): every simple directed path of declared(source, target), or those of up to max_hops edges; for scenario graphs, which are small."""
     step = declared.select(F.col("source").alias("_s"), F.col("target").alias("_t")).distinct()
     paths = declared.distinct().select("source", "target", F.array("source", "target").alias("path"))
     out = paths
-    for _ in range(max_hops - 1):
+    for _ in count() if max_hops is None else range(max_hops - 1):
         paths = paths.join(step, F.col("target") == F.col("_s")).where(~F.array_contains("path", F.col("_t"))).select("source", F.col("_t").alias("target"), F.concat("path", F.array("_t")).alias("path"))
+        paths = cut(paths, "paths")
+        if paths.isEmpty():
+            break
         out = out.unionByName(paths)
     return out.withColumn("hops", F.size("path") - 1)
 

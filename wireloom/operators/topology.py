@@ -25,13 +25,17 @@ def numbered_nodes(nodes: DataFrame) -> DataFrame:
     return r.withColumn("node_id", F.concat_ws(":", "capture_id", F.lit("node"), F.col("_rank").cast("string"))).drop("_rank")
 
 
-def flow_pairs(flows: DataFrame, nodes: DataFrame, as_of_us: int | None = None) -> DataFrame:
+def flow_pairs(flows: DataFrame, nodes: DataFrame | None = None, as_of_us: int | None = None) -> DataFrame:
     """flows with source and target node (node_id where nodes has it, else the address), in string order; flows to oneself or with unknown ends drop out.
 
     With as_of_us, flows that began by then count, with all their packets, later ones too.
+    Without nodes every address is one, by its own name: then nothing is joined, which is
+    the way for flows whose nodes come from the same packets.
     """
     if as_of_us is not None:
         flows = flows.where(F.col("first_us") <= as_of_us)
+    if nodes is None:
+        return flows.where(F.col("src_ip") != F.col("dst_ip")).withColumn("source", F.least("src_ip", "dst_ip")).withColumn("target", F.greatest("src_ip", "dst_ip"))
     label = "node_id" if "node_id" in nodes.columns else "ip"
     s = nodes.select("capture_id", F.col("ip").alias("src_ip"), F.col(label).alias("_s"))
     d = nodes.select("capture_id", F.col("ip").alias("dst_ip"), F.col(label).alias("_d"))
@@ -55,7 +59,7 @@ def confidence(packet_scale: float = PACKET_SCALE, strength: float = SIGNAL_STRE
     return 1 - survival(volume_evidence(F.col("packets"), packet_scale), *signals)
 
 
-def discover_edges(flows: DataFrame, nodes: DataFrame, packet_scale: float = PACKET_SCALE, strength: float = SIGNAL_STRENGTH, as_of_us: int | None = None, min_bidirectionality: float = 0.0) -> DataFrame:
+def discover_edges(flows: DataFrame, nodes: DataFrame | None = None, packet_scale: float = PACKET_SCALE, strength: float = SIGNAL_STRENGTH, as_of_us: int | None = None, min_bidirectionality: float = 0.0) -> DataFrame:
     edges = edge_signals(flow_pairs(flows, nodes, as_of_us)).withColumn("confidence", confidence(packet_scale, strength))
     return edges.where(F.col("bidirectional") >= min_bidirectionality) if min_bidirectionality > 0 else edges
 

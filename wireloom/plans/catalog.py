@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wireloom.functions.expressions import SECOND, micros
 from wireloom.operators import behavior, causal, dependency, flows, generate, graph, history, learned, metrics, outcomes, roles, topology
 from wireloom.plans import sql
+from wireloom.session import cut
 from wireloom.sources import adapters
 from wireloom.sources.adapters import DAY_US, EPOCH_START, table
 from wireloom.streaming import engine
@@ -90,11 +91,11 @@ def protocol_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", flows.service(F.when(F.col("event_id") % 3 == 0, "UDP").otherwise("TCP"), sp, dp).alias("service"))
 
 
-@query("""WITH r AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS n, CAST(floor(l_extendedprice) AS BIGINT) AS octets, epoch_us(l_shipdate) AS us FROM lineitem WHERE l_orderkey % 50 = 0),
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS n, CAST(floor(l_extendedprice) AS BIGINT) AS octets, epoch_us(l_shipdate) AS us FROM lineitem),
 x AS (SELECT *, unnest(range(greatest(n, 1))) AS k FROM r)
 SELECT us + CAST(k AS BIGINT) * 1000000 AS at_us, CASE WHEN k = greatest(n, 1) - 1 THEN octets - (octets // greatest(n, 1)) * (greatest(n, 1) - 1) ELSE octets // greatest(n, 1) END AS size_bytes, count(*) AS n FROM x GROUP BY ALL""")
 def record_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return expanded(table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0"))  # the records of this example
+    return expanded(table(spark, sf_dir, "lineitem"))
 
 
 @query()
@@ -141,12 +142,12 @@ def edge_columns(edges: DataFrame) -> DataFrame:
 
 @query(f"WITH {sql.TRADE_PACKETS}, {sql.flows(TRADE_IDLE)}, {sql.EDGES} SELECT {EDGE_COLUMNS} FROM edges")
 def edge_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edge_columns(topology.discover_edges(trade_units(spark, sf_dir), trade_nodes(spark, sf_dir)))
+    return edge_columns(topology.discover_edges(trade_units(spark, sf_dir)))
 
 
 @query(f"WITH {sql.TRADE_PACKETS}, {sql.flows(TRADE_IDLE)}, {sql.EDGES} SELECT source, target, 'trade:edge:' || (row_number() OVER (ORDER BY first_us, source, target) - 1) AS edge_id FROM edges")
 def edge_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topology.numbered_edges(topology.discover_edges(trade_units(spark, sf_dir), trade_nodes(spark, sf_dir))).select("source", "target", "edge_id")
+    return topology.numbered_edges(topology.discover_edges(trade_units(spark, sf_dir))).select("source", "target", "edge_id")
 
 
 @query(f"WITH {sql.TRADE_PACKETS}, {sql.flows(TRADE_IDLE)}, {sql.EDGES}, kept AS (SELECT * FROM edges WHERE bidirectional >= 0.5), n AS (SELECT source AS ip FROM kept UNION SELECT target FROM kept) SELECT {EDGE_COLUMNS}, (SELECT count(*) FROM n) AS nodes FROM kept")
@@ -174,9 +175,9 @@ def edge_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def collector_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Three collectors, each of which sees two of eleven events; users are folded to 40."""
-    e = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string")).alias("source"), F.concat(F.lit("svc-"), "event_type").alias("target"), "event_id", F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("collector"))
-    return seen_by_collectors(e.where((F.col("event_id") + F.col("collector") * 7) % 11 < 2))
+    """Three collectors of all users' events, each of which misses a fifth of them, another one each."""
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source"), F.concat(F.lit("svc-"), "event_type").alias("target"), "event_id", F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("collector"))
+    return seen_by_collectors(e.where((F.col("event_id") + F.col("collector")) % 5 > 0))
 
 
 def all_collector_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -192,7 +193,7 @@ def seen_by_collectors(e: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges, nodes
 
 
-_COLLECT = """x AS (SELECT 'u' || (user_id % 40) AS source, 'svc-' || event_type AS target, event_id, unnest([0, 1, 2]) AS collector FROM events), e AS (SELECT * FROM x WHERE (event_id + collector * 7) % 11 < 2),
+_COLLECT = """x AS (SELECT 'u' || user_id AS source, 'svc-' || event_type AS target, event_id, unnest([0, 1, 2]) AS collector FROM events), e AS (SELECT * FROM x WHERE (event_id + collector) % 5 > 0),
 ed AS (SELECT collector, source, target, 1 - exp(-count(*) / 20.0) AS confidence FROM e GROUP BY ALL), n AS (SELECT DISTINCT collector, unnest([source, target]) AS ip FROM e),
 s AS (SELECT source, target, count(*) AS supporting, max(confidence) - min(confidence) AS spread FROM ed GROUP BY ALL),
 saw AS (SELECT s.source, s.target, a.collector FROM s JOIN n a ON a.ip = s.source JOIN n b ON b.ip = s.target AND b.collector = a.collector),
@@ -378,21 +379,20 @@ def role_brier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUARTER_US = 7_889_400_000_000
-START_1995 = 788_918_400_000_000
+START_1992 = 694_224_000_000_000
 
 
-def quarter_edges(spark: SparkSession, sf_dir: str, folded: bool = True) -> DataFrame:
-    """(version, source, target, observations, volume): customers and suppliers by quarter of the order; folded to 40 and 50 segments, or each by itself."""
+def quarter_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(version, source, target, observations, volume): customers and suppliers by quarter of the order, from 1992 on."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", micros(F.col("o_orderdate")).alias("us"))
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity").join(o, "l_orderkey").where(F.col("us") >= START_1995)
-    customer, supplier = (F.col("o_custkey") % 40, F.col("l_suppkey") % 50) if folded else (F.col("o_custkey"), F.col("l_suppkey"))
-    c, s = F.concat(F.lit("c"), customer.cast("string")), F.concat(F.lit("s"), supplier.cast("string"))
-    version = F.floor((F.col("us") - START_1995) / QUARTER_US).cast("long")
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity").join(o, "l_orderkey")
+    c, s = F.concat(F.lit("c"), F.col("o_custkey").cast("string")), F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
+    version = F.floor((F.col("us") - START_1992) / QUARTER_US).cast("long")
     return line.groupBy(version.alias("version"), c.alias("source"), s.alias("target")).agg(F.count(F.lit(1)).alias("observations"), F.sum(F.floor("l_quantity").cast("long")).alias("volume"))
 
 
-_QUARTERS = f"""q AS (SELECT CAST(floor((epoch_us(o_orderdate) - {START_1995}) / {QUARTER_US}.0) AS BIGINT) AS version, 'c' || (o_custkey % 40) AS source, 's' || (l_suppkey % 50) AS target, count(*) AS observations, CAST(sum(CAST(floor(l_quantity) AS BIGINT)) AS BIGINT) AS volume
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE epoch_us(o_orderdate) >= {START_1995} GROUP BY ALL)"""
+_QUARTERS = f"""q AS (SELECT CAST(floor((epoch_us(o_orderdate) - {START_1992}) / {QUARTER_US}.0) AS BIGINT) AS version, 'c' || o_custkey AS source, 's' || l_suppkey AS target, count(*) AS observations, CAST(sum(CAST(floor(l_quantity) AS BIGINT)) AS BIGINT) AS volume
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)"""
 _DIFF = """d AS (SELECT coalesce(a.version, b.version + 1) AS to_version, coalesce(a.source, b.source) AS source, coalesce(a.target, b.target) AS target, CASE WHEN b.source IS NULL THEN 'edge_added' WHEN a.source IS NULL THEN 'edge_removed' ELSE 'attribute_changed' END AS change, a.observations AS ao, b.observations AS bo, a.volume AS av, b.volume AS bv
   FROM (SELECT * FROM q WHERE version > (SELECT min(version) FROM q)) a FULL OUTER JOIN (SELECT * FROM q WHERE version < (SELECT max(version) FROM q)) b ON a.source = b.source AND a.target = b.target AND a.version = b.version + 1),
 ev AS (SELECT to_version, source, target, change, CAST(NULL AS VARCHAR) AS attribute, CAST(NULL AS VARCHAR) AS previous, CAST(NULL AS VARCHAR) AS "new" FROM d WHERE change <> 'attribute_changed'
@@ -423,26 +423,26 @@ def history_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.history_range(events, "to_version", 2, 5, ["to_version", "source", "target", "change", "attribute"], 100, 50)
 
 
-@query(f"WITH {sql.FINGERPRINTS}, o AS (SELECT ip, epoch, total_byte_count FROM fp WHERE epoch < 15), n AS (SELECT ip, epoch, total_byte_count FROM fp WHERE epoch >= 10 AND epoch % 7 = 3), r AS (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY epoch DESC) AS k FROM (SELECT * FROM o UNION SELECT * FROM n)) SELECT ip, epoch, total_byte_count FROM r WHERE k = 1")
+@query(f"WITH {sql.FINGERPRINTS}, o AS (SELECT ip, epoch, total_byte_count FROM fp WHERE epoch < 15), n AS (SELECT ip, epoch, total_byte_count FROM fp WHERE epoch >= 10), r AS (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY epoch DESC) AS k FROM (SELECT * FROM o UNION SELECT * FROM n)) SELECT ip, epoch, total_byte_count FROM r WHERE k = 1")
 def fingerprint_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = user_fingerprints(spark, sf_dir).select("ip", "epoch", "total_byte_count")
-    return history.upsert(f.where("epoch < 15"), f.where("epoch >= 10 and epoch % 7 = 3"), ["ip"], "epoch")
+    return history.upsert(f.where("epoch < 15"), f.where("epoch >= 10"), ["ip"], "epoch")
 
 
 @query()
 def event_timeline_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.timeline(quarter_edges(spark, sf_dir, folded=False), ["source", "target"], ["observations", "volume"])
+    return history.timeline(quarter_edges(spark, sf_dir), ["source", "target"], ["observations", "volume"])
 
 
 @query()
 def snapshot_diff_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = quarter_edges(spark, sf_dir, folded=False)
+    q = quarter_edges(spark, sf_dir)
     return history.diff_edges(q.where("version = 2"), q.where("version = 3"), ["source", "target"], ["observations", "volume"])
 
 
 @query()
 def node_diff_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = quarter_edges(spark, sf_dir, folded=False).select("version", F.explode(F.array("source", "target")).alias("node")).distinct()
+    n = quarter_edges(spark, sf_dir).select("version", F.explode(F.array("source", "target")).alias("node")).distinct()
     return history.diff_nodes(n.where("version = 2").select("node"), n.where("version = 3").select("node"), ["node"])
 
 
@@ -457,12 +457,16 @@ def fingerprint_upsert_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topology.discover_edges(event_units(spark, sf_dir), topology.discover_nodes(adapters.event_packets(spark, sf_dir)))
+    return topology.discover_edges(event_units(spark, sf_dir))
 
 
 def event_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(node, us): first times of the flows that touch a node."""
-    return behavior.touches(event_units(spark, sf_dir)).select(F.col("ip").alias("node"), F.col("first_us").alias("us"))
+    return flow_times(event_units(spark, sf_dir))
+
+
+def flow_times(units: DataFrame) -> DataFrame:
+    return behavior.touches(units).select(F.col("ip").alias("node"), F.col("first_us").alias("us"))
 
 
 _PRECEDENCE = """tm AS (SELECT src AS node, first_us AS us FROM un UNION ALL SELECT dst, first_us FROM un WHERE src <> dst),
@@ -479,7 +483,8 @@ tp AS (SELECT source, target, CASE WHEN coalesce(max(r) FILTER (WHERE lag_ > 0),
 
 @query(f"WITH {sql.EVENT_PACKETS}, {sql.flows(EVENT_IDLE)}, {_PRECEDENCE} SELECT source, target, round(precedence, 6) AS precedence FROM tp")
 def temporal_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = dependency.temporal_precedence(event_edges(spark, sf_dir), event_times(spark, sf_dir), 86_400)
+    units = event_units(spark, sf_dir)
+    t = dependency.temporal_precedence(topology.discover_edges(units), flow_times(units), 86_400)
     return t.select("source", "target", r6("precedence").alias("precedence"))
 
 
@@ -490,7 +495,7 @@ def bucket_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {sql.TRADE_PACKETS}, {sql.flows(TRADE_IDLE)}, {sql.EDGES} SELECT source, target, round((last_us - first_us) / 1000000.0, 3) AS persistence_seconds, round(CASE WHEN last_us > first_us THEN observation_count / ((last_us - first_us) / 1000000.0) ELSE observation_count END, 9) AS frequency FROM edges")
 def communication(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = dependency.communication(topology.discover_edges(trade_units(spark, sf_dir), trade_nodes(spark, sf_dir)))
+    c = dependency.communication(topology.discover_edges(trade_units(spark, sf_dir)))
     return c.select("source", "target", F.round("persistence_seconds", 3).alias("persistence_seconds"), F.round("frequency", 9).alias("frequency"))
 
 
@@ -501,8 +506,9 @@ _DEP_ALL = f"{sql.EVENT_PACKETS}, {sql.flows(EVENT_IDLE)}, {sql.EDGES}, {_PRECED
 
 
 def event_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = event_edges(spark, sf_dir)
-    return dependency.dependency_strength(edges, dependency.temporal_precedence(edges, event_times(spark, sf_dir), 86_400))
+    units = event_units(spark, sf_dir)
+    edges = cut(topology.discover_edges(units), "edges")
+    return dependency.dependency_strength(edges, dependency.temporal_precedence(edges, flow_times(units), 86_400))
 
 
 @query(f"WITH {_DEP_ALL} SELECT source, target, round(directionality, 6) AS directionality, round(precedence, 6) AS precedence, round(strength, 6) AS strength FROM st")
@@ -551,9 +557,9 @@ def failure_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
 # graph algorithms
 
 
-@query(f"WITH {sql.SPARSE}, n AS (SELECT count(DISTINCT a) AS n FROM bw) SELECT a AS node, count(DISTINCT b) AS degree, round(count(DISTINCT b) / (n - 1.0), 6) AS centrality, round(avg(confidence), 6) AS mean_confidence FROM bw, n GROUP BY a, n")
+@query(f"WITH {sql.WHOLE}, n AS (SELECT count(DISTINCT a) AS n FROM bw) SELECT a AS node, count(DISTINCT b) AS degree, round(count(DISTINCT b) / (n - 1.0), 6) AS centrality, round(avg(confidence), 6) AS mean_confidence FROM bw, n GROUP BY a, n")
 def degree_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = graph.degree_centrality(adapters.sparse_graph(spark, sf_dir))
+    d = graph.degree_centrality(adapters.sparse_graph(spark, sf_dir, None))
     return d.select("node", "degree", r6("centrality").alias("centrality"), r6("mean_confidence").alias("mean_confidence"))
 
 
@@ -674,14 +680,13 @@ def counterfactual_add_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 # evaluation
 
 
-_TRUTH = "tp AS (SELECT DISTINCT 'c' || (o_custkey % 200) AS source, 's' || l_suppkey AS target, o_orderdate < TIMESTAMP '1997-01-01' AS early FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+_TRUTH = "tp AS (SELECT DISTINCT 'c' || o_custkey AS source, 's' || l_suppkey AS target, o_orderdate < TIMESTAMP '1997-01-01' AS early FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 
 
-def truth_pairs(spark: SparkSession, sf_dir: str, folded: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Pairs of early orders as the truth, pairs of late ones as what was inferred; customers folded to 200, or each by itself."""
-    customer = F.col("o_custkey") % 200 if folded else F.col("o_custkey")
+def truth_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs of customers and suppliers: those of early orders as the truth, those of late ones as what was inferred."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", (F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp_ntz")).alias("early"))
-    p = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").join(o, "l_orderkey").select(F.concat(F.lit("c"), customer.cast("string")).alias("source"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("target"), "early").distinct()
+    p = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").join(o, "l_orderkey").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("source"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("target"), "early").distinct()
     return p.where("early").drop("early"), p.where("not early").drop("early")
 
 
@@ -708,14 +713,14 @@ def edge_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def topology_prf_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    truth, inferred = truth_pairs(spark, sf_dir, folded=False)
+    truth, inferred = truth_pairs(spark, sf_dir)
     s = metrics.set_scores(inferred, truth, ["source", "target"])
     return s.select("matched", "predicted", "actual", r6("precision").alias("precision"), r6("recall").alias("recall"), r6("f1").alias("f1"))
 
 
 @query()
 def edge_jaccard_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = metrics.jaccard(*truth_pairs(spark, sf_dir, folded=False), ["source", "target"])
+    j = metrics.jaccard(*truth_pairs(spark, sf_dir), ["source", "target"])
     return j.select("matched", "union", r6("jaccard").alias("jaccard"))
 
 
@@ -959,10 +964,10 @@ def experiment_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes.axes(spark, level=["small", "large"], completeness=[1.0, 0.5, 0.25], seed=[42, 43])
 
 
-@query(f"WITH {_QUARTERS}, p AS (SELECT source, target, round(1 - exp(-sum(observations) / 20.0), 9) AS pr FROM q WHERE version < 3 GROUP BY ALL), e AS (SELECT DISTINCT source, target FROM q WHERE version = 0) SELECT p.source, p.target, round(pr, 6) AS confidence, e.source IS NULL AS synthesized FROM p LEFT JOIN e ON p.source = e.source AND p.target = e.target WHERE pr >= 0.3")
+@query(f"WITH {_QUARTERS}, p AS (SELECT source, target, round(1 - exp(-sum(observations) / 5.0), 9) AS pr FROM q WHERE version < 3 GROUP BY ALL), e AS (SELECT DISTINCT source, target FROM q WHERE version = 0) SELECT p.source, p.target, round(pr, 6) AS confidence, e.source IS NULL AS synthesized FROM p LEFT JOIN e ON p.source = e.source AND p.target = e.target WHERE pr >= 0.3")
 def graph_from_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = quarter_edges(spark, sf_dir)
-    p = q.where("version < 3").groupBy("source", "target").agg(F.round(1 - F.exp(-F.sum("observations") / 20.0), 9).alias("probability"))
+    p = q.where("version < 3").groupBy("source", "target").agg(F.round(1 - F.exp(-F.sum("observations") / 5.0), 9).alias("probability"))
     g = outcomes.graph_from_probabilities(q.where("version = 0").select("source", "target").distinct(), p, 0.3)
     return g.select("source", "target", r6("confidence").alias("confidence"), "synthesized")
 

@@ -52,3 +52,5 @@ bw AS (SELECT source AS a, target AS b, confidence FROM e UNION ALL SELECT targe
 NATION = """per AS (SELECT a.n_name AS a, b.n_name AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation a ON a.n_nationkey = c_nationkey JOIN nation b ON b.n_nationkey = s_nationkey WHERE c_nationkey <> s_nationkey),
 e AS (SELECT least(a, b) AS source, greatest(a, b) AS target, count(*) AS observation_count, 1 - exp(-count(*) / 50.0) AS confidence FROM per GROUP BY ALL),
 bw AS (SELECT source AS a, target AS b, confidence FROM e UNION ALL SELECT target, source, confidence FROM e)"""
+#: The graph of all orders.
+WHOLE = SPARSE.replace(" WHERE o_totalprice > 490000.0", "")

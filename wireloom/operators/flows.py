@@ -16,6 +16,8 @@ from wireloom.session import cut
 #: Well-known services by transport and port.
 WELL_KNOWN = (("TCP", 80, "http"), ("TCP", 443, "tls"), ("TCP", 5432, "postgresql"), ("TCP", 6379, "redis"), ("UDP", 53, "dns"))
 KEY = ["capture_id", "lo", "hi", "protocol"]
+#: The key for windows: sorts compare a number before they compare endpoints.
+FAST_KEY = ["key_hash", *KEY]
 
 
 def service(protocol: Column, src_port: Column, dst_port: Column) -> Column:
@@ -37,12 +39,13 @@ def endpoint(ip: str, port: str) -> Column:
 def keyed(packets: DataFrame) -> DataFrame:
     """packets with a key that is the same in both directions: the two endpoints in order, and the protocol."""
     a, b = endpoint("src_ip", "src_port"), endpoint("dst_ip", "dst_port")
-    return packets.withColumn("lo", F.least(a, b)).withColumn("hi", F.greatest(a, b)).withColumn("from_lo", a == F.col("lo")).withColumn("us", micros(F.col("ts")))
+    p = packets.withColumn("lo", F.least(a, b)).withColumn("hi", F.greatest(a, b)).withColumn("from_lo", a == F.col("lo")).withColumn("us", micros(F.col("ts")))
+    return p.withColumn("key_hash", F.xxhash64(*KEY))
 
 
 def sessions(packets: DataFrame, udp_idle: float = 30.0) -> DataFrame:
     """TCP and UDP packets with gap (to the one before in the session) and session; only UDP is split, at gaps strictly above udp_idle."""
-    w = Window.partitionBy(*KEY).orderBy("us", "packet_seq")
+    w = Window.partitionBy(*FAST_KEY).orderBy("us", "packet_seq")
     p = keyed(packets.where(F.col("protocol").isin("TCP", "UDP")))
     p = p.withColumn("gap", F.col("us") - F.lag("us").over(w)).withColumn("_i", F.row_number().over(w))
     fresh = (F.col("protocol") == "UDP") & (F.col("gap") > int(udp_idle * SECOND))
@@ -61,45 +64,60 @@ def units(packets: DataFrame, udp_idle: float = 30.0) -> DataFrame:
     The state machine has a closed form: a plain ACK after the first SYN and before the
     first FIN makes a connection; RST beats everything; FINs in both directions close it.
     """
-    whole = Window.partitionBy(*KEY)
+    whole = Window.partitionBy(*FAST_KEY)
     p = sessions(packets, udp_idle)
     p = p.withColumn("_syn", F.min(F.when(_flag("SYN"), F.col("_i"))).over(whole)).withColumn("_fin", F.min(F.when(_flag("FIN") & ~_flag("SYN"), F.col("_i"))).over(whole))
     shakes = _flag("ACK") & ~_flag("SYN") & ~_flag("FIN") & (F.col("_i") > F.col("_syn")) & (F.col("_fin").isNull() | (F.col("_i") < F.col("_fin")))
     fin = _flag("FIN") & ~_flag("SYN")
-    first = F.min(F.struct("us", "packet_seq", "from_lo", "src_ip", "dst_ip", "src_port", "dst_port"))
-    g = p.groupBy(*KEY, "session").agg(
-        first.alias("f"), F.max("us").alias("last_us"), F.count(F.lit(1)).alias("packet_count"), F.sum("size_bytes").alias("byte_count"),
+    first = (F.col("_i") == 1) | (F.col("_new") == 1)
+
+    def of_first(c: str) -> Column:
+        return F.max(F.when(first, F.col(c)))
+
+    # numbers and flags alone, so that the aggregation hashes and doesn't sort again
+    g = p.groupBy(*FAST_KEY, "session").agg(
+        F.min("us").alias("first_us"), of_first("packet_seq").alias("first_seq"), of_first("from_lo").alias("_forward"), of_first("src_port").alias("src_port"), of_first("dst_port").alias("dst_port"), F.max("us").alias("last_us"), F.count(F.lit(1)).alias("packet_count"), F.sum("size_bytes").alias("byte_count"),
         F.sum(F.when(F.col("from_lo"), F.col("size_bytes")).otherwise(0)).alias("_lo_bytes"), F.count("gap").alias("_gaps"), F.avg("gap").alias("_gap"), F.stddev_pop("gap").alias("_dev"),
         F.bool_or(_flag("RST")).alias("_rst"), F.min("_syn").alias("_syn"), F.bool_or(F.coalesce(shakes, F.lit(False))).alias("_est"), F.bool_or(fin & F.col("from_lo")).alias("_fin_lo"), F.bool_or(fin & ~F.col("from_lo")).alias("_fin_hi"),
     )
     state = (
         F.when(F.col("_rst"), "reset").when(F.col("_syn").isNull() | ~F.col("_est"), "partial").when(F.col("_fin_lo") & F.col("_fin_hi"), "closed").when(F.col("_fin_lo") | F.col("_fin_hi"), "closing").otherwise("established")
     )
-    forward = F.when(F.col("f.from_lo"), F.col("_lo_bytes")).otherwise(F.col("byte_count") - F.col("_lo_bytes"))
+    forward = F.when(F.col("_forward"), F.col("_lo_bytes")).otherwise(F.col("byte_count") - F.col("_lo_bytes"))
     mean = F.coalesce(F.col("_gap") / SECOND, F.lit(0.0))
     return g.select(
-        *KEY, "session", F.col("f.src_ip").alias("src_ip"), F.col("f.dst_ip").alias("dst_ip"), F.col("f.src_port").alias("src_port"), F.col("f.dst_port").alias("dst_port"),
-        F.col("f.us").alias("first_us"), "last_us", F.col("f.packet_seq").alias("first_seq"), F.when(F.col("protocol") == "TCP", state).alias("tcp_state"),
-        service(F.col("protocol"), F.col("f.src_port"), F.col("f.dst_port")).alias("fingerprinted_protocol"), "packet_count", "byte_count",
-        ((F.col("last_us") - F.col("f.us")) / SECOND).alias("duration_seconds"), mean.alias("mean_inter_arrival_seconds"),
+        *KEY, "key_hash", "session", F.when(F.col("_forward"), F.col("lo.ip")).otherwise(F.col("hi.ip")).alias("src_ip"), F.when(F.col("_forward"), F.col("hi.ip")).otherwise(F.col("lo.ip")).alias("dst_ip"), "src_port", "dst_port",
+        "first_us", "last_us", "first_seq", F.when(F.col("protocol") == "TCP", state).alias("tcp_state"),
+        service(F.col("protocol"), F.col("src_port"), F.col("dst_port")).alias("fingerprinted_protocol"), "packet_count", "byte_count",
+        ((F.col("last_us") - F.col("first_us")) / SECOND).alias("duration_seconds"), mean.alias("mean_inter_arrival_seconds"),
         F.when((F.col("_gaps") >= 2) & (mean > 0), F.col("_dev") / F.col("_gap")).otherwise(0.0).alias("burstiness"),
         F.coalesce(F.try_divide(forward, F.col("byte_count")), F.lit(0.0)).cast("double").alias("forward_byte_ratio"),
     )
 
 
-def reconstruct_flows(packets: DataFrame, udp_idle: float = 30.0, tls: DataFrame | None = None) -> DataFrame:
+def reconstruct_flows(packets: DataFrame, udp_idle: float = 30.0, tls: DataFrame | None = None, diversity: bool = True) -> DataFrame:
     """Flows of every capture: units with diversity of their source, persistence of their key, and TLS versions from tls(ip, port, version).
 
     destination_diversity and port_diversity count over the whole capture by canonical
-    source (a null port counts as a value).
+    source (a null port counts as a value); without diversity they are left out, and flows
+    are one pass over the packets.
     """
-    u = cut(units(packets, udp_idle), "units")  # read twice: packets are sorted once
+    u = units(packets, udp_idle).withColumn("is_persistent", F.count(F.lit(1)).over(Window.partitionBy(*FAST_KEY)) > 1).drop("key_hash")
+    if diversity:
+        u = with_diversity(cut(u, "units"))  # read twice: packets are sorted once
+    return with_tls(u, tls)
+
+
+def with_diversity(u: DataFrame) -> DataFrame:
     port = F.coalesce(F.col("dst_port"), F.lit(-1))
     # distinct ends first, which combines before the shuffle; what is left is counted
     ends = u.groupBy("capture_id", "src_ip", "dst_ip", port.alias("dst_port")).agg(F.count(F.lit(1)).alias("_n"))
     port = F.col("dst_port")
     by_src = ends.groupBy("capture_id", "src_ip").agg(F.count_distinct("dst_ip").alias("destination_diversity"), F.count_distinct(port).alias("port_diversity"))
-    u = u.withColumn("is_persistent", F.count(F.lit(1)).over(Window.partitionBy(*KEY)) > 1).join(by_src, ["capture_id", "src_ip"])
+    return u.join(by_src, ["capture_id", "src_ip"])
+
+
+def with_tls(u: DataFrame, tls: DataFrame | None) -> DataFrame:
     if tls is None:
         return u.withColumn("tls_version", F.lit(None).cast("string"))
     one = tls.groupBy("ip", "port").agg(F.max_by("version", "packet_seq").alias("version"))

@@ -39,11 +39,12 @@ def r6(c: Column | str) -> Column:
 
 
 def event_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flows.reconstruct_flows(adapters.event_packets(spark, sf_dir), EVENT_IDLE)
+    """Flows of the events; what no query reads of them, the diversity of a source, is left out."""
+    return flows.reconstruct_flows(adapters.event_packets(spark, sf_dir), EVENT_IDLE, diversity=False)
 
 
 def trade_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flows.reconstruct_flows(adapters.trade_packets(spark, sf_dir), TRADE_IDLE)
+    return flows.reconstruct_flows(adapters.trade_packets(spark, sf_dir), TRADE_IDLE, diversity=False)
 
 
 def trade_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +62,7 @@ def flow_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {sql.TRADE_PACKETS}, {sql.flows(TRADE_IDLE)} SELECT src AS src_ip, dst AS dst_ip, first_us, last_us, packet_count, byte_count, round(ratio, 6) AS forward_byte_ratio, persistent AS is_persistent, (SELECT count(DISTINCT x.dst) FROM un x WHERE x.src = un.src) AS destination_diversity, (SELECT count(DISTINCT x.dp0) FROM un x WHERE x.src = un.src) AS port_diversity FROM un")
 def flow_diversity_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = trade_units(spark, sf_dir)
+    u = flows.reconstruct_flows(adapters.trade_packets(spark, sf_dir), TRADE_IDLE)
     return u.select("src_ip", "dst_ip", "first_us", "last_us", "packet_count", "byte_count", r6("forward_byte_ratio").alias("forward_byte_ratio"), "is_persistent", "destination_diversity", "port_diversity")
 
 
@@ -483,7 +484,7 @@ tp AS (SELECT source, target, CASE WHEN coalesce(max(r) FILTER (WHERE lag_ > 0),
 
 @query(f"WITH {sql.EVENT_PACKETS}, {sql.flows(EVENT_IDLE)}, {_PRECEDENCE} SELECT source, target, round(precedence, 6) AS precedence FROM tp")
 def temporal_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = event_units(spark, sf_dir)
+    units = cut(event_units(spark, sf_dir), "units")
     t = dependency.temporal_precedence(topology.discover_edges(units), flow_times(units), 86_400)
     return t.select("source", "target", r6("precedence").alias("precedence"))
 
@@ -506,7 +507,7 @@ _DEP_ALL = f"{sql.EVENT_PACKETS}, {sql.flows(EVENT_IDLE)}, {sql.EDGES}, {_PRECED
 
 
 def event_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = event_units(spark, sf_dir)
+    units = cut(event_units(spark, sf_dir), "units")
     edges = cut(topology.discover_edges(units), "edges")
     return dependency.dependency_strength(edges, dependency.temporal_precedence(edges, flow_times(units), 86_400))
 

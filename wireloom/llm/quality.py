@@ -16,7 +16,7 @@ from wireloom.session import cut, discard
 U64 = np.uint64
 DIM, NONZERO, WINDOW = 16, 4, 2
 #: Documents of a block meet their word vectors together: about this much text, and at least MIN_BLOCKS of them.
-BLOCK_BYTES, MIN_BLOCKS = 64 << 20, 8
+BLOCK_BYTES, MIN_BLOCKS = 48 << 20, 8
 #: Text that a task packs into blobs at a time.
 PACK_BYTES = 16 << 20
 #: Parts of the vocabulary for each block, so that a part holds a fraction of a block's words.
@@ -157,7 +157,7 @@ def document_features(docs: DataFrame, n_blocks: int | None = None) -> DataFrame
                 now = block
                 for _, texts in unpacked_texts(blob):
                     held.append(context_sums(texts))
-                    if len(held) > 16:
+                    if len(held) > 8:
                         held = [merged(held)]
         if held:
             yield shares(now, *merged(held))

@@ -380,19 +380,19 @@ def role_brier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUARTER_US = 7_889_400_000_000
-START_1992 = 694_224_000_000_000
+START_1995 = 788_918_400_000_000
 
 
 def quarter_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(version, source, target, observations, volume): customers and suppliers by quarter of the order, from 1992 on."""
+    """(version, source, target, observations, volume): customers and suppliers by quarter of the order, counted from 1995."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", micros(F.col("o_orderdate")).alias("us"))
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity").join(o, "l_orderkey")
     c, s = F.concat(F.lit("c"), F.col("o_custkey").cast("string")), F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
-    version = F.floor((F.col("us") - START_1992) / QUARTER_US).cast("long")
+    version = F.floor((F.col("us") - START_1995) / QUARTER_US).cast("long")
     return line.groupBy(version.alias("version"), c.alias("source"), s.alias("target")).agg(F.count(F.lit(1)).alias("observations"), F.sum(F.floor("l_quantity").cast("long")).alias("volume"))
 
 
-_QUARTERS = f"""q AS (SELECT CAST(floor((epoch_us(o_orderdate) - {START_1992}) / {QUARTER_US}.0) AS BIGINT) AS version, 'c' || o_custkey AS source, 's' || l_suppkey AS target, count(*) AS observations, CAST(sum(CAST(floor(l_quantity) AS BIGINT)) AS BIGINT) AS volume
+_QUARTERS = f"""q AS (SELECT CAST(floor((epoch_us(o_orderdate) - {START_1995}) / {QUARTER_US}.0) AS BIGINT) AS version, 'c' || o_custkey AS source, 's' || l_suppkey AS target, count(*) AS observations, CAST(sum(CAST(floor(l_quantity) AS BIGINT)) AS BIGINT) AS volume
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)"""
 _DIFF = """d AS (SELECT coalesce(a.version, b.version + 1) AS to_version, coalesce(a.source, b.source) AS source, coalesce(a.target, b.target) AS target, CASE WHEN b.source IS NULL THEN 'edge_added' WHEN a.source IS NULL THEN 'edge_removed' ELSE 'attribute_changed' END AS change, a.observations AS ao, b.observations AS bo, a.volume AS av, b.volume AS bv
   FROM (SELECT * FROM q WHERE version > (SELECT min(version) FROM q)) a FULL OUTER JOIN (SELECT * FROM q WHERE version < (SELECT max(version) FROM q)) b ON a.source = b.source AND a.target = b.target AND a.version = b.version + 1),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -43,6 +44,7 @@ DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d
 LEET = str.maketrans("013457@$!", "oleastasi")
 RANK = {w: i + 1 for i, w in enumerate(WORDS)}
 SHORTEST, LONGEST = 3, 16  # letters of a word in the ranked table
+RUN = re.compile(f"[a-z]{{{SHORTEST},}}")
 PLACE = {c: (r, i) for rows in (KEYS, SHIFTED) for r, row in enumerate(rows) for i, c in enumerate(row) if c != " "}
 START_COST = 1.0  # log10 of choosing a kind of segment
 THRESHOLD = 12.0
@@ -129,14 +131,38 @@ def scan(text: str, threshold: float = THRESHOLD, cost: Callable[[str], float] =
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
+def word_counts(docs: DataFrame, most: int = 200_000) -> DataFrame:
+    """(word, n): how often each run of SHORTEST to LONGEST letters a-z, in any case, stands in the texts.
+
+    A task adds its words up before they are shuffled, and hands its sums on whenever it
+    holds more than most words, so its memory doesn't grow with the vocabulary.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+
+        def sums() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+            seen.clear()
+            return out
+
+        for batch in batches:
+            for part in common.slices(batch, "text"):
+                for text in common.texts_of(part, "text"):
+                    seen.update(w for w in RUN.findall(text.decode(errors="replace").lower()) if len(w) <= LONGEST)
+                if len(seen) > most:
+                    yield sums()
+        yield sums()
+
+    return docs.select(common.text_bytes()).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
 def learned_ranks(docs: DataFrame, size: int = 20_000) -> dict[str, int]:
     """Guess ranks of words: WORDS, and then the size most frequent words of all texts (a Spark count; ties by the word).
 
-    size is the documented bound of the table that is broadcast. A word is a run of
-    SHORTEST to LONGEST letters a-z in any case; it has to occur twice.
+    size is the documented bound of the table that is broadcast. A word has to occur twice.
     """
-    word = F.explode(F.regexp_extract_all(F.lower(F.col("text")), F.lit(f"(?<![a-z])[a-z]{{{SHORTEST},{LONGEST}}}(?![a-z])"), F.lit(0))).alias("word")
-    top = docs.select(word).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(size)
+    top = word_counts(docs).where("n > 1").orderBy(F.desc("n"), "word").limit(size)
     out = dict(RANK)
     for r in top.collect():
         out.setdefault(r["word"], len(out) + 1)

@@ -9,10 +9,11 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wireloom.llm import common
+from wireloom.session import cut, discard
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -161,10 +162,17 @@ def learned_ranks(docs: DataFrame, size: int = 20_000) -> dict[str, int]:
     """Guess ranks of words: WORDS, and then the size most frequent words of all texts (a Spark count; ties by the word).
 
     size is the documented bound of the table that is broadcast. A word has to occur twice.
+    How many words have each count tells the least count that the table needs, so that only
+    words of that count or more come to the driver, not the first words of every partition.
     """
-    top = word_counts(docs).where("n > 1").orderBy(F.desc("n"), "word").limit(size)
+    counts = cut(word_counts(docs).where("n > 1"), "words")
+    steps = counts.groupBy("n").agg(F.count("*").alias("words"))  # the square root of the corpus' size at most
+    upto = steps.select("n", F.sum("words").over(Window.orderBy(F.desc("n"))).alias("upto"))
+    least = upto.where(F.col("upto") >= size).agg(F.max("n")).first()[0] or 0
+    top = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(size).collect()
+    discard(counts)
     out = dict(RANK)
-    for r in top.collect():
+    for r in top:
         out.setdefault(r["word"], len(out) + 1)
     return out
 

@@ -214,6 +214,18 @@ def test_secret_words_are_learned(spark):
     assert sum(i >= 2000 for i in said) >= 98 and sum(1000 <= i < 2000 for i in said) <= 2 and not any(i < 1000 for i in said)
 
 
+def test_learned_ranks_are_the_most_frequent_words(spark, sf_dir):
+    """Cut by count, they are what sorting all words gives, ties by the word; a table without words gives the fixed ones."""
+    docs = documents(spark, sf_dir)
+    rows = sorted((-r["n"], r["word"]) for r in secrets.word_counts(docs).where("n > 1").collect())
+    for size in (20, 500, 10**6):
+        want = dict(secrets.RANK)
+        for _, word in rows[:size]:
+            want.setdefault(word, len(want) + 1)
+        assert secrets.learned_ranks(docs, size) == want
+    assert secrets.learned_ranks(empty(spark)) == secrets.RANK
+
+
 def brute_cost(value):
     """Dynamic programming over all segments, brute-force spans of any length included."""
     best = [0.0] + [float("inf")] * len(value)

@@ -230,6 +230,20 @@ def test_causal_discovery(spark):
     assert found.get(("a", "b")) == 2 and ("c", "b") not in found and ("b", "c") not in found
 
 
+def test_paired_widths_and_sampling_stability(spark):
+    """Three units with both ends (one tie), one without; a sample with a pair that the whole doesn't have; no pairs at all."""
+    rows = [("g", u, lv, v) for u, lv, v in [(1, 0, 5.0), (1, 2, 1.0), (2, 0, 3.0), (2, 2, 3.0), (3, 0, 9.0), (3, 1, 0.0), (3, 2, 2.0), (4, 1, 7.0)]]
+    got = metrics.paired_widths(spark.createDataFrame(rows, "g string, u int, lv int, v double"), ["u"], "lv", "v", ["g"]).first()
+    assert (got["wider"], got["ties"], got["narrower"], got["monotone"]) == (2, 1, 0, True)
+    pair = "source string, target string"
+    full = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], pair)
+    part = spark.createDataFrame([(0.5, "a", "b"), (0.5, "a", "b"), (0.5, "x", "b")], "lv double, " + pair)
+    r = metrics.sampling_stability(part, full, "lv").first()
+    assert (r["edges"], r["nodes"], r["edge_jaccard"], r["node_retention"]) == (2, 3, 0.25, 0.5)
+    assert metrics.sampling_stability(part.limit(0), full, "lv").isEmpty()
+    assert metrics.sampling_stability(part, full.limit(0), "lv").first()["node_retention"] == 1.0
+
+
 def test_generators(spark):
     assert generate.chain(spark, 4).count() == 3 and generate.tiers(spark, [2, 4, 4, 2]).count() == 32 and generate.multi_path(spark, 3).count() == 6 and generate.star(spark, 10).count() == 10
     t = generate.traffic(generate.star(spark, 6), 15, T0, 60, "gen")

@@ -191,3 +191,39 @@ def mode(rows: DataFrame, value: str, group: list[str]) -> DataFrame:
     """(group, value, n): the most frequent value, ties by value."""
     per = rows.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy(*group).agg(F.min(F.struct((-F.col("n")).alias("_n"), value)).alias("_t")).select(*group, F.col(f"_t.{value}").alias(value), (-F.col("_t._n")).alias("n"))
+
+
+def paired_widths(rows: DataFrame, unit: list[str], level: str, value: str, group: list[str] | None = None, tie: float = 1e-12) -> DataFrame:
+    """(group, wider, ties, narrower, monotone): each unit's value at the lowest level of its group against that at the highest.
+
+    rows holds one value for each unit and level; units without both ends aren't counted.
+    monotone says that more than half of the pairs are wider at the lowest level.
+    """
+    group = group or []
+    ends = rows.groupBy(*group).agg(F.min(level).alias("_lo"), F.max(level).alias("_hi"))
+    at_ends = rows.join(ends, group) if group else rows.join(F.broadcast(ends), F.lit(True))
+    pairs = at_ends.groupBy(*group, *unit).agg(F.max(F.when(F.col(level) == F.col("_lo"), F.col(value))).alias("_a"), F.max(F.when(F.col(level) == F.col("_hi"), F.col(value))).alias("_b"))
+    d = F.col("_a") - F.col("_b")
+    counts = pairs.where(d.isNotNull()).groupBy(*group).agg(F.count_if(d > tie).alias("wider"), F.count_if(F.abs(d) <= tie).alias("ties"), F.count_if(d < -tie).alias("narrower"))
+    return counts.withColumn("monotone", F.col("wider") * 2 > F.col("wider") + F.col("ties") + F.col("narrower"))
+
+
+def sampling_stability(sampled: DataFrame, full: DataFrame, level: str) -> DataFrame:
+    """(level, edges, nodes, edge_jaccard, node_retention) of pairs(level, source, target) seen in part against all pairs(source, target).
+
+    A level without pairs has no row; against no pairs at all every share is 1.
+    """
+
+    def nodes(pairs: DataFrame, *keep: str) -> DataFrame:
+        return pairs.select(*keep, F.explode(F.array("source", "target")).alias("node")).distinct()
+
+    def shares(part: DataFrame, whole: DataFrame, keys: list[str], name: str) -> DataFrame:
+        found = part.join(whole.withColumn("_in", F.lit(1)), keys, "left").groupBy(level).agg(F.count(F.lit(1)).alias(name), F.count("_in").alias(f"_{name}"))
+        return found.join(F.broadcast(whole.agg(F.count(F.lit(1)).alias(f"_all_{name}"))), F.lit(True))
+
+    ends = ["source", "target"]
+    e = shares(sampled.select(level, *ends).distinct(), full.select(*ends).distinct(), ends, "edges")
+    n = shares(nodes(sampled, level), nodes(full), ["node"], "nodes")
+    jaccard = F.coalesce(F.try_divide("_edges", F.col("edges") + F.col("_all_edges") - F.col("_edges")), F.lit(1.0))
+    kept = F.when(F.col("_all_nodes") == 0, 1.0).otherwise(F.try_divide("_nodes", "_all_nodes"))
+    return e.join(n, level).select(level, "edges", "nodes", jaccard.alias("edge_jaccard"), kept.alias("node_retention"))

@@ -787,6 +787,28 @@ def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.spearman(daily(spark, sf_dir), "n", "v", ["event_type"]).select("event_type", r6("rho").alias("rho"))
 
 
+@query(f"WITH {_DAILY}, w AS (SELECT event_type, day % 7 AS wd, CAST(floor(day / 7.0) AS BIGINT) AS wk, v FROM dy), b AS (SELECT event_type, min(wk) AS lo, max(wk) AS hi FROM w GROUP BY event_type), p AS (SELECT a.event_type, a.v - z.v AS d FROM w a JOIN b ON a.event_type = b.event_type AND a.wk = lo JOIN w z ON z.event_type = a.event_type AND z.wd = a.wd AND z.wk = hi) SELECT event_type, count(*) FILTER (WHERE d > 0) AS wider, count(*) FILTER (WHERE d = 0) AS ties, count(*) FILTER (WHERE d < 0) AS narrower, 2 * count(*) FILTER (WHERE d > 0) > count(*) AS monotone FROM p GROUP BY event_type")
+def paired_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of the week of the first week against those of the last, by event type."""
+    d = daily(spark, sf_dir).select("event_type", F.pmod("day", F.lit(7)).alias("weekday"), F.floor(F.col("day") / 7).alias("week"), "v")
+    return metrics.paired_widths(d, ["weekday"], "week", "v", ["event_type"])
+
+
+@query("WITH o AS (SELECT o_orderkey, o_custkey, CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8) AS BIGINT) AS h FROM orders), ln AS (SELECT 'c' || o_custkey AS source, 's' || l_suppkey AS target, h FROM lineitem JOIN o ON l_orderkey = o_orderkey), lv AS (SELECT CAST(unnest([0.25, 0.5, 0.75]) AS DOUBLE) AS completeness), fe AS (SELECT DISTINCT source, target FROM ln), fn AS (SELECT DISTINCT unnest([source, target]) AS node FROM fe), se AS (SELECT DISTINCT completeness, source, target FROM ln JOIN lv ON h < completeness * 4294967296), sn AS (SELECT DISTINCT completeness, unnest([source, target]) AS node FROM se), e AS (SELECT completeness, count(*) AS edges FROM se GROUP BY 1), n AS (SELECT completeness, count(*) AS nodes FROM sn GROUP BY 1) SELECT completeness, edges, nodes, round(edges / (SELECT count(*) FROM fe)::DOUBLE, 6) AS edge_jaccard, round(nodes / (SELECT count(*) FROM fn)::DOUBLE, 6) AS node_retention FROM e JOIN n USING (completeness)")
+def sampling_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of customers and suppliers from a share of the orders against those from all."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    levels = [generate.md5_sample(orders, "o_orderkey", share).withColumn("completeness", F.lit(share)) for share in (0.25, 0.5, 0.75)]
+    marked = orders.withColumn("completeness", F.lit(1.0))
+    for part in levels:
+        marked = marked.unionByName(part)
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey").distinct()
+    pairs = line.join(marked, "o_orderkey").select("completeness", F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("source"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("target")).distinct()
+    pairs = cut(pairs, "pairs")
+    found = metrics.sampling_stability(pairs.where("completeness < 1"), pairs.where("completeness = 1"), "completeness")
+    return found.select("completeness", "edges", "nodes", r6("edge_jaccard").alias("edge_jaccard"), r6("node_retention").alias("node_retention"))
+
+
 @query(f"WITH {_DAILY}, m AS (SELECT *, v < avg(v) OVER (PARTITION BY event_type) AS bad FROM dy), l AS (SELECT *, coalesce(lead(bad) OVER (PARTITION BY event_type ORDER BY day), false) AS nxt FROM m) SELECT event_type, min(day) AS day FROM l WHERE bad AND nxt GROUP BY event_type")
 def degradation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window

@@ -178,3 +178,10 @@ def before(df: DataFrame, group: list[str], order: list[Column], value: str, out
     held = held.withColumn("_in", F.coalesce(F.sum(value).over(inner), F.lit(0)))
     on = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group] + [F.col("_bucket") == F.col("_b")]
     return held.join(starts, on, "left").withColumn(out, F.col("_start") + F.col("_in")).drop("_order", "_b", "_bucket", "_start", "_in", *[f"_g_{g}" for g in group])
+
+
+def crc32_sql(column: str) -> str:
+    """DuckDB expression: unsigned CRC-32 of an integer column's decimal text, bit by bit; null stays null."""
+    bits = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))"
+    digits = f"list_transform(string_split(CAST({column} AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))"
+    return f"CASE WHEN {column} IS NULL THEN NULL ELSE xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {digits}), lambda a, b: {bits})) END"

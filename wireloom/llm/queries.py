@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wireloom.llm import audio, chat, decontam, htmltext, langid, merkle, mixing, neardup, quality, secrets, sharding
+from wireloom.llm import audio, chat, decontam, htmltext, langid, merkle, mixing, neardup, quality, secrets, sharding, trie
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.op10_decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.op11_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.op12_merkle(_table(spark, sf_dir, "documents"))
 
@@ -102,4 +106,4 @@ FROM doc LEFT JOIN n_hit ON doc.doc_id = n_hit.doc_id LEFT JOIN items ON doc.doc
 
 def oracle_sql() -> dict[str, str]:
     """SQL for operators that SQL can express; the others are held against brute force in tests/llm."""
-    return {"op1_chat": chat.OP1_SQL, "op2_near_duplicates": OP2_SQL, "op10_decontaminate": OP10_SQL, "op12_merkle": merkle.OP12_SQL}
+    return {"op1_chat": chat.OP1_SQL, "op2_near_duplicates": OP2_SQL, "op10_decontaminate": OP10_SQL, "op11_trie": trie.OP11_SQL, "op12_merkle": merkle.OP12_SQL}

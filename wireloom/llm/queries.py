@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wireloom.llm import audio, chat, decontam, htmltext, langid, merkle, mixing, neardup, quality, secrets, sharding, trie
+from wireloom.llm import audio, chat, decontam, htmltext, langid, merkle, mixing, neardup, quality, secrets, sharding, substrings, trie
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.op12_merkle(_table(spark, sf_dir, "documents"))
 
 
+def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.op13_substrings(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
@@ -106,4 +110,4 @@ FROM doc LEFT JOIN n_hit ON doc.doc_id = n_hit.doc_id LEFT JOIN items ON doc.doc
 
 def oracle_sql() -> dict[str, str]:
     """SQL for operators that SQL can express; the others are held against brute force in tests/llm."""
-    return {"op1_chat": chat.OP1_SQL, "op2_near_duplicates": OP2_SQL, "op10_decontaminate": OP10_SQL, "op11_trie": trie.OP11_SQL, "op12_merkle": merkle.OP12_SQL}
+    return {"op1_chat": chat.OP1_SQL, "op2_near_duplicates": OP2_SQL, "op10_decontaminate": OP10_SQL, "op11_trie": trie.OP11_SQL, "op12_merkle": merkle.OP12_SQL, "op13_substrings": substrings.OP13_SQL}

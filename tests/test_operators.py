@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,15 +220,61 @@ def test_export_records_against_fold(spark):
     assert got == [tuple(x) for x in want]
 
 
+def brute_parents(series, target, sources, lag, alpha):
+    """Tests by the inverse of whole covariance matrices, over arrays of one target."""
+    n = min(map(len, series.values()))
+    y = series[target][lag:]
+    x = {(s, k): series[s][lag - k : n - k] for s in sorted({*sources, target}) for k in range(1, lag + 1)}
+
+    def corr(key, given):
+        m = np.stack([x[key], y, *[x[g] for g in given]]).astype(float)
+        c = np.corrcoef(m)
+        if np.isnan(c).any() or (len(given) and np.linalg.eigvalsh(c[2:, 2:])[0] < 1e-10):
+            return None
+        s = c[:2, :2] - (c[:2, 2:] @ np.linalg.solve(c[2:, 2:], c[2:, :2]) if len(given) else 0)
+        return None if min(s[0, 0], s[1, 1]) < 1e-10 else s[0, 1] / np.sqrt(s[0, 0] * s[1, 1])
+
+    strong = {k: abs(r) for k in x if np.ptp(x[k]) and np.ptp(y) and causal.fisher_z_p(r := corr(k, ()), len(y), 0) <= alpha}
+    last = {k: (corr(k, ()), 0) for k in strong}
+    for size in (1, 2, 3, None):
+        before = dict(strong)
+        for key in before:
+            rivals = sorted((k for k in before if k != key), key=lambda k: (-before[k], k))[:6]
+            for given in itertools.combinations(rivals, len(rivals) if size is None else size):
+                if (r := corr(key, given)) is not None:
+                    strong[key], last[key] = abs(r), (r, len(given))
+                    if causal.fisher_z_p(r, len(y), len(given)) > alpha:
+                        del strong[key]
+                        break
+    return {k: last[k] for k in strong}
+
+
 def test_causal_discovery(spark):
     assert causal.fisher_z_p(0, 103, 0) == 1 and causal.fisher_z_p(0.1, 103, 0) == pytest.approx(0.3157, abs=1e-3) and causal.fisher_z_p(0.99, 5, 3) == 1
-    rng = random.Random(11)
-    a = [rng.randint(0, 9) for _ in range(300)]
-    b = [0, 0] + [3 * x + rng.randint(0, 2) for x in a[:-2]]
-    c = [rng.randint(0, 9) for _ in range(300)]
-    rows = [(n, i, v) for n, s in (("a", a), ("b", b), ("c", c)) for i, v in enumerate(s)]
-    found = {(r["source"], r["target"]): r["lag"] for r in causal.discover(spark.createDataFrame(rows, "node string, bucket long, n long")).collect()}
-    assert found.get(("a", "b")) == 2 and ("c", "b") not in found and ("b", "c") not in found
+    assert causal.fisher_z_p(causal.least_correlation(50, 0.05), 50, 0) == pytest.approx(0.05) and causal.least_correlation(3, 0.05) > 1
+    rng = np.random.default_rng(11)
+    n = 240
+    s = {k: rng.integers(0, 9, n) for k in "acdg"}
+    s["b"] = np.concatenate(([0, 0], 3 * s["a"][:-2])) + rng.integers(0, 3, n)  # a drives b, b drives e: a only through b
+    s["e"] = np.concatenate(([0], s["b"][:-1])) + rng.integers(0, 9, n)
+    s["twin"], s["still"] = s["a"].copy(), np.full(n, 4)
+    rows = [(k, i, int(v)) for k, x in s.items() for i, v in enumerate(x) if v or rng.random() < 0.5] + [("a", None, 1), (None, 3, 1)]
+    pairs = [(x, y) for x in s for y in s if x != y] + [("a", "a"), ("a", "b")]
+    df, who = spark.createDataFrame(rows, "node string, bucket long, n long"), spark.createDataFrame(pairs, "source string, target string")
+    got = {(r["source"], r["target"]): r for r in causal.discover(df, who, 3, 0.01).collect()}
+    want = {}
+    for y in s:
+        for (x, k), (r, size) in brute_parents(s, y, [v for v in s if v != y], 3, 0.01).items():
+            if x != y and ((x, y) not in want or abs(r) > abs(want[x, y][1]) + 1e-12):
+                want[x, y] = (k, r, size)
+    assert set(got) == set(want) and ("b", "e") in got and ("c", "b") not in got and not any("still" in k for k in got)
+    for key, (k, r, size) in want.items():
+        assert (got[key]["lag"], got[key]["conditioned"]) == (k, size) and got[key]["r"] == pytest.approx(r, abs=1e-9) and got[key]["p"] == pytest.approx(causal.fisher_z_p(r, n - 3, size), abs=1e-9)
+    few = causal.discover(df, spark.createDataFrame([("a", "b"), ("c", "b")], "source string, target string"), 3, 0.01)
+    assert [(r["source"], r["lag"]) for r in few.collect()] == [("a", 2)]
+    said = causal.as_candidates(few, 0.01).first()
+    assert said["dependency_id"] == "pc:a->b" and said["strength"] > 0.9 and "2 bucket(s) earlier" in said["rationale"]
+    assert causal.discover(df.limit(0), who).count() == 0 and causal.discover(df.where("bucket < 5"), who).count() == 0 and causal.discover(df, who.limit(0)).count() == 0
 
 
 def test_paired_widths_and_sampling_stability(spark):

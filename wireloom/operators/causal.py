@@ -1,17 +1,30 @@
-"""Causal discovery on lagged series: partial correlations, Fisher's test, and a search for each target's parents."""
+"""Causal discovery on lagged series: sums of products from Spark, partial correlations from their inverses.
+
+A variable is a node's series, some buckets back. No series is ever put together: sums of
+products of two variables come from a join on the bucket and an aggregate, so a node with
+a long or dense series is a key of a join, which Spark splits. What a test needs of a
+candidate is a few correlations with its strongest rivals, a row of fixed size.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import combinations
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ALPHA, MAX_LAG, MAX_SET, MAX_CANDIDATES = 0.01, 5, 3, 6
-EDGES = "source string, target string, lag int, r double, p double"
+from wireloom.functions.expressions import SECOND
+from wireloom.session import cut, discard
+
+ALPHA, MAX_LAG, MAX_SET, MAX_RIVALS = 0.05, 5, 3, 6
+#: A set whose correlation matrix has a smaller eigenvalue is one of dependent variables; a smaller share of unexplained variance is none.
+LEAST_EIGENVALUE, LEAST_VARIANCE = 1e-10, 1e-10
+VARIABLE = ["target", "source", "lag"]
 
 
 def fisher_z_p(r: float, n: int, conditioned: int) -> float:
@@ -23,85 +36,177 @@ def fisher_z_p(r: float, n: int, conditioned: int) -> float:
     return math.erfc(abs(math.atanh(r)) * math.sqrt(dof) / math.sqrt(2))
 
 
-def partial_correlation(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> float | None:
-    """Correlation of what a regression on z leaves of x and y; None where it isn't defined: z has columns that others explain, or (next to) nothing is left of a side."""
-    x, y = x - x.mean(), y - y.mean()
-    before = np.linalg.norm(x), np.linalg.norm(y)
-    if z.shape[1]:
-        z = z - z.mean(axis=0)
-        if np.linalg.matrix_rank(z, tol=1e-8 * max(1.0, float(np.abs(z).max()))) < z.shape[1]:
+def least_correlation(n: int, alpha: float) -> float:
+    """The smallest |r| over n samples that Fisher's test finds significant; more than 1 without degrees of freedom."""
+    return math.tanh(NormalDist().inv_cdf(1 - alpha / 2) / math.sqrt(n - 3)) if n > 3 else 2.0
+
+
+class Lagged:
+    """The variables of series(node, bucket, n), lags 0 to max_lag, over the buckets in which all lags are known.
+
+    Buckets run from the first to the last one of any node; a bucket without a row counts
+    as 0, several rows of one are added up. Rows with a null node or bucket are left out.
+    """
+
+    def __init__(self, series: DataFrame, max_lag: int) -> None:
+        own = series.where("node is not null and bucket is not null").groupBy("node", "bucket").agg(F.sum("n").cast("double").alias("n"))
+        own = cut(own, "series")
+        first, last = own.agg(F.min("bucket"), F.max("bucket")).first()
+        self.samples = 0 if first is None else max(0, int(last - first) + 1 - max_lag)
+        lags = own.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(max_lag)))).withColumn("bucket", F.col("bucket") + F.col("lag"))
+        self.rows = lags.where(F.col("bucket").between((first or 0) + max_lag, last or 0) & (F.col("n") != 0)).select("node", "lag", "bucket", "n")
+        self.sums = cut(self.rows.groupBy("node", "lag").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("ss")), "sums")
+
+    def correlations(self, pairs: DataFrame) -> DataFrame:
+        """pairs(a, i, b, j) with r, the correlation of node a's variable at lag i and node b's at lag j; without those where one is constant."""
+        x = self.rows.select(F.col("node").alias("a"), F.col("lag").alias("i"), "bucket", F.col("n").alias("x"))
+        y = self.rows.select(F.col("node").alias("b"), F.col("lag").alias("j"), "bucket", F.col("n").alias("y"))
+        pairs = pairs.distinct()
+        products = pairs.join(x, ["a", "i"]).join(y, ["b", "j", "bucket"]).groupBy("a", "i", "b", "j").agg(F.sum(F.col("x") * F.col("y")).alias("xy"))
+        found = pairs.join(products, ["a", "i", "b", "j"], "left")
+        for node, lag, s in (("a", "i", "x"), ("b", "j", "y")):
+            found = found.join(self.sums.select(F.col("node").alias(node), F.col("lag").alias(lag), F.col("s").alias(f"{s}1"), F.col("ss").alias(f"{s}2")), [node, lag])
+        n = F.lit(float(self.samples))
+        spread = (n * F.col("x2") - F.col("x1") * F.col("x1")) * (n * F.col("y2") - F.col("y1") * F.col("y1"))
+        r = (n * F.coalesce("xy", F.lit(0.0)) - F.col("x1") * F.col("y1")) / F.sqrt(spread)
+        return found.where(spread > 0).select("a", "i", "b", "j", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias("r"))
+
+
+def lagged_correlations(series: DataFrame, pairs: DataFrame, max_lag: int = MAX_LAG) -> DataFrame:
+    """(source, target, lag, r) of pairs(source, target): the source's activity lag buckets before the target's, lags 1 to max_lag."""
+    return _screen(Lagged(series, max_lag), pairs, max_lag)
+
+
+def _screen(lagged: Lagged, pairs: DataFrame, max_lag: int) -> DataFrame:
+    lags = pairs.select(F.col("source").alias("a"), F.explode(F.sequence(F.lit(1), F.lit(max_lag))).alias("i"), F.col("target").alias("b"), F.lit(0).alias("j"))
+    return lagged.correlations(lags).select(F.col("a").alias("source"), F.col("b").alias("target"), F.col("i").alias("lag"), "r")
+
+
+def conditional(r: np.ndarray) -> float | None:
+    """Partial correlation of the first two variables of a correlation matrix given the others, or None where it isn't defined."""
+    given = r[2:, 2:]
+    if len(given):
+        if np.linalg.eigvalsh(given)[0] < LEAST_EIGENVALUE:
             return None
-        x = x - z @ np.linalg.lstsq(z, x, rcond=None)[0]
-        y = y - z @ np.linalg.lstsq(z, y, rcond=None)[0]
-    after = np.linalg.norm(x), np.linalg.norm(y)
-    if any(b <= 1e-6 * max(a, 1e-12) for a, b in zip(before, after)):
+        left = r[:2, :2] - r[:2, 2:] @ np.linalg.inv(given) @ r[2:, :2]
+    else:
+        left = r
+    if min(left[0, 0], left[1, 1]) < LEAST_VARIANCE:
         return None
-    return max(-1.0, min(1.0, float(x @ y) / float(after[0] * after[1])))
+    return float(np.clip(left[0, 1] / math.sqrt(left[0, 0] * left[1, 1]), -1, 1))
 
 
-def parents(y: np.ndarray, columns: dict[tuple[str, int], np.ndarray], alpha: float = ALPHA) -> list[tuple[str, int, float, float]]:
-    """(source, lag, r, p) of lagged columns that stay dependent on y.
+def judge(r0: float, strength: float, rivals: list[dict], among: dict[tuple[int, int], float], size: int | None, n: int, alpha: float) -> tuple[bool, float | None, int]:
+    """(stays, r of the last defined test, its number of conditioning variables) of one candidate.
 
-    Every column takes part. A search that doesn't depend on the order of columns takes out,
-    size by size, each one that is independent of y given some set of up to MAX_SET others;
-    sets come from its MAX_CANDIDATES strongest rivals, which bounds the tests and not the
-    parents. r and p are those given all that are left at the end. A test that isn't
-    defined takes nothing out, and a constant series has no part in any.
+    rivals, strongest first, have place, r (with the candidate) and r0 (with the target);
+    among has the correlations between places. size None conditions on all rivals at once.
     """
-    none = np.empty((len(y), 0))
-    kept: dict[tuple[str, int], float] = {}
-    if np.ptp(y) == 0:
-        return []
-    for key in sorted(columns):
-        if np.ptp(columns[key]):
-            r = partial_correlation(columns[key], y, none)
-            if r is None or fisher_z_p(r, len(y), 0) <= alpha:
-                kept[key] = abs(r or 0.0)
-    for size in range(1, MAX_SET + 1):
-        order = sorted(kept, key=lambda k: (-kept[k], k))
-        gone = set()
-        for key in sorted(kept):
-            rivals = [k for k in order if k != key][:MAX_CANDIDATES]
-            for chosen in combinations(rivals, size):
-                r = partial_correlation(columns[key], y, np.column_stack([columns[k] for k in chosen]))
-                if r is not None and fisher_z_p(r, len(y), size) > alpha:
-                    gone.add(key)
-                    break
-        kept = {k: v for k, v in kept.items() if k not in gone}
-    out = []
-    for key in sorted(kept):
-        others = sorted((k for k in kept if k != key), key=lambda k: (-kept[k], k))[: max(0, len(y) - 5)]
-        r = partial_correlation(columns[key], y, np.column_stack([columns[k] for k in others]) if others else none)
-        if r is None:  # not defined given all: its own correlation stands
-            r, others = partial_correlation(columns[key], y, none), []
-        if r is not None and (p := fisher_z_p(r, len(y), len(others))) <= alpha:
-            out.append((*key, r, p))
-    return out
-
-
-def discover(series: DataFrame, neighbours: DataFrame | None = None, max_lag: int = MAX_LAG, alpha: float = ALPHA) -> DataFrame:
-    """(source, target, lag, r, p) from series(node, bucket, n): each node's parents, with their best lag.
-
-    Targets are independent, so each is a group of its own; it holds its own series and
-    those of its neighbours(source, target) (by default all nodes, for small captures).
+    said: tuple[bool, float | None, int] = (True, None, 0)
+    for chosen in combinations(rivals, len(rivals) if size is None else size):
+        m = np.eye(2 + len(chosen))
+        m[0, 1] = m[1, 0] = r0
+        for k, z in enumerate(chosen, 2):
+            m[0, k] = m[k, 0] = z["r"]
+            m[1, k] = m[k, 1] = z["r0"]
+            for l, w in enumerate(chosen[: k - 2], 2):
+                m[k, l] = m[l, k] = among[z["place"], w["place"]]
+        r = conditional(m)
+        if r is None:
+            continue
+        said = (True, r, len(chosen))
+        if fisher_z_p(r, n, len(chosen)) > alpha:
+            return False, r, len(chosen)
+    return said
+
+
+_STATE = "target string, source string, lag int, r0 double, strength double, r double, conditioned int"
+
+
+def _round(lagged: Lagged, state: DataFrame, size: int | None, alpha: float) -> DataFrame:
+    """state after the tests of one size (None: the last pass). Rivals are the same for all tests of a round."""
+    order = Window.partitionBy("target").orderBy(F.desc("strength"), "source", "lag")
+    top = state.withColumn("place", F.row_number().over(order)).where(F.col("place") <= MAX_RIVALS + 1)
+    top = cut(top.select("target", F.col("source").alias("z"), F.col("lag").alias("zlag"), F.col("r0").alias("z0"), "place"), "rivals")
+    met = state.join(top, "target").where("source <> z or lag <> zlag")
+    pairs = met.select(F.col("source").alias("a"), F.col("lag").alias("i"), F.col("z").alias("b"), F.col("zlag").alias("j"))
+    known = cut(lagged.correlations(pairs), "correlations")
+    met = met.join(known.select(F.col("a").alias("source"), F.col("i").alias("lag"), F.col("b").alias("z"), F.col("j").alias("zlag"), F.col("r").alias("rz")), ["source", "lag", "z", "zlag"])
+    rivals = met.groupBy(*VARIABLE).agg(F.slice(F.array_sort(F.collect_list(F.struct("place", F.col("rz").alias("r"), F.col("z0").alias("r0")))), 1, MAX_RIVALS).alias("rivals"))
+    one = top.select("target", F.col("z").alias("a"), F.col("zlag").alias("i"), F.col("place").alias("p"))
+    two = top.select("target", F.col("z").alias("b"), F.col("zlag").alias("j"), F.col("place").alias("q"))
+    among = one.join(two, "target").where("p <> q").join(known, ["a", "i", "b", "j"]).groupBy("target").agg(F.collect_list(F.struct("p", "q", "r")).alias("among"))
+    n = lagged.samples
+
+    def test(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for row in pdf.itertuples(index=False):
+                others = [] if row.rivals is None else list(row.rivals)
+                between = {} if row.among is None else {(x["p"], x["q"]): x["r"] for x in row.among}
+                stays, r, k = judge(row.r0, row.strength, others, between, size, n, alpha) if size is None or len(others) >= size else (True, None, 0)
+                if stays:
+                    out.append((row.target, row.source, row.lag, row.r0, row.strength if r is None else abs(r), row.r if r is None else r, row.conditioned if r is None else k))
+            yield pd.DataFrame(out, columns=["target", "source", "lag", "r0", "strength", "r", "conditioned"])
+
+    after = cut(state.join(rivals, VARIABLE, "left").join(among, "target", "left").mapInPandas(test, _STATE), "candidates")
+    discard(top, known)
+    return after
+
+
+def discover(series: DataFrame, pairs: DataFrame, max_lag: int = MAX_LAG, alpha: float = ALPHA) -> DataFrame:
+    """(source, target, lag, r, p, conditioned): edges from series(node, bucket, n) among pairs(source, target), each with its strongest lag.
+
+    A candidate is a source of pairs, or the target itself, some buckets earlier. It must
+    correlate with the target, then stay dependent given each set of up to MAX_SET of its
+    MAX_RIVALS strongest rivals, and at last given all of those at once. A candidate is as
+    strong as its last defined test of a round said; within a round rivals are those of
+    its start, so results don't depend on the order of columns. A test that isn't defined
+    (dependent rivals, nothing left to explain) takes nothing out. r, p and conditioned
+    are those of the last defined test. The target's own past only explains away.
+
+    Constant series take no part; with max_lag + 3 buckets or fewer, or no rows, there are
+    no edges. Repeated pairs count once; pairs with a null or of a node with itself are
+    left out of the edges.
     """
-    nodes = series.select("node").distinct()
-    pairs = neighbours.select("source", "target") if neighbours is not None else nodes.select(F.col("node").alias("source")).join(nodes.select(F.col("node").alias("target")), F.col("source") != F.col("target"))
-    own = nodes.select(F.col("node").alias("source"), F.col("node").alias("target"))
-    rows = pairs.unionByName(own).distinct().join(series.withColumnRenamed("node", "source"), "source")
-
-    def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index="bucket", columns="source", values="n", aggfunc="sum")
-        wide = wide.reindex(range(int(pdf["bucket"].min()), int(pdf["bucket"].max()) + 1)).fillna(0.0)
-        n = len(wide)
-        if n <= max_lag + 3:
-            return pd.DataFrame([], columns=["source", "target", "lag", "r", "p"])
-        y = wide[key[0]].to_numpy(dtype=float)[max_lag:]
-        columns = {(s, k): wide[s].to_numpy(dtype=float)[max_lag - k : n - k] for s in wide.columns for k in range(1, max_lag + 1)}
-        best: dict[str, tuple] = {}
-        for source, lag, r, p in parents(y, columns, alpha):
-            if source != key[0] and (source not in best or abs(r) > abs(best[source][3])):
-                best[source] = (source, key[0], lag, r, p)
-        return pd.DataFrame(list(best.values()), columns=["source", "target", "lag", "r", "p"]).astype({"lag": "int32"})
-
-    return rows.groupBy("target").applyInPandas(search, EDGES)
+    lagged = Lagged(series, max_lag)
+    pairs = pairs.select("source", "target").where("source <> target").distinct()
+    spark = pairs.sparkSession
+    if lagged.samples <= 3:
+        return spark.createDataFrame([], "source string, target string, lag int, r double, p double, conditioned int")
+    own = pairs.select(F.col("target").alias("source"), "target").distinct()
+    found = _screen(lagged, pairs.unionByName(own), max_lag).where(F.abs("r") >= least_correlation(lagged.samples, alpha))
+    state = cut(found.select("target", "source", "lag", F.col("r").alias("r0"), F.abs("r").alias("strength"), "r", F.lit(0).alias("conditioned")), "candidates")
+    for size in (*range(1, MAX_SET + 1), None):
+        after = _round(lagged, state, size, alpha)
+        discard(state)
+        state = after
+    best = Window.partitionBy("source", "target").orderBy(F.desc(F.abs("r")), "lag")
+    n = lagged.samples
+    p = F.pandas_udf(lambda r, k: pd.Series([fisher_z_p(x, n, c) for x, c in zip(r, k)], dtype=float), "double")
+    edges = state.where("source <> target").withColumn("_place", F.row_number().over(best)).where("_place = 1")
+    return edges.select("source", "target", "lag", "r", p("r", "conditioned").alias("p"), "conditioned")
+
+
+def activity_series(flows: DataFrame, seconds: float) -> DataFrame:
+    """(node, bucket, n): flows that touch a node, by the bucket of their first packet, counted from the first flow of all."""
+    start = flows.agg(F.min("first_us")).first()[0] or 0
+    ends = F.array_distinct(F.array("src_ip", "dst_ip"))
+    touching = flows.select(F.explode(ends).alias("node"), F.floor((F.col("first_us") - F.lit(start)) / int(seconds * SECOND)).alias("bucket"))
+    return touching.groupBy("node", "bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+def discover_edges(flows: DataFrame, seconds: float = 10.0, max_lag: int = MAX_LAG, alpha: float = ALPHA) -> DataFrame:
+    """discover() over the activity of flows(src_ip, dst_ip, first_us); candidates are pairs that have a flow, in either direction."""
+    met = flows.select(F.col("src_ip").alias("source"), F.col("dst_ip").alias("target"))
+    both = met.unionByName(met.select(F.col("target").alias("source"), F.col("source").alias("target")))
+    return discover(activity_series(flows, seconds), both, max_lag, alpha)
+
+
+def as_candidates(edges: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """Edges of discover() as causal candidates: strength and precedence are |r|, with the reason as text."""
+    why = F.format_string(
+        "activity of %s %d bucket(s) earlier goes with that of %s: partial correlation %.3f, p %.4f below %.3f, given %d other earlier series",
+        "source", "lag", "target", "r", "p", F.lit(float(alpha)), "conditioned",
+    )
+    return edges.select(F.concat(F.lit("pc:"), "source", F.lit("->"), "target").alias("dependency_id"), "source", "target", F.abs("r").alias("strength"), F.abs("r").alias("precedence"), why.alias("rationale"))

@@ -926,10 +926,35 @@ def stream_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
 # learned scores and causal discovery
 
 
+def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a flow between a user and a service."""
+    return adapters.event_packets(spark, sf_dir).select("src_ip", "dst_ip", micros(F.col("ts")).alias("first_us"))
+
+
+@query(f"""
+WITH {sql.EVENT_PACKETS}, ends AS (SELECT src AS node, us FROM pk UNION ALL SELECT dst, us FROM pk),
+own AS (SELECT node, CAST(floor((us - (SELECT min(us) FROM pk)) / 3600000000.0) AS BIGINT) AS b, CAST(count(*) AS DOUBLE) AS n FROM ends GROUP BY ALL),
+size AS (SELECT max(b) AS last, max(b) + 1 - 5 AS m FROM own),
+var AS (SELECT node, k, b + k AS b, n FROM own, range(0, 6) t(k), size WHERE b + k BETWEEN 5 AND last),
+one AS (SELECT node, k, sum(n) AS s, sum(n * n) AS ss FROM var GROUP BY ALL),
+met AS (SELECT DISTINCT src AS source, dst AS target FROM pk UNION SELECT DISTINCT dst, src FROM pk),
+prod AS (SELECT source, target, x.k AS lag, sum(x.n * y.n) AS xy FROM met JOIN var x ON x.node = source AND x.k > 0 JOIN var y ON y.node = target AND y.k = 0 AND y.b = x.b GROUP BY ALL)
+SELECT met.source, met.target, CAST(lags.k AS INT) AS lag, round((m * coalesce(xy, 0) - x.s * y.s) / sqrt((m * x.ss - x.s * x.s) * (m * y.ss - y.s * y.s)), 6) AS r
+FROM met JOIN range(1, 6) lags(k) ON true JOIN one x ON x.node = source AND x.k = lags.k JOIN one y ON y.node = target AND y.k = 0 JOIN size ON true
+LEFT JOIN prod ON prod.source = met.source AND prod.target = met.target AND prod.lag = lags.k WHERE (m * x.ss - x.s * x.s) * (m * y.ss - y.s * y.s) > 0""")
+def lagged_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What pc_discovery starts from: users' and services' hourly activity, one to five hours apart."""
+    f = hourly_events(spark, sf_dir)
+    met = f.select(F.col("src_ip").alias("source"), F.col("dst_ip").alias("target"))
+    both = met.unionByName(met.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
+    return causal.lagged_correlations(causal.activity_series(f, 3600), both).select("source", "target", "lag", r6("r").alias("r"))
+
+
 @query()
 def pc_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = dependency.bucket_series(adapters.event_packets(spark, sf_dir).select(F.col("dst_ip").alias("node"), micros(F.col("ts")).alias("us")), 3600)
-    return causal.discover(s).select("source", "target", "lag", r6("r").alias("r"))
+    """Causal candidates among all users and services that met."""
+    found = causal.as_candidates(causal.discover_edges(hourly_events(spark, sf_dir), 3600))
+    return found.select("dependency_id", "source", "target", r6("strength").alias("strength"), "rationale")
 
 
 @query()

@@ -205,6 +205,8 @@ def _counted(width: int, bucket_bytes: int) -> Callable[[Iterator[pa.RecordBatch
                 out.append((codes[i], known[i], covered, None, None, None, None))
 
         def spread(rows: list[tuple[int, bytes, int]]) -> None:
+            if not rows:
+                return
             codes, pieces, n = zip(*rows)
             known = checks(list(pieces))
             _, owner, a, _, head, tail = _windows(list(pieces), width)
@@ -234,10 +236,7 @@ def _counted(width: int, bucket_bytes: int) -> Callable[[Iterator[pa.RecordBatch
                     held, size = [], 0
                 if len(out) > 5000:
                     yield emit()
-        if large:
-            spread(held) if held else None
-        else:
-            count(held)
+        (spread if large else count)(held)
         yield emit()
 
     return run

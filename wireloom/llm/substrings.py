@@ -26,7 +26,7 @@ MER = 5
 #: Windows in one string at most; a longer run (one word over and over) is cut.
 MOST_WINDOWS = 256
 #: Strings that a task combines before it sends them, and of one bucket that it counts itself, in bytes.
-COMBINE_BYTES = 24 << 20
+COMBINE_BYTES = 12 << 20
 BUCKET_BYTES = 8 << 20
 #: Documents looked at for minimisers that are frequent enough to be split.
 SAMPLE_DOCUMENTS = 20_000
@@ -181,7 +181,7 @@ def _counted(width: int, bucket_bytes: int) -> Callable[[Iterator[pa.RecordBatch
     """Covered words of every string with repeated windows, from rows in order of code. A bucket of more than bucket_bytes is given on window by window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes, int]] = []  # whole buckets, and the one that is being read
+        held: dict[tuple[int, bytes], int] = {}  # strings of whole buckets and of the one that is being read, equal ones once
         size = bucket = 0  # bytes held, and of the bucket being read
         now, large = None, False
         out: list[tuple] = []
@@ -196,18 +196,22 @@ def _counted(width: int, bucket_bytes: int) -> Callable[[Iterator[pa.RecordBatch
             ends = np.cumsum(np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)))
             return common.span_hashes(blob, np.concatenate(([0], ends[:-1])), ends).view(np.int64).tolist()
 
-        def count(rows: list[tuple[int, bytes, int]]) -> None:
+        def columns(rows: dict[tuple[int, bytes], int]) -> tuple[tuple, tuple, list]:
+            codes, pieces = zip(*rows)
+            return codes, pieces, list(rows.values())
+
+        def count(rows: dict[tuple[int, bytes], int]) -> None:
             if not rows:
                 return
-            codes, pieces, n = zip(*rows)
+            codes, pieces, n = columns(rows)
             known = checks(list(pieces))
             for i, covered in _covers(np.array(codes), list(pieces), np.array(n), width):
                 out.append((codes[i], known[i], covered, None, None, None, None))
 
-        def spread(rows: list[tuple[int, bytes, int]]) -> None:
+        def spread(rows: dict[tuple[int, bytes], int]) -> None:
             if not rows:
                 return
-            codes, pieces, n = zip(*rows)
+            codes, pieces, n = columns(rows)
             known = checks(list(pieces))
             _, owner, a, _, head, tail = _windows(list(pieces), width)
             place = np.arange(len(owner)) - np.searchsorted(owner, owner)
@@ -215,25 +219,25 @@ def _counted(width: int, bucket_bytes: int) -> Callable[[Iterator[pa.RecordBatch
                 out.append((codes[i], known[i], None, k, x, y, n[i]))
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("code", "piece", "n"))):
-                if row[0] != now:
-                    if large:
-                        spread(held)
-                        held, size = [], 0
-                    elif size > bucket_bytes:
-                        count(held)
-                        held, size = [], 0
-                    now, large, bucket = row[0], False, 0
-                held.append(row)
-                size += len(row[1])
-                bucket += len(row[1])
+            for code, piece, n in zip(*(batch.column(c).to_pylist() for c in ("code", "piece", "n"))):
+                if code != now:
+                    if large or size > bucket_bytes:
+                        (spread if large else count)(held)
+                        held, size = {}, 0
+                    now, large, bucket = code, False, 0
+                if (code, piece) in held:
+                    held[code, piece] += n
+                    continue
+                held[code, piece] = n
+                size += len(piece)
+                bucket += len(piece)
                 if bucket > bucket_bytes and not large:
-                    large, mine = True, next(i for i, r in enumerate(held) if r[0] == now)
-                    count(held[:mine])
-                    held = held[mine:]
+                    large = True
+                    count({k: v for k, v in held.items() if k[0] != now})
+                    held = {k: v for k, v in held.items() if k[0] == now}
                 if large and size > bucket_bytes:
                     spread(held)
-                    held, size = [], 0
+                    held, size = {}, 0
                 if len(out) > 5000:
                     yield emit()
         (spread if large else count)(held)

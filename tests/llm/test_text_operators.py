@@ -13,6 +13,8 @@ from wireloom.llm import audio, chat, decontam, htmltext, langid, mixing, neardu
 from wireloom.operators.components import connected_components
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
+#: Timings are loose where the machine is busy.
+SLOW = 2
 CLASH = ["_h", "kept", "component_id", "_bytes", "_score", "hits", "shard", "slot", "size", "spans", "key", "n", "media", "_order", "_bucket"]
 
 
@@ -549,6 +551,76 @@ def test_main_text_reads_in_linear_time():
         assert time.time() - began < 5 and len(page.features()) == len(page.tag)
 
 
+def test_main_text_reads_unclosed_tags_in_linear_time():
+    import time
+
+    for unit in ("<a ", "<a '>", '<a ">" ', "<a b='", "<script></script ", "<a x=\"1\" \"'>", "<!--", "<![CDATA[", "<?", "</"):
+        began = time.time()
+        htmltext.Page(unit * 300_000)
+        assert time.time() - began < 5 * SLOW, unit
+    assert htmltext.Page("""<p title='a > b'>one</p><p x="> unclosed>two</p><p>a < b <3</p>""").text[1:] == ["one", "unclosed>two", "a < b <3"]
+
+
+ARTICLE = "".join(f"<p>{'Some long words of an article, with clauses and all. ' * 6}</p>" for _ in range(3))
+MENU = '<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav>'
+
+
+@pytest.fixture(scope="module")
+def trees():
+    return __import__("pickle").loads(htmltext.fit_extractor())
+
+
+def test_main_text_is_not_decided_by_one_class_word(trees):
+    want = "A heading here\n" + "\n".join(x.strip() for x in re.findall("<p>(.*?)</p>", ARTICLE))
+    for names in ("post", "post share-enabled", "post sidebar-left", "post tag-news related", "post has-comments", "search", "promo"):
+        page = f'<html><body>{MENU}<article class="{names}"><h1>A heading here</h1>{ARTICLE}</article><footer><p>&copy; me</p></footer></body></html>'
+        assert htmltext.extract([page], trees) == [want], names
+
+
+def test_main_text_of_plain_pages(trees):
+    text = "\n".join(x.strip() for x in re.findall("<p>(.*?)</p>", ARTICLE))
+    pages = {
+        f"<html><body><div><a href=/>Home</a> <a href=/b>News</a></div><div><h1>The heading of it</h1></div><div>{ARTICLE}</div><div>&copy; 2024</div></body></html>": "The heading of it\n" + text,
+        f"<html><body><div><div><a href=/>Home</a> <a href=/b>News</a></div><h1>The heading of it</h1><div>{ARTICLE}</div><div>&copy; 2024</div></div></body></html>": "The heading of it\n" + text,
+        f"<html><body>{MENU}<article><h1>Head</h1>{ARTICLE}</article><div class='qv'><p>Anna wrote: nice one</p></div></body></html>": "Head\n" + text,
+        f"<html><body>{MENU}<article><header><h1>Head line</h1><p>By Ann</p></header>{ARTICLE}</article></body></html>": "Head line\n" + text,
+        "<html><body><p>First little paragraph here, with words.</p><p>Second little paragraph here, with words.</p></body></html>": "First little paragraph here, with words.\nSecond little paragraph here, with words.",
+    }
+    for page, want in pages.items():
+        assert htmltext.extract([page], trees) == [want]
+
+
+def other_page(rng):
+    """Layouts of a second hand, for tests only: a blog, a newspaper, a manual and a bare page. Blocks of the main text start with MARK."""
+    m = htmltext.MARK
+    lorem = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua".split()
+    say = lambda a, b: " ".join(rng.choices(lorem, k=rng.randint(a, b)))
+    paras = [f"<p>{m}{say(15, 70)}, {say(3, 12)}.</p>" for _ in range(rng.randint(2, 12))]
+    links = lambda k: "".join(f'<a href="/{say(1, 1)}">{say(1, 2)}</a>\n' for _ in range(k))
+    kind = rng.randrange(4)
+    if kind == 0:
+        notes = "".join(f'<li id="comment-{i}"><b>{say(1, 1)}</b> <p>{say(4, 30)}</p></li>' for i in range(rng.randint(0, 5)))
+        return f'<body class="single single-post logged-out has-sidebar"><div id="page" class="hfeed site"><header id="masthead" class="site-header"><p class="site-title"><a href="/">{say(1, 3)}</a></p>{links(5)}</header><div id="primary"><main class="site-main"><article id="post-9" class="post type-post tag-{say(1, 1)} comments-open"><h1 class="entry-title">{m}{say(3, 9)}</h1><div class="entry-content">{"".join(paras)}</div></article><div id="comments"><ol class="commentlist">{notes}</ol></div></main></div><aside id="secondary" class="widget-area"><h2>{say(1, 2)}</h2>{links(6)}</aside><footer class="site-footer"><p>{say(3, 9)}</p></footer></div></body>'
+    if kind == 1:
+        at = rng.randint(1, len(paras))
+        return f'<body><div class="topnav">{links(8)}</div><div class="ad-slot"><p>{say(4, 16)}</p></div><section class="story-body"><h1>{m}{say(4, 10)}</h1>{"".join(paras[:at])}<aside class="related"><h3>{say(1, 3)}</h3><ul><li>{links(1)}</li><li>{links(1)}</li></ul></aside>{"".join(paras[at:])}</section><div class="newsletter-signup"><form><p>{say(5, 15)}</p><input></form></div><footer>{links(4)}&copy; {say(2, 5)}</footer></body>'
+    if kind == 2:
+        code = f"<pre>{m}{say(3, 20)}</pre>"
+        return f'<body><nav class="toc"><ol>{"".join(f"<li>{links(1)}</li>" for _ in range(9))}</ol></nav><main role="main"><h1>{m}{say(2, 5)}</h1>{"".join(paras)}<h2>{m}{say(1, 4)}</h2>{code}<ul><li>{m}{say(4, 20)}</li><li>{m}{say(4, 20)}</li></ul></main><div class="footer">{say(2, 6)}</div></body>'
+    return f"<body><table><tr><td>{links(3)}</td></tr></table><h1>{m}{say(2, 7)}</h1>{''.join(paras)}<hr><small>{say(2, 5)}</small></body>"
+
+
+def test_main_text_of_layouts_of_a_second_hand(trees):
+    rng = random.Random(80)
+    caught = said = true = 0
+    for _ in range(200):
+        page = htmltext.Page(other_page(rng))
+        got, want = set(page.decode(trees.predict(page.features())).split("\n")) - {""}, {t for t in page.text if htmltext.MARK in t}
+        caught, said, true = caught + len(got & want), said + len(got), true + len(want)
+    print(caught / said, caught / true)
+    assert caught >= 0.9 * said and caught >= 0.9 * true
+
+
 def test_main_text_of_pages(spark, sf_dir):
     import html as h
 

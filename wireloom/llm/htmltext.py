@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from wireloom.llm import common
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+END_OR_QUOTE = re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(r"""(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 #: Elements by their part in a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,14 +40,34 @@ BAD = set(
 )
 
 
+def tag_end(source: str, at: int, broken: set[int]) -> int:
+    """The place of the > that ends a tag, which must have one after at: the first outside quotes, or the first of all where a quote isn't closed.
+
+    broken keeps the opening quotes of tries that led nowhere, so no later one goes the same way again and all of them
+    together take time in proportion to the page.
+    """
+    i, passed = at, []
+    while (m := END_OR_QUOTE.search(source, i)) is not None:
+        if m[0] == ">":
+            return m.start()
+        passed.append(m.start())
+        i = -1 if m.start() in broken else source.find(m[0], m.end())
+        if i < 0:
+            break
+        i += 1
+    broken.update(passed)
+    return source.find(">", at)
+
+
 class Page:
-    """The block elements of a page as a tree, with a leaf for every block of text."""
+    """The block elements of a page as a tree. An element with one block of text and nothing else holds it, other blocks are leaves of their own."""
 
     def __init__(self, source: str) -> None:
         self.parent, self.tag, self.good, self.bad = [-1], ["html"], [0], [0]
         self.tokens: list[int] = [0]  # a bit for every bucket of TOKEN_BUCKETS that an attribute word falls into
         self.text: list[str] = [""]
         self.links: list[int] = [0]
+        self._kids: list[int] = [0]
         self._stack: list[tuple[str, int]] = [("html", 0)]
         self._open: dict[str, list[int]] = {"html": [0]}  # places in the stack by tag, so that no look-up walks it
         self._scopes: list[int] = [0]
@@ -65,6 +86,8 @@ class Page:
                 for w in words:
                     bits |= 1 << zlib.crc32(w.encode()) % TOKEN_BUCKETS
         self.parent.append(self._stack[-1][1])
+        self._kids[self._stack[-1][1]] += 1
+        self._kids.append(0)
         self.tag.append(tag)
         self.good.append(good)
         self.bad.append(bad)
@@ -73,12 +96,13 @@ class Page:
         self.links.append(0)
         return len(self.tag) - 1
 
-    def _flush(self) -> None:
+    def _flush(self, closing: bool = False) -> None:
         if self._buffer:
             text = " ".join(html.unescape("".join(self._buffer)).split())
             self._buffer = []
             if text:
-                at = self._node("#block")
+                top = self._stack[-1][1]
+                at = top if closing and top and not self._kids[top] else self._node("#block")
                 self.text[at] = text
                 self.links[at] = min(self._linked, len(text))
             self._linked = 0
@@ -89,7 +113,7 @@ class Page:
             self._linked += len(text)
 
     def _pop(self, upto: int) -> None:
-        self._flush()
+        self._flush(closing=True)
         while len(self._stack) > upto:
             tag, _ = self._stack.pop()
             self._open[tag].pop()
@@ -106,26 +130,42 @@ class Page:
         """The innermost place in the stack of any of the tags; 0 where none is open."""
         return max((self._open[t][-1] for t in tags if self._open.get(t)), default=0)
 
+    def _declaration(self, source: str, lt: int) -> int:
+        """The place after a comment, a CDATA section, which is text, or another declaration."""
+        for start, stop in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<", ">")):
+            if source.startswith(start, lt):
+                close = source.find(stop, lt + len(start))
+                if start == "<![CDATA[":
+                    self._say(html.escape(source[lt + 9 : close if close >= 0 else len(source)]))
+                if close < 0 and start == "<":  # ends nowhere: no text either
+                    return len(source)
+                return len(source) if close < 0 else close + len(stop)
+        return lt + 1
+
     def _read(self, source: str) -> None:
-        at, end = 0, len(source)
+        at, end, last = 0, len(source), source.rfind(">")
         unclosed: set[str] = set()
+        broken: set[int] = set()
         while at < end:
-            m = TOKEN.search(source, at)
-            if m is None:
+            lt = source.find("<", at)
+            if lt < 0 or lt + 1 == end:
                 self._say(source[at:])
                 break
-            if m.start() > at:
-                self._say(source[at : m.start()])
-            at = m.end()
-            tag = (m[2] or m[5] or "").lower()
-            if not tag:
-                if m[0].startswith("<![CDATA["):
-                    self._say(html.escape(m[0][9:].removesuffix("]]>")))
+            if lt > at:
+                self._say(source[at:lt])
+            if source[lt + 1] in "!?":
+                at = self._declaration(source, lt)
                 continue
-            closing, attrs = bool(m[1] or m[4]), m[3] or m[6] or ""
+            m = NAME.match(source, lt) if lt < last else None
+            if m is None:  # a bare <, or a tag that nothing closes any more
+                at = lt + 1 if lt < last else end
+                self._say(source[lt:at])
+                continue
+            close = tag_end(source, m.end(), broken)
+            closing, tag, attrs, at = bool(m[1]), m[2].lower(), source[m.end() : close], close + 1
             if tag in RAW or tag == "xmp":
                 if not closing and not attrs.endswith("/") and tag not in unclosed:
-                    close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
+                    close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at, last + 1)
                     if tag == "xmp":  # text as it is written
                         self._flush()
                         self._say(html.escape(source[at : close.start() if close else end]))
@@ -171,6 +211,7 @@ class Page:
         blocks += own > 0
         nodes += 1
         rank, siblings, same = np.zeros(n), np.zeros(n), np.zeros(n)
+        titles = np.array([t == "h1" for t in self.tag], dtype=float)
         inherit = np.zeros((n, 5))
         roles = [{"article": 0, "main": 0, "nav": 1, "menu": 1, "footer": 2, "header": 2, "aside": 3, "form": 4}.get(t, -1) for t in self.tag]
         good, bad = np.array(self.good, dtype=float), np.array(self.bad, dtype=float)
@@ -194,6 +235,7 @@ class Page:
             commas[p] += commas[i]
             blocks[p] += blocks[i]
             nodes[p] += nodes[i]
+            titles[p] += titles[i]
             siblings[i] = kids[p]
             same[i] = seen[p, self.tag[i]]
         total = max(1.0, chars[0])
@@ -203,7 +245,7 @@ class Page:
         cols = [
             np.array(kind, dtype=float), np.array(kind, dtype=float)[upx], good, bad, good[upx], bad[upx], good_up, bad_up, *inherit.T, depth, kids, np.log1p(nodes), np.log1p(chars), np.log1p(own),
             chars / (nodes + 1), links / np.maximum(1, chars), commas / np.maximum(1, chars), chars / np.maximum(1, blocks), chars / total, start / total, rank / np.maximum(1, siblings), siblings, same,
-            chars / np.maximum(1, chars[upx]), links[upx] / np.maximum(1, chars[upx]),
+            chars / np.maximum(1, chars[upx]), links[upx] / np.maximum(1, chars[upx]), titles, np.full(n, titles[0]), titles[upx],
         ]
         bits = np.array(self.tokens, dtype=np.int64)[:, None] >> np.arange(TOKEN_BUCKETS) & 1
         return np.concatenate((np.stack(cols, 1), bits, bits[upx]), 1)
@@ -301,9 +343,22 @@ class Trees:
 MARK = "\ue000"
 
 
-def training_page(rng: random.Random) -> str:
-    """A page of a random layout; blocks of its main text start with MARK. One in ten has class names that say nothing."""
-    plain = rng.random() < 0.1
+def training_page(rng: random.Random, varied: bool = False) -> str:
+    """A page of a random layout; blocks of its main text start with MARK.
+
+    Of varied pages one in four has class names that say nothing. The wrapper of the article and the body carry layout
+    words too (share-enabled, has-comments), headings stand outside the article, headers inside it, short
+    pages have no wrapper at all, and reader comments no name that gives them away: no word decides alone.
+    """
+    plain = rng.random() < (0.25 if varied else 0.1)
+    layout = sorted(BAD)
+
+    def decorated() -> str:
+        w = rng.choice(layout)
+        return rng.choice((w, w, f"{w}-left", f"has-{w}", f"{w}-enabled", f"tag-{w}", f"with-{w}"))
+
+    def layout_words(most: int) -> str:
+        return " ".join(decorated() for _ in range(rng.randint(1, most)))
 
     def words(a: int, b: int) -> str:
         out = ["".join(rng.choice(("an", "to", "re", "li", "es", "on", "ka", "mur", "vel", "sti")) for _ in range(rng.randint(1, 4))) + rng.choice(("", "", "", "", ",", ".")) for _ in range(rng.randint(a, b))]
@@ -317,6 +372,9 @@ def training_page(rng: random.Random) -> str:
         attr = "" if not cls else rng.choice((f' class="{cls}"', f' id="{cls}"', f' class="{rng.choice(("c", "box", "wrap"))} {cls}"'))
         return f"<{tag}{attr}>{body}</{tag}>"
 
+    def unnamed() -> str:
+        return rng.choice(("div", "div", f"div.{''.join(rng.choice('bcdfghklmnpqrstvwz') for _ in range(rng.randint(1, 4)))}", "section", "div.c", "div.x1"))
+
     def menu(k: int) -> str:
         items = "".join(f'<li><a href="/{i}">{words(1, 2)[:-1]}</a></li>' for i in range(k))
         return rng.choice((f"<ul>{items}</ul>", items.replace("<li>", "").replace("</li>", " ")))
@@ -344,10 +402,19 @@ def training_page(rng: random.Random) -> str:
     ]
     rng.shuffle(before)
     rng.shuffle(after)
-    body = [f"<h1>{MARK}{words(2, 12)}</h1>"] if rng.random() < 0.9 else []
-    for _ in range(rng.choice((1, 2, 4, 8, 16, 30))):
+    heading = f"<h1>{MARK}{words(2, 12)}</h1>" if rng.random() < 0.9 else ""
+    byline = f"<p>{words(1, 4)}</p>" if rng.random() < 0.7 else f"<span>{words(1, 3)}</span><time>{words(1, 2)}</time>"
+    outside = varied and rng.random() < 0.3
+    if varied and heading and not outside and rng.random() < 0.15:
+        heading = f"<header>{heading}{byline}</header>"
+    body = [heading] if heading and not outside else []
+    n_parts = rng.choice((1, 2, 3, 4, 8, 16, 30))
+    for _ in range(n_parts):
         form = rng.random()
-        if form < 0.8:
+        if varied and rng.random() < 0.12:
+            said = f"{MARK}{words(2, 30)}"
+            body.append(element([unnamed()], rng.choice((said, f"<p>{said}</p>"))))
+        elif form < 0.8 or n_parts < 3:
             body.append(paragraph(MARK))
         elif form < 0.86:
             body.append(f"<h2>{MARK}{words(1, 8)}</h2>")
@@ -359,19 +426,38 @@ def training_page(rng: random.Random) -> str:
             body.append(f"<table><tr><td>{MARK}{words(1, 6)}</td><td>{MARK}{words(1, 6)}</td></tr></table>")
         else:
             body.append(element(ads + ["div.share", "aside", "div.newsletter", "nav.menu"], rng.choice((words(2, 30), f"<p>{words(2, 30)}</p>"))))
-    main = element(["article", "article", "main", "div.content", "div.post", "div.entry", "section.article", "div.story", "div.main", "article.hentry"], "".join(body))
+    if varied and rng.random() < 0.1:
+        body.append(element(["footer", "footer.meta"], f"<p>{words(1, 8)}</p>"))
+    form = rng.random() if varied else 1.0
+    if form < 0.1:  # no wrapper at all
+        main = "".join(body)
+    elif form < 0.25:
+        main = element([unnamed()], "".join(body))
+    else:
+        main = element(["article", "article", "main", "div.content", "div.post", "div.entry", "section.article", "div.story", "div.main", "article.hentry"], "".join(body))
+        if varied and rng.random() < 0.45:
+            said = layout_words(3)
+            main = re.sub(r"^<(\w+)(?: (class|id)=\"([^\"]*)\")?", lambda m: f'<{m[1]} class="{(m[3] + " ") if m[3] and rng.random() < 0.6 else ""}{said}"', main, count=1)
+    if outside and heading:
+        main = rng.choice((heading, f"<div>{heading}</div>", f"<div class='{unnamed()[-2:]}'>{heading}</div>")) + main
     if rng.random() < 0.3:
-        main = element(["div", "div.container", "main", "div.page"], main)
-    html_ = f"<!DOCTYPE html><html><head><title>{words(2, 8)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head><body>" + "".join(before[: rng.randint(0, 5)]) + main + "".join(after[: rng.randint(0, 5)])
+        main = element(["div", "div.container", "main", "div.page", unnamed()], main)
+    if varied and rng.random() < 0.08:  # nothing but the text
+        return f"<html><body>{''.join(body[:rng.randint(1, 3)]).replace('<header>', '').replace('</header>', '').replace(byline, '') if rng.random() < 0.7 else main}</body></html>"
+    if varied and rng.random() < 0.15:  # readers' words under a name that says nothing
+        said = "".join(element([unnamed()], f"<p>{words(1, 2)}</p><p>{words(2, 25)}</p>" if rng.random() < 0.4 else f"<p>{words(2, 25)}</p>") for _ in range(rng.randint(1, 5)))
+        after.insert(0, element([unnamed()], said) if rng.random() < 0.6 else said)
+        after[:] = after[: rng.randint(1, 6)]
+    html_ = f"<!DOCTYPE html><html><head><title>{words(2, 8)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head><body{f' class="{layout_words(4)}"' if varied and rng.random() < 0.4 else ""}>" + "".join(before[: rng.randint(0, 5)]) + main + "".join(after[: rng.randint(0, 5)])
     return html_ + rng.choice(("</body></html>", ""))
 
 
-def fit_extractor(pages: int = 400, seed: int = 5) -> bytes:
+def fit_extractor(pages: int = 600, seed: int = 5) -> bytes:
     """Trees trained on pages of random layouts: a node counts as main if main text is in it. The size is a parameter; the same seed gives the same trees."""
     rng = random.Random(seed)
     xs, ys = [], []
     for _ in range(pages):
-        page = Page(training_page(rng))
+        page = Page(training_page(rng, varied=True))
         y = np.array([MARK in t for t in page.text])
         for i in range(len(y) - 1, 0, -1):
             y[page.parent[i]] |= y[i]

@@ -136,47 +136,86 @@ SPANS = "array<struct<start:int,end:int>>"
 
 
 def scanned(docs: DataFrame, benchmark: DataFrame, width: int, block_bytes: int) -> DataFrame:
-    """(_row, _n_words, _spans, _items): the rows of docs as they are, and what find_hits says of them."""
+    """(_row, _n_words, _spans, _items): the rows of docs as they are, and what find_hits says of them.
+
+    One block of windows is looked for where the rows are. With more blocks, each is a job of
+    its own over the texts, so a worker holds one block's hash set at a time; hits are kept by
+    the digest of the text, which is much less than the texts, and joined to the rows at the end.
+    """
     spark = docs.sparkSession
     windows = cut(windows_of(benchmark, width), "windows")
     size = windows.agg(F.sum(F.octet_length("window"))).first()[0] or 0
     n_blocks = max(1, -(-size // block_bytes))
-    out = docs.select(common.packed(docs), F.lit(0).cast("long").alias("_n_words"), F.expr(f"cast(array() as {SPANS})").alias("_spans"), F.expr("cast(array() as array<bigint>)").alias("_items"))
-    schema = f"{common.row_type(docs)}, _n_words bigint, _spans {SPANS}, _items array<bigint>"
-    for k in range(n_blocks):
+
+    def block(k: int):  # noqa: ANN202
         part = windows.where(F.pmod(F.xxhash64("window"), F.lit(n_blocks)) == k).toArrow()
         coded = part.column("window").combine_chunks().dictionary_encode()
-        held = spark.sparkContext.broadcast(pickle.dumps(NGrams(coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), part.column("item_id").to_numpy(), width)))
-        del part, coded
-        out = out.mapInArrow(_scan(held), schema)
-    return out
+        return spark.sparkContext.broadcast(pickle.dumps(NGrams(coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), part.column("item_id").to_numpy(), width)))
 
+    said = f"{common.row_type(docs)}, _n_words bigint, _spans {SPANS}, _items array<bigint>"
+    if n_blocks == 1:
+        return docs.select(common.packed(docs)).mapInArrow(_scan(block(0)), said)
+    key = F.sha2(F.col("text").cast("binary"), 256).alias("key")
+    found = None
+    for k in range(n_blocks):
+        held = block(k)
+        hits = docs.select(key, common.text_bytes()).where("text is not null").mapInArrow(_hits(held), f"key string, spans {SPANS}, items array<bigint>")
+        hits = cut(hits.groupBy("key").agg(F.first("spans").alias("spans"), F.first("items").alias("items")), "hits")  # equal texts have equal hits
+        held.destroy()
+        found = hits if found is None else found.unionByName(hits)
+    whole = found.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("_old"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("_items"))  # a row a block
+    rows = docs.select(common.packed(docs), key.alias("_key")).join(whole, F.col("_key") == F.col("key"), "left").select("_row", "_old", F.coalesce("_items", F.expr("cast(array() as array<bigint>)")).alias("_items"))
+    return rows.mapInArrow(_merged, said)
 
-def _scan(held):  # noqa: ANN001, ANN202
-    def union(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        out: list[tuple[int, int]] = []
-        for x, y in sorted(a + b):
-            if out and x <= out[-1][1]:
-                out[-1] = (out[-1][0], max(y, out[-1][1]))
-            else:
-                out.append((x, y))
-        return out
 
+_SPAN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def _spans_of(found: list[list[tuple[int, int]]]) -> pa.Array:
+    return pa.array([[{"start": a, "end": b} for a, b in x] for x in found], _SPAN_TYPE)
+
+
+def _scan(held):  # noqa: ANN001, ANN202
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = pickle.loads(held.value)
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             for part, texts in common.row_parts(batch):
                 counts, spans, items = grams.scan(texts)
-                for i, (old, known) in enumerate(zip(part.column("_spans").to_pylist(), part.column("_items").to_pylist())):
-                    if old:  # of an earlier block
-                        spans[i], items[i] = union(spans[i], [(x["start"], x["end"]) for x in old]), sorted({*items[i], *known})
-                said = pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], kind)
-                yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(counts.astype(np.int64)), said, pa.array(items, pa.list_(pa.int64()))], names=["_row", "_n_words", "_spans", "_items"])
+                yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(counts.astype(np.int64)), _spans_of(spans), pa.array(items, pa.list_(pa.int64()))], names=["_row", "_n_words", "_spans", "_items"])
 
     return scan
 
 
+def _hits(held):  # noqa: ANN001, ANN202
+    """Only texts with hits of this block come out."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = pickle.loads(held.value)
+        for batch in batches:
+            for part in common.slices(batch, "text"):
+                _, spans, items = grams.scan(common.texts_of(part, "text"))
+                hit = [i for i, x in enumerate(spans) if x]
+                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(hit, pa.int64())), _spans_of([spans[i] for i in hit]), pa.array([items[i] for i in hit], pa.list_(pa.int64()))], names=["key", "spans", "items"])
+
+    return scan
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number of words, and the spans of all blocks, as one where they overlap or touch."""
+    for batch in batches:
+        for part, texts in common.row_parts(batch):
+            spans = []
+            for old in part.column("_old").to_pylist():
+                out: list[tuple[int, int]] = []
+                for x, y in sorted((s["start"], s["end"]) for s in old or ()):
+                    if out and x <= out[-1][1]:
+                        out[-1] = (out[-1][0], max(y, out[-1][1]))
+                    else:
+                        out.append((x, y))
+                spans.append(out)
+            yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array([len(words(t)) for t in texts], pa.int64()), _spans_of(spans), part.column("_items")], names=["_row", "_n_words", "_spans", "_items"])
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
     """docs with _n_words, _spans and _items added (columns of these names give way).
 
@@ -187,7 +226,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_byte
     docs needs text; other columns pass through. The hash set is broadcast in blocks of at
     most about block_bytes of window text (with hashes and bounds about twice that), so
     no broadcast grows with the benchmark: one of a single block takes one pass over docs,
-    a larger one a pass for each. Null and empty texts and items have no words, so no
+    a larger one a pass over the texts for each, one after another, and a join. Null and empty texts and items have no words, so no
     windows and no hits; items without an item_id are left out; repeated rows of either
     table change nothing else.
     """

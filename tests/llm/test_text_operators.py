@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.core.broadcast import Broadcast
 
 import corpus_pipeline
 from wireloom.llm import audio, chat, decontam, htmltext, langid, mixing, neardup, quality, secrets, sharding
@@ -228,6 +229,28 @@ def test_learned_ranks_are_the_most_frequent_words(spark, sf_dir):
     assert secrets.learned_ranks(empty(spark)) == secrets.RANK
 
 
+def test_copied_secrets_are_still_secrets(spark):
+    """A leaked value isn't a word because it, or its document, was copied; words in two different texts are."""
+    leak = "the login passphrase is qzjxkvbwpmtrhs for now"
+    for copies in (1, 2, 10):
+        df = spark.createDataFrame([(i, leak + (" again" if i % 3 == 2 else "")) for i in range(copies)] + [(100 + i, "plain words, notsosecretwordoflength and more") for i in range(3)], "doc_id long, text string")
+        assert {r["spans"] for r in secrets.op3_secrets(df).where("doc_id < 100").collect()} == {"guess:24:38"}
+        assert "notsosecretwordoflength" not in secrets.learned_ranks(df)  # three rows, one text
+    two = spark.createDataFrame([(1, "an incomprehensibilities here"), (2, "the incomprehensibilities there"), (3, "password: incomprehensibilities1")], "doc_id long, text string")
+    assert "incomprehensibilities" in secrets.learned_ranks(two) and not secrets.op3_secrets(two).where("spans like '%guess%'").count()
+
+
+def test_repeats_have_no_limit():
+    unit = "correcthorse"
+    assert (0, 36, 12) in set(secrets.repeats(unit * 3)) and secrets.guess_cost("q8mzr4tnxw" * 4) < secrets.guess_cost("q8mzr4tnxw") + 2
+    assert list(secrets.repeats("aaaa")) == [(0, 4, 1)] and list(secrets.repeats("xyabab")) == [(2, 6, 2)] and not list(secrets.repeats("ab"))
+    rng = random.Random(5)
+    for _ in range(300):  # below the limit the cost is exact, above it is above
+        value = "".join(rng.choice((rng.choice("ab19"), "".join(rng.choices("ab1", k=rng.randint(2, 9))) * rng.randint(1, 3))) for _ in range(rng.randint(1, 4)))
+        whole, cut = secrets.guess_cost(value), secrets.guess_cost(value, limit=6.0)
+        assert cut == pytest.approx(whole) if whole < 6 else cut >= 6
+
+
 def brute_cost(value):
     """Dynamic programming over all segments, brute-force spans of any length included."""
     best = [0.0] + [float("inf")] * len(value)
@@ -747,7 +770,7 @@ def brute_hits(text, items):
     return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
 
 
-def test_decontamination(spark):
+def test_decontamination(spark, monkeypatch):
     rng = random.Random(4)
     items = [(i, " ".join(f"q{i}w{j}" for j in range(rng.randint(1, 25)))) for i in range(12)] + [(20, ""), (21, None)]
     docs = []
@@ -763,6 +786,14 @@ def test_decontamination(spark):
     whole = {(r["doc_id"], r["_n_words"]): (r["_spans"], r["_items"]) for r in decontam.find_hits(d, b).collect()}
     parts = {(r["doc_id"], r["_n_words"]): (r["_spans"], r["_items"]) for r in decontam.find_hits(d, b, block_bytes=1000).collect()}
     assert whole == parts  # several broadcast blocks
+    log = []  # one block at a time is alive
+    real, gone = spark.sparkContext.broadcast, Broadcast.destroy
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: log.append("made") or real(value), raising=False)
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a: log.append("gone") or gone(self, *a))
+    many = decontam.find_hits(spark.createDataFrame([*docs, (99, docs[3][1]), (98, None)], "doc_id long, text string"), b, block_bytes=100).collect()
+    assert len(log) >= 40 and log == ["made", "gone"] * (len(log) // 2) and len(many) == 62
+    monkeypatch.undo()
+    assert {(r["doc_id"], r["_n_words"]): (r["_spans"], r["_items"]) for r in many if r["doc_id"] < 98} == whole
     clean = decontam.decontaminate(d, b, drop="spans")
     assert decontam.op10_decontaminate(clean, b).where("contaminated").count() == 0 and clean.count() == 60
     bad = {r["doc_id"] for r in decontam.op10_decontaminate(d, b).where("contaminated").collect()}

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ STEPS = ((0, 1), (0, -1), (1, 0), (1, -1), (-1, 0), (-1, 1))
 DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
 LEET = str.maketrans("013457@$!", "oleastasi")
 RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-SHORTEST, LONGEST = 3, 16  # letters of a word in the ranked table
+SHORTEST = 3  # letters of a word in the ranked table
 RUN = re.compile(f"[a-z]{{{SHORTEST},}}")
 PLACE = {c: (r, i) for rows in (KEYS, SHIFTED) for r, row in enumerate(rows) for i, c in enumerate(row) if c != " "}
 START_COST = 1.0  # log10 of choosing a kind of segment
@@ -77,42 +78,77 @@ def walks(value: str) -> Iterator[tuple[int, int, int]]:
             i = max(j, i + 1)
 
 
-def segments(value: str, ranks: dict[str, int] = RANK) -> Iterator[tuple[int, int, float]]:
-    """(start, end, log10 guesses) of the words of the ranked table, dates, repeats and walks in value; their number is in proportion to its length."""
+class Ranks(dict):
+    """Guess ranks by word, and the lengths that its words have: only these are looked up."""
+
+    def __init__(self, ranks: dict[str, int]) -> None:
+        super().__init__(ranks)
+        self.lengths = sorted({len(w) for w in ranks if len(w) >= SHORTEST})
+
+
+def repeats(low: str, most: float = math.inf) -> Iterator[tuple[int, int, int]]:
+    """(start, end, length of the unit) of runs in which a unit of up to most characters, itself no repeat, stands twice or more, as long as they go.
+
+    The text at i and at i + size agrees over a stretch of size characters or more; each
+    size takes a pass over the value.
+    """
+    n = len(low)
+    if n < 3:
+        return
+    codes = np.frombuffer(low.encode("utf-32-le"), dtype=np.uint32)
+    found: dict[int, list[tuple[int, int]]] = {}
+    for size in range(1, int(min(most, n // 2)) + 1):
+        same = codes[size:] == codes[:-size]
+        if np.count_nonzero(same) < size:
+            continue
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], same, [False]))))
+        for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist()):
+            if b - a < max(size, 2):
+                continue
+            if any(size % unit == 0 and i <= a and b + size <= j for unit, runs in found.items() for i, j in runs):
+                continue  # the unit is a shorter one, again and again
+            found.setdefault(size, []).append((a, b + size))
+            yield a, b + size, size
+
+
+def segments(value: str, ranks: dict[str, int] = RANK, limit: float = math.inf) -> Iterator[tuple[int, int, float]]:
+    """(start, end, log10 guesses) of the words of the ranked table, dates, repeats and walks in value."""
     low = value.lower()
+    lengths = ranks.lengths if isinstance(ranks, Ranks) else Ranks(ranks).lengths
     for form, extra in ((low, 0.0), (low.translate(LEET), 0.5)):
         for i in range(len(form)):
-            for j in range(i + SHORTEST, min(len(form), i + LONGEST) + 1):
+            for n in lengths:
+                j = i + n
+                if j > len(form):
+                    break
                 rank = ranks.get(form[i:j])
                 if rank:
                     case = 0.0 if value[i:j].islower() else 0.3 if value[i:j].istitle() or value[i:j].isupper() else (j - i) * 0.3
                     yield i, j, math.log10(rank + 1) + extra + case
     for m in DATE.finditer(low):
         yield m.start(), m.end(), 2.1 if m.end() - m.start() == 4 else 4.6
-    for size in range(1, 9):  # a unit of up to 8 characters, again and again
-        i = 0
-        while i + 2 * size <= len(low):
-            j = i
-            while j + 2 * size <= len(low) and low[j : j + size] == low[j + size : j + 2 * size]:
-                j += size
-            if j > i and (size > 1 or j - i >= 2):
-                yield i, j + size, sum(map(brute, low[i : i + size])) + math.log10((j + size - i) / size)
-                i = j + 1
-            else:
-                i += 1
+    units = list(itertools.accumulate(map(brute, low), initial=0.0))
+    for i, j, size in repeats(low, limit):
+        for start in range(i, min(i + size, j - 2 * size + 1)):  # whole units, from any of their characters
+            times = (j - start) // size
+            yield start, start + times * size, units[start + size] - units[start] + math.log10(times)
     for i, j, choices in walks(value):
         yield i, j, math.log10(choices) + math.log10(j - i)
 
 
-def guess_cost(value: str, ranks: dict[str, int] = RANK) -> float:
+def guess_cost(value: str, ranks: dict[str, int] = RANK, limit: float = math.inf) -> float:
     """log10 of the guesses that the cheapest cut of value into segments takes.
 
+    Only whether a cost is below limit matters to the caller, and how much it is then: the
+    unit of a repeat costs 1 for each character at least, so units of limit characters or
+    more can't bring a value below it and aren't looked for. Words have any length.
+
     Dynamic programming over end positions: a position costs the least of its segments'
     start plus guesses; single characters extend a brute-force span, which pays for its
     start once. Time is in proportion to the length.
     """
     ends: dict[int, list[tuple[int, float]]] = {}
-    for i, j, cost in segments(value, ranks):
+    for i, j, cost in segments(value, ranks, limit):
         ends.setdefault(j, []).append((i, cost))
     best = [0.0] + [math.inf] * len(value)  # after a finished segment
     span = [math.inf] * (len(value) + 1)  # inside a brute-force span
@@ -133,39 +169,57 @@ def scan(text: str, threshold: float = THRESHOLD, cost: Callable[[str], float] =
 
 
 def word_counts(docs: DataFrame, most: int = 200_000) -> DataFrame:
-    """(word, n): how often each run of SHORTEST to LONGEST letters a-z, in any case, stands in the texts.
+    """(word, n): the number of texts in which each run of SHORTEST letters a-z or more, in any case, stands; words of one text alone are left out.
+
+    Words inside a credential context, where secrets are looked for, aren't counted, and
+    copies of one text are one text to the rule that a word has to stand in two: a leaked
+    value doesn't become a word because it, or its document, was copied.
 
     A task adds its words up before they are shuffled, and hands its sums on whenever it
-    holds more than most words, so its memory doesn't grow with the vocabulary.
+    holds more than most words, so its memory doesn't grow with the vocabulary. The least
+    and greatest digest of a word's texts say whether there are two.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
+        seen: dict[str, list[int]] = {}
 
         def sums() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+            n, low, high = zip(*seen.values()) if seen else ((), (), ())
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array(x, pa.int64()) for x in (n, low, high))], names=["word", "n", "low", "high"])
             seen.clear()
             return out
 
         for batch in batches:
             for part in common.slices(batch, "text"):
-                for text in common.texts_of(part, "text"):
-                    seen.update(w for w in RUN.findall(text.decode(errors="replace").lower()) if len(w) <= LONGEST)
+                for text, seal in zip(common.texts_of(part, "text"), part.column("seal").to_pylist()):
+                    for w in set(RUN.findall(CONTEXT.sub(" ", text.decode(errors="replace")).lower())):
+                        held = seen.get(w)
+                        if held is None:
+                            seen[w] = [1, seal, seal]
+                            continue
+                        held[0] += 1
+                        if seal < held[1]:
+                            held[1] = seal
+                        elif seal > held[2]:
+                            held[2] = seal
                 if len(seen) > most:
                     yield sums()
         yield sums()
 
-    return docs.select(common.text_bytes()).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = docs.select(common.text_bytes(), F.xxhash64("text").alias("seal")).mapInArrow(run, "word string, n long, low long, high long")
+    return found.groupBy("word").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("word", "n")
 
 
-def learned_ranks(docs: DataFrame, size: int = 20_000) -> dict[str, int]:
+def learned_ranks(docs: DataFrame, size: int = 20_000) -> Ranks:
     """Guess ranks of words: WORDS, and then the size most frequent words of all texts (a Spark count; ties by the word).
 
-    size is the documented bound of the table that is broadcast. A word has to occur twice.
+    size is the documented bound of the table that is broadcast; see word_counts() for what counts.
     How many words have each count tells the least count that the table needs, so that only
     words of that count or more come to the driver, not the first words of every partition.
+    Ranks depend on the corpus, so a document's guess spans may change as it grows: fit them
+    once and pass them to find_secrets() where that isn't wanted.
     """
-    counts = cut(word_counts(docs).where("n > 1"), "words")
+    counts = cut(word_counts(docs), "words")
     steps = counts.groupBy("n").agg(F.count("*").alias("words"))  # the square root of the corpus' size at most
     upto = steps.select("n", F.sum("words").over(Window.orderBy(F.desc("n"))).alias("upto"))
     least = upto.where(F.col("upto") >= size).agg(F.max("n")).first()[0] or 0
@@ -174,7 +228,7 @@ def learned_ranks(docs: DataFrame, size: int = 20_000) -> dict[str, int]:
     out = dict(RANK)
     for r in top:
         out.setdefault(r["word"], len(out) + 1)
-    return out
+    return Ranks(out)
 
 
 def find_secrets(docs: DataFrame, threshold: float = THRESHOLD, ranks: dict[str, int] | None = None) -> DataFrame:
@@ -184,11 +238,12 @@ def find_secrets(docs: DataFrame, threshold: float = THRESHOLD, ranks: dict[str,
     empty text has no spans, repeated rows have the same ones, other columns pass through,
     and an empty table gives an empty one.
     """
-    held = docs.sparkSession.sparkContext.broadcast(learned_ranks(docs) if ranks is None else ranks)
+    held = docs.sparkSession.sparkContext.broadcast(dict(learned_ranks(docs) if ranks is None else ranks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        cost = lru_cache(maxsize=50_000)(lambda value: guess_cost(value, held.value))
+        known = Ranks(held.value)
+        cost = lru_cache(maxsize=50_000)(lambda value: guess_cost(value, known, threshold))
         for batch in batches:
             for part, texts in common.row_parts(batch):
                 spans = [[{"kind": k, "start": a, "end": b} for k, a, b in scan(t.decode(errors="replace"), threshold, cost)] for t in texts]

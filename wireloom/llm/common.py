@@ -19,6 +19,8 @@ SLICE_BYTES = 1 << 20
 SPACE = b" \t\n\x0b\x0c\r"
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 U64 = np.uint64
+#: Steps of a hash that chooses a share of rows, so fine that a share of any table's rows is never rounded to none.
+FINE = 1 << 60
 
 
 def lower_table(word: bytes | None = None) -> bytes:

@@ -150,8 +150,8 @@ def fit_languages(docs: DataFrame, max_rows: int = 20_000) -> bytes:
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     langs = sorted(sizes)
     each = max_rows / max(1, len(langs))
-    share = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(int(min(1.0, each / sizes[lang]) * (1 << 20))))]) if langs else F.create_map(F.lit(""), F.lit(0))
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.element_at(share, F.col("lang"))).select("lang", common.text_bytes())
+    share = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(int(min(1.0, each / sizes[lang]) * common.FINE)))]) if langs else F.create_map(F.lit(""), F.lit(0))
+    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(common.FINE)) < F.element_at(share, F.col("lang"))).select("lang", common.text_bytes())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = np.zeros((len(langs), BUCKETS), dtype=np.int64)

@@ -312,7 +312,7 @@ def fit_quality(features: DataFrame, labels: DataFrame, max_rows: int = 20_000)
     """
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("_y")).where("_id is not null and _y is not null").distinct()
     share = min(1.0, max_rows / max(1, known.count()))
-    known = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    known = known.where(F.pmod(F.xxhash64("_id"), F.lit(common.FINE)) < F.lit(int(share * common.FINE)))
     rows = features.join(known, F.col("doc_id") == F.col("_id")).select("doc_id", "_y", "features").toPandas()
     x = np.frombuffer(b"".join(rows["features"]), dtype=np.float32).reshape(-1, N_FEATURES).astype(float)
     order = np.lexsort((*x.T[:3], rows["_y"].to_numpy(dtype=np.int64), rows["doc_id"].to_numpy(dtype=np.int64))) if len(rows) else np.empty(0, dtype=np.int64)

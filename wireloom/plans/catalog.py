@@ -13,7 +13,8 @@ from wireloom.plans import sql
 from wireloom.session import cut
 from wireloom.sources import adapters
 from wireloom.sources.adapters import DAY_US, EPOCH_START, table
-from wireloom.streaming import engine
+from wireloom.streaming import anomaly, engine
+from wireloom.streaming.dependency import IncrementalDependencies
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -912,17 +913,43 @@ def stream_incremental_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edge_columns(engine.IncrementalFlows(spark, EVENT_IDLE).run(packet_stream(spark, sf_dir)).edges())
 
 
-@query(f"WITH {sql.FINGERPRINTS}, z AS ({_Z}), mx AS (SELECT max(epoch) AS m FROM fp) SELECT ip, epoch, feature, round(z, 3) AS z FROM z, mx WHERE abs(z) >= 3 AND (epoch < m OR (feature IN ('distinct_destinations', 'total_byte_count') AND z > 0))")
-def stream_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events from day 20 on as a stream of flows of their own; the days before make the baseline."""
     e = engine.event_stream(spark, sf_dir).where(micros(F.col("ts")) >= EPOCH_START + 20 * DAY_US)
-    f = e.select(
+    return e.select(
         F.lit("events").alias("capture_id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("src_ip"), F.concat(F.lit("svc-"), "event_type").alias("dst_ip"), F.get_json_object("props", "$.k").cast("int").alias("dst_port"),
         F.lit("UDP").alias("protocol"), micros(F.col("ts")).alias("first_us"), micros(F.col("ts")).alias("last_us"), F.lit(0.0).alias("duration_seconds"), F.floor("value").cast("long").alias("byte_count"), F.lit(1.0).alias("forward_byte_ratio"), F.lit(False).alias("is_persistent"),
     )
-    found = engine.streaming_anomalies(f, user_baseline(spark, sf_dir), 86_400, EPOCH_START)
+
+
+@query(f"WITH {sql.FINGERPRINTS}, z AS ({_Z}), mx AS (SELECT max(epoch) AS m FROM fp) SELECT ip, epoch, feature, round(z, 3) AS z FROM z, mx WHERE abs(z) >= 3 AND (epoch < m OR (feature IN ('distinct_destinations', 'total_byte_count') AND z > 0))")
+def stream_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = anomaly.StreamingAnomalies(spark, user_baseline(spark, sf_dir), 86_400, EPOCH_START, silent=False).run(scored_flows(spark, sf_dir)).alerts()
     return found.select("ip", "epoch", "feature", F.round("z", 3).alias("z"))
 
 
+@query(f"""WITH {sql.FINGERPRINTS}, days AS (SELECT DISTINCT epoch FROM fp WHERE epoch >= 20), all_ AS (SELECT b.ip, days.epoch, b.feature, coalesce(l.value, 0) AS value, b.med, b.mad FROM base b JOIN days ON true LEFT JOIN long l ON l.ip = b.ip AND l.epoch = days.epoch AND l.feature = b.feature WHERE b.n >= 5)
+SELECT ip, epoch, feature, round((value - med) / greatest(mad, 1e-6), 3) AS z FROM all_ WHERE abs((value - med) / greatest(mad, 1e-6)) >= 3""")
+def stream_anomalies_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every epoch judged at its close, the last one by flush, nodes that fell silent too."""
+    found = anomaly.StreamingAnomalies(spark, user_baseline(spark, sf_dir), 86_400, EPOCH_START).run(scored_flows(spark, sf_dir))
+    found.flush()
+    return found.alerts().select("ip", "epoch", "feature", F.round("z", 3).alias("z"))
+
+
+@query(f"WITH {_DEP_ALL} SELECT source, target, round(directionality, 6) AS directionality, round(precedence, 6) AS precedence, round(strength, 6) AS strength FROM st")
+def stream_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dependency_strength of the events, kept up to date with their stream."""
+    found = IncrementalDependencies(spark, EVENT_IDLE, 86_400).run(packet_stream(spark, sf_dir)).dependencies()
+    return found.select("source", "target", *[r6(c).alias(c) for c in ("directionality", "precedence", "strength")])
+
+
+@query(f"WITH {_DEP_ALL} SELECT source, target, round(strength, 6) AS strength FROM st WHERE strength >= 0.6 AND precedence > 0")
+def stream_causal_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = IncrementalDependencies(spark, EVENT_IDLE, 86_400).run(packet_stream(spark, sf_dir)).candidates(0.6)
+    return found.select("source", "target", r6("strength").alias("strength"))
+
+
 # learned scores and causal discovery
 
 

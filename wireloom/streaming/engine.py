@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wireloom.functions.expressions import SECOND, micros
-from wireloom.operators import behavior, flows, topology
+from wireloom.functions.expressions import micros
+from wireloom.operators import flows, topology
 from wireloom.session import shared_folder
 
 
@@ -33,6 +33,11 @@ def _place(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/wireloom-stream-{name}-{uuid.uuid4().hex}"
 
 
+def place_of(spark: SparkSession, name: str, place: str | None) -> str:
+    """The folder of a stream's state: the one given, which a restarted stream finds again, or a new one."""
+    return place.rstrip("/") if place else _place(spark, name)
+
+
 def run_append(stream: DataFrame, name: str) -> DataFrame:
     """Run the stream over all available rows into Parquet (append mode), and read that back."""
     place = _place(stream.sparkSession, name)
@@ -123,9 +128,9 @@ class IncrementalFlows:
     from the last batch that touched it, so it equals the batch result of all packets.
     """
 
-    def __init__(self, spark: SparkSession, udp_idle: float = 30.0, buckets: int = 64) -> None:
+    def __init__(self, spark: SparkSession, udp_idle: float = 30.0, buckets: int = 64, place: str | None = None) -> None:
         self.spark, self.udp_idle, self.buckets = spark, udp_idle, buckets
-        self.place = _place(spark, "flows")
+        self.place = place_of(spark, "flows", place)
         self.batches: set[int] = set()
 
     def _keys(self, packets: DataFrame) -> DataFrame:
@@ -142,7 +147,8 @@ class IncrementalFlows:
         hit = [r[0] for r in touched.select("_bucket").distinct().collect()]  # at most buckets rows
         kept = self.spark.read.parquet(f"{self.place}/packets").where(F.col("_bucket").isin(hit) & (F.col("_batch") <= number))
         mine = kept.join(touched.select("_key"), "_key", "left_semi").drop("_key", "_bucket", "_batch")
-        flows.units(mine, self.udp_idle).withColumn("_key", F.xxhash64("capture_id", "lo", "hi", "protocol")).write.mode("overwrite").parquet(f"{self.place}/units/_batch={number}")
+        again = F.count(F.lit(1)).over(Window.partitionBy(*flows.KEY)) > 1
+        flows.units(mine, self.udp_idle).withColumn("is_persistent", again).withColumn("_key", F.xxhash64("capture_id", "lo", "hi", "protocol")).write.mode("overwrite").parquet(f"{self.place}/units/_batch={number}")
         self.batches.add(number)
 
     def changelog(self, number: int) -> DataFrame:
@@ -172,30 +178,5 @@ class IncrementalFlows:
     def edges(self) -> DataFrame:
         """Edge signals and confidence of all flows so far, equal to the batch graph."""
         u = self.flows()
-        u = u.withColumn("is_persistent", F.count(F.lit(1)).over(Window.partitionBy(*flows.KEY)) > 1).withColumn("tls_version", F.lit(None).cast("string"))
+        u = u.withColumn("tls_version", F.lit(None).cast("string"))
         return topology.discover_edges(u, topology.discover_nodes(self.packets()))
-
-
-def streaming_anomalies(stream: DataFrame, base: DataFrame, epoch_seconds: float, start_us: int, name: str = "alerts") -> DataFrame:
-    """(capture_id, ip, epoch, feature, z) alerts of a stream of flows against a baseline, once for each node, feature and epoch.
-
-    An epoch's rows are kept in the state of a windowed aggregation in update mode. While
-    it is open only destinations and volume above the baseline count, which more rows
-    can't undo; an epoch that a later one has followed is closed and counts in full.
-    """
-    spark = stream.sparkSession
-    place = _place(spark, name)
-
-    def score(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{place}/flows/_batch={number}")
-        seen = spark.read.parquet(f"{place}/flows").where(F.col("_batch") <= number)
-        touched = batch.select("capture_id", "src_ip").distinct()
-        prints = behavior.epoch_fingerprints(seen.join(touched, ["capture_id", "src_ip"], "left_semi"), epoch_seconds, start_us)
-        newest = seen.agg(F.floor((F.max("last_us") - start_us) / (epoch_seconds * SECOND)).alias("_open"))
-        found = behavior.continuous_anomalies(base, prints).join(F.broadcast(newest), F.lit(True))
-        trusted = (F.col("epoch") < F.col("_open")) | (F.col("feature").isin("distinct_destinations", "total_byte_count") & (F.col("z") > 0))
-        found.where(trusted).drop("_open").write.mode("overwrite").parquet(f"{place}/alerts/_batch={number}")
-
-    stream.writeStream.foreachBatch(score).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
-    w = Window.partitionBy("capture_id", "ip", "epoch", "feature").orderBy("_batch")
-    return spark.read.parquet(f"{place}/alerts").withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k", "_batch")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wireloom.operators import behavior, causal, dependency, flows, generate, graph, metrics, topology
+from wireloom.operators import behavior, biconnected, causal, dependency, flows, generate, graph, metrics, topology
 
 T0 = 1_767_225_600_000_000
 PACKET = "capture_id string, packet_seq long, us long, src_ip string, dst_ip string, src_port int, dst_port int, protocol string, size_bytes long, tcp_flags string"
@@ -220,6 +220,51 @@ def test_export_records_against_fold(spark):
     assert got == [tuple(x) for x in want]
 
 
+def brute_sweep(pairs):
+    """Every failure by a search of its own."""
+    links = {frozenset(p) for p in pairs if p[0] != p[1]}
+    nodes = sorted({x for p in links for x in p})
+
+    def parts(left, kept):
+        out, todo = [], set(left)
+        while todo:
+            part, front = set(), {todo.pop()}
+            while front:
+                part |= front
+                front = {y for e in kept if e & front for y in e} - part
+            todo -= part
+            out.append(len(part))
+        return out
+
+    before = len(parts(nodes, links))
+    rows = {}
+    for kind, what in [("node", n) for n in nodes] + [("edge", e) for e in links]:
+        left = [n for n in nodes if kind == "edge" or n != what]
+        kept = {e for e in links if (what not in e if kind == "node" else e != what)}
+        sizes = parts(left, kept)
+        touched = {y for e in kept for y in e}
+        pieces = len(sizes) - before + 1
+        key = (kind, what, what) if kind == "node" else (kind, *sorted(what))
+        rows[key] = (pieces > 1, max(sizes, default=0) / len(nodes), len(touched) / len(nodes), len(left) - max(sizes, default=0))
+    return rows
+
+
+def test_failure_sweep_against_searches(spark):
+    rng = random.Random(4)
+    shapes = [
+        [("a", "b")], [("a", "b"), ("b", "c"), ("c", "d")], [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "c"), ("x", "y"), ("y", "y"), ("b", "a")],
+        [(f"n{rng.randint(0, 25):02}", f"n{rng.randint(0, 25):02}") for _ in range(30)], [(f"n{i}", f"n{i // 2}") for i in range(1, 20)] + [("n7", "n8"), ("n19", "n5")],
+    ]
+    for k, pairs in enumerate(shapes):
+        df = spark.createDataFrame(pairs, "source string, target string")
+        got = {(r["kind"], r["source"], r["target"]): tuple(r)[3:] for r in biconnected.failure_sweep(df).collect()}
+        want = brute_sweep(pairs)
+        assert set(got) == set(want), k
+        for key in want:
+            assert got[key] == pytest.approx(want[key]), (k, key)
+    assert biconnected.failure_sweep(df.limit(0)).count() == 0
+
+
 def brute_parents(series, target, sources, lag, alpha):
     """Tests by the inverse of whole covariance matrices, over arrays of one target."""
     n = min(map(len, series.values()))

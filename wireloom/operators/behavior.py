@@ -108,6 +108,24 @@ def drift(base: DataFrame, fingerprints: DataFrame, alpha: float = 0.05, thresho
     return joined.select("capture_id", "ip", "feature", ewma.alias("ewma"), deviation.alias("deviation"), F.when(deviation >= threshold, "concept_drift").otherwise("transient_anomaly").alias("class"))
 
 
+def anomalies_with_drift(base: DataFrame, fingerprints: DataFrame, threshold: float = 3.0, alpha: float = 0.05, drift_threshold: float = 2.0, history: DataFrame | None = None) -> DataFrame:
+    """(capture_id, ip, epoch, dimension, z, novel, score, class): what is unusual in each node's last fingerprint, and whether it is drift.
+
+    A feature's class is that of drift() over all fingerprints of the node in order. With
+    history, ports and protocols that it doesn't have are rows too, without z and always
+    transient. Nodes without a sufficient baseline have no rows.
+    """
+    last = fingerprints.groupBy("capture_id", "ip").agg(F.max("epoch").alias("epoch"))
+    newest = fingerprints.join(last, ["capture_id", "ip", "epoch"], "left_semi")
+    classes = drift(base, fingerprints, alpha, drift_threshold).select("capture_id", "ip", "feature", "class")
+    found = continuous_anomalies(base, newest, threshold).join(classes, ["capture_id", "ip", "feature"])
+    found = found.select("capture_id", "ip", "epoch", F.col("feature").alias("dimension"), "z", F.lit(None).cast("array<string>").alias("novel"), "score", "class")
+    if history is None:
+        return found
+    new = novelty_anomalies(history, newest)
+    return found.unionByName(new.select("capture_id", "ip", "epoch", "dimension", F.lit(None).cast("double").alias("z"), "novel", "score", F.lit("transient_anomaly").alias("class")))
+
+
 def sustained_drift(base: DataFrame, fingerprints: DataFrame, feature: str = "total_byte_count", drift_z: float = 1.5, least: int = 3) -> DataFrame:
     """(capture_id, ip, epoch, z): the first epoch that ends least epochs of z at or above drift_z, each above the one before."""
     b = base.where((F.col("feature") == feature) & F.col("sufficient"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wireloom.functions.expressions import edge_weight
+from wireloom.operators import biconnected
 from wireloom.operators.components import connected_components
 from wireloom.session import cut
 
@@ -70,13 +71,8 @@ def largest(components_: DataFrame, scenario: str = "failed") -> DataFrame:
 
 def criticality(edges: DataFrame) -> DataFrame:
     """(node, articulation, impact): whether removing a node splits its component, and how many nodes then lie outside the largest one."""
-    nodes = nodes_of(edges).select(F.col("node").alias("failed"))
-    after = cut(failed_components(edges, nodes), "failures")
-    before = components(edges).agg(F.count_distinct("component").alias("_before"))
-    split = after.groupBy("failed").agg(F.count_distinct("component").alias("_after"), F.count(F.lit(1)).alias("_n"))
-    top = largest(after).select("failed", F.col("size").alias("_top"))
-    joined = nodes.join(split, "failed", "left").join(top, "failed", "left").join(F.broadcast(before), F.lit(True))  # before is one row
-    return joined.select(F.col("failed").alias("node"), (F.coalesce("_after", F.lit(0)) > F.col("_before")).alias("articulation"), F.coalesce(F.col("_n") - F.col("_top"), F.lit(0)).alias("impact"))
+    f = biconnected.failures(edges).where("kind = 'node'")
+    return f.select(F.col("source").alias("node"), (F.col("pieces") > 1).alias("articulation"), (F.col("left") - F.col("largest")).alias("impact"))
 
 
 def root_causes(edges: DataFrame, failed: str, top: int = 50) -> DataFrame:

@@ -48,6 +48,37 @@ def best_role(probabilities: DataFrame, key: str) -> DataFrame:
     return top.select(key, F.col("_t.role").alias("role"), (-F.col("_t._n")).alias("p"))
 
 
+def held_out(labeled: DataFrame, key: str, gaussian: list[str], binary: list[str], floor: float = 1e-6, smoothing: float = 1.0) -> DataFrame:
+    """(key, truth, role, p, seen): each row's role by the model of all other rows.
+
+    No model is fitted again: a row's own part is taken out of the sums of its role, so
+    leaving each out costs one aggregate and a join with a row per role. A role whose only
+    row is left out doesn't stand for election; seen is then false. Needs two rows.
+    """
+    from pyspark.sql import Window
+
+    aggs = [F.count(F.lit(1)).alias("n_")]
+    for c in gaussian:
+        aggs += [F.sum(c).alias(f"s_{c}"), F.sum(F.col(c) * F.col(c)).alias(f"q_{c}")]
+    aggs += [F.sum(F.col(c).cast("int")).alias(f"b_{c}") for c in binary]
+    sums = labeled.groupBy(F.col("role").alias("role_")).agg(*aggs).withColumn("all_", F.sum("n_").over(Window.partitionBy()))  # a row per role
+    both = labeled.withColumnRenamed("role", "truth").join(F.broadcast(sums), F.lit(True))
+    own = (F.col("truth") == F.col("role_")).cast("int")
+    n = F.col("n_") - own
+    lp = F.log(n / (F.col("all_") - 1))
+    for c in gaussian:
+        mean = (F.col(f"s_{c}") - own * F.col(c)) / n
+        v = F.greatest((F.col(f"q_{c}") - own * F.col(c) * F.col(c)) / n - mean * mean, F.lit(floor))
+        lp = lp - 0.5 * (F.log(2 * math.pi * v) + F.pow(F.col(c) - mean, F.lit(2)) / v)
+    for c in binary:
+        rate = (F.col(f"b_{c}") - own * F.col(c).cast("int") + smoothing) / (n + 2 * smoothing)
+        lp = lp + F.when(F.col(c), F.log(rate)).otherwise(F.log(1 - rate))
+    scored = both.where((n > 0) & (F.col("all_") > 1)).withColumn("lp", lp)
+    best = best_role(softmax(scored, key), key)
+    seen = both.where(own == 1).select(key, "truth", (n > 0).alias("seen"))
+    return seen.join(best, key).select(key, "truth", "role", "p", "seen")
+
+
 def fit_temperature(posteriors: DataFrame, key: str, truth: str, low: float = 0.05, high: float = 20.0, size: int = 200) -> DataFrame:
     """(temperature, nll): the first of a logarithmic grid with the least negative log likelihood. Only the grid's sums leave the tasks."""
     per = posteriors.groupBy(key).agg(F.collect_list("lp").alias("_all"), F.max(F.when(F.col("role_") == F.col(truth), F.col("lp"))).alias("_true"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wireloom.functions.expressions import SECOND, micros
-from wireloom.operators import behavior, causal, dependency, flows, generate, graph, history, learned, metrics, outcomes, roles, topology
+from wireloom.operators import behavior, biconnected, causal, dependency, flows, generate, graph, history, learned, metrics, outcomes, roles, topology
 from wireloom.plans import sql
 from wireloom.session import cut
 from wireloom.sources import adapters
@@ -34,6 +34,12 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+def also(name: str, of: str) -> Query:
+    """A second name of a query and its statement, kept from when one of the two read a part of its table."""
+    QUERIES[name], ORACLES[name] = QUERIES[of], ORACLES[of]
+    return QUERIES[of]
+
+
 def r6(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return F.round(c.cast("double"), 6)
@@ -100,9 +106,7 @@ def record_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expanded(table(spark, sf_dir, "lineitem"))
 
 
-@query()
-def record_expansion_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return expanded(table(spark, sf_dir, "lineitem"))
+record_expansion_all = also("record_expansion_all", "record_expansion")
 
 
 def expanded(line: DataFrame) -> DataFrame:
@@ -294,6 +298,12 @@ def ewma_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("ip", "feature", r6("ewma").alias("ewma"), F.round("deviation", 3).alias("deviation"), "class")
 
 
+@query(f"WITH {sql.FINGERPRINTS}, z AS ({_Z}), s AS (SELECT l.ip, l.feature, list(l.value ORDER BY l.epoch) AS v, max(l.epoch) AS last FROM long l WHERE l.epoch >= 20 GROUP BY ALL), x AS (SELECT s.ip, s.feature, s.last, abs(list_reduce(v, lambda a, x: 0.05 * x + 0.95 * a, b.med) - b.med) / greatest(b.mad, 1e-6) AS deviation FROM s JOIN base b ON s.ip = b.ip AND s.feature = b.feature) SELECT z.ip, z.epoch, z.feature AS dimension, round(z, 3) AS z, CASE WHEN deviation >= 2 THEN 'concept_drift' ELSE 'transient_anomaly' END AS class FROM z JOIN x ON z.ip = x.ip AND z.feature = x.feature AND z.epoch = x.last WHERE abs(z) >= 3")
+def anomaly_drift_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = behavior.anomalies_with_drift(user_baseline(spark, sf_dir), user_fingerprints(spark, sf_dir).where("epoch >= 20"))
+    return a.select("ip", "epoch", "dimension", F.round("z", 3).alias("z"), "class")
+
+
 @query(f"WITH {sql.FINGERPRINTS}, z AS ({_Z} AND l.feature = 'total_byte_count'), w AS (SELECT *, lag(z, 1) OVER o AS z1, lag(z, 2) OVER o AS z2 FROM z WINDOW o AS (PARTITION BY ip ORDER BY epoch)), r AS (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY epoch) AS k FROM w WHERE z >= 0.5 AND z1 >= 0.5 AND z2 >= 0.5 AND z > z1 AND z1 > z2) SELECT ip, epoch, round(z, 3) AS z FROM r WHERE k = 1")
 def sustained_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = behavior.sustained_drift(user_baseline(spark, sf_dir), user_fingerprints(spark, sf_dir).where("epoch >= 20"), drift_z=0.5)
@@ -334,6 +344,19 @@ def role_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("role", "n", *[r6(c).alias(c) for c in ("log_prior", "mean_log_chars", "var_log_chars", "rate_has_digit", "rate_has_upper")])
 
 
+@query(f"""WITH {_ROLES}, t AS (SELECT role AS truth, count(*) AS n, sum(log_chars) AS s1, sum(log_chars * log_chars) AS q1, sum(words_per_line) AS s2, sum(words_per_line * words_per_line) AS q2, sum(has_digit::INT) AS b1, sum(has_upper::INT) AS b2, sum(has_bar::INT) AS b3 FROM s GROUP BY role),
+o AS (SELECT doc_id, s.role AS truth, t.truth AS role, t.n - (s.role = t.truth)::INT AS n, (s.role = t.truth)::INT AS own, s.*EXCLUDE (doc_id, role), t.*EXCLUDE (truth, n), (SELECT count(*) FROM s) AS total FROM s, t),
+f AS (SELECT *, (s1 - own * log_chars) / n AS m1, (s2 - own * words_per_line) / n AS m2 FROM o WHERE n > 0),
+g AS (SELECT *, greatest((q1 - own * log_chars * log_chars) / n - m1 * m1, 1e-6) AS v1, greatest((q2 - own * words_per_line * words_per_line) / n - m2 * m2, 1e-6) AS v2, (b1 - own * has_digit::INT + 1) / (n + 2.0) AS r1, (b2 - own * has_upper::INT + 1) / (n + 2.0) AS r2, (b3 - own * has_bar::INT + 1) / (n + 2.0) AS r3 FROM f),
+h AS (SELECT doc_id, truth, role, ln(n / (total - 1.0)) - 0.5 * (ln(2 * pi() * v1) + pow(log_chars - m1, 2) / v1) - 0.5 * (ln(2 * pi() * v2) + pow(words_per_line - m2, 2) / v2) + CASE WHEN has_digit THEN ln(r1) ELSE ln(1 - r1) END + CASE WHEN has_upper THEN ln(r2) ELSE ln(1 - r2) END + CASE WHEN has_bar THEN ln(r3) ELSE ln(1 - r3) END AS l FROM g),
+k AS (SELECT doc_id, any_value(truth) AS truth, arg_max(role, l) AS role FROM h GROUP BY doc_id)
+SELECT truth, count(*) AS folds, count(*) FILTER (WHERE truth = role) AS correct FROM k GROUP BY truth""")
+def role_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each sample's role by the model of all others, counted by true role."""
+    h = roles.held_out(role_samples(spark, sf_dir), "doc_id", _GAUSS, _BIN)
+    return h.groupBy("truth").agg(F.count(F.lit(1)).alias("folds"), F.sum((F.col("truth") == F.col("role")).cast("long")).alias("correct"))
+
+
 def role_posterior_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = role_samples(spark, sf_dir)
     return roles.log_posteriors(s, roles.fit_roles(s, _GAUSS, _BIN), _GAUSS, _BIN)
@@ -431,28 +454,16 @@ def fingerprint_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.upsert(f.where("epoch < 15"), f.where("epoch >= 10"), ["ip"], "epoch")
 
 
-@query()
-def event_timeline_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.timeline(quarter_edges(spark, sf_dir), ["source", "target"], ["observations", "volume"])
+event_timeline_all = also("event_timeline_all", "event_timeline")
 
 
-@query()
-def snapshot_diff_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = quarter_edges(spark, sf_dir)
-    return history.diff_edges(q.where("version = 2"), q.where("version = 3"), ["source", "target"], ["observations", "volume"])
+snapshot_diff_all = also("snapshot_diff_all", "snapshot_diff")
 
 
-@query()
-def node_diff_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = quarter_edges(spark, sf_dir).select("version", F.explode(F.array("source", "target")).alias("node")).distinct()
-    return history.diff_nodes(n.where("version = 2").select("node"), n.where("version = 3").select("node"), ["node"])
+node_diff_all = also("node_diff_all", "node_diff")
 
 
-@query()
-def fingerprint_upsert_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every epoch from 10 on is upserted."""
-    f = user_fingerprints(spark, sf_dir).select("ip", "epoch", "total_byte_count")
-    return history.upsert(f.where("epoch < 15"), f.where("epoch >= 10"), ["ip"], "epoch")
+fingerprint_upsert_all = also("fingerprint_upsert_all", "fingerprint_upsert")
 
 
 # dependency
@@ -570,10 +581,7 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.components(adapters.sparse_graph(spark, sf_dir))
 
 
-@query()
-def degree_centrality_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = graph.degree_centrality(adapters.sparse_graph(spark, sf_dir, None))
-    return d.select("node", "degree", r6("centrality").alias("centrality"), r6("mean_confidence").alias("mean_confidence"))
+degree_centrality_all = also("degree_centrality_all", "degree_centrality")
 
 
 @query()
@@ -611,7 +619,30 @@ def newly_unreachable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def articulation_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.criticality(adapters.nation_graph(spark, sf_dir))
+    return graph.criticality(adapters.contact_graph(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {sql.CONTACT}, st AS (SELECT a AS failed, min(b) AS node FROM bw GROUP BY a),
+r AS (SELECT failed, node FROM st UNION SELECT r.failed, bw.b FROM r JOIN bw ON r.node = bw.a WHERE bw.b <> r.failed)
+SELECT bw.a AS node, count(*) FILTER (WHERE r.node IS NULL) > 0 AS articulation FROM bw LEFT JOIN r ON r.failed = bw.a AND r.node = bw.b GROUP BY bw.a""")
+def cut_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes whose failure parts their neighbours from one another: in SQL by a search for every node, here all at once."""
+    return graph.criticality(adapters.contact_graph(spark, sf_dir)).select("node", "articulation")
+
+
+def sweep_columns(f: DataFrame) -> DataFrame:
+    return f.select("kind", "source", "target", "cuts", r6("connectivity_ratio").alias("connectivity_ratio"), r6("reachable_ratio").alias("reachable_ratio"), "stranded")
+
+
+@query()
+def failure_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The failure of every node and every edge of the graph of all orders."""
+    return sweep_columns(biconnected.failure_sweep(adapters.sparse_graph(spark, sf_dir, None)))
+
+
+@query()
+def failure_sweep_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sweep_columns(biconnected.failure_sweep(adapters.contact_graph(spark, sf_dir)))
 
 
 @query()
@@ -713,17 +744,10 @@ def edge_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("matched", "union", r6("jaccard").alias("jaccard"))
 
 
-@query()
-def topology_prf_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    truth, inferred = truth_pairs(spark, sf_dir)
-    s = metrics.set_scores(inferred, truth, ["source", "target"])
-    return s.select("matched", "predicted", "actual", r6("precision").alias("precision"), r6("recall").alias("recall"), r6("f1").alias("f1"))
+topology_prf_all = also("topology_prf_all", "topology_prf")
 
 
-@query()
-def edge_jaccard_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = metrics.jaccard(*truth_pairs(spark, sf_dir), ["source", "target"])
-    return j.select("matched", "union", r6("jaccard").alias("jaccard"))
+edge_jaccard_all = also("edge_jaccard_all", "edge_jaccard")
 
 
 @query("SELECT o_orderpriority, o_orderstatus, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS sd, min(o_totalprice) AS min, max(o_totalprice) AS max FROM orders GROUP BY ALL")
@@ -751,6 +775,20 @@ def paired_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("o_orderpriority", "n", F.round("mean_diff", 3).alias("mean_diff"), F.round("sd", 3).alias("sd"), F.round("dz", 5).alias("dz"))
 
 
+_WEIGHT = " + ".join(f"(u >= {p})::INT" for p in metrics.POISSON_1)
+
+
+@query(f"""WITH w AS (SELECT o_custkey % 20 AS seed, o_orderpriority AS g, avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS a, avg(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END) AS b FROM orders GROUP BY ALL), d AS (SELECT seed, g, b - a AS d FROM w WHERE a IS NOT NULL OR b IS NOT NULL),
+x AS (SELECT g, seed, d, r, CAST('0x' || substr(md5(g || '|' || seed || '|' || r), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM d, range(200) t(r) WHERE d IS NOT NULL),
+m AS (SELECT g, r, sum(({_WEIGHT}) * d) / sum({_WEIGHT}) AS mean FROM x GROUP BY g, r HAVING sum({_WEIGHT}) > 0), q AS (SELECT g, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM m GROUP BY g)
+SELECT d.g AS o_orderpriority, count(d) AS n, count(*) - count(d) AS dropped, round(avg(d), 3) AS mean_diff, round(any_value(low), 3) AS low, round(any_value(high), 3) AS high FROM d JOIN q ON d.g = q.g GROUP BY d.g""")
+def paired_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """paired_diff with a bootstrap interval of the mean."""
+    o = table(spark, sf_dir, "orders").withColumn("seed", F.col("o_custkey") % 20)
+    d = metrics.paired_interval(o, "o_totalprice", "o_orderstatus", "F", "O", ["seed"], ["o_orderpriority"])
+    return d.select("o_orderpriority", "n", "dropped", *[F.round(c, 3).alias(c) for c in ("mean_diff", "low", "high")])
+
+
 @query("WITH p AS (SELECT o_orderpriority, o_orderstatus, o_totalprice FROM orders) SELECT o_orderpriority, o_orderstatus, count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM p GROUP BY GROUPING SETS ((o_orderpriority, o_orderstatus), (o_orderpriority))")
 def pooled_and_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")

@@ -411,6 +411,61 @@ def test_audio_parsing():
     assert audio.header(bytes((0xFF, 0xFB, 0x90, 0x64))).length == 417 and audio.header(bytes((0xFF, 0xF3, 0x40, 0xC4))).samples == 576
 
 
+def frame_of(version, layer, bit, rate, mono=True, padding=0, crc=False, body=b""):
+    """A frame from its header's fields; version 3, 2, 0 for MPEG 1, 2, 2.5."""
+    head = bytes((0xFF, 0xE0 | version << 3 | (4 - layer) << 1 | (not crc), bit << 4 | rate << 2 | padding << 1, 0xC0 if mono else 0))
+    f = audio.header(head)
+    return (head + body).ljust(f.length, b"\0")
+
+
+def test_audio_of_other_versions_and_layers():
+    """Lengths and samples worked out by hand from the format's tables."""
+    cases = {
+        (3, 1, 12, 0): (417 - 1, 384), (3, 2, 10, 1): (576, 1152), (3, 3, 9, 0): (417, 1152), (2, 3, 8, 0): (208, 576), (2, 2, 8, 2): (576, 1152), (2, 1, 6, 1): (192, 384), (0, 3, 8, 0): (417, 576), (0, 1, 4, 2): (384, 384),
+    }
+    for (version, layer, bit, rate), (length, samples) in cases.items():
+        media = frame_of(version, layer, bit, rate) * 7
+        p = audio.parse(media)
+        assert len(media) == 7 * length and (p["frames"], p["samples"], p["skipped"]) == (7, 7 * samples, 0), (version, layer)
+    padded = b"".join(frame_of(3, 3, 9, 0, padding=k % 2) for k in range(6))
+    assert len(padded) == 3 * 417 + 3 * 418 and audio.parse(padded)["frames"] == 6
+    free = b"".join(bytes((0xFF, 0xFB, 2 * (k % 2), 0xC0)).ljust(500 + k % 2, b"\1") for k in range(9))
+    p = audio.parse(b"junk" + free)
+    assert (p["frames"], p["samples"], p["skipped"], p["bitrates"]) == (9, 9 * 1152, 4, {153, 154} & p["bitrates"])
+    assert audio.parse(bytes((0xFF, 0xFB, 0, 0xC0)).ljust(500, b"\1"))["frames"] == 0
+
+
+def synchsafe(n):
+    return bytes((n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127))
+
+
+def test_audio_tags_of_all_kinds():
+    sound = frame_of(3, 3, 9, 0) * 4
+    text = b"\1" + "\ufeff\u00ffy".encode("utf-16-le")  # holds FF FE: with a zero put in between in unsynchronised tags
+    v3 = b"TIT2" + len(text).to_bytes(4, "big") + b"\0\0" + text
+    packed = zlib.compress(b"\0packed")
+    v3 += b"TALB" + (len(packed) + 4).to_bytes(4, "big") + b"\0\x80" + (7).to_bytes(4, "big") + packed + b"TPE1" + (5).to_bytes(4, "big") + b"\0\x40" + b"\0none"
+    for flags, body in ((0, v3), (0x80, v3.replace(b"\xff", b"\xff\0")), (0x40, (6).to_bytes(4, "big") + bytes(6) + v3)):
+        p = audio.parse(b"ID3\3\0" + bytes((flags,)) + synchsafe(len(body)) + body + sound)
+        assert (p["tags"], p["frames"], p["skipped"]) == ({"TIT2": "\u00ffy", "TALB": "packed"}, 4, 0), flags
+    stuffed = text.replace(b"\xff", b"\xff\0")
+    v4 = b"TIT2" + synchsafe(len(stuffed) + 4) + b"\0\3" + synchsafe(len(text)) + stuffed + b"TALB" + synchsafe(len(packed) + 4) + b"\0\x09" + synchsafe(7) + packed
+    for flags, body, tail in ((0, v4, b""), (0x10, v4, b"3DI\4\0\x10" + synchsafe(len(v4))), (0x40, synchsafe(6) + b"\1\0" + v4, b"")):
+        p = audio.parse(b"ID3\4\0" + bytes((flags,)) + synchsafe(len(body)) + body + tail + sound)
+        assert (p["tags"], p["frames"], p["skipped"]) == ({"TIT2": "\u00ffy", "TALB": "packed"}, 4, 0), flags
+
+
+def test_audio_tables_and_exact_durations():
+    sound = [frame_of(3, 3, 9, 0)] * 10
+    lame = b"Xing" + (15).to_bytes(4, "big") + (10).to_bytes(4, "big") + (4587).to_bytes(4, "big") + bytes(range(100)) + (57).to_bytes(4, "big") + b"LAME3.100" + bytes(12) + (576 << 12 | 1234).to_bytes(3, "big") + bytes(12)
+    p = audio.parse(frame_of(3, 3, 9, 0, body=bytes(17) + lame) + b"".join(sound))
+    got = dict(zip((n for n, _, _ in audio.FIELDS), audio.values(p)))
+    assert (got["encoder"], got["delay"], got["padding"], got["n_samples"], got["vbr_frames"]) == ("LAME3.100", 576, 1234, 11520, 10) and got["seconds"] == (11520 - 576 - 1234) / 44100
+    vbri = b"VBRI" + bytes(6) + (4170).to_bytes(4, "big") + (10).to_bytes(4, "big") + b"".join(x.to_bytes(2, "big") for x in (5, 2, 2, 2)) + b"".join((417).to_bytes(2, "big") for _ in range(5))
+    p = audio.parse(frame_of(3, 3, 9, 0, body=bytes(32) + vbri) + b"".join(sound))
+    assert (p["vbr"]["frames"], p["vbr"]["bytes"], p["vbr"]["every"], p["vbr"]["seek"]) == (10, 4170, 2, [834 * k for k in range(1, 6)]) and p["frames"] == 10
+
+
 def test_audio_digest(spark, sf_dir):
     docs = documents(spark, sf_dir)
     got = {r["doc_id"]: r for r in audio.op5_audio(docs).collect()}

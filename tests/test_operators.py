@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wireloom.operators import behavior, biconnected, causal, dependency, flows, generate, graph, metrics, topology
+from wireloom.operators import behavior, biconnected, causal, dependency, flows, generate, graph, metrics, roles, topology
 
 T0 = 1_767_225_600_000_000
 PACKET = "capture_id string, packet_seq long, us long, src_ip string, dst_ip string, src_port int, dst_port int, protocol string, size_bytes long, tcp_flags string"
@@ -346,3 +346,54 @@ def test_generators(spark):
     assert 180 < views.count() < 540 and topology.dedupe_collectors(views).count() <= 180
     s = generate.sample_packets(t, 0.5).count()
     assert 60 < s < 120 and generate.ip_aliasing(t, "hub").where("src_ip like 'hub-alias%'").count() >= 0
+
+
+def test_roles_held_out_equal_refitting(spark):
+    """Each row by the model of the others, against models that are fitted again."""
+    rng = random.Random(6)
+    rows = [(i, rng.choice("ab"), rng.gauss(0, 1), rng.gauss(5, 2), rng.random() < 0.5) for i in range(30)] + [(99, "alone", 9.0, 9.0, True)]
+    rows = [(i, r, x + (2 if r == "a" else 0), y, b) for i, r, x, y, b in rows]
+    kind = "id long, role string, x double, y double, b boolean"
+    got = {r["id"]: (r["truth"], r["role"], r["p"], r["seen"]) for r in roles.held_out(spark.createDataFrame(rows, kind), "id", ["x", "y"], ["b"]).collect()}
+    assert len(got) == 31 and got[99][3] is False
+    for i, role, x, y, b in rows:
+        rest = [r for r in rows if r[0] != i]
+        lp = {}
+        for name in {r[1] for r in rest}:
+            mine = [r for r in rest if r[1] == name]
+            value = math.log(len(mine) / len(rest))
+            for k, v in ((2, x), (3, y)):
+                xs = np.array([r[k] for r in mine])
+                var = max(xs.var(), 1e-6)
+                value -= 0.5 * (math.log(2 * math.pi * var) + (v - xs.mean()) ** 2 / var)
+            rate = (sum(r[4] for r in mine) + 1) / (len(mine) + 2)
+            lp[name] = value + math.log(rate if b else 1 - rate)
+        best = max(lp, key=lp.get)
+        assert got[i][:2] == (role, best) and got[i][2] == pytest.approx(1 / sum(math.exp(v - lp[best]) for v in lp.values()), abs=1e-6)
+    assert roles.held_out(spark.createDataFrame(rows[:1], kind), "id", ["x", "y"], ["b"]).count() == 0
+
+
+def test_paired_interval_covers_the_mean(spark):
+    """Of 200 experiments nine in ten intervals or more hold the true difference; quantiles and detectable difference by hand."""
+    rng = random.Random(7)
+    rows = [(e, k, c, rng.gauss(10, 3) + (1.5 if c == "new" else 0)) for e in range(200) for k in range(25) for c in ("old", "new")]
+    rows += [(900, k, "old", 1.0) for k in range(5)] + [(901, k, c, 2.0) for k in range(4) for c in ("old", "new")] + [(902, k, c, float(k)) for k in range(2) for c in ("old", "new")]
+    got = {r["e"]: r for r in metrics.paired_interval(spark.createDataFrame(rows, "e long, k long, c string, v double"), "v", "c", "old", "new", ["k"], ["e"]).collect()}
+    inside = sum(got[e]["low"] <= 1.5 <= got[e]["high"] for e in range(200))
+    assert 176 <= inside < 200
+    assert (got[900]["n"], got[900]["dropped"], got[900]["verdict"]) == (0, 5, "insufficient_n") and got[901]["verdict"] == "identical" and got[902]["verdict"] == "insufficient_n" and got[901]["low"] is None
+    assert metrics.student_quantile(0.975, 24) == pytest.approx(2.063899, abs=1e-5) and metrics.student_quantile(0.8, 24) == pytest.approx(0.856855, abs=1e-5) and metrics.student_quantile(0.975, 1) == pytest.approx(12.7062, abs=1e-3) and metrics.student_quantile(0.2, 7) == -metrics.student_quantile(0.8, 7)
+    r = got[3]
+    assert r["mde"] == pytest.approx((2.063899 + 0.856855) * r["sd"] / 5, abs=1e-4)
+
+
+def test_anomalies_with_drift(spark):
+    """A node that rises for good has drift, one with a single burst at the end is transient, and new ports are novel."""
+    kind = "capture_id string, ip string, epoch long, distinct_destinations long, mean_flow_duration_seconds double, outbound_byte_ratio double, total_byte_count long, distinct_ports array<int>, distinct_protocols array<string>"
+    row = lambda ip, e, n, port=80: ("c", ip, e, 2, 1.0, 0.5, n, [port], ["TCP"])
+    old = [row(ip, e, 100 + e % 3) for ip in ("up", "burst", "calm") for e in range(8)]
+    new = [row("up", e, 400) for e in range(8, 14)] + [row("burst", e, 101) for e in range(8, 13)] + [row("burst", 13, 110, 4444)] + [row("calm", e, 101) for e in range(8, 14)]
+    history, later = spark.createDataFrame(old, kind), spark.createDataFrame(new, kind)
+    found = behavior.anomalies_with_drift(behavior.baseline(history), later, history=history).collect()
+    assert {(r["ip"], r["dimension"], r["class"]) for r in found} == {("up", "total_byte_count", "concept_drift"), ("burst", "total_byte_count", "transient_anomaly"), ("burst", "port", "transient_anomaly")}
+    assert {r["epoch"] for r in found} == {13} and [r["novel"] for r in found if r["dimension"] == "port"] == [["4444"]]

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wireloom.operators import behavior, biconnected, causal, dependency, flows, generate, graph, metrics, roles, topology
+from wireloom.operators import behavior, biconnected, causal, dependency, flows, generate, graph, history, metrics, roles, topology
 
 T0 = 1_767_225_600_000_000
 PACKET = "capture_id string, packet_seq long, us long, src_ip string, dst_ip string, src_port int, dst_port int, protocol string, size_bytes long, tcp_flags string"
@@ -397,3 +397,26 @@ def test_anomalies_with_drift(spark):
     found = behavior.anomalies_with_drift(behavior.baseline(history), later, history=history).collect()
     assert {(r["ip"], r["dimension"], r["class"]) for r in found} == {("up", "total_byte_count", "concept_drift"), ("burst", "total_byte_count", "transient_anomaly"), ("burst", "port", "transient_anomaly")}
     assert {r["epoch"] for r in found} == {13} and [r["novel"] for r in found if r["dimension"] == "port"] == [["4444"]]
+
+
+def test_repair_of_a_graph(spark):
+    """h fails. In fact a, b, c, d stayed together: {c, d} is bridged to {a, b}, {x} was stranded in fact, and y of the main part was too."""
+    pairs = [("a", "h"), ("a", "b"), ("b", "y"), ("c", "d"), ("d", "h"), ("h", "x"), ("p", "q")]
+    edges = spark.createDataFrame([(*p, 0.9) for p in pairs], "source string, target string, confidence double")
+    actual = spark.createDataFrame([(n,) for n in "abcdh"], "node string")
+    bridges = graph.repair_bridges(edges, "h", actual)
+    assert [tuple(r) for r in bridges.collect()] == [("a", "d", 2, 1)]
+    assert graph.repair_bridges(graph.repaired(edges, bridges), "h", actual).count() == 0
+    assert [tuple(r) for r in graph.repair_bridges(edges, "h", spark.createDataFrame([(n,) for n in "abypq"], "node string")).collect()] == [("a", "p", 2, 0)]
+
+
+def test_flows_of_changes(spark):
+    """Intervals are open on the left; a flow after the last snapshot has none; uneven snapshots; a change without flows keeps its row."""
+    snapshots = spark.createDataFrame([(0, 100), (1, 110), (2, 500)], "version long, captured_us long")
+    rows = [(1, "a", "b", 100), (2, "b", "a", 101), (3, "a", "b", 110), (4, "a", "b", 499), (5, "a", "b", 501), (6, "a", "c", 300), (7, "a", "b", -5000)]
+    flows_ = spark.createDataFrame(rows, "flow_id long, src_ip string, dst_ip string, first_us long")
+    got = {r["flow_id"]: r["version"] for r in history.versions_of_flows(flows_, snapshots).collect()}
+    assert got == {1: 0, 7: 0, 2: 1, 3: 1, 4: 2, 6: 2}
+    changes = spark.createDataFrame([(1, "a", "b", "edge_added"), (2, "c", "a", "edge_added"), (2, "x", "y", "edge_removed")], "to_version long, source string, target string, change string")
+    assert {(r["to_version"], r["source"], r["flow_id"]) for r in history.flows_of_changes(changes, flows_, snapshots).collect()} == {(1, "a", 2), (1, "a", 3), (2, "c", 6), (2, "x", None)}
+    assert history.versions_of_flows(flows_, snapshots.limit(0)).count() == 0

@@ -202,6 +202,30 @@ def counterfactual(edges: DataFrame, action: str, source: str | None = None, tar
     return edges
 
 
+def repair_bridges(edges: DataFrame, failed: str, actual: DataFrame) -> DataFrame:
+    """(source, target, size, overlooked): edges that the graph must lack, as actual(node) stayed one component when failed failed.
+
+    Of the components that the graph falls into, the one that has most of actual (ties: the
+    larger, then the smaller id) is the main one. Any other that lies in actual as a whole
+    is bridged to it, at the nodes that were next to failed, or the first ones where none
+    was; size is the number of its nodes. overlooked counts nodes of the main one that
+    were stranded in fact, which no edge can mend. No rows: the graph agrees.
+    """
+    f = edges.sparkSession.createDataFrame([(failed,)], "failed string")
+    near = both_ways(edges).where(F.col("a") == failed).select(F.col("b").alias("node"), F.lit(True).alias("_near")).distinct()
+    real = actual.select("node").distinct().where(F.col("node") != failed).withColumn("_real", F.lit(True))
+    parts = cut(failed_components(edges, f).join(near, "node", "left").join(real, "node", "left"), "parts")
+    per = parts.groupBy("component").agg(F.count(F.lit(1)).alias("_n"), F.count("_real").alias("_in"), F.coalesce(F.min(F.when(F.col("_near"), F.col("node"))), F.min("node")).alias("_at"))
+    main = per.orderBy(F.desc("_in"), F.desc("_n"), "component").limit(1).select(F.col("component").alias("_main"), F.col("_at").alias("_to"), (F.col("_n") - F.col("_in")).alias("overlooked"))
+    others = per.join(F.broadcast(main), F.lit(True)).where("component <> _main and _in = _n")  # main is one row
+    return others.select(F.least("_at", "_to").alias("source"), F.greatest("_at", "_to").alias("target"), F.col("_n").alias("size"), "overlooked")
+
+
+def repaired(edges: DataFrame, bridges: DataFrame, confidence: float = 0.5) -> DataFrame:
+    """The graph with the bridges added."""
+    return edges.select("source", "target", "confidence").unionByName(bridges.select("source", "target", F.lit(confidence).alias("confidence")))
+
+
 def resilience(edges: DataFrame, failed: DataFrame) -> DataFrame:
     """(failed, connectivity_ratio, reachable_ratio, stranded): size of the largest component, and nodes in components of two or more, as shares of the nodes before."""
     after = cut(failed_components(edges, failed), "failures")

@@ -50,6 +50,45 @@ def timeline(versions: DataFrame, keys: list[str], attributes: list[str]) -> Dat
     return both.withColumn("_x", F.explode(events)).select(F.col("version").alias("to_version"), *keys, "_x.change", "_x.attribute", "_x.previous", "_x.new")
 
 
+def valid_between(snapshots: DataFrame) -> DataFrame:
+    """(version, from_us, to_us) of snapshots(version, captured_us): what a snapshot has that the one before doesn't began after from_us (null: ever) and by to_us."""
+    w = Window.orderBy("captured_us", "version")  # a row per snapshot
+    return snapshots.select("version", F.lag("captured_us").over(w).alias("from_us"), F.col("captured_us").alias("to_us"))
+
+
+def versions_of_flows(flows: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """flows with version: the first snapshot that was captured when or after the flow began; flows after the last one drop out.
+
+    Time is dealt into buckets of the mean interval, an interval stands in every bucket that
+    it touches, and flows meet the intervals of their own bucket only.
+    """
+    spans = valid_between(snapshots)
+    bounds = snapshots.agg(F.min("captured_us"), F.max("captured_us"), F.count(F.lit(1))).first()
+    if not bounds[2]:
+        return flows.withColumn("version", F.lit(None).cast("long")).where("1 = 0")
+    low, high = bounds[0], bounds[1]
+    width = max(1, (high - low) // max(1, bounds[2] - 1))
+    bucket = lambda us: F.floor((us - F.lit(low)) / F.lit(width)).cast("long")
+    first = F.coalesce(bucket(F.col("from_us") + 1), F.lit(-1).cast("long"))  # bucket -1 takes all that is before the first snapshot
+    spans = spans.withColumn("_b", F.explode(F.sequence(F.greatest(F.lit(-1).cast("long"), first), bucket(F.col("to_us")))))
+    keyed = flows.where(F.col("first_us") <= high).withColumn("_b", F.greatest(F.lit(-1).cast("long"), bucket(F.col("first_us"))))
+    inside = (F.col("first_us") > F.col("from_us")) | F.col("from_us").isNull()
+    return keyed.join(spans, "_b").where(inside & (F.col("first_us") <= F.col("to_us"))).drop("_b", "from_us", "to_us")
+
+
+def flows_of_changes(changes: DataFrame, flows: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """(changes' columns, flow_id): the flows between a change's ends that began in the interval that its snapshot closes.
+
+    changes has to_version, source and target, flows has flow_id, src_ip, dst_ip and
+    first_us, in either direction. A change without such flows (an edge that went away)
+    has one row with a null flow_id; a repeated flow_id counts once. Flows are rows, not a list, so a busy pair is no row of its own size.
+    """
+    placed = versions_of_flows(flows.where("src_ip <> dst_ip"), snapshots)
+    placed = placed.select(F.col("version").alias("to_version"), F.least("src_ip", "dst_ip").alias("_lo"), F.greatest("src_ip", "dst_ip").alias("_hi"), "flow_id").distinct()
+    ends = changes.withColumn("_lo", F.least("source", "target")).withColumn("_hi", F.greatest("source", "target"))
+    return ends.join(placed, ["to_version", "_lo", "_hi"], "left").drop("_lo", "_hi")
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The newest row of every key over both tables, ties to new."""
     both = old.withColumn("_p", F.lit(0)).unionByName(new.withColumn("_p", F.lit(1)))

@@ -430,6 +430,21 @@ def event_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.timeline(quarter_edges(spark, sf_dir), ["source", "target"], ["observations", "volume"])
 
 
+@query(f"""WITH {_QUARTERS}, {_DIFF}, fl AS (SELECT 'c' || o_custkey AS source, 's' || l_suppkey AS target, l_orderkey * 10 + l_linenumber AS flow_id, epoch_us(o_orderdate) AS us FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+sn AS (SELECT version, {START_1995} + (version + 1) * {QUARTER_US} - 1 AS captured FROM (SELECT DISTINCT version FROM q)), iv AS (SELECT version, lag(captured) OVER (ORDER BY captured) AS lo, captured AS hi FROM sn)
+SELECT ev.to_version, ev.source, ev.target, count(DISTINCT fl.flow_id) AS flows, min(fl.flow_id) AS first_flow, max(fl.flow_id) AS last_flow FROM ev JOIN iv ON iv.version = ev.to_version LEFT JOIN fl ON fl.source = ev.source AND fl.target = ev.target AND (fl.us > iv.lo OR iv.lo IS NULL) AND fl.us <= iv.hi WHERE ev.change = 'edge_added' GROUP BY ALL""")
+def change_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line items behind every edge that a quarter added."""
+    q = quarter_edges(spark, sf_dir)
+    added = history.timeline(q, ["source", "target"], ["observations", "volume"]).where("change = 'edge_added'")
+    snapshots = q.select("version").distinct().withColumn("captured_us", F.lit(START_1995) + (F.col("version") + 1) * F.lit(QUARTER_US) - 1)
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", micros(F.col("o_orderdate")).alias("first_us"))
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey").join(o, "l_orderkey")
+    flows_ = line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("flow_id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src_ip"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst_ip"), "first_us")
+    found = history.flows_of_changes(added, flows_, cut(snapshots, "snapshots"))
+    return found.groupBy("to_version", "source", "target").agg(F.count("flow_id").alias("flows"), F.min("flow_id").alias("first_flow"), F.max("flow_id").alias("last_flow"))
+
+
 @query(f"WITH {_QUARTERS}, {_DIFF} SELECT source, target, change, attribute, previous, \"new\" FROM ev WHERE to_version = 3")
 def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = quarter_edges(spark, sf_dir)
@@ -634,6 +649,20 @@ def sweep_columns(f: DataFrame) -> DataFrame:
     return f.select("kind", "source", "target", "cuts", r6("connectivity_ratio").alias("connectivity_ratio"), r6("reachable_ratio").alias("reachable_ratio"), "stranded")
 
 
+@query(f"""WITH RECURSIVE {sql.CONTACT}, nd AS (SELECT DISTINCT a AS node FROM bw WHERE a <> 's1'), real AS (SELECT 'c' || o_custkey AS node FROM ln GROUP BY o_custkey HAVING count(DISTINCT l_suppkey) >= 2 UNION ALL SELECT 's' || s_suppkey FROM supplier UNION ALL SELECT DISTINCT 'n' || s_nationkey FROM supplier),
+r AS (SELECT node, node AS seen FROM nd UNION SELECT r.node, bw.b FROM r JOIN bw ON r.seen = bw.a WHERE bw.b <> 's1'), cp AS (SELECT node, min(seen) AS component FROM r GROUP BY node),
+per AS (SELECT component, count(*) AS n, count(real.node) AS inside, coalesce(min(CASE WHEN cp.node IN (SELECT b FROM bw WHERE a = 's1') THEN cp.node END), min(cp.node)) AS at_ FROM cp LEFT JOIN real ON real.node = cp.node GROUP BY component),
+main AS (SELECT component AS main, at_ AS to_, n - inside AS overlooked FROM per ORDER BY inside DESC, n DESC, component LIMIT 1)
+SELECT least(at_, to_) AS source, greatest(at_, to_) AS target, n AS size, overlooked FROM per, main WHERE component <> main AND inside = n""")
+def repair_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier 1 fails: customers with a second supplier stay connected in fact, where the contact graph may strand them."""
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    s = table(spark, sf_dir, "supplier")
+    named = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string")).alias("node")
+    real = line.groupBy("o_custkey").agg(F.count_distinct("l_suppkey").alias("n")).where("n >= 2").select(named("c", "o_custkey")).unionByName(s.select(named("s", "s_suppkey"))).unionByName(s.select(named("n", "s_nationkey")).distinct())
+    return graph.repair_bridges(adapters.contact_graph(spark, sf_dir), "s1", real)
+
+
 @query()
 def failure_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The failure of every node and every edge of the graph of all orders."""

@@ -255,7 +255,7 @@ def test_failure_sweep_against_searches(spark):
         [("a", "b")], [("a", "b"), ("b", "c"), ("c", "d")], [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "c"), ("x", "y"), ("y", "y"), ("b", "a")],
         [(f"n{rng.randint(0, 25):02}", f"n{rng.randint(0, 25):02}") for _ in range(30)], [(f"n{i}", f"n{i // 2}") for i in range(1, 20)] + [("n7", "n8"), ("n19", "n5")],
     ]
-    for k, pairs in enumerate(shapes):
+    for k, pairs in enumerate([shapes[0], [(f"{i}{a}", f"{i}{b}") for i, shape in enumerate(shapes) for a, b in shape]]):  # all shapes are components of one graph
         df = spark.createDataFrame(pairs, "source string, target string")
         got = {(r["kind"], r["source"], r["target"]): tuple(r)[3:] for r in biconnected.failure_sweep(df).collect()}
         want = brute_sweep(pairs)
@@ -420,3 +420,36 @@ def test_flows_of_changes(spark):
     changes = spark.createDataFrame([(1, "a", "b", "edge_added"), (2, "c", "a", "edge_added"), (2, "x", "y", "edge_removed")], "to_version long, source string, target string, change string")
     assert {(r["to_version"], r["source"], r["flow_id"]) for r in history.flows_of_changes(changes, flows_, snapshots).collect()} == {(1, "a", 2), (1, "a", 3), (2, "c", 6), (2, "x", None)}
     assert history.versions_of_flows(flows_, snapshots.limit(0)).count() == 0
+
+
+def reports(spark, rows):
+    """rows (collector, microseconds, destination)."""
+    kind = "capture_id string, packet_seq long, us long, collector string, src_ip string, dst_ip string, src_port int, dst_port int, protocol string, size_bytes long, tcp_flags string"
+    df = spark.createDataFrame([("c", i, T0 + us, who, "a", dst, None, 53, "UDP", 90, None) for i, (who, us, dst) in enumerate(rows)], kind)
+    return df.withColumn("ts", F.timestamp_micros("us")).drop("us")
+
+
+def brute_claims(rows, tolerance):
+    """One list of packets for each identity, searched as a whole for every report."""
+    known, kept = {}, []
+    for who, us, dst in sorted(rows, key=lambda r: (r[1], r[0])):
+        free = [e for e in known.setdefault(dst, []) if who not in e[1] and us - e[0] <= tolerance]
+        if free:
+            min(free, key=lambda e: us - e[0])[1].add(who)
+        else:
+            known[dst].append((us, {who}))
+            kept.append((us, dst))
+    return sorted(kept)
+
+
+def test_collectors_claim_the_nearest_packet(spark):
+    """x missed the first of two packets: the i-th of x isn't the i-th of y, and its report at 900 goes with y's at 880."""
+    rows = [("y", 0, "b"), ("y", 880, "b"), ("x", 900, "b"), ("x", 1300, "b")]
+    got = sorted((r["packet_seq"] for r in topology.dedupe_collectors(reports(spark, rows)).collect()))
+    assert got == [0, 1, 3]  # by order 900 would go with 0 and 1300 with 880, which leaves two packets
+    rng = random.Random(3)
+    many = [(rng.choice("xyz"), rng.randint(0, 30_000), rng.choice("bcd")) for _ in range(600)]
+    many = list(dict.fromkeys(many))
+    out = topology.dedupe_collectors(reports(spark, many).repartition(5)).collect()
+    assert sorted((int(r["ts"].timestamp() * 1e6 + 0.5) - T0, r["dst_ip"]) for r in out) == brute_claims(many, 1000)
+    assert topology.dedupe_collectors(reports(spark, rows).limit(0)).count() == 0

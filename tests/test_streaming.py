@@ -145,3 +145,18 @@ def test_destinations_and_late_flows(spark):
     a.ingest(batch(("a", "b", 2 * sec, 9_000), ("a", "b", 26 * sec, 1)), 2)  # the first is late
     a.flush()
     assert {(r["ip"], r["epoch"]) for r in a.alerts().where("epoch > 0").collect()} == {("quiet", 2)}
+
+
+def test_collector_claims_over_batches(spark, tmp_path):
+    """Reports in three files by time; pairs that a file's border parts are still claimed."""
+    rows = [("c", i, t * 100 + (400 if w == "x" else 0), w, "a", "b", None, 53, "UDP", 90, None) for i, (t, w) in enumerate((t, w) for t in range(0, 300, 7) for w in ("y", "x") if (t, w) != (70, "y"))]
+    kind = "capture_id string, packet_seq long, us long, collector string, src_ip string, dst_ip string, src_port int, dst_port int, protocol string, size_bytes long, tcp_flags string"
+    df = spark.createDataFrame(rows, kind).withColumn("ts", F.timestamp_micros(F.col("us") + 1_700_000_000_000_000)).drop("us").orderBy("ts")
+    cuts = [0, 29, 58, len(rows)]
+    ordered = df.collect()
+    for a, b in zip(cuts, cuts[1:]):
+        spark.createDataFrame(ordered[a:b], df.schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    s = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    got = engine.run_append(engine.collector_claims(s), "claims")
+    want = topology.dedupe_collectors(df)
+    assert got.count() == want.count() < len(rows) and {r["packet_seq"] for r in got.collect()} == {r["packet_seq"] for r in want.collect()}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,21 +127,59 @@ def quorum(resolutions: DataFrame, min_absent: int = 2) -> DataFrame:
     return resolutions.where(~((F.col("supporting") == 1) & (F.col("absent") >= min_absent)))
 
 
-def dedupe_collectors(packets: DataFrame, tolerance: float = 0.001) -> DataFrame:
-    """packets(collector, ...) with each packet that several collectors saw kept once.
+IDENTITY = ["capture_id", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "size_bytes", "tcp_flags"]
+
 
-    Packets of one identity within tolerance seconds of a kept one, from a collector that
-    hasn't reported that one yet, are the same packet: an ordered one-to-one claim. Only
-    bursts of an identity (gaps within tolerance) are folded together, never a whole key.
+def nearest_claim(held: list[tuple[int, set]], us: int, collector, tolerance_us: int) -> bool:  # noqa: ANN001
+    """Whether a report is of a packet that another collector has reported; held are the packets known, (time, collectors), and are brought up to date.
+
+    Of those within tolerance that this collector hasn't reported the nearest in time is
+    the one, the one known first among equals; without one the report is of a new packet.
     """
-    from pyspark.sql import Window
+    best = None
+    for entry in held:
+        gap = abs(entry[0] - us)
+        if collector not in entry[1] and gap <= tolerance_us and (best is None or gap < abs(best[0] - us)):
+            best = entry
+    if best is None:
+        held.append((us, {collector}))
+        return False
+    best[1].add(collector)
+    return True
+
 
-    identity = ["capture_id", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "size_bytes", "tcp_flags"]
-    p = packets.withColumn("us", micros(F.col("ts")))
-    w = Window.partitionBy(*identity).orderBy("us", "collector", "packet_seq")
+def identity_key() -> Column:
+    """The columns of IDENTITY as one text, nulls apart from empty values."""
+    return F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in IDENTITY])
+
+
+def dedupe_collectors(packets: DataFrame, tolerance: float = 0.001) -> DataFrame:
+    """packets(collector, ...) with each packet that several collectors saw kept once, as its first report.
+
+    Reports of one identity are taken by time, then collector and packet_seq; each claims the
+    nearest packet within tolerance seconds that its collector hasn't reported yet, see
+    nearest_claim(). A task goes through its identities as a sorted stream and keeps the
+    packets of the last tolerance seconds, however many reports an identity has. Null times
+    come first and are never near to any; a null collector is one of its own.
+    """
     limit = int(tolerance * 1_000_000)
-    p = p.withColumn("_burst", F.sum(F.coalesce((F.col("us") - F.lag("us").over(w) > limit).cast("int"), F.lit(0))).over(w))
-    # within a burst the i-th report of each collector is the same packet as the i-th of the others
-    p = p.withColumn("_nth", F.row_number().over(Window.partitionBy(*identity, "_burst", "collector").orderBy("us", "packet_seq")))
-    first = F.row_number().over(Window.partitionBy(*identity, "_burst", "_nth").orderBy("us", "collector", "packet_seq"))
-    return p.withColumn("_first", first).where("_first = 1").select(*packets.columns)
+    columns = packets.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            keep = []
+            for key, us, collector in zip(*(batch.column(c).to_pylist() for c in ("_key", "_us", "_who"))):
+                if key != now:
+                    now, held = key, []
+                if us is None:
+                    keep.append(True)
+                    continue
+                held = [e for e in held if us - e[0] <= limit]
+                keep.append(not nearest_claim(held, us, collector, limit))
+            out = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([out.column(f"_{i}") for i in range(len(columns))], names=columns)
+
+    rows = packets.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(columns)], identity_key().alias("_key"), micros(F.col("ts")).alias("_us"), F.col("collector").cast("string").alias("_who"), F.col("packet_seq").alias("_seq"))
+    ordered = rows.repartition("_key").sortWithinPartitions("_key", "_us", F.col("_who"), "_seq")
+    return ordered.mapInArrow(run, packets.schema)

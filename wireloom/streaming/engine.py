@@ -120,6 +120,35 @@ def batch_transitions(rows: DataFrame, low: float, high: float) -> DataFrame:
     return s.select("rule", "scope", "us", F.when(F.col("_s"), "fired").otherwise("resolved").alias("state"), "value")
 
 
+def collector_claims(stream: DataFrame, tolerance: float = 0.001, late: str = "10 seconds") -> DataFrame:
+    """topology.dedupe_collectors() of a stream: reports claim packets that are known by then, in order of arrival.
+
+    The reports of one micro-batch are taken by time. An identity's packets stay in its state
+    for tolerance and late after its last report, late being how far reports may come out of
+    order; then the state goes away.
+    """
+    limit, columns = int(tolerance * 1_000_000), stream.columns
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+        if state.hasTimedOut:
+            state.remove()
+            return
+        us, who = state.get if state.exists else ([], [])
+        held = [(t, set(w.split("\x1f"))) for t, w in zip(us, who)]
+        rows = pd.concat(list(frames))
+        rows = rows.assign(_us=rows["ts"].astype("int64") // (1000 if rows["ts"].dtype.str.endswith("[ns]") else 1), _who=rows["collector"].astype(str)).sort_values(["_us", "_who", "packet_seq"])
+        keep = [not topology.nearest_claim(held, int(t), w, limit) for t, w in zip(rows["_us"], rows["_who"])]
+        newest = max(t for t, _ in held)
+        floor = max(state.getCurrentWatermarkMs() * 1000, 0) - limit
+        held = [e for e in held if e[0] >= floor] or held[-1:]
+        state.update(([t for t, _ in held], ["\x1f".join(sorted(w)) for _, w in held]))
+        state.setTimeoutTimestamp(max(newest // 1000 + int(tolerance * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        yield rows.loc[keep, columns]
+
+    keyed = stream.withWatermark("ts", late).withColumn("_key", topology.identity_key())
+    return keyed.groupBy("_key").applyInPandasWithState(run, stream.schema, "us array<long>, who array<string>", "append", "EventTimeTimeout")
+
+
 class IncrementalFlows:
     """Flows kept up to date with arriving packets: a batch re-derives the keys it touches, and nothing else.
 

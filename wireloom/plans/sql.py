@@ -56,5 +56,5 @@ bw AS (SELECT source AS a, target AS b, confidence FROM e UNION ALL SELECT targe
 WHOLE = SPARSE.replace(" WHERE o_totalprice > 490000.0", "")
 
 CONTACT = """ln AS (SELECT o_custkey, l_suppkey, l_orderkey * 10 + l_linenumber AS pos FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-e AS (SELECT DISTINCT 'c' || o_custkey AS source, 's' || s AS target FROM (SELECT o_custkey, unnest([arg_min(l_suppkey, pos), arg_max(l_suppkey, pos)]) AS s FROM ln GROUP BY o_custkey) UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier),
+e AS (SELECT DISTINCT 'c' || o_custkey AS source, 's' || s AS target FROM (SELECT o_custkey, unnest([min({'p': pos, 's': l_suppkey}).s, max({'p': pos, 's': l_suppkey}).s]) AS s FROM ln GROUP BY o_custkey) UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier),
 bw AS (SELECT source AS a, target AS b FROM e UNION ALL SELECT target, source FROM e)"""

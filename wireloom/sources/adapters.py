@@ -83,7 +83,7 @@ def contact_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each customer with the suppliers of its first and its last line item, and each supplier with its nation: a graph with cut nodes, bridges and cycles, from all rows."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey").join(o, "l_orderkey").withColumn("_at", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    ends = line.groupBy("o_custkey").agg(F.array(F.min_by("l_suppkey", "_at"), F.max_by("l_suppkey", "_at")).alias("_s"))
+    ends = line.groupBy("o_custkey").agg(F.array(*[f(F.struct("_at", "l_suppkey"))["l_suppkey"] for f in (F.min, F.max)]).alias("_s"))
     customers = ends.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("source"), F.explode(F.array_distinct("_s")).alias("_t")).select("source", F.concat(F.lit("s"), F.col("_t").cast("string")).alias("target"), F.lit(0.6).alias("confidence"))
     suppliers = table(spark, sf_dir, "supplier").select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("source"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("target"), F.lit(0.9).alias("confidence"))
     return customers.unionByName(suppliers)

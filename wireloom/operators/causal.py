@@ -1,21 +1,23 @@
 """Causal discovery on lagged series: sums of products from Spark, partial correlations from their inverses.
 
 A variable is a node's series, some buckets back. No series is ever put together: sums of
-products of two variables come from a join on the bucket and an aggregate, so a node with
-a long or dense series is a key of a join, which Spark splits. What a test needs of a
-candidate is a few correlations with its strongest rivals, a row of fixed size.
+products of two nodes come from a join on the bucket and an aggregate, for all lags of a
+pair at once. Of a pair, the node that meets fewer others gives the rows, and the other
+is looked up, so a node that all others meet sends its series once and not to each of them.
+What a test needs of a candidate is a few correlations with its strongest rivals, a row of
+fixed size.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, product
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wireloom.functions.expressions import SECOND
@@ -41,6 +43,16 @@ def least_correlation(n: int, alpha: float) -> float:
     return math.tanh(NormalDist().inv_cdf(1 - alpha / 2) / math.sqrt(n - 3)) if n > 3 else 2.0
 
 
+def led(pairs: DataFrame) -> DataFrame:
+    """(a, b): pairs of two nodes once each, the one that meets fewer others first. Rows of the first ends then come to few for each node where some nodes meet all others."""
+    both = pairs.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    met = both.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("met"))
+    for end in ("u", "v"):
+        both = both.join(met.select(F.col("node").alias(end), F.col("met").alias(f"_{end}")), end)
+    first = F.col("_u") <= F.col("_v")
+    return both.select(F.when(first, F.col("u")).otherwise(F.col("v")).alias("a"), F.when(first, F.col("v")).otherwise(F.col("u")).alias("b"))
+
+
 class Lagged:
     """The variables of series(node, bucket, n), lags 0 to max_lag, over the buckets in which all lags are known.
 
@@ -50,22 +62,50 @@ class Lagged:
 
     def __init__(self, series: DataFrame, max_lag: int) -> None:
         own = series.where("node is not null and bucket is not null").groupBy("node", "bucket").agg(F.sum("n").cast("double").alias("n"))
-        own = cut(own, "series")
-        first, last = own.agg(F.min("bucket"), F.max("bucket")).first()
-        self.samples = 0 if first is None else max(0, int(last - first) + 1 - max_lag)
-        lags = own.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(max_lag)))).withColumn("bucket", F.col("bucket") + F.col("lag"))
-        self.rows = lags.where(F.col("bucket").between((first or 0) + max_lag, last or 0) & (F.col("n") != 0)).select("node", "lag", "bucket", "n")
-        self.sums = cut(self.rows.groupBy("node", "lag").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("ss")), "sums")
-
-    def correlations(self, pairs: DataFrame) -> DataFrame:
-        """pairs(a, i, b, j) with r, the correlation of node a's variable at lag i and node b's at lag j; without those where one is constant."""
-        x = self.rows.select(F.col("node").alias("a"), F.col("lag").alias("i"), "bucket", F.col("n").alias("x"))
-        y = self.rows.select(F.col("node").alias("b"), F.col("lag").alias("j"), "bucket", F.col("n").alias("y"))
-        pairs = pairs.distinct()
-        products = pairs.join(x, ["a", "i"]).join(y, ["b", "j", "bucket"]).groupBy("a", "i", "b", "j").agg(F.sum(F.col("x") * F.col("y")).alias("xy"))
+        self.own = cut(own, "series")
+        self.first, self.last = self.own.agg(F.min("bucket"), F.max("bucket")).first()
+        self.max_lag = max_lag
+        self.samples = 0 if self.first is None else max(0, int(self.last - self.first) + 1 - max_lag)
+        every = self.own.select("node", *[F.when(self._within(F.col("bucket") + k), F.col("n")).alias(f"n{k}") for k in range(max_lag + 1)])
+        sums = every.groupBy("node").agg(*[f(k) for k in range(max_lag + 1) for f in (lambda k: F.sum(f"n{k}").alias(f"s{k}"), lambda k: F.sum(F.col(f"n{k}") * F.col(f"n{k}")).alias(f"ss{k}"))])
+        self.sums = cut(sums, "sums")
+
+    def _within(self, bucket: Column) -> Column:
+        """Whether a bucket is one in which all lags are known."""
+        return bucket.between((self.first or 0) + self.max_lag, self.last or 0)
+
+    def _summed(self, rows: DataFrame, near: dict[int, Column], cells: list[tuple[int, int]]) -> DataFrame:
+        """(a, b, sums) of rows(a, b, bucket, n): the sum of a's variable at lag i times b's at lag j, for each of cells (i, j). near gives b's n some buckets on."""
+        sums = [F.sum(F.when(self._within(F.col("bucket") + i), F.col("n") * near[i - j])).alias(f"_{k}") for k, (i, j) in enumerate(cells)]
+        return rows.groupBy("a", "b").agg(*sums).select("a", "b", F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"_{k}").alias("xy")) for k, (i, j) in enumerate(cells)]).alias("sums"))
+
+    def _products(self, pairs: DataFrame, cells: list[tuple[int, int]]) -> DataFrame:
+        """(a, i, b, j, xy) for distinct pairs(a, b): both ways round where both are pairs, or one is turned."""
+        away = range(-self.max_lag, self.max_lag + 1)
+        alone = pairs.where("a = b").select(F.col("a").alias("node")).distinct()
+        on = Window.partitionBy("node").orderBy("bucket")
+        beside = self.own.join(alone, "node", "left_semi").select(F.col("node").alias("a"), F.col("node").alias("b"), "bucket", "n", *[F.sum("n").over(on.rangeBetween(d, d)).alias(f"w{d + self.max_lag}") for d in away])
+        near = {d: F.col(f"w{d + self.max_lag}") for d in away}
+        both = cut(led(pairs), "pairs")
+        followers = self.own.join(both.select(F.col("b").alias("node")).distinct(), "node", "left_semi")
+        shifted = followers.select(F.col("node").alias("b"), "bucket", "n", F.explode(F.array(*map(F.lit, away))).alias("d")).withColumn("bucket", F.col("bucket") - F.col("d"))
+        windows = cut(shifted.groupBy("b", "bucket").agg(*[F.sum(F.when(F.col("d") == d, F.col("n"))).alias(f"w{d + self.max_lag}") for d in away]), "windows")
+        rows = both.join(self.own.withColumnRenamed("node", "a"), "a").join(windows, ["b", "bucket"])
+        wide = sorted({(j, i) for i, j in cells} | set(cells))
+        sums = self._summed(rows, near, wide)
+        turned = sums.select(F.col("b").alias("a"), F.col("a").alias("b"), F.transform("sums", lambda x: F.struct(x["j"].alias("i"), x["i"].alias("j"), x["xy"].alias("xy"))).alias("sums"))
+        out = sums.unionByName(turned).unionByName(self._summed(beside, near, cells))
+        return out.select("a", "b", F.inline("sums")).where("xy is not null")
+
+    def correlations(self, pairs: DataFrame, cells: list[tuple[int, int]]) -> DataFrame:
+        """pairs(a, i, b, j) with r, the correlation of node a's variable at lag i and node b's at lag j; without those where one is constant. All (i, j) are of cells."""
+        pairs = cut(pairs.where("a is not null and b is not null").distinct(), "asked")
+        products = self._products(pairs.select("a", "b").distinct(), cells)
         found = pairs.join(products, ["a", "i", "b", "j"], "left")
+        lags = F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"s{k}").alias("s"), F.col(f"ss{k}").alias("ss")) for k in range(self.max_lag + 1)]))
+        one = self.sums.select("node", lags.alias("x")).where("x.ss > 0")
         for node, lag, s in (("a", "i", "x"), ("b", "j", "y")):
-            found = found.join(self.sums.select(F.col("node").alias(node), F.col("lag").alias(lag), F.col("s").alias(f"{s}1"), F.col("ss").alias(f"{s}2")), [node, lag])
+            found = found.join(one.select(F.col("node").alias(node), F.col("x.lag").alias(lag), F.col("x.s").alias(f"{s}1"), F.col("x.ss").alias(f"{s}2")), [node, lag])
         n = F.lit(float(self.samples))
         spread = (n * F.col("x2") - F.col("x1") * F.col("x1")) * (n * F.col("y2") - F.col("y1") * F.col("y1"))
         r = (n * F.coalesce("xy", F.lit(0.0)) - F.col("x1") * F.col("y1")) / F.sqrt(spread)
@@ -79,7 +119,7 @@ def lagged_correlations(series: DataFrame, pairs: DataFrame, max_lag: int = MAX_
 
 def _screen(lagged: Lagged, pairs: DataFrame, max_lag: int) -> DataFrame:
     lags = pairs.select(F.col("source").alias("a"), F.explode(F.sequence(F.lit(1), F.lit(max_lag))).alias("i"), F.col("target").alias("b"), F.lit(0).alias("j"))
-    return lagged.correlations(lags).select(F.col("a").alias("source"), F.col("b").alias("target"), F.col("i").alias("lag"), "r")
+    return lagged.correlations(lags, [(k, 0) for k in range(1, max_lag + 1)]).select(F.col("a").alias("source"), F.col("b").alias("target"), F.col("i").alias("lag"), "r")
 
 
 def conditional(r: np.ndarray) -> float | None:
@@ -130,7 +170,8 @@ def _round(lagged: Lagged, state: DataFrame, size: int | None, alpha: float) ->
     top = cut(top.select("target", F.col("source").alias("z"), F.col("lag").alias("zlag"), F.col("r0").alias("z0"), "place"), "rivals")
     met = state.join(top, "target").where("source <> z or lag <> zlag")
     pairs = met.select(F.col("source").alias("a"), F.col("lag").alias("i"), F.col("z").alias("b"), F.col("zlag").alias("j"))
-    known = cut(lagged.correlations(pairs), "correlations")
+    cells = list(product(range(1, lagged.max_lag + 1), repeat=2))
+    known = cut(lagged.correlations(pairs, cells), "correlations")
     met = met.join(known.select(F.col("a").alias("source"), F.col("i").alias("lag"), F.col("b").alias("z"), F.col("j").alias("zlag"), F.col("r").alias("rz")), ["source", "lag", "z", "zlag"])
     rivals = met.groupBy(*VARIABLE).agg(F.slice(F.array_sort(F.collect_list(F.struct("place", F.col("rz").alias("r"), F.col("z0").alias("r0")))), 1, MAX_RIVALS).alias("rivals"))
     one = top.select("target", F.col("z").alias("a"), F.col("zlag").alias("i"), F.col("place").alias("p"))

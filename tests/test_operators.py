@@ -322,6 +322,21 @@ def test_causal_discovery(spark):
     assert causal.discover(df.limit(0), who).count() == 0 and causal.discover(df.where("bucket < 5"), who).count() == 0 and causal.discover(df, who.limit(0)).count() == 0
 
 
+def test_lagged_sums_by_the_node_that_meets_fewer(spark):
+    """A hub that all nodes meet is looked up and never sent to each of them, whichever way round the pairs are."""
+    rng = np.random.default_rng(3)
+    x = {k: rng.integers(0, 4, 40) for k in ["hub", *(f"n{i}" for i in range(12))]}
+    for v in x.values():
+        v[[0, -1]] = 1  # the first and the last bucket
+    pairs = [(k, "hub") for k in x] + [("hub", k) for k in x if k < "n5"]
+    df = spark.createDataFrame([(k, i, int(v)) for k, s in x.items() for i, v in enumerate(s)], "node string, bucket long, n long")
+    who = spark.createDataFrame(pairs, "source string, target string")
+    assert {tuple(r) for r in causal.led(who.toDF("a", "b")).collect()} == {(k, "hub") for k in x if k != "hub"}
+    got = {(r["source"], r["target"], r["lag"]): r["r"] for r in causal.lagged_correlations(df, who, 3).collect()}
+    want = {(a, b, k): np.corrcoef(x[a][3 - k : 40 - k], x[b][3:])[0, 1] for a, b in pairs for k in (1, 2, 3)}
+    assert got == pytest.approx(want, abs=1e-9)
+
+
 def test_paired_widths_and_sampling_stability(spark):
     """Three units with both ends (one tie), one without; a sample with a pair that the whole doesn't have; no pairs at all."""
     rows = [("g", u, lv, v) for u, lv, v in [(1, 0, 5.0), (1, 2, 1.0), (2, 0, 3.0), (2, 2, 3.0), (3, 0, 9.0), (3, 1, 0.0), (3, 2, 2.0), (4, 1, 7.0)]]

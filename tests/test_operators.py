@@ -1,5 +1,6 @@
 """Hand-computed cases, and graph algorithms against plain Python."""
 
+import collections
 import itertools
 import math
 import random
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wireloom.operators import behavior, biconnected, causal, dependency, flows, generate, graph, history, metrics, roles, topology
+from wireloom.operators import behavior, biconnected, causal, dependency, flows, generate, graph, history, metrics, outcomes, roles, topology
 
 T0 = 1_767_225_600_000_000
 PACKET = "capture_id string, packet_seq long, us long, src_ip string, dst_ip string, src_port int, dst_port int, protocol string, size_bytes long, tcp_flags string"
@@ -265,6 +266,47 @@ def test_failure_sweep_against_searches(spark):
     assert biconnected.failure_sweep(df.limit(0)).count() == 0
 
 
+def test_components_after_failures_without_a_search_each(spark, monkeypatch):
+    """Failed nodes' components, sizes and indicators against searches; the graph is searched as a whole and not once for each of them."""
+    rng = random.Random(9)
+    pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "c"), ("e", "f"), ("x", "y"), ("y", "y"), ("b", "a"), ("loop", "loop"), ("q", "r"), ("q", "s"), ("q", "t")]
+    pairs += [(f"m{rng.randint(0, 40):02}", f"m{rng.randint(0, 40):02}") for _ in range(45)] + [(f"t{i}", f"t{i // 2}") for i in range(1, 20)] + [("t7", "t8"), ("t19", "t5")]
+    nodes = sorted({x for p in pairs for x in p})
+
+    def parts(failed):
+        name = {n: n for n in nodes if n != failed}
+        for _ in nodes:
+            for a, b in pairs:
+                if failed not in (a, b):
+                    name[a] = name[b] = min(name[a], name[b])
+        return name
+
+    df, who = spark.createDataFrame(pairs, "source string, target string"), spark.createDataFrame([(n,) for n in [*nodes, "none"]], "failed string")
+    searched = []
+    real = biconnected.connected_components
+    monkeypatch.setattr(graph, "connected_components", lambda e: pytest.fail("a search of all scenarios"))
+    monkeypatch.setattr(biconnected, "connected_components", lambda e: searched.append(e) or real(e))
+    got = {(r["failed"], r["node"]): (r["component"], r["size"]) for r in graph.failed_components(df, who).collect()}
+    assert len(searched) == 2  # the forest and its blocks
+    once = biconnected.Failures(df, who)
+    monkeypatch.setattr(biconnected, "Failures", lambda *_: once)
+    far = {tuple(r) for r in graph.newly_unreachable(df, who).collect()}
+    res = {r["failed"]: tuple(r)[1:] for r in graph.resilience(df, who).collect()}
+    out = {r["failed"]: tuple(r)[1:] for r in outcomes.failure_outcomes(df, who).collect()}
+    before = len(set(parts(None).values()))
+    want, lost = {}, set()
+    for f in [*nodes, "none"]:
+        name = parts(f)
+        size = collections.Counter(name.values())
+        want |= {(f, n): (c, size[c]) for n, c in name.items()}
+        best = min(size, key=lambda c: (-size[c], c))
+        lost |= {(f, n) for n, c in name.items() if c != best}
+        stranded = len(name) - size[best]
+        assert res[f] == pytest.approx((size[best] / len(nodes), sum(size[c] >= 2 for c in name.values()) / len(nodes), stranded)), f
+        assert out[f] == pytest.approx((stranded, stranded / len(nodes), len(size) > before)), f
+    assert got == want and far == lost and set(res) == set(out) == {*nodes, "none"}
+
+
 def brute_parents(series, target, sources, lag, alpha):
     """Tests by the inverse of whole covariance matrices, over arrays of one target."""
     n = min(map(len, series.values()))

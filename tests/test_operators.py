@@ -307,6 +307,18 @@ def test_components_after_failures_without_a_search_each(spark, monkeypatch):
     assert got == want and far == lost and set(res) == set(out) == {*nodes, "none"}
 
 
+def test_distances_of_many_starts(spark):
+    """Starts share rows, 64 to one; hops() says the same."""
+    rng = random.Random(2)
+    pairs = [(f"n{rng.randint(0, 60):02}", f"n{rng.randint(0, 60):02}") for _ in range(70)] + [("z", f"z{i}") for i in range(12)]
+    df = spark.createDataFrame([(a, b, 0.5) for a, b in pairs], "source string, target string, confidence double")
+    starts = spark.createDataFrame([(x,) for x in sorted({x for p in pairs for x in p})] + [("none",)], "start string")
+    assert starts.count() > 64
+    for depth in (3, None):
+        got = sorted(tuple(r) for r in graph.distances(df, starts, depth).collect())
+        assert got == sorted(tuple(r)[:3] for r in graph.hops(df, starts, depth).collect())
+
+
 def brute_parents(series, target, sources, lag, alpha):
     """Tests by the inverse of whole covariance matrices, over arrays of one target."""
     n = min(map(len, series.values()))

@@ -91,8 +91,7 @@ class IncrementalDependencies:
         )
         edges = cut(edges.withColumn("confidence", topology.confidence()), "edges")
         nodes = edges.select(F.explode(F.array("source", "target")).alias("node")).distinct()
-        times = self.times.read(nodes, number).groupBy("node", "us").agg(F.sum("n").alias("n")).where("n > 0")
-        times = times.select("node", "us", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("node", "us")
+        times = self.times.read(nodes, number).groupBy("node", "us").agg(F.sum("n").alias("w")).where("w > 0")
         found = dependency.dependency_strength(edges, dependency.temporal_precedence(edges, cut(times, "times"), self.seconds, self.max_lag))
         return dirty.join(found, PAIR, "left")
 

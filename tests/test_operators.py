@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wireloom.operators import behavior, biconnected, causal, dependency, flows, generate, graph, history, metrics, outcomes, roles, topology
+from wireloom.operators import behavior, biconnected, causal, dependency, flows, generate, graph, history, learned, metrics, outcomes, roles, topology
 
 T0 = 1_767_225_600_000_000
 PACKET = "capture_id string, packet_seq long, us long, src_ip string, dst_ip string, src_port int, dst_port int, protocol string, size_bytes long, tcp_flags string"
@@ -522,3 +522,47 @@ def test_collectors_claim_the_nearest_packet(spark):
     out = topology.dedupe_collectors(reports(spark, many).repartition(5)).collect()
     assert sorted((int(r["ts"].timestamp() * 1e6 + 0.5) - T0, r["dst_ip"]) for r in out) == brute_claims(many, 1000)
     assert topology.dedupe_collectors(reports(spark, rows).limit(0)).count() == 0
+
+
+def test_pair_features_against_sets(spark):
+    """Hubs of both sizes, triangles and a node that is its own neighbour; no path over a hub is made: links go up in degree."""
+    edges = sorted({(f"n{i}", f"n{(i * i + 3 * k) % 23}") for i in range(40) for k in (1, 2, 5)} | {("hub", f"n{i}") for i in range(30)} | {("n1", "n2"), ("n2", "n3"), ("n1", "n3")})
+    seen, rows = set(), []
+    for a, b in edges:
+        if (b, a) not in seen:
+            seen.add((a, b))
+            rows.append((a, b, 3, 0.5, a + b))
+    near = {}
+    for a, b in seen:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    df = spark.createDataFrame(rows, "source string, target string, observation_count long, bidirectional double, tag string")
+    got = learned.pair_features(df).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        a, b = r["source"], r["target"]
+        assert r["tag"] == a + b and r["log_degree_a"] == pytest.approx(math.log1p(len(near[a]))) and r["common"] == pytest.approx(math.log1p(len(near[a] & near[b]))), (a, b)
+        assert r["near_b"] == pytest.approx(sum(math.log1p(len(near[x])) for x in near[b]) / len(near[b]))
+
+
+def test_temporal_precedence_of_hubs_against_rows(spark, monkeypatch):
+    """Both ends lead, series of different lengths, times dealt out over several keys, and times with a weight."""
+    monkeypatch.setattr(dependency, "DEALT", 40)
+    rng, width = random.Random(5), 10_000_000
+    times = [(f"u{i}", T0 + rng.randrange(40 + 20 * i) * 3_000_000) for i in range(7) for _ in range(12)] + [(h, T0 + rng.randrange(30) * 7_000_000) for h in ("a", "z") for _ in range(60)]
+    pairs = [(h, f"u{i}") if h < "u" else (f"u{i}", h) for i in range(7) for h in ("a", "z")] + [("a", "z")]
+    per = collections.defaultdict(list)
+    for node, us in times:
+        per[node].append(us)
+    want = {}
+    for s, t in pairs:
+        start = min(per[s] + per[t])
+        size = (max(per[s] + per[t]) - start) // width + 1
+        x, y = (np.bincount([(us - start) // width for us in per[k]], minlength=size).astype(float) for k in (s, t))
+        r = [np.corrcoef(x[: size - k], y[k:])[0, 1] if size - k >= 2 and x[: size - k].std() > 0 and y[k:].std() > 0 else 0.0 for k in range(6)]
+        want[s, t] = min(1.0, max(r[1:])) if max(r[1:]) > max(r[0], 0) else 0.0
+    p = spark.createDataFrame(pairs, "source string, target string")
+    df = spark.createDataFrame(times, "node string, us long")
+    for rows in (df, df.groupBy("node", "us").agg(F.count(F.lit(1)).alias("w"))):
+        got = {(r["source"], r["target"]): r["precedence"] for r in dependency.temporal_precedence(p, rows).collect()}
+        assert got == pytest.approx(want) and len({*got.values()}) > 5

@@ -11,15 +11,42 @@ from wireloom.session import cut
 PAIR_FEATURES = ["one", "log_degree_a", "log_degree_b", "near_a", "near_b", "common", "log_observations", "bidirectional"]
 
 
+def triangles(links: DataFrame) -> DataFrame:
+    """(lo, hi, n): the common neighbours of pairs that have any, from links(a, b, da, db) of a graph, a row for each link, with both ends' degrees.
+
+    Links go from the end with fewer neighbours to the other, so a hub has few links of its
+    own; those to a node without any can't close a triangle and are left out first.
+    """
+    mine, other = F.struct(F.col("da").alias("d"), F.col("a").alias("node")), F.struct(F.col("db").alias("d"), F.col("b").alias("node"))
+    first = mine < other
+    out = links.where("a <> b").select(F.when(first, mine).otherwise(other).alias("u"), F.when(first, other).otherwise(mine).alias("v"))
+    out = cut(out.select(F.col("u.node").alias("u"), F.col("v.node").alias("v"), F.col("v.d").alias("dv")).distinct(), "links")
+    near = out.join(out.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
+    wedges = near.join(out.select("u", F.col("v").alias("w"), F.col("dv").alias("dw")), "u").where("dv < dw or (dv = dw and v < w)").select("u", "v", "w")
+    found = wedges.join(out.select(F.col("u").alias("v"), F.col("v").alias("w")), ["v", "w"])
+    sides = F.explode(F.array(*[F.struct(F.least(x, y).alias("lo"), F.greatest(x, y).alias("hi")) for x, y in (("u", "v"), ("u", "w"), ("v", "w"))]))
+    return found.select(sides.alias("s")).groupBy("s.lo", "s.hi").agg(F.count(F.lit(1)).alias("n"))
+
+
 def pair_features(edges: DataFrame) -> DataFrame:
-    """Features of every observed edge(source, target, observation_count, bidirectional): degrees, the mean degree of neighbours (one step of message passing, as a join), shared neighbours."""
-    both = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).unionByName(edges.select(F.col("target").alias("a"), F.col("source").alias("b"))).distinct()
-    degree = both.groupBy("a").agg(F.log1p(F.count(F.lit(1))).alias("deg"))
-    near = both.join(degree.toDF("b", "_d"), "b").groupBy("a").agg(F.avg("_d").alias("near"))
-    node = cut(degree.join(near, "a"), "nodes")
-    e = edges.select("source", "target", F.log1p("observation_count").alias("log_observations"), "bidirectional")
-    shared = e.select("source", "target").join(both.select(F.col("a").alias("source"), F.col("b").alias("_m")), "source").join(both.select(F.col("a").alias("target"), F.col("b").alias("_m")), ["target", "_m"]).groupBy("source", "target").agg(F.log1p(F.count(F.lit(1))).alias("common"))
-    e = e.join(node.toDF("source", "log_degree_a", "near_a"), "source").join(node.toDF("target", "log_degree_b", "near_b"), "target").join(shared, ["source", "target"], "left")
+    """Features of every observed edge(source, target, observation_count, bidirectional): degrees, the mean degree of neighbours (one step of message passing), shared neighbours. Other columns stay.
+
+    The mean over a node's neighbours is taken where their degrees are known, as every link
+    stands in both directions. A node that is its own neighbour is one of its neighbours' too.
+    """
+    both = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).unionByName(edges.select(F.col("target").alias("a"), F.col("source").alias("b")))
+    both = both.where("a is not null").repartition("a").distinct()
+    both = cut(both.withColumn("d", F.log1p(F.count(F.lit(1)).over(Window.partitionBy("a")))), "links")
+    node = both.groupBy(F.col("b").alias("node")).agg(F.avg("d").alias("near")).join(both.groupBy(F.col("a").alias("node")).agg(F.max("d").alias("deg")), "node").select("node", "deg", "near")
+    rest = [c for c in edges.columns if c not in ("source", "target", "observation_count", "bidirectional")]
+    e = edges.select("source", "target", F.log1p("observation_count").alias("log_observations"), "bidirectional", *rest)
+    node = cut(node, "nodes")
+    e = cut(e.join(node.toDF("source", "log_degree_a", "near_a"), "source").join(node.toDF("target", "log_degree_b", "near_b"), "target"), "features")
+    shared = triangles(e.select(F.col("source").alias("a"), F.col("target").alias("b"), F.col("log_degree_a").alias("da"), F.col("log_degree_b").alias("db")))
+    loops = both.join(both.where("a = b").select("a"), "a").where("b is not null")
+    beside = loops.select(F.explode(F.array_compact(F.array(F.struct(F.col("a").alias("lo"), F.col("a").alias("hi")), F.when(F.col("a") != F.col("b"), F.struct(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")))))).alias("s"))
+    shared = shared.unionByName(beside.groupBy("s.lo", "s.hi").agg(F.count(F.lit(1)).alias("n"))).groupBy("lo", "hi").agg(F.log1p(F.sum("n")).alias("common"))
+    e = e.withColumn("lo", F.least("source", "target")).withColumn("hi", F.greatest("source", "target")).join(shared, ["lo", "hi"], "left").drop("lo", "hi")
     return e.withColumn("common", F.coalesce("common", F.lit(0.0))).withColumn("one", F.lit(1.0))
 
 
@@ -31,7 +58,7 @@ def _dot(weights: list[float], names: list[str]) -> Column:
 
 
 def fit_logistic(rows: DataFrame, features: list[str], label: str, steps: int = 8, ridge: float = 1e-2) -> list[float]:
-    """Weights by Newton steps: each is one aggregate of gradient and curvature sums, so only features squared numbers reach the driver."""
+    """Weights by Newton steps: each is one aggregate of gradient and curvature sums, so only features squared numbers reach the driver. rows are read once a step, so they should be a table."""
     w = np.zeros(len(features))
     for _ in range(steps):
         p = 1 / (1 + F.exp(-_dot(w.tolist(), features)))

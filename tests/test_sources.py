@@ -3,6 +3,7 @@
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from wireloom.operators import flows
 from wireloom.sources import capture, store
@@ -72,3 +73,14 @@ def test_versioned_store(spark, tmp_path):
     assert store.read_jsonl(spark, f"{path}/j", "id long, t string").count() == 10
     spans = spark.createDataFrame([("a", "t", "1", None, {"k": "v"}), ("b", "t", "2", "1", {}), ("b", "u", "3", "1", {})], "name string, trace_id string, span_id string, parent_id string, attributes map<string,string>")
     assert store.spans(spans, "a", k="v").count() == 1 and store.children(spans, store.spans(spans, "a")).count() == 1
+
+
+def test_counts_of_expanded_packets(spark):
+    """Records that share a start and a spacing, of any lengths, and some without packets or octets."""
+    rows = [("c", i, "a", "b", 1, 2, "UDP", p, o, s, s + span) for i, (p, o, s, span) in enumerate([(1, 10, 0, 0), (0, 7, 0, 0), (None, 3, 5, 9), (4, 43, 0, 3), (4, 43, 0, 3), (4, 41, 0, 3), (7, 75, 0, 6), (3, 30, 0, 2), (3, 30, 1, 100), (5, 3, 2, 7), (6, None, 0, 5), (2, 9, 0, 1)])]
+    df = spark.createDataFrame(rows, "capture_id string, record_id int, src_ip string, dst_ip string, src_port int, dst_port int, protocol string, packets long, octets long, start_us long, end_us long")
+    want = sorted(map(tuple, flows.expand_records(df).groupBy(F.unix_micros("ts").alias("at"), "size_bytes").count().collect()), key=str)
+    assert sorted(map(tuple, flows.expanded_counts(df).collect()), key=str) == want
+    # a packet's place stands for all records that go on after it: 60 equal records make no more rows than one
+    many = spark.createDataFrame([("c", i, "a", "b", 1, 2, "UDP", 9, 95, 0, 8) for i in range(60)], df.schema)
+    assert {r["n"] for r in flows.expanded_counts(many).collect()} == {60}

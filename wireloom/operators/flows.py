@@ -159,6 +159,26 @@ def expand_records(records: DataFrame) -> DataFrame:
     )
 
 
+def expanded_counts(records: DataFrame) -> DataFrame:
+    """(at_us, size_bytes, n): how many packets of expand_records(records) have a time and a size, without making them one by one.
+
+    All packets of a record but the last have one size. Records of one start, spacing and size
+    go together: the packet at a place stands for all of them that have a later one.
+    """
+    n = F.greatest(F.coalesce(F.col("packets"), F.lit(0)), F.lit(1)).cast("long")
+    r = records.select("start_us", "end_us", "octets", n.alias("_n"))
+    step = F.when(F.col("_n") > 1, (F.col("end_us") - F.col("start_us")) / (F.col("_n") - 1)).otherwise(0.0)
+    share = F.floor(F.col("octets") / F.col("_n"))
+    r = r.withColumn("_step", step).withColumn("_share", share).withColumn("_last", (F.col("octets") - share * (F.col("_n") - 1)).cast("long"))
+    at = lambda k: (F.col("start_us") + F.round(F.col("_step") * k)).cast("long").alias("at_us")
+    last = r.select(at(F.col("_n") - 1), F.col("_last").alias("size_bytes"), F.lit(1).cast("long").alias("n"))
+    cells = r.where("_n > 1").groupBy("start_us", "_step", F.col("_share").cast("long").alias("size_bytes"), "_n").agg(F.count(F.lit(1)).alias("_w"))
+    w = Window.partitionBy("start_us", "_step", "size_bytes").orderBy("_n")
+    cells = cells.withColumn("_from", F.coalesce(F.lag("_n").over(w) - 1, F.lit(0))).withColumn("n", F.sum("_w").over(w.rowsBetween(0, Window.unboundedFollowing)))
+    body = cells.withColumn("_k", F.explode(F.sequence(F.col("_from"), F.col("_n") - 2))).select(at(F.col("_k")), "size_bytes", "n")
+    return body.unionByName(last).groupBy("at_us", "size_bytes").agg(F.sum("n").alias("n"))
+
+
 def export_records(packets: DataFrame, inactive: float = 15.0, active: float = 1800.0) -> DataFrame:
     """Unidirectional flow records as an exporter makes them: split after inactive seconds without a packet, or once a record has lasted active seconds.
 

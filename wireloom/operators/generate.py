@@ -20,9 +20,14 @@ def sample_packets(packets: DataFrame, completeness: float, seed: int = 0) -> Da
     return packets.where(uniform(F.col("packet_seq"), F.lit(seed)) < completeness)
 
 
+def in_md5_sample(key: str, share: float) -> Column:
+    """Whether a key's MD5 starts below share."""
+    return F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("long") < int(share * (1 << 32))
+
+
 def md5_sample(df: DataFrame, key: str, share: float) -> DataFrame:
     """Rows whose key's MD5 starts below share: a sample that other engines can repeat."""
-    return df.where(F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("long") < int(share * (1 << 32)))
+    return df.where(in_md5_sample(key, share))
 
 
 def collector_views(packets: DataFrame, collectors: int, overlap: float, drop: float = 0.0, skew_us: int = 0, seed: int = 0) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wireloom.operators import behavior, biconnected, causal, dependency, flows, generate, graph, history, learned, metrics, outcomes, roles, topology
+from wireloom.operators import behavior, biconnected, causal, components, dependency, flows, generate, graph, history, learned, metrics, outcomes, roles, topology
 
 T0 = 1_767_225_600_000_000
 PACKET = "capture_id string, packet_seq long, us long, src_ip string, dst_ip string, src_port int, dst_port int, protocol string, size_bytes long, tcp_flags string"
@@ -266,6 +266,21 @@ def test_failure_sweep_against_searches(spark):
     assert biconnected.failure_sweep(df.limit(0)).count() == 0
 
 
+def test_failures_search_rows_in_proportion_to_nodes(spark, monkeypatch):
+    """A dense graph's edges are contracted before they are searched, for the forest and for the blocks; a failure's rows stay right."""
+    pairs = [(f"a{i:02}", f"b{j:02}") for i in range(30) for j in range(30) if (i < 15) == (j < 15) or (i, j) == (0, 20)]
+    searched = []
+    real = components.connected_components
+    search = lambda e: searched.append(e.count()) or real(e)
+    monkeypatch.setattr(components, "connected_components", search)
+    monkeypatch.setattr(biconnected, "connected_components", search)
+    df = spark.createDataFrame(pairs, "source string, target string")
+    got = {(r["kind"], r["source"], r["target"]): tuple(r)[3:] for r in biconnected.failure_sweep(df).collect()}
+    assert len(pairs) > 7 * 60 and max(searched) <= 2 * 60
+    assert {k for k, v in got.items() if v[0]} == {("edge", "a00", "b20"), ("node", "a00", "a00"), ("node", "b20", "b20")} and len(got) == len(pairs) + 60
+    assert got["edge", "a00", "b20"] == (True, 0.5, 1.0, 30) and got["node", "a00", "a00"] == (True, 0.5, 59 / 60, 29) and got["edge", "a01", "b01"] == (False, 1.0, 1.0, 0)
+
+
 def test_components_after_failures_without_a_search_each(spark, monkeypatch):
     """Failed nodes' components, sizes and indicators against searches; the graph is searched as a whole and not once for each of them."""
     rng = random.Random(9)

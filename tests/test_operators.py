@@ -581,3 +581,14 @@ def test_temporal_precedence_of_hubs_against_rows(spark, monkeypatch):
     for rows in (df, df.groupBy("node", "us").agg(F.count(F.lit(1)).alias("w"))):
         got = {(r["source"], r["target"]): r["precedence"] for r in dependency.temporal_precedence(p, rows).collect()}
         assert got == pytest.approx(want) and len({*got.values()}) > 5
+
+
+def test_diversity_sends_flows_once(spark):
+    """Null ports are a value, null destinations aren't, a null source has no flow; nothing is written and read again, and flows meet no table of sources."""
+    rows = [("s", "a", 1), ("s", "a", 2), ("s", "b", 2), ("s", "c", None), ("s", "c", None), ("t", "a", None), ("t", None, 9), ("u", None, 7), (None, "a", 1)]
+    df = spark.createDataFrame([("x", *r) for r in rows], "capture_id string, src_ip string, dst_ip string, dst_port int")
+    got = sorted(tuple(r)[1:] for r in flows.with_diversity(df).where("dst_ip is not null or src_ip <> 's'").distinct().select("capture_id", "src_ip", "destination_diversity", "port_diversity").distinct().collect())
+    assert got == [("s", 3, 3), ("t", 1, 2), ("u", 0, 1)]
+    f = flows.reconstruct_flows(packets(spark, [(0.0, "A", "B", 1, 2, "UDP", 10, None), (1.0, "A", "C", 1, 2, "UDP", 10, None)]))
+    assert not f.inputFiles() and "Join" not in f._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["destination_diversity"], r["port_diversity"]) for r in f.collect()} == {(2, 1)}

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from wireloom.functions.expressions import SECOND, micros
 from wireloom.functions.ranking import ranked
-from wireloom.session import cut
 
 #: Well-known services by transport and port.
 WELL_KNOWN = (("TCP", 80, "http"), ("TCP", 443, "tls"), ("TCP", 5432, "postgresql"), ("TCP", 6379, "redis"), ("UDP", 53, "dns"))
@@ -104,17 +103,17 @@ def reconstruct_flows(packets: DataFrame, udp_idle: float = 30.0, tls: DataFrame
     """
     u = units(packets, udp_idle).withColumn("is_persistent", F.count(F.lit(1)).over(Window.partitionBy(*FAST_KEY)) > 1).drop("key_hash")
     if diversity:
-        u = with_diversity(cut(u, "units"))  # read twice: packets are sorted once
+        u = with_diversity(u)
     return with_tls(u, tls)
 
 
 def with_diversity(u: DataFrame) -> DataFrame:
+    """u with the numbers of its source's destinations and their ports. Flows are sent to their source once: a value's place among the source's values says how many there are."""
+    of = Window.partitionBy("capture_id", "src_ip")
     port = F.coalesce(F.col("dst_port"), F.lit(-1))
-    # distinct ends first, which combines before the shuffle; what is left is counted
-    ends = u.groupBy("capture_id", "src_ip", "dst_ip", port.alias("dst_port")).agg(F.count(F.lit(1)).alias("_n"))
-    port = F.col("dst_port")
-    by_src = ends.groupBy("capture_id", "src_ip").agg(F.count_distinct("dst_ip").alias("destination_diversity"), F.count_distinct(port).alias("port_diversity"))
-    return u.join(by_src, ["capture_id", "src_ip"])
+    u = u.where("capture_id is not null and src_ip is not null").withColumn("_d", F.dense_rank().over(of.orderBy(F.asc_nulls_last("dst_ip")))).withColumn("_p", F.dense_rank().over(of.orderBy(port)))
+    destinations = F.coalesce(F.max(F.when(F.col("dst_ip").isNotNull(), F.col("_d"))).over(of), F.lit(0)).cast("long")
+    return u.withColumn("destination_diversity", destinations).withColumn("port_diversity", F.max("_p").over(of).cast("long")).drop("_d", "_p")
 
 
 def with_tls(u: DataFrame, tls: DataFrame | None) -> DataFrame:

@@ -592,3 +592,19 @@ def test_diversity_sends_flows_once(spark):
     f = flows.reconstruct_flows(packets(spark, [(0.0, "A", "B", 1, 2, "UDP", 10, None), (1.0, "A", "C", 1, 2, "UDP", 10, None)]))
     assert not f.inputFiles() and "Join" not in f._jdf.queryExecution().optimizedPlan().toString()
     assert {(r["destination_diversity"], r["port_diversity"]) for r in f.collect()} == {(2, 1)}
+
+
+def test_added_edges_and_counted_flows(spark):
+    """As timeline() and flows_of_changes() say, with gaps between versions, repeated rows, edges of the first version, null keys and flows of either direction."""
+    rng = random.Random(6)
+    pairs = [(rng.choice((0, 1, 2, 5, 6)), rng.choice("abc"), rng.choice(("a", "b", "x", "y", None))) for _ in range(40)]
+    df = spark.createDataFrame([*pairs, pairs[0]], "version long, source string, target string")
+    want = sorted(tuple(map(str, r)) for r in history.timeline(df.distinct(), ["source", "target"], []).where("change = 'edge_added'").select("to_version", "source", "target").collect())
+    added = history.added_edges(df, ["source", "target"])
+    assert sorted(tuple(map(str, r)) for r in added.collect()) == want and want
+    assert history.added_edges(df.limit(0), ["source", "target"]).count() == 0
+    flows_ = spark.createDataFrame([(i % 70, *rng.sample("abxy", 2), rng.randint(0, 80)) for i in range(90)], "flow_id long, src_ip string, dst_ip string, first_us long")
+    snapshots = spark.createDataFrame([(v, (v + 1) * 10) for v in (0, 1, 2, 5, 6)], "version long, captured_us long")
+    rows = history.flows_of_changes(added, flows_, snapshots).groupBy("to_version", "source", "target").agg(F.count("flow_id"), F.min("flow_id"), F.max("flow_id")).collect()
+    got = history.counted_flows_of_changes(added, flows_, snapshots).select("to_version", "source", "target", "flows", "first_flow", "last_flow").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, map(tuple, rows))) and any(r["flows"] for r in got) and not all(r["flows"] for r in got)

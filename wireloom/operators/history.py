@@ -50,6 +50,16 @@ def timeline(versions: DataFrame, keys: list[str], attributes: list[str]) -> Dat
     return both.withColumn("_x", F.explode(events)).select(F.col("version").alias("to_version"), *keys, "_x.change", "_x.attribute", "_x.previous", "_x.new")
 
 
+def added_edges(versions: DataFrame, keys: list[str]) -> DataFrame:
+    """(to_version, keys): the edge_added events of timeline() alone, from versions(version, keys), where rows may be repeated. Rows are sent to their key once, without attributes."""
+    first = versions.agg(F.min("version")).first()[0]
+    rows = versions.select(*keys, "version").repartition(*keys).distinct()
+    was = F.lag("version").over(Window.partitionBy(*keys).orderBy("version"))
+    named = F.concat(*[F.col(k).cast("string") for k in keys]).isNotNull()  # a key with a null is no other row's
+    known = F.coalesce(named & (was == F.col("version") - 1), F.lit(False))
+    return rows.withColumn("_known", known).where(~F.col("_known") & (F.col("version") > F.lit(first))).select(F.col("version").alias("to_version"), *keys)
+
+
 def valid_between(snapshots: DataFrame) -> DataFrame:
     """(version, from_us, to_us) of snapshots(version, captured_us): what a snapshot has that the one before doesn't began after from_us (null: ever) and by to_us."""
     w = Window.orderBy("captured_us", "version")  # a row per snapshot
@@ -89,6 +99,16 @@ def flows_of_changes(changes: DataFrame, flows: DataFrame, snapshots: DataFrame)
     return ends.join(placed, ["to_version", "_lo", "_hi"], "left").drop("_lo", "_hi")
 
 
+def counted_flows_of_changes(changes: DataFrame, flows: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """changes' columns with flows, first_flow and last_flow: the number of flow_ids that flows_of_changes() finds, the least and the greatest. Flows are counted where they are sent, and meet the changes as one row."""
+    where = ["to_version", "_lo", "_hi"]
+    placed = versions_of_flows(flows.where("src_ip <> dst_ip"), snapshots)
+    placed = placed.select(F.col("version").alias("to_version"), F.least("src_ip", "dst_ip").alias("_lo"), F.greatest("src_ip", "dst_ip").alias("_hi"), "flow_id").repartition(*where)
+    counted = placed.distinct().groupBy(*where).agg(F.count("flow_id").alias("flows"), F.min("flow_id").alias("first_flow"), F.max("flow_id").alias("last_flow"))
+    ends = changes.withColumn("_lo", F.least("source", "target")).withColumn("_hi", F.greatest("source", "target"))
+    return ends.join(counted, where, "left").withColumn("flows", F.coalesce("flows", F.lit(0).cast("long"))).drop("_lo", "_hi")
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The newest row of every key over both tables, ties to new."""
     both = old.withColumn("_p", F.lit(0)).unionByName(new.withColumn("_p", F.lit(1)))

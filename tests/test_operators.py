@@ -322,6 +322,52 @@ def test_components_after_failures_without_a_search_each(spark, monkeypatch):
     assert got == want and far == lost and set(res) == set(out) == {*nodes, "none"}
 
 
+def test_resilience_indicators_against_searches(spark, monkeypatch):
+    """All six indicators of every node's failure, with blocks that a task takes and with blocks shrunk by joins."""
+    rng = random.Random(5)
+    pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "c"), ("e", "f"), ("y", "y"), ("b", "a"), ("loop", "loop"), ("q", "r"), ("q", "s"), ("q", "t"), ("f", "m3")]
+    pairs += [(f"m{rng.randint(0, 30):02}", f"m{rng.randint(0, 30):02}") for _ in range(45)] + [(f"r{i}", f"r{(i + 1) % 7}") for i in range(7)] + [("r0", "r3"), ("m01", "m3")]
+    nodes = sorted({x for p in pairs for x in p})
+    links = {frozenset(p) for p in pairs if p[0] != p[1]}
+    candidates = [(f"m{rng.randint(0, 30):02}", f"m{rng.randint(0, 30):02}") for _ in range(40)] + [("q", "r"), ("r", "q"), ("r", "far"), ("far", "farther")]
+
+    def parts(gone):
+        out, todo = [], set(nodes) - gone
+        while todo:
+            part, front = set(), {min(todo)}
+            while front:
+                part |= front
+                front = {y for e in links if e & front for y in e} - part - gone
+            todo -= part
+            out.append(part)
+        return sorted(out, key=lambda p: (-len(p), min(p)))
+
+    cuts = lambda gone: {x for x in set(nodes) - gone if len(parts(gone | {x})) > len(parts(gone)) - (parts(gone).count({x}))}
+    before, already = parts(set())[0], cuts(set())
+    want = {}
+    for f in [*nodes, "none"]:
+        after = parts({f})
+        reached = {f}
+        for _ in range(2):
+            reached |= {b for a, b in candidates if a in reached}
+        near = {y for e in links if f in e for y in e} - {f}
+        connected = sum(len(p) for p in after if len(p) > 1)
+        want[f] = (len(after[0]) / len(before), connected / len(nodes), len(reached | (before - {f} - after[0])), -np.log(1e-9) * len(near), sorted(cuts({f}) - already), False, len(set(nodes) - {f}) - len(after[0]))
+    df, who = spark.createDataFrame(pairs, "source string, target string"), spark.createDataFrame([(n,) for n in [*nodes, "none"]], "failed string")
+    how = spark.createDataFrame(candidates, "source string, target string")
+    once = biconnected.Failures(df, who)
+    monkeypatch.setattr(biconnected, "Failures", lambda *_: once)
+    for r in graph.resilience_indicators(df, who, how).collect():
+        x = want.pop(r["failed"])
+        assert r["bottlenecks"] == x[4] and r["alternative_path"] is x[5], r
+        assert (r["connectivity_ratio"], r["reachable_ratio"], r["affected_services"], r["path_degradation"], r["stranded"]) == pytest.approx((*x[:4], x[6])), r
+        want |= {(r["failed"], n): 1 for n in x[4]}
+    assert len(want) > 20 and not set(want) & {*nodes, "none"}
+    monkeypatch.setattr(biconnected, "BLOCK_EDGES", 8)
+    monkeypatch.setattr(biconnected, "TOGETHER", (2, 9))
+    assert {tuple(r): 1 for r in once.emerging().collect()} == want
+
+
 def test_distances_of_many_starts(spark):
     """Starts share rows, 64 to one; hops() says the same."""
     rng = random.Random(2)

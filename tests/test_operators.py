@@ -368,6 +368,21 @@ def test_resilience_indicators_against_searches(spark, monkeypatch):
     assert {tuple(r): 1 for r in once.emerging().collect()} == want
 
 
+def test_scenarios_by_turns(spark, monkeypatch, tmp_path):
+    """Rows of many scenarios come some at a time, each for all nodes: the same rows, in files a fraction as large."""
+    pairs = [(f"n{i:05}", f"n{i // 3:05}") for i in range(1, 800)]
+    df = spark.createDataFrame(pairs, "source string, target string")
+    f = biconnected.Failures(df, df.select(F.col("source").alias("failed")).distinct())
+    sizes, rows = [], []
+    for n in (1 << 30, 50):
+        monkeypatch.setattr(biconnected, "IN_TURN", n)
+        got = f.components()
+        rows.append(got.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*got.columns).cast("decimal(38,0)"))).first())
+        got.coalesce(1).select("failed", "node", "component").write.parquet(f"{tmp_path}/{n}")
+        sizes.append(sum(p.stat().st_size for p in tmp_path.glob(f"{n}/*.parquet")))
+    assert rows[0] == rows[1] and rows[0][0] == 799 * 799 and sizes[1] < 0.7 * sizes[0], sizes
+
+
 def test_distances_of_many_starts(spark):
     """Starts share rows, 64 to one; hops() says the same."""
     rng = random.Random(2)

@@ -395,6 +395,20 @@ def test_distances_of_many_starts(spark):
         assert got == sorted(tuple(r)[:3] for r in graph.hops(df, starts, depth).collect())
 
 
+def test_distances_in_wide_rows(spark, monkeypatch):
+    """A level has one row of a node for up to 1,024 starts; rows of fewer starts say the same."""
+    rng = random.Random(7)
+    df = spark.createDataFrame([(f"n{rng.randint(0, 140):03}", f"n{rng.randint(0, 140):03}", 0.5) for _ in range(260)], "source string, target string, confidence double")
+    starts = df.select(F.col("source").alias("start")).unionByName(df.select(F.col("target").alias("start"))).distinct()
+    real, levels = graph.cut, []
+    monkeypatch.setattr(graph, "cut", lambda d, name="cut", *rest: levels.append(real(d, name, *rest)) or levels[-1] if name == "level" else real(d, name, *rest))
+    wide = sorted(tuple(r) for r in graph.distances(df, starts).collect())
+    assert starts.count() > 128 and all(x.select("node").distinct().count() == x.count() for x in levels)
+    monkeypatch.setattr(graph, "WORDS", 1)
+    assert wide == sorted(tuple(r) for r in graph.distances(df, starts).collect())
+    assert len(wide) > 5000 and max(x.count() for x in levels) > starts.count()
+
+
 def brute_parents(series, target, sources, lag, alpha):
     """Tests by the inverse of whole covariance matrices, over arrays of one target."""
     n = min(map(len, series.values()))
